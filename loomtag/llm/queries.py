@@ -5,20 +5,46 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomtag.llm import superminhash
+from loomtag.llm import langid, lines, mixing, packing, superminhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.assigned(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
+def op4_bigru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predictions(_table(spark, sf_dir, "documents"))
+
+
+def op5_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.without_boilerplate(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), "text", "n_lines", "n_dropped")
+
+
 def op8_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_curriculum": op3_curriculum,
+    "op4_bigru_language": op4_bigru_language,
+    "op5_site_lines": op5_site_lines,
     "op8_superminhash": op8_superminhash,
+    "op10_best_fit": op10_best_fit,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_curriculum": mixing.SQL,
+    "op5_site_lines": lines.SQL,
+}

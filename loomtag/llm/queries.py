@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtag.llm import langid, lines, mixing, packing, secrets, superminhash
+from loomtag.llm import archive, langid, lines, mixing, packing, secrets, superminhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.secrets(_table(spark, sf_dir, "documents")))
 
 
+def op2_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.converted(_table(spark, sf_dir, "pages"))
+
+
 def op3_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.assigned(_table(spark, sf_dir, "documents"))
     return found.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", F.round("target", 6).alias("target"), "taken")
@@ -42,6 +46,7 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
+    "op2_arc_to_warc": op2_arc_to_warc,
     "op3_curriculum": op3_curriculum,
     "op4_bigru_language": op4_bigru_language,
     "op5_site_lines": op5_site_lines,
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_arc_to_warc": archive.SQL,
     "op3_curriculum": mixing.SQL,
     "op5_site_lines": lines.SQL,
 }

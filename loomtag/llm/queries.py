@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtag.llm import archive, langid, lines, mixing, packing, secrets, superminhash
+from loomtag.llm import archive, langid, lines, mixing, packing, rules, secrets, superminhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,12 @@ def op8_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = rules.learn(docs, _table(spark, sf_dir, "labels"))
+    return rules.judged(docs, found).select("doc_id", *rules.BASE, "base_failed", "kept")
+
+
 def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"))
 
@@ -51,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bigru_language": op4_bigru_language,
     "op5_site_lines": op5_site_lines,
     "op8_superminhash": op8_superminhash,
+    "op9_decision_list": op9_decision_list,
     "op10_best_fit": op10_best_fit,
 }
 

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtag.llm.shared import saved
+from loomtag.llm.shared import let, saved
 
 #: kind, pattern, group whose length counts, least length; in the order of the kinds.
 PATTERNS = (
@@ -64,18 +64,21 @@ def _found(text: Column, pattern: str, group: int, least: int) -> Column:
     """
     text = F.coalesce(text, F.lit(""))
     whole, inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    gaps = F.split(text, pattern, -1)
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.get(gaps, i))
-        end = start + F.length(F.get(whole, i))
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), F.get(whole, i).alias("value")))
-        out = F.when(F.length(F.get(inner, i)) >= least, F.concat(acc["out"], one)).otherwise(acc["out"])
-        return F.struct(end.alias("at"), out.alias("out"))
+    def places(x: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            start = acc["at"] + F.length(F.get(x["gaps"], i))
+            end = start + F.length(F.get(x["whole"], i))
+            one = F.array(F.struct(start.alias("start"), end.alias("end"), F.get(x["whole"], i).alias("value")))
+            out = F.when(F.length(F.get(x["inner"], i)) >= least, F.concat(acc["out"], one)).otherwise(acc["out"])
+            return F.struct(end.alias("at"), out.alias("out"))
 
-    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    return F.when(F.size(whole) == 0, none).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(whole) - 1), zero, step, lambda acc: acc["out"]))
+        zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(x["whole"]) - 1), zero, step, lambda acc: acc["out"])
+
+    parts = F.struct(whole.alias("whole"), inner.alias("inner"), F.split(text, pattern, -1).alias("gaps"))
+    return F.when(text.rlike(pattern), let(parts, places)).otherwise(none)
 
 
 def _battery(tokens: Column) -> Column:

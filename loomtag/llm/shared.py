@@ -46,6 +46,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, also where body uses it inside a lambda and after filters move."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text (null: none)."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

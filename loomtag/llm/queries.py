@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtag.llm import archive, langid, lines, mixing, packing, rules, secrets, superminhash
+from loomtag.llm import archive, langid, lines, mixing, ordinal, packing, rpforest, rules, secrets, superminhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,17 @@ def op5_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), "text", "n_lines", "n_dropped")
 
 
+def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = ordinal.learn(docs, labels.select("doc_id", ordinal.grade_of(F.col("quality"), F.col("toxic")).alias("grade")), levels=3)
+    return ordinal.grades(docs, model).withColumn("kept", F.col("tail_prob") >= 0.5)
+
+
+def op7_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return rpforest.search(rows, rows.where("vec_id % 100 = 0"), k=10)
+
+
 def op8_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
@@ -56,6 +67,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_curriculum": op3_curriculum,
     "op4_bigru_language": op4_bigru_language,
     "op5_site_lines": op5_site_lines,
+    "op6_ordinal_quality": op6_ordinal_quality,
+    "op7_projection_forest": op7_projection_forest,
     "op8_superminhash": op8_superminhash,
     "op9_decision_list": op9_decision_list,
     "op10_best_fit": op10_best_fit,

@@ -21,6 +21,8 @@ from loomtag.llm.shared import cut, hashed_words, mix64, saved, text_slices
 SLOTS = 241
 #: 40 bands of 6 slots: a pair at 0.8 shares no band with probability (1 - 0.8^6)^40 < 1e-5.
 BANDS, ROWS = 40, 6
+#: 64-bit words of a set's parity bitmap.
+PARITY = 32
 _STEP, _START, _RANK = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -108,8 +110,20 @@ def _signed(size: int):
     return run
 
 
+def parity_bits(h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """(n, PARITY) words; a bit is set if an odd number of elements falls on it.
+
+    Two sets differ in at least as many elements as their bitmaps in bits, which
+    bounds the intersection from above.
+    """
+    width = PARITY * 64
+    at = owner.astype(np.int64) * width + (mix64(h ^ _RANK) % np.uint64(width)).astype(np.int64)
+    odd = np.bincount(at, minlength=n * width).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(n, width), axis=1).view(np.int64)
+
+
 def _full_sets(size: int):
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("hashes", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("hashes", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
@@ -117,7 +131,8 @@ def _full_sets(size: int):
                 h, o = shingle_sets(part.column("text"), size)
                 n = np.bincount(o, minlength=part.num_rows).astype(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n), lists], schema=schema)
+                bits = pa.array(list(parity_bits(h, o, part.num_rows)), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n), lists, bits], schema=schema)
 
     return run
 
@@ -135,6 +150,13 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _may_meet(percent: int):
+    """Whether (n, bits) and lead's can belong to sets of that similarity: both <= (n + n' - differing bits) / 2."""
+    differ = sum((F.bit_count(F.get("bits", F.lit(k)).bitwiseXOR(F.get("lead.bits", F.lit(k)))) for k in range(PARITY)), F.lit(0))
+    total = F.col("n") + F.col("lead.n")
+    return (total - differ) * (100 + percent) >= total * (2 * percent)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, star_rounds: int = 3) -> DataFrame:
     """One row (id_col, n_shingles, component_id, kept) for each row of docs.
 
@@ -146,7 +168,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the members are verified against a leader, for `star_rounds` rounds with another
     leader each, so that a large group of near copies joins up in a number of
     comparisons linear in its size; what is then still apart within a bucket is
-    compared pair by pair, so no link that a shared band shows is lost.
+    compared pair by pair, by bitmaps that bound the similarity and then by the full
+    sets, so no link that a shared band shows is lost.
 
     Texts that are null or have no words have an empty set and are linked with
     nothing. Rows with a null id are linked with nothing, keep a null component_id
@@ -162,7 +185,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     involved = members.select(F.col("rep").alias("id")).distinct()
     sets = saved(
         source.where("id IS NOT NULL").join(involved, "id", "left_semi")
-        .mapInArrow(_full_sets(shingle), "id long, n long, hashes array<long>"),
+        .mapInArrow(_full_sets(shingle), "id long, n long, hashes array<long>, bits array<long>"),
         "sets",
     )
 
@@ -176,9 +199,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             met = placed.join(apart.select("band", "lead"), "band").where(F.col("comp") != F.col("lead.comp")).where(near)
             pairs = met.select(F.least("rep", "lead.rep").alias("u"), F.greatest("rep", "lead.rep").alias("v"))
         else:
-            rest = placed.join(apart.select("band"), "band", "left_semi")
-            other = rest.select("band", F.struct("rep", "n", "comp").alias("lead"))
-            met = rest.join(other, "band").where((F.col("comp") < F.col("lead.comp")) & near)
+            rest = placed.join(apart.select("band"), "band", "left_semi").join(sets.select(F.col("id").alias("rep"), "bits"), "rep")
+            other = rest.select("band", F.struct("rep", "n", "comp", "bits").alias("lead"))
+            # the bound stands in the join's condition: what it rules out never becomes a row
+            met = rest.join(other, "band").where((F.col("comp") < F.col("lead.comp")) & near & _may_meet(percent))
             pairs = met.select(F.least("rep", "lead.rep").alias("u"), F.greatest("rep", "lead.rep").alias("v"))
         pairs = pairs.distinct()
         if tested is not None:

@@ -8,6 +8,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FAILED = "Failed_Prediction"
 
@@ -169,7 +170,7 @@ def preference_histogram(tags: DataFrame, suffix: str) -> DataFrame:
     return counts.groupBy("key").agg(F.transform(pairs, lambda x: F.concat(x["p"], F.lit(" ("), (-x["o"]).cast("string"), F.lit(")"))).alias("preferences"))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def common_subsequence(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common subsequence of two texts."""
 

@@ -186,8 +186,9 @@ def to_warc(arc: DataFrame, least_revisit: int = LEAST_REVISIT) -> DataFrame:
     first = rows.where(large & F.col("key").isNotNull()).groupBy("digest").agg(F.min("key").alias("first_key"), F.min_by("record_id", "key").alias("first_id"), F.count("*").alias("n"))
     met = rows.join(first.where("n > 1"), "digest", "left")
     revisit = large & F.col("first_key").isNotNull() & ~F.col("key").eqNullSafe(F.col("first_key"))
-    met = met.withColumn("kind", F.when(revisit, "revisit").otherwise(F.col("kind")))
-    return met.withColumn("refers_to", F.when(revisit, F.col("first_key"))).withColumn("refers_to_id", F.when(revisit, F.col("first_id"))).drop("first_key", "first_id", "n")
+    # all at once: revisit reads the kind that it changes
+    met = met.withColumns({"kind": F.when(revisit, "revisit").otherwise(F.col("kind")), "refers_to": F.when(revisit, F.col("first_key")), "refers_to_id": F.when(revisit, F.col("first_id"))})
+    return met.drop("first_key", "first_id", "n")
 
 
 def write_warc(records: DataFrame, path: str) -> None:

@@ -12,17 +12,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtag.llm.shared import text_slices
+from loomtag.llm.shared import split_words, text_slices
 
 #: Hashed features, bound of the graded sample for a grade.
 FEATURES, PER_GRADE = 1 << 18, 2_500
-#: Least texts of the sample that a feature with a weight occurs in; rarer ones would only be learned by heart.
-LEAST_TEXTS = 10
+#: A feature with a weight occurs in at least so many texts of the sample, and in one of so many; rarer ones would only be learned by heart.
+LEAST_TEXTS, LEAST_SHARE = 4, 500
 
 #: A text repeats itself if more than one word in so many is the word before it.
 REPEATED = (4, 8, 16)
@@ -37,8 +36,7 @@ class Model:
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(feature, owner), distinct within a text, sorted by owner: words, their last two characters, and whether many words follow themselves."""
-    parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-    flat, counts = parts.flatten(), pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, counts = split_words(texts)
     coded = flat.dictionary_encode()
     names = coded.dictionary.to_pylist()
     word = np.array([xxhash.xxh32_intdigest(w.lower().strip(_MARKS) or w) % FEATURES for w in names], np.int64)
@@ -65,16 +63,16 @@ def cumulative(model: Model, scores: np.ndarray) -> np.ndarray:
     return _sigmoid(scores[:, None] - model.thresholds[None, :])
 
 
-def train(lists: list[np.ndarray], grades: np.ndarray, levels: int, known: np.ndarray | None = None, epochs: int = 30, batch: int = 64, rate: float = 0.1, decay: float = 1e-4, seed: int = 3) -> Model:
+def train(lists: list[np.ndarray], grades: np.ndarray, levels: int, known: np.ndarray | None = None, steps_least: int = 4_000, batch: int = 64, rate: float = 0.1, decay: float = 1e-4, seed: int = 3) -> Model:
     """Stochastic gradient descent with per-weight step sizes on the likelihood of the grades. Reruns agree.
 
-    known is the number of graded texts of each grade that the sample stands for; it weighs the sample's.
+    There are at least 30 passes and steps_least steps. known is the number of graded texts of each grade that the sample stands for; it weighs the sample's.
     """
     rng = np.random.default_rng(seed)
     drawn = np.maximum(1, np.bincount(grades, minlength=levels))
     balance = np.sqrt((drawn if known is None else known) / drawn)
     balance = balance * len(grades) / max(1e-9, float((balance * drawn).sum()))
-    often = np.bincount(np.concatenate([*lists, np.zeros(0, np.int64)]).astype(np.int64), minlength=FEATURES) >= LEAST_TEXTS
+    often = np.bincount(np.concatenate([*lists, np.zeros(0, np.int64)]).astype(np.int64), minlength=FEATURES) >= max(LEAST_TEXTS, len(grades) // LEAST_SHARE)
     lists = [x[often[x]] for x in lists]
     # without evidence a text has the highest grade
     w, first, steps = np.zeros(FEATURES), np.array(-2.0 * (levels - 1)), np.zeros(levels - 2)
@@ -83,7 +81,7 @@ def train(lists: list[np.ndarray], grades: np.ndarray, levels: int, known: np.nd
     def thresholds() -> np.ndarray:
         return first + np.concatenate([[0.0], np.cumsum(np.exp(steps))])
 
-    for _ in range(epochs):
+    for _ in range(max(30, -(-steps_least * batch // max(1, len(grades))) if len(grades) else 0)):
         order = rng.permutation(len(grades))
         for start in range(0, len(order), batch):
             at = order[start : start + batch]

@@ -152,13 +152,16 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_
 
     usable = keyed(rows)
     widths = usable.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    nothing = usable.where("false").select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias(id_col), F.lit(0.0).alias("score"))
     if widths is None:
-        return usable.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias(id_col), F.lit(0.0).alias("score"))
+        return nothing
     usable, asked = (x.where(F.size("vector") == widths["d"]) for x in (usable, keyed(queries)))
     least = F.dense_rank().over(Window.partitionBy("key").orderBy("id"))
     classes = saved(usable.withColumn("r", least).where(F.col("r") <= k + 1).groupBy("key").agg(F.first("vector").alias("vector"), F.sort_array(F.collect_set("id")).alias("ids")), "vectors")
     points = saved(asked.groupBy("key").agg(F.first("vector").alias("vector")), "queries")
     n, n_points = classes.count(), points.count()
+    if not n_points:
+        return nothing
     share = min(1.0, 1.2 * SAMPLE / n)
     drawn = classes.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < share * 1_000_000).select("key", "vector").limit(SAMPLE).collect()
     sample = _matrix(r["vector"] for r in sorted(drawn, key=lambda r: r["key"])) if drawn else np.zeros((1, widths["d"]))
@@ -185,7 +188,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_
 
     def rerank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"key": [], "score": [], "ids": []})
+            return pd.DataFrame({"key": [], "score": [], "ids": []}, dtype=object)
         ids, found = left["ids"].to_numpy(), nearest(_matrix(left["vector"]), _matrix(right["vector"]), k + 1)
         rows = [(q, s, ids[j]) for q, (at, score) in zip(right["key"], found, strict=True) for j, s in zip(at, score, strict=True)]
         return pd.DataFrame(rows, columns=["key", "score", "ids"])

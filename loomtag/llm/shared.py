@@ -78,8 +78,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def hashed_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts one after the other, and the number of words of each text."""
+def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts one after the other, and the number of words of each text (null: none)."""
     texts = pc.fill_null(texts, "")
     parts = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     flat, counts = parts.flatten(), pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -88,6 +88,12 @@ def hashed_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nd
         owner = np.repeat(np.arange(len(counts)), counts)
         counts = np.bincount(owner[real], minlength=len(counts)).astype(np.int64)
         flat = flat.filter(pa.array(real))
+    return flat, counts
+
+
+def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all lower-cased words of the texts one after the other, and the number of words of each text."""
+    flat, counts = split_words(texts, lower=True)
     coded = flat.dictionary_encode()
     table = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], dtype=np.uint64)
     codes = coded.indices.to_numpy(zero_copy_only=False)

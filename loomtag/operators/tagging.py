@@ -52,8 +52,8 @@ def label_incidences(counts: DataFrame) -> DataFrame:
 
 def reliable(counts: DataFrame, n_sessions: DataFrame, divisor: float = 20.0) -> DataFrame:
     """Counts of labels with at least n / divisor item-session incidences; n_sessions has one row `n`."""
-    total = Window.partitionBy("label")
-    return counts.withColumn("_inc", F.sum("cnt").over(total)).where(F.col("_inc") >= n_sessions.select(F.col("n") / divisor).scalar()).drop("_inc")
+    keep = label_incidences(counts).where(F.col("incidences") >= n_sessions.select(F.col("n") / divisor).scalar())
+    return counts.join(keep.select("label"), "label", "left_semi")  # labels are few: a window over a label would be one task
 
 
 def label_statistics(counts: DataFrame) -> DataFrame:

@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from loomtag.llm.shared import cut
 
 
+#: Edges of a partition: a small graph is one partition, where Spark needs no exchange, a large one many.
+PARTITION_EDGES = 50_000
+
+
+def _sized(edges: DataFrame, n: int) -> DataFrame:
+    return edges.coalesce(1 + n // PARTITION_EDGES)
+
+
 def _toward_least(edges: DataFrame, keep) -> DataFrame:
     """Every neighbour that `keep` selects is linked to the least node around its centre.
 
@@ -25,8 +33,8 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     edge table gives an empty result. Raises RuntimeError if the stars have not
     formed after most_rounds (each round at least halves the depth).
     """
-    edges = edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select("u", "v").distinct()
-    state = None
+    edges = cut(edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select("u", "v"))
+    edges, state = _sized(edges, edges.count()).distinct(), None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _toward_least(both, F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -38,5 +46,5 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         if now == state:
             roots = edges.select(F.col("v").alias("u")).distinct().select(F.col("u").alias("node"), F.col("u").alias("root"))
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
-        state = now
+        edges, state = _sized(edges, now[0]), now
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtag.llm.components import components
-from loomtag.llm.shared import cut, hashed_words, mix64, saved, text_slices
+from loomtag.llm.shared import hashed_words, mix64, saved, text_slices
 
 #: Slots of a signature: a prime, so that (start + rank * step) mod SLOTS is a permutation of them.
 SLOTS = 241
@@ -207,16 +207,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
+        if turn < star_rounds:  # the bitmaps are a small part of the full sets
+            a, b = sets.select(F.col("id").alias("u"), "n", "bits"), sets.select(F.col("id").alias("v"), F.struct("n", "bits").alias("lead"))
+            pairs = pairs.join(a, "u").join(b, "v").where(_may_meet(percent)).select("u", "v")
         pairs = saved(pairs, "pairs")
         if pairs.isEmpty():
-            if turn < star_rounds:
-                continue
-            break
+            if apart.isEmpty():
+                break
+            continue
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = _links(pairs, sets, percent)
         if labels is not None:
             links = links.unionByName(labels.select(F.col("node").alias("u"), F.col("root").alias("v")))
-        labels = components(cut(links))
+        labels = components(links)
         named = labels.select(F.col("node").alias("rep"), F.col("root").alias("comp"))
         placed = members.join(named, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
 

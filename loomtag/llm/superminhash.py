@@ -179,6 +179,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = saved(source.mapInArrow(_signed(shingle), "id long, k1 long, k2 long, n long, bands array<long>"), "signatures")
     classes = signed.where("n > 0 AND id IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = saved(classes, "classes")  # written, so that the join of all copies with their class is one that Spark can split
     slots = classes.select("rep", "n", F.explode("bands").alias("band"))
     shared = slots.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band")
     members = saved(slots.join(shared, "band").select("band", "rep", "n"), "buckets")

@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from loomtag.llm import langid, lines, mixing, packing, superminhash
 from loomtag.llm.shared import saved
 
+#: Lines above this share of their site's pages go, at any number of pages; set from the catches and losses in the README.
+LINE_RATIO = 0.002
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the recurrent network recognises."""
@@ -15,7 +18,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that many documents of their source have."""
-    return lines.cleaned(docs)
+    return lines.cleaned(docs, ratio=LINE_RATIO, least_pages=1)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,8 +32,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all documents in sequences of the permitted lengths."""
-    return packing.packed(docs)
+    """Places of all documents in sequences of the permitted lengths, numbered along the order of training."""
+    return packing.packed(docs, order=packing.stored_order())
 
 
 STAGES = [("language_id", language), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mixing", mix), ("packing", pack)]

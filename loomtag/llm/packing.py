@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtag.llm.shared import count_words
@@ -21,6 +21,8 @@ from loomtag.llm.shared import count_words
 LENGTHS = (256, 512, 1024, 2048)
 #: Bounds of what one task packs: sequences of the largest length, and pieces.
 GROUP_SEQUENCES, GROUP_PIECES = 512, 50_000
+#: Where order counts: parts of all words that the order is kept to, the least sequences of a group, and rows of a file that are summed in one group.
+ORDER_PARTS, LEAST_SEQUENCES, BLOCK_ROWS = 64, 8, 20_000
 
 
 def training_cost(length: int) -> float:
@@ -70,7 +72,27 @@ def best_fit(sizes: np.ndarray, lengths: tuple[int, ...] = LENGTHS, cost: Callab
     return bins, offsets, np.array(lengths, np.int64)[np.searchsorted(lengths, taken)] if len(taken) else taken
 
 
-def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
+def stored_order() -> list[Column]:
+    """(part number, file name, row) of rows read from Parquet files: the order in which a sorted table was written."""
+    name = F.col("_metadata.file_name")
+    return [F.coalesce(F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("long"), F.lit(-1).cast("long")), name, F.col("_metadata.row_index")]
+
+
+def _in_order(base: DataFrame, top: int) -> DataFrame:
+    """base with before, the words ahead of a row, and group, its contiguous range of words and pieces; base has (part, file, row, words, n_pieces)."""
+    base = base.withColumn("block", F.floor(F.col("row") / BLOCK_ROWS))
+    blocks = base.groupBy("part", "file", "block").agg(F.sum("words").alias("w"), F.sum("n_pieces").alias("p"))
+    whole = Window.partitionBy(F.lit(0))  # over one row for each block
+    ahead = whole.orderBy("part", "file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("file", "block", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"{c}_ahead") for c in "wp"], F.sum("w").over(whole).alias("w_all"))
+    inner = Window.partitionBy("file", "block").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    within = [F.coalesce(F.sum(c).over(inner), F.lit(0)).alias(f"{c}_within") for c in ("words", "n_pieces")]
+    met = base.select("*", *within).join(blocks, ["file", "block"])
+    most = F.least(F.lit(top * GROUP_SEQUENCES), F.greatest(F.lit(top * LEAST_SEQUENCES), F.ceil(F.col("w_all") / ORDER_PARTS)))
+    return met.withColumns({"before": F.col("w_ahead") + F.col("words_within"), "pieces_before": F.col("p_ahead") + F.col("n_pieces_within"), "most": most})
+
+
+def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengths: tuple[int, ...] = LENGTHS, order: list[Column] | None = None) -> DataFrame:
     """(id_col, piece, start, length, bin_id, bin_offset, bin_used, bin_length): one row for each piece of a document.
 
     A document of more words than the largest length is cut into pieces; start is
@@ -80,21 +102,44 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
 
     Pieces are dealt by hash into groups of bounded words and pieces, each packed by
     one task; bins don't cross groups, which leaves at most a few of them part-filled.
+
+    With order, columns (part, file, row) such as stored_order(), groups are contiguous
+    ranges of that order, each at most a 64th of all words (or LEAST_SEQUENCES
+    sequences, where that is more), and bin_id ascends with it: by group, and within a
+    group by the first of a bin's pieces.
     """
     top = max(lengths)
-    base = docs.select(F.col(id_col).alias("id"), count_words(F.col(text_col)).alias("words"))
-    totals = base.agg(F.sum("words").alias("w"), F.sum(F.greatest(F.ceil(F.col("words") / top), F.lit(1))).alias("p")).first()
-    groups = max(1, -(-int(totals["w"] or 0) // (top * GROUP_SEQUENCES)), -(-int(totals["p"] or 0) // GROUP_PIECES))
+    place = [c.alias(n) for c, n in zip(order, ("part", "file", "row"), strict=True)] if order else []
+    base = docs.select(F.col(id_col).alias("id"), count_words(F.col(text_col)).alias("words"), *place)
     starts = F.when(F.col("words") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("words") - 1, F.lit(top).cast("long")))
-    # the row's own number spreads rows that repeat or lack an id
-    pieces = base.withColumn("n", F.monotonically_increasing_id()).select("id", "n", "words", F.posexplode(starts).alias("piece", "start"))
-    pieces = pieces.select("id", "piece", "start", F.least(F.col("words") - F.col("start"), F.lit(top)).alias("length"), F.pmod(F.xxhash64("n", "piece"), F.lit(groups)).alias("group"))
+    length = F.least(F.col("words") - F.col("start"), F.lit(top)).alias("length")
+    if order:
+        base = _in_order(base.withColumn("n_pieces", F.size(starts).cast("long")), top)
+        pieces = base.select("*", F.posexplode(starts).alias("piece", "start"))
+        # both terms only grow along the order, so that equal sums are one range within both bounds
+        group = F.floor((F.col("before") + F.col("start")) / F.col("most")) + F.floor((F.col("pieces_before") + F.col("piece")) / GROUP_PIECES)
+        pieces = pieces.select("id", "piece", "start", length, group.alias("group"), (F.col("before") + F.col("start")).alias("place"))
+        ties = ["place"]
+    else:
+        totals = base.agg(F.sum("words").alias("w"), F.sum(F.greatest(F.ceil(F.col("words") / top), F.lit(1))).alias("p")).first()
+        groups = max(1, -(-int(totals["w"] or 0) // (top * GROUP_SEQUENCES)), -(-int(totals["p"] or 0) // GROUP_PIECES))
+        # the row's own number spreads rows that repeat or lack an id
+        pieces = base.withColumn("n", F.monotonically_increasing_id()).select("id", "n", "words", F.posexplode(starts).alias("piece", "start"))
+        pieces = pieces.select("id", "piece", "start", length, F.pmod(F.xxhash64("n", "piece"), F.lit(groups)).alias("group"))
+        ties = ["id", "piece", "start"]
+    ordered = bool(order)
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "id", "piece", "start"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["length", *ties], ascending=[False] + [True] * len(ties), kind="stable").reset_index(drop=True)
         bins, offsets, sizes = best_fit(pdf["length"].to_numpy(), lengths)
         used = np.bincount(bins, weights=pdf["length"], minlength=len(sizes)).astype(np.int64)
-        return pdf.assign(bin_id=pdf["group"] * (1 << 32) + bins, bin_offset=offsets, bin_used=used[bins], bin_length=sizes[bins])
+        number = np.arange(len(sizes))
+        if ordered:
+            first = np.full(len(sizes), np.iinfo(np.int64).max)
+            np.minimum.at(first, bins, pdf["place"].to_numpy())
+            number[np.argsort(first)] = np.arange(len(sizes))
+        out = pdf.assign(bin_id=pdf["group"] * (1 << 32) + number[bins], bin_offset=offsets, bin_used=used[bins], bin_length=sizes[bins])
+        return out.drop(columns="place") if ordered else out
 
     schema = f"id {base.schema['id'].dataType.simpleString()}, piece int, start long, length long, group long, bin_id long, bin_offset long, bin_used long, bin_length long"
     real = pieces.where("length > 0").groupBy("group").applyInPandas(pack, schema).drop("group")

@@ -1,5 +1,6 @@
 import numpy as np
 from fixtures import SF, edge_docs, empty_docs, words
+from pyspark.sql import functions as F
 
 from loomtag.llm import packing
 
@@ -33,6 +34,22 @@ def test_every_word_has_one_place(spark):
     assert packing.packed(empty_docs(spark)).count() == 0
 
 
+def test_bins_follow_the_stored_order(spark, tmp_path):
+    # files of unequal sizes, which Spark does not read in the order of their names
+    docs = edge_docs(spark, [(i, " ".join(["w"] * (20 + i * 37 % 300 if i % 50 else 5000)), "en", "a") for i in range(2000)])
+    docs.withColumn("p", F.pow("doc_id", F.lit(1.3))).repartitionByRange(7, "p").sortWithinPartitions("p").drop("p").write.parquet(f"{tmp_path}/t")
+    stored = spark.read.parquet(f"{tmp_path}/t")
+    got = packing.packed(stored, order=packing.stored_order()).collect()
+    bins = check(stored, got)
+    at = [[(r["doc_id"], r["piece"]) for r in bins[b]] for b in sorted(bins)]
+    groups = [b >> 32 for b in sorted(bins)]
+    assert len(set(groups)) > 10
+    for (g, x), (h, y) in zip(zip(groups, at), zip(groups[1:], at[1:])):
+        assert min(x) < min(y)
+        assert g == h or max(z for k, b in zip(groups, at) if k == g for z in b) < min(z for k, b in zip(groups, at) if k == h for z in b)
+    assert sum(b[0]["bin_used"] for b in bins.values()) / sum(b[0]["bin_length"] for b in bins.values()) > 0.95
+
+
 def test_bins_are_well_filled(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     bins = check(docs, packing.packed(docs).collect())

@@ -43,6 +43,26 @@ def test_lines_go_at_any_size_of_a_site(spark):
     assert all(got[i] == f"own {i}" for i in (0, 18, 100, 107)) and got[108] == "once\nown 108" and len(got) == 3019
 
 
+def test_sequences_follow_the_order_of_training(spark):
+    docs = edge_docs(spark, [(i, " ".join(f"w{i}" for _ in range(50 + i * 37 % 400)), "en", "abc"[i % 3]) for i in range(3000)])
+    # the order itself: each copy with its position, as the mixing stage sorts them
+    order = [(r["doc_id"], r["position"]) for r in P.mixing.assigned(docs).selectExpr("row.doc_id", "explode(positions) AS position").orderBy("position").collect()]
+    copies = saved(P.mix(spark, docs, SF), "mixed")
+    rows = sorted((r for r in P.pack(spark, copies, SF).collect() if r["length"]), key=lambda r: (r["bin_id"], r["bin_offset"]))
+    assert len(rows) == len(order)
+    groups = {}
+    for r in rows:
+        groups.setdefault(r["bin_id"] >> 32, []).append(r["doc_id"])
+    at, off = 0, 0
+    assert len(groups) > 20
+    for g in sorted(groups):
+        # a group holds the documents of the next stretch of the order, each as often as it occurs there
+        expected = sorted(i for i, _ in order[at : at + len(groups[g])])
+        off += len(expected) - sum(a == b for a, b in zip(expected, sorted(groups[g]), strict=True))
+        at += len(groups[g])
+    assert off == 0
+
+
 def test_registered():
     import __spark_entry__ as e
 

@@ -66,25 +66,23 @@ def session_tags(items: DataFrame, corpus: DataFrame, first: int = 3, distinct:
     return met.groupBy("session_id").agg((F.array_distinct(ordered) if distinct else ordered).alias("tags"))
 
 
-def merged_tags(similar: DataFrame, frequency: DataFrame, cut, most_rounds: int = 100) -> DataFrame:
+def merged_tags(similar: DataFrame, frequency: DataFrame, cut) -> DataFrame:
     """(tag, leader): greedy merging of similar tags (a, b), the most frequent first, ties by name.
 
     A tag is a leader if no earlier similar tag is one, and else follows the earliest
     similar leader. Each round decides all tags with no undecided earlier neighbour,
-    which ends as the scan over all tags in order would.
+    at least one, which ends as the scan over all tags in order would.
     """
     rank = frequency.select("tag", F.struct((-F.col("n")).alias("n"), "tag").alias("o"))
     both = similar.select("a", "b").union(similar.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     earlier = both.join(rank.select(F.col("tag").alias("a"), F.col("o").alias("oa")), "a").join(rank.select(F.col("tag").alias("b"), F.col("o").alias("ob")), "b").where("ob < oa").select("a", "b", "ob")
     earlier = cut(earlier)
     state = cut(frequency.select("tag", F.lit(None).cast("boolean").alias("lead")))
-    for _ in range(most_rounds):
+    while not state.where("lead IS NULL").isEmpty():
         seen = earlier.join(state.select(F.col("tag").alias("b"), "lead"), "b").groupBy("a").agg(F.bool_or(F.coalesce("lead", F.lit(False))).alias("led"), F.bool_or(F.col("lead").isNull()).alias("open"))
         met = state.join(seen.withColumnRenamed("a", "tag"), "tag", "left")
         now = F.when(F.col("lead").isNotNull(), F.col("lead")).when(F.coalesce("led", F.lit(False)), False).when(~F.coalesce("open", F.lit(False)), True)
         state = cut(met.select("tag", now.alias("lead")))
-        if state.where("lead IS NULL").isEmpty():
-            break
     leaders = earlier.join(state.where("lead").select(F.col("tag").alias("b")), "b").groupBy(F.col("a").alias("tag")).agg(F.min("ob").alias("o"))
     follow = state.where("NOT lead").join(leaders, "tag").select("tag", F.col("o.tag").alias("leader"))
     return follow.union(state.where("lead").select("tag", F.col("tag").alias("leader")))

@@ -164,6 +164,13 @@ def test_merging_to_a_reference_takes_the_first_match(spark):
     assert rows(C.merged_to_reference(similar, reference)) == [("x", "r1"), ("y", "r2")]
 
 
+def test_merging_decides_a_long_chain_to_its_end(spark):
+    n = 105  # one tag is decided in a round
+    similar = spark.createDataFrame([(f"t{i:03}", f"t{i + 1:03}") for i in range(n - 1)], "a string, b string").coalesce(1)
+    frequency = spark.createDataFrame([(f"t{i:03}", n - i) for i in range(n)], "tag string, n int").coalesce(1)
+    assert rows(C.merged_tags(similar, frequency, cut)) == [(f"t{i:03}", f"t{i - i % 2:03}") for i in range(n)]
+
+
 def test_answers_by_text_and_subsequence(spark):
     answers = spark.createDataFrame([(1, "Sure\n1. red shoes\n2. grean hat now\n3. red shoes")], "qid long, answer string")
     candidates = spark.createDataFrame([(1, 0, "i0", "green hat now"), (1, 1, "i1", "red shoes"), (1, 2, "i2", "blue sky")], "qid long, pos int, item string, text string")

@@ -15,7 +15,8 @@ from loomtag.operators import similarity as N
 from loomtag.plans import views as V
 from loomtag.plans.ranking_queries import _H, _MOVES, _bm25_sql, _histories, _weights_sql
 from loomtag.plans.registry import query
-from loomtag.plans.sequence_queries import cut, seqs
+from loomtag.plans.sequence_queries import seqs
+from loomtag.scratch import cut
 
 
 def _positives(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtag.operators import sequences as S
 from loomtag.plans import views as V
 from loomtag.plans.registry import query
+from loomtag.scratch import cut
 
 
 def seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,14 +19,6 @@ def text(c: str | Column) -> Column:
     return F.array_join(F.transform(F.col(c) if isinstance(c, str) else c, lambda x: x.cast("string")), ",")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed in the folder of spark.checkpoint.dir; a temporary one only where that is unset."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-loomtag-"))
-    return df.checkpoint()
-
-
 _S = f"WITH {V.SEQS_SQL}"
 
 

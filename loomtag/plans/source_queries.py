@@ -6,9 +6,6 @@ the cluster shares, and reads it with the reader of that shape.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,18 +15,14 @@ from loomtag.operators import sequences as S
 from loomtag.operators import tagging as T
 from loomtag.plans import views as V
 from loomtag.plans.registry import query
-from loomtag.plans.sequence_queries import _HELD, cut, seqs, text
+from loomtag.plans.sequence_queries import _HELD, seqs, text
 from loomtag.plans.tagging_queries import _reliable
+from loomtag.scratch import cut
+from loomtag.scratch import new_path as scratch
 from loomtag.sources import readers as R
 from loomtag.sources import writers as W
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; below a temporary folder only where that is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-loomtag-")
-    return f"{root}/loomtag/{name}-{uuid.uuid4().hex}"
-
-
 @query("read_ragged", f"WITH {V.ITEMS_SQL} SELECT string_agg(item || ', x', '|' ORDER BY item) AS items FROM session_items GROUP BY session_id")
 def read_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "ragged")

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
+_cleaned: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,12 +30,15 @@ def _hadoop(spark: SparkSession, path: str):
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path of its own below the shared folder, deleted with all its contents when the application ends."""
-    path = f"{shared_dir(spark)}/loomtag/{name}-{uuid.uuid4().hex}"
-    fs, where = _hadoop(spark, path)
-    fs.mkdirs(where.getParent())
-    fs.deleteOnExit(where)
-    return path
+    """A path of its own in a folder of this application below the shared one; the folder is deleted when the application ends."""
+    app = spark.sparkContext.applicationId
+    root = f"{shared_dir(spark)}/loomtag-{app}"
+    if app not in _cleaned:
+        fs, where = _hadoop(spark, root)
+        fs.mkdirs(where)
+        fs.deleteOnExit(where)
+        _cleaned.add(app)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
 def removed(spark: SparkSession, path: str) -> None:

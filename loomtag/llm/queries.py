@@ -23,8 +23,7 @@ def op2_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mixing.assigned(_table(spark, sf_dir, "documents"))
-    return found.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", F.round("target", 6).alias("target"), "taken")
+    return mixing.curriculum(_table(spark, sf_dir, "documents"))
 
 
 def op4_bigru_language(spark: SparkSession, sf_dir: str) -> DataFrame:

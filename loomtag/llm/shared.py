@@ -1,56 +1,42 @@
-"""Helpers of the training-data operators: the folder shared by the cluster, and Arrow batches of texts."""
+"""Helpers of the training-data operators: running sums over range partitions, and Arrow batches of texts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtag.scratch import cut, new_path, removed, saved, shared_dir  # noqa: F401
+
 #: ASCII white space, as Java and RE2 both read it; everything else belongs to a word.
 SPACE = r"[\x20\x09-\x0D]+"
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one of this machine only where that is unset."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or _own_dirs.get(sc.applicationId)
-    if not found:
-        found = _own_dirs[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-loomtag-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(found)
-    return found
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/loomtag/{name}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts the lineage, survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """A small iteration frame, checkpointed in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, also where body uses it inside a lambda and after filters move."""
     return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
 
 
+def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], name: str) -> DataFrame:
+    """df with a column for each of sums (name: long column): its sum over all rows before this one in order, which must tell all rows apart.
+
+    Rows are range-partitioned and the ranges written, so that each row's range is
+    the same when it is read twice; within a range a window sums, and a window over
+    one row for each range gives what lies before it. No task sees more than a range.
+    """
+    columns = df.columns
+    ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    ranged = saved(ranged.withColumns({f"_{k}": v for k, v in sums.items()}), name)
+    inner = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = ranged.groupBy("_range").agg(*[F.sum(f"_{k}").alias(f"_{k}") for k in sums])
+    whole = whole.select("_range", *[F.coalesce(F.sum(f"_{k}").over(ahead), F.lit(0)).alias(f"_before_{k}") for k in sums])
+    within = ranged.withColumns({k: F.coalesce(F.sum(f"_{k}").over(inner), F.lit(0)) for k in sums})
+    return within.join(F.broadcast(whole), "_range").select(*columns, *[(F.col(k) + F.col(f"_before_{k}")).alias(k) for k in sums])  # one row for each range
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text (null: none)."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

@@ -56,6 +56,38 @@ def test_positions_invert_the_demand(spark):
         assert area(r["t"]) / area(1.0) == pytest.approx(r["s"], abs=1e-9)
 
 
+def test_another_schedule_changes_the_positions_and_the_order(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = mixing.curriculum(docs).collect()
+    flat = (((0.0, 1.0), (1.0, 1.0)),) * 3
+    other = {r["doc_id"]: r for r in mixing.curriculum(docs, schedules=flat).collect()}
+    late_first = {r["doc_id"]: r["position_1"] for r in mixing.curriculum(docs, schedules=mixing.SCHEDULES[::-1]).collect()}
+    firsts = [r["position_1"] for r in rows if r["position_1"] is not None]
+    assert firsts == sorted(firsts) and all(r["position_1"] is None for r in rows[len(firsts) :])
+    assert all((other[r["doc_id"]]["taken"], other[r["doc_id"]]["target"]) == (r["taken"], r["target"]) for r in rows)
+    assert sum(other[r["doc_id"]]["position_1"] != r["position_1"] for r in rows) > 0.8 * len(rows)
+    order = [r["doc_id"] for r in rows if r["position_1"] is not None]
+    assert order != sorted(order, key=lambda i: (late_first[i], i))
+    for r in rows:
+        copies = [r[f"position_{k}"] for k in (1, 2, 3) if r[f"position_{k}"] is not None]
+        assert copies == sorted(copies) and len(copies) * r["size"] == r["taken"]
+
+
+def test_many_sources_of_which_one_is_hot(spark):
+    rows = [(i, " ".join(["w"] * (1 + i % 7)), "en", "hot" if i % 3 == 0 else f"host{i % 1009:04d}") for i in range(6000)] + [(None, "a b", None, None)] * 3
+    docs = edge_docs(spark, rows)
+    sizes = {}
+    for _, text, _, source in rows:
+        sizes[source] = sizes.get(source, 0) + len(words(text))
+    targets = filled(sizes)
+    taken, got = {}, mixing.assigned(docs).collect()
+    for r in got:
+        s = r["row"]["source"]
+        assert r["source_size"] == sizes[s] and r["target"] == pytest.approx(targets[s])
+        taken[s] = taken.get(s, 0) + r["taken"]
+    assert len(got) == len(rows) and all(abs(taken[s] - t) <= 7 for s, t in targets.items())
+
+
 def test_training_order_keeps_columns_and_repeats(spark):
     docs = edge_docs(spark)
     out = mixing.training_order(docs)

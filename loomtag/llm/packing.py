@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtag.llm.shared import count_words
+from loomtag.llm.shared import count_words, saved
 
 #: Permitted sequence lengths in words; longer documents are cut into pieces of the largest.
 LENGTHS = (256, 512, 1024, 2048)
@@ -95,13 +95,18 @@ def _in_order(base: DataFrame, top: int) -> DataFrame:
 def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengths: tuple[int, ...] = LENGTHS, order: list[Column] | None = None) -> DataFrame:
     """(id_col, piece, start, length, bin_id, bin_offset, bin_used, bin_length): one row for each piece of a document.
 
-    A document of more words than the largest length is cut into pieces; start is
-    the first word of a piece. One without words (or null) has one piece of length 0
-    in no bin. Rows that repeat an id are packed separately; null ids are packed as
-    others. An empty table gives no rows; columns besides the two named are ignored.
+    A document of more words than the largest length, a very long one too, is cut
+    into pieces; start is the first word of a piece. One without words (or null) has
+    one piece of length 0 in no bin. Rows that repeat an id are packed separately;
+    null ids are packed as others. Among pieces of one length the smaller id goes
+    first; rows equal in all but their place in the table get equal treatment. An
+    empty table gives no rows; columns besides the two named are ignored.
 
-    Pieces are dealt by hash into groups of bounded words and pieces, each packed by
-    one task; bins don't cross groups, which leaves at most a few of them part-filled.
+    Pieces are dealt into groups of bounded words and pieces, each packed by one
+    task; bins don't cross groups, which leaves at most a few of them part-filled.
+    They are dealt by a hash of the id, of the text and of the row's number among
+    equal ones, so that the result depends on the rows alone and not on how Spark
+    reads them.
 
     With order, columns (part, file, row) such as stored_order(), groups are contiguous
     ranges of that order, each at most a 64th of all words (or LEAST_SEQUENCES
@@ -109,23 +114,27 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     group by the first of a bin's pieces.
     """
     top = max(lengths)
-    place = [c.alias(n) for c, n in zip(order, ("part", "file", "row"), strict=True)] if order else []
+    place = [c.alias(n) for c, n in zip(order, ("part", "file", "row"), strict=True)] if order else [F.xxhash64(text_col).alias("content")]
     base = docs.select(F.col(id_col).alias("id"), count_words(F.col(text_col)).alias("words"), *place)
     starts = F.when(F.col("words") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("words") - 1, F.lit(top).cast("long")))
     length = F.least(F.col("words") - F.col("start"), F.lit(top)).alias("length")
     if order:
-        base = _in_order(base.withColumn("n_pieces", F.size(starts).cast("long")), top)
+        base = saved(base.withColumn("n_pieces", F.size(starts).cast("long")), "sizes")
+        base = _in_order(base, top)
         pieces = base.select("*", F.posexplode(starts).alias("piece", "start"))
         # both terms only grow along the order, so that equal sums are one range within both bounds
         group = F.floor((F.col("before") + F.col("start")) / F.col("most")) + F.floor((F.col("pieces_before") + F.col("piece")) / GROUP_PIECES)
         pieces = pieces.select("id", "piece", "start", length, group.alias("group"), (F.col("before") + F.col("start")).alias("place"))
         ties = ["place"]
     else:
-        totals = base.agg(F.sum("words").alias("w"), F.sum(F.greatest(F.ceil(F.col("words") / top), F.lit(1))).alias("p")).first()
+        # equal rows are one row with a number until they are dealt, however many they are
+        base = saved(base.groupBy("id", "words", "content").agg(F.count("*").alias("copies")), "sizes")
+        n_pieces = F.greatest(F.ceil(F.col("words") / top), F.lit(1))
+        totals = base.agg(F.sum(F.col("words") * F.col("copies")).alias("w"), F.sum(n_pieces * F.col("copies")).alias("p")).first()
         groups = max(1, -(-int(totals["w"] or 0) // (top * GROUP_SEQUENCES)), -(-int(totals["p"] or 0) // GROUP_PIECES))
-        # the row's own number spreads rows that repeat or lack an id
-        pieces = base.withColumn("n", F.monotonically_increasing_id()).select("id", "n", "words", F.posexplode(starts).alias("piece", "start"))
-        pieces = pieces.select("id", "piece", "start", length, F.pmod(F.xxhash64("n", "piece"), F.lit(groups)).alias("group"))
+        copies = base.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+        pieces = copies.select("id", "words", "content", "copy", F.posexplode(starts).alias("piece", "start"))
+        pieces = pieces.select("id", "piece", "start", length, F.pmod(F.xxhash64("id", "content", "copy", "piece"), F.lit(groups)).alias("group"))
         ties = ["id", "piece", "start"]
     ordered = bool(order)
 

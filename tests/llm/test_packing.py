@@ -50,6 +50,19 @@ def test_bins_follow_the_stored_order(spark, tmp_path):
     assert sum(b[0]["bin_used"] for b in bins.values()) / sum(b[0]["bin_length"] for b in bins.values()) > 0.95
 
 
+def test_bins_depend_on_the_rows_alone(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_SEQUENCES", 16)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(docs.where("doc_id < 40")).unionByName(docs.where("doc_id < 30").selectExpr("CAST(NULL AS BIGINT) AS doc_id", "text"))
+    seen = []
+    for df in (docs, docs.repartition(7), docs.repartition(3, "text").sortWithinPartitions("text")):
+        got = packing.packed(df).collect()
+        check(docs, got)
+        seen.append(sorted(map(str, got)))
+    assert len({r["bin_id"] >> 32 for r in got if r["length"]}) > 3
+    assert seen[0] == seen[1] == seen[2]
+
+
 def test_bins_are_well_filled(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     bins = check(docs, packing.packed(docs).collect())

@@ -13,6 +13,8 @@ discoveries to each other or to long ones.
 from __future__ import annotations
 
 import math
+import operator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,30 +59,49 @@ def _two_sided(z: Column) -> Column:
     return 2 * _upper_tail(F.abs(z))
 
 
+def _running(values: Column) -> Column:
+    """Sums of the values up to and with each, by steps that double: n log n for an array of n."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)).cast("double"))).cast("int"))
+
+    def double(acc: Column, k: Column) -> Column:
+        return F.transform(acc, lambda x, i: x + F.coalesce(F.when(i >= F.call_function("shiftleft", F.lit(1), k), F.get(acc, i - F.call_function("shiftleft", F.lit(1), k))), F.lit(0)))
+
+    return F.aggregate(steps, values, double)
+
+
 def _found(text: Column, pattern: str, group: int, least: int) -> Column:
     """Array of (start, end, value) of the matches whose group has the least length, in code points.
 
-    The pieces between the matches give their places as a running sum.
+    The pieces between the matches give their places as running sums.
     """
     text = F.coalesce(text, F.lit(""))
     whole, inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
 
     def places(x: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(F.get(x["gaps"], i))
-            end = start + F.length(F.get(x["whole"], i))
-            one = F.array(F.struct(start.alias("start"), end.alias("end"), F.get(x["whole"], i).alias("value")))
-            out = F.when(F.length(F.get(x["inner"], i)) >= least, F.concat(acc["out"], one)).otherwise(acc["out"])
-            return F.struct(end.alias("at"), out.alias("out"))
-
-        zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(x["whole"]) - 1), zero, step, lambda acc: acc["out"])
+        widths = F.transform(x["whole"], lambda w, i: F.length(F.get(x["gaps"], i)) + F.length(w))
+        return let(_running(widths), lambda ends: F.filter(
+            F.transform(x["whole"], lambda w, i: F.struct((F.get(ends, i) - F.length(w)).alias("start"), F.get(ends, i).alias("end"), w.alias("value"))),
+            lambda w, i: F.length(F.get(x["inner"], i)) >= least,
+        ))
 
     parts = F.struct(whole.alias("whole"), inner.alias("inner"), F.split(text, pattern, -1).alias("gaps"))
     return F.when(text.rlike(pattern), let(parts, places)).otherwise(none)
 
 
+def _meets(spans: Column, start: Column, end: Column) -> Column:
+    """Whether [start, end) overlaps one of the spans, which are in order and apart: the first that ends after start, by bisection."""
+    zero = F.struct(F.lit(0).alias("lo"), F.size(spans).alias("hi"))
+    steps = F.sequence(F.lit(0), F.ceil(F.log2((F.size(spans) + 1).cast("double"))).cast("int"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        late = F.coalesce(F.get(spans, middle)["end"] > start, F.lit(True))
+        return F.struct(F.when(late, acc["lo"]).otherwise(F.least(middle + 1, acc["hi"])).alias("lo"), F.when(late, middle).otherwise(acc["hi"]).alias("hi"))
+
+    return F.coalesce(F.get(spans, F.aggregate(steps, zero, halve, lambda acc: acc["lo"]))["start"] < end, F.lit(False))
+
+
 def _battery(tokens: Column) -> Column:
     """Adds to each (start, end, value): the length band and the step of its p-value (0: it fails a randomness test)."""
 
@@ -162,18 +183,20 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr
 
     base holds the matches of PATTERNS, leftmost and non-overlapping within a kind;
     added the tokens found by the battery that overlap none of them. Offsets count
-    code points, the end is exclusive. A null or empty text has no spans. Rows with
-    null or repeated ids stay rows of their own. An empty table gives no rows;
-    columns besides the two named are ignored.
+    code points, the end is exclusive. A null or empty text has no spans. A very long
+    text is scanned whole, in time n log n of its matches and tokens. Tokens that tie
+    in their p-value are found or left together. Rows with null or repeated ids stay
+    rows of their own. An empty table gives no rows; columns besides the two named
+    are ignored.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = rows.select(
         "id", *[_found(F.col("text"), p, g, least).alias(kind) for kind, p, g, least in PATTERNS], _found(F.col("text"), TOKEN, 0, 1).alias("tokens")
     )
     spans = [_named(F.col(kind), i) for i, (kind, *_) in enumerate(PATTERNS)]
-    rows = rows.select("id", F.sort_array(F.concat(*spans)).alias("base"), "tokens")
-    free = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])))
-    rows = saved(rows.select("id", "base", _battery(free).alias("tokens")), "tokens")
+    covered = lambda t: reduce(operator.or_, [_meets(F.col(kind), t["start"], t["end"]) for kind, *_ in PATTERNS])
+    rows = rows.select("id", F.sort_array(F.concat(*spans)).alias("base"), F.filter("tokens", lambda t: ~covered(t)).alias("tokens"))
+    rows = saved(rows.select("id", "base", _battery(F.col("tokens")).alias("tokens")), "tokens")
     steps = critical_steps(rows.select(F.explode("tokens").alias("t")).select("t.*"), fdr)
     chosen = F.filter("tokens", lambda t: F.coalesce(*[F.when((t["band"] == b) & (t["step"] >= s), True) for b, s in steps.items()], F.lit(False)))
     return rows.select(F.col("id").alias(id_col), "base", _named(chosen, len(PATTERNS)).alias("added"))

@@ -1,9 +1,12 @@
 import hashlib
+import math
 import random
 import re
 import string
+import time
 
 from fixtures import edge_docs, empty_docs
+from pyspark.sql import functions as F
 
 from loomtag.llm import secrets
 
@@ -71,3 +74,100 @@ def test_base_spans_stay_and_structured_tokens_are_left(spark):
 
 def test_empty_table(spark):
     assert secrets.digest(secrets.secrets(empty_docs(spark))).count() == 0
+
+
+def upper_tail(z):
+    t = 1 / (1 + 0.2316419 * z)
+    poly = sum(c * t**k for k, c in enumerate((0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429), 1))
+    return math.exp(-z * z / 2) / math.sqrt(2 * math.pi) * poly
+
+
+def two_sided(z):
+    return 2 * upper_tail(abs(z))
+
+
+def plain_step(token):
+    """The battery on one token: (band, step)."""
+    name, _, alphabet, excess = next(e for e in secrets.ENCODINGS if re.search(e[1], token))
+    core = token.lower() if name in ("hex", "letters") else token.replace("-", "+").replace("_", "/").replace("=", "")
+    v, k, n = [alphabet.index(c) for c in core], len(alphabet), len(core)
+    band = sum(len(token) >= b for b in secrets.BANDS[1:])
+    chi = k * sum(core.count(c) ** 2 for c in set(core)) / n - n if n else 1e9
+    cube = 2 / (9 * (k - 1))
+    z = (math.copysign(abs(chi / (k - 1)) ** (1 / 3), chi) - (1 - cube)) / math.sqrt(cube)
+    p_chi = upper_tail(z) if z > 0 else 1.0
+    up, runs = sum(x >= k / 2 for x in v), 1 + sum((a >= k / 2) != (b >= k / 2) for a, b in zip(v, v[1:]))
+    both = 2 * up * (n - up)
+    variance = both * (both - n) / (n * n * (n - 1)) if n > 1 else 0
+    p_runs = two_sided((runs - both / n - 1) / math.sqrt(variance)) if variance > 0 else 0.0
+    mean = sum(v) / max(n, 1)
+    spread, serial = sum((x - mean) ** 2 for x in v), sum((a - mean) * (b - mean) for a, b in zip(v, v[1:]))
+    p_serial = two_sided((serial / spread + 1 / n) * math.sqrt(n)) if spread else 0.0
+    if 3 * min(p_chi, p_runs, p_serial) < secrets.ALPHA:
+        return band, 0
+    z = (chi - (k - 1) - n * excess) / math.sqrt(2 * (k - 1) + 4 * n * excess)
+    p_word = upper_tail(-z) if z < 0 else 1 - upper_tail(z)
+    return band, min(math.floor(-math.log2(max(p_word, 1e-200)) * secrets.STEPS), secrets.MOST_STEP)
+
+
+def least_steps(tokens, fdr):
+    """Benjamini and Hochberg's rule on the p-values that the steps stand for, band by band."""
+    out = {}
+    for band in {b for b, _ in tokens}:
+        steps = sorted((s for b, s in tokens if b == band), reverse=True)
+        found = [s for rank, s in enumerate(steps, 1) if s > 0 and 2 ** (-s / secrets.STEPS) * len(steps) / (rank + steps[rank:].count(s)) <= fdr]
+        if found:
+            out[band] = min(found)
+    return out
+
+
+def mixed_tokens(rng, n):
+    kinds = [string.digits, string.ascii_lowercase, string.ascii_letters + string.digits + "+/", "0123456789ABCDEF", string.ascii_uppercase + "234567", string.ascii_lowercase + string.digits]
+    for _ in range(n):
+        size, letters = rng.choice((20, 24, 33, 48, 64, 90)), rng.choice(kinds)
+        kind = rng.randrange(4)
+        if kind == 0:
+            yield "".join(rng.choice(letters) for _ in range(size))
+        elif kind == 1:
+            yield "".join(rng.choice(("ation", "er", "ing", "the", "ous", "ent")) for _ in range(size // 3))[:size].ljust(20, "x")
+        elif kind == 2:
+            yield (rng.choice(letters) + rng.choice(letters)) * (size // 2)
+        else:
+            yield "=" * 20 + "-_" * rng.randrange(3)
+
+
+def test_battery_and_discovery_control_equal_plain_python(spark):
+    tokens = sorted(set(mixed_tokens(random.Random(8), 800)))
+    rows = spark.createDataFrame([([(0, len(t), t)],) for t in tokens], "t array<struct<start:int,end:int,value:string>>")
+    got = rows.select(F.explode(secrets._battery(F.col("t"))).alias("x"), F.col("t")[0]["value"].alias("v")).select("x.*", "v").collect()
+    expected = {t: plain_step(t) for t in tokens}
+    off = [r["v"] for r in got if (r["band"], r["step"]) != expected[r["v"]]]
+    assert len(got) == len(tokens) and len(off) <= 2  # a p-value may fall on the edge of a step
+    steps = [(r["band"], r["step"]) for r in got]
+    for fdr in (0.2, 0.01):
+        assert secrets.critical_steps(spark.createDataFrame(steps, "band int, step int"), fdr) == least_steps(steps, fdr)
+
+
+def test_discoveries_among_words_are_few(spark):
+    # p-values of a null: 3,000 uniform ones in each band, and 300 discoveries in one
+    rng = random.Random(3)
+    step = lambda p: math.floor(-math.log2(p) * secrets.STEPS)
+    null = [(b, step(rng.random())) for b in range(4) for _ in range(3000)]
+    least = secrets.critical_steps(spark.createDataFrame(null + [(2, step(rng.random() * 1e-8)) for _ in range(300)], "band int, step int"), 0.01)
+    wrong = {b: sum(x == b and s >= least.get(b, 10**6) for x, s in null) for b in range(4)}
+    assert wrong[2] <= 10 and sum(wrong[b] for b in (0, 1, 3)) <= 1 and least[2] > 0
+
+
+def test_long_text_full_of_tokens(spark):
+    def text(n):
+        return " ".join(hashlib.sha256(str(i).encode()).hexdigest() + " token=" + "aB3" * 7 + f"{i} Zx{'q7' * 12}" for i in range(n))
+
+    took = []
+    for n in (500, 4_000, 8_000):
+        docs = edge_docs(spark, [(1, text(n), "en", "a")])
+        start = time.perf_counter()
+        got = secrets.digest(secrets.secrets(docs)).first()
+        took.append(time.perf_counter() - start)
+        assert (got["n_hex"], got["n_assign"]) == (n, n)
+        assert got["base_sha256"] == hashlib.sha256(joined(base(text(n))).encode()).hexdigest()
+    assert took[2] < 3.5 * took[1] + 2

@@ -11,6 +11,7 @@ record, compressed file by file.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtag.llm.shared import new_path
+from loomtag.llm.shared import new_path, saved
 
 #: Fields of a header line by ARC version (fixed by the format).
 ARC_FIELDS = {
@@ -62,7 +63,6 @@ def write_arc(pages: DataFrame, path: str, key_col: str = "page_id", url_col: st
     rows = pages.select(F.col(key_col).cast("long").alias("key"), F.col(url_col).alias("url"), F.coalesce(F.encode(html_col, "UTF-8"), F.lit(b"")).alias("payload"))
     total = rows.agg(F.sum(F.octet_length("payload") + 512)).first()[0] or 0
     files = max(2, -(-int(total) // FILE_BYTES))
-    spread = rows.withColumn("file", F.pmod(F.xxhash64("key", "url", F.octet_length("payload")), F.lit(files)))
 
     def run(batches):
         from pyspark import TaskContext
@@ -76,31 +76,38 @@ def write_arc(pages: DataFrame, path: str, key_col: str = "page_id", url_col: st
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     # a partition is a file: its first row is the version block
-    records = spread.repartition(files, "file").mapInArrow(run, "value binary").select(F.col("value").cast("string"))
+    records = rows.repartition(files, "key", "url", F.xxhash64("payload")).mapInArrow(run, "value binary").select(F.col("value").cast("string"))
     records.write.option("lineSep", "\n").option("compression", "gzip").text(path)
 
 
+def _number(text: str) -> int | None:
+    """A number of at most 18 ASCII digits."""
+    return int(text) if re.fullmatch(r"[0-9]{1,18}", text) else None
+
+
 def parse_arc(data: bytes) -> Iterator[tuple[int, int, list[str], bytes]]:
     """(version, position, header fields, content) of each record; the version block is the first.
 
-    A line that is no header of the file's version is skipped, so that reading goes
-    on behind a damaged record; a length beyond the end of the file gives what there is.
+    A line that is no header of the file's version, or that declares no length in
+    digits, is skipped, so that reading goes on behind a damaged record; a length
+    beyond the end of the file gives what there is.
     """
     at, version = 0, 1
     while at < len(data):
         end = data.find(b"\n", at)
         end = len(data) if end < 0 else end
         fields = data[at:end].rstrip(b"\r").decode("utf-8", "replace").split(" ")
-        block = fields[0].startswith("filedesc:") and fields[-1].isdigit()
-        if not block and not (len(fields) == len(ARC_FIELDS[version]) and fields[-1].isdigit() and fields[2].isdigit()):
+        length = _number(fields[-1])
+        block = fields[0].startswith("filedesc:") and len(fields) > 3
+        if length is None or not block and not (len(fields) == len(ARC_FIELDS[version]) and _number(fields[2]) is not None):
             at = end + 1
             continue
-        content = data[end + 1 : end + 1 + int(fields[-1])]
+        content = data[end + 1 : end + 1 + length]
         if block:
-            first = content.split(b"\n", 1)[0].split(b" ")[0]
-            version = int(first) if first.isdigit() and int(first) in ARC_FIELDS else 1
+            named = _number(content.split(b"\n", 1)[0].split(b" ")[0].decode("utf-8", "replace"))
+            version = named if named in ARC_FIELDS else 1
         yield version, at, fields, content
-        at = end + 1 + int(fields[-1])
+        at = end + 1 + length
 
 
 def _split_http(content: bytes) -> tuple[bytes, bytes]:
@@ -116,14 +123,19 @@ def _header(head: bytes, name: bytes) -> str | None:
 
 
 def _unzipped(data: bytes) -> bytes:
-    """All members of a gzip file, or the data itself if it isn't one."""
+    """All members of a gzip file, or the data itself if it isn't one; of a damaged or cut member, what comes before the damage."""
     if data[:2] != b"\x1f\x8b":
         return data
     out = []
     while data[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(31)
-        out.append(member.decompress(data))
-        data = member.unused_data
+        member, at = zlib.decompressobj(31), 0
+        try:
+            while at < len(data) and not member.eof:
+                out.append(member.decompress(data[at : at + (1 << 20)]))
+                at += 1 << 20
+        except zlib.error:
+            break
+        data = member.unused_data + data[at:]
     return b"".join(out)
 
 
@@ -140,25 +152,30 @@ def _batched(rows: Iterator[tuple], schema: pa.Schema, size, most: int = 4 << 20
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    """Content of the archive files below path; a file is read by one task, at most 2 GB of it."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
+    """Archive files below path: their path and content. A file is read by one task, at most 2 GB of it."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+
+
+_ARC_DDL = "version int, position long, url string, ip string, date string, mime string, declared long, head binary, payload binary, key long"
+
+
+def _arc_rows(data: bytes) -> Iterator[tuple]:
+    """A tuple in the order of _ARC_SCHEMA for each record of an ARC file."""
+    for version, at, f, content in parse_arc(_unzipped(data)):
+        head, payload = _split_http(content)
+        key = _header(head, b"X-Page-Id") or ""
+        number = _number(key.removeprefix("-"))
+        yield version, at, f[0], f[1], f[2], f[3], _number(f[-1]), head, payload, None if number is None else -number if key.startswith("-") else number
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
     """All ARC records below path (version blocks too): version, position, url, ip, date, mime, declared, head, payload, key."""
 
     def run(batches):
-        def rows():
-            for batch in batches:
-                for data in batch.column("content"):
-                    for version, at, f, content in parse_arc(_unzipped(data.as_py())):
-                        head, payload = _split_http(content)
-                        key = _header(head, b"X-Page-Id")
-                        yield version, at, f[0], f[1], f[2], f[3], int(f[-1]), head, payload, int(key) if key and key.lstrip("-").isdigit() else None
+        rows = (r for batch in batches for data in batch.column("content") for r in _arc_rows(data.as_py()))
+        yield from _batched(rows, _ARC_SCHEMA, lambda r: len(r[8]))
 
-        yield from _batched(rows(), _ARC_SCHEMA, lambda r: len(r[8]))
-
-    return _files(spark, path).mapInArrow(run, "version int, position long, url string, ip string, date string, mime string, declared long, head binary, payload binary, key long")
+    return _files(spark, path).select("content").mapInArrow(run, _ARC_DDL)
 
 
 def _iso(date: Column) -> Column:
@@ -168,27 +185,74 @@ def _iso(date: Column) -> Column:
     return F.format_string("%s-%s-%sT%s:%s:%sZ", *parts)
 
 
-def to_warc(arc: DataFrame, least_revisit: int = LEAST_REVISIT) -> DataFrame:
-    """ARC records with what WARC asks for: type, record_id, warc_date, block and payload digests, and refers_to for revisits.
+def _kind(url: Column, is_http: Column) -> Column:
+    return F.when(url.startswith("filedesc:"), "warcinfo").when(url.startswith("dns:"), "resource").when(is_http, "response").otherwise("resource")
+
+
+def _record_id() -> Column:
+    """An identifier from what tells a record: url, date, key, position and payload digest."""
+    name = F.md5(F.concat_ws(" ", "url", "date", F.col("key").cast("string"), F.col("position").cast("string"), "digest").cast("binary"))
+    parts = [F.substring(name, a, n) for a, n in ((1, 8), (9, 4))]
+    return F.concat(F.lit("urn:uuid:"), F.concat_ws("-", *parts, F.concat(F.lit("5"), F.substring(name, 14, 3)), F.concat(F.lit("a"), F.substring(name, 18, 3)), F.substring(name, 21, 12)))
+
+
+def revisits(records: DataFrame, least_revisit: int = LEAST_REVISIT) -> DataFrame:
+    """(path, position, refers_to, refers_to_id) of the records that revisit another; records holds no payload, but its digest and size.
 
     Of the records with equal payloads of at least least_revisit bytes the one with
     the least key is the response (all of them, if rows repeat that key) and the
     others revisit it; one without a key revisits it too, and is the response only
     where no record of the payload has a key.
     """
-    url = F.col("url")
-    kind = F.when(url.startswith("filedesc:"), "warcinfo").when(url.startswith("dns:"), "resource").when(F.octet_length("head") > 0, "response").otherwise("resource")
-    digest = F.sha2("payload", 256)
-    name = F.md5(F.concat_ws(" ", url, "date", F.col("key").cast("string"), F.col("position").cast("string"), "digest").cast("binary"))
-    uuid = F.concat_ws("-", *[F.substring(name, a, n) for a, n in ((1, 8), (9, 4))], F.concat(F.lit("5"), F.substring(name, 14, 3)), F.concat(F.lit("a"), F.substring(name, 18, 3)), F.substring(name, 21, 12))
-    rows = arc.withColumn("kind", kind).withColumn("digest", digest).withColumn("record_id", F.concat(F.lit("urn:uuid:"), uuid)).withColumn("warc_date", _iso(F.col("date")))
-    large = (F.col("kind") == "response") & (F.octet_length("payload") >= least_revisit)
-    first = rows.where(large & F.col("key").isNotNull()).groupBy("digest").agg(F.min("key").alias("first_key"), F.min_by("record_id", "key").alias("first_id"), F.count("*").alias("n"))
-    met = rows.join(first.where("n > 1"), "digest", "left")
-    revisit = large & F.col("first_key").isNotNull() & ~F.col("key").eqNullSafe(F.col("first_key"))
-    # all at once: revisit reads the kind that it changes
-    met = met.withColumns({"kind": F.when(revisit, "revisit").otherwise(F.col("kind")), "refers_to": F.when(revisit, F.col("first_key")), "refers_to_id": F.when(revisit, F.col("first_id"))})
-    return met.drop("first_key", "first_id", "n")
+    large = records.where((F.col("kind") == "response") & (F.col("size") >= least_revisit))
+    first = large.where(F.col("key").isNotNull()).groupBy("digest").agg(F.min("key").alias("refers_to"), F.min_by("record_id", "key").alias("refers_to_id"))
+    again = large.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    met = large.join(again, "digest", "left_semi").join(first, "digest")
+    return met.where(~F.col("key").eqNullSafe(F.col("refers_to"))).select("path", "position", "refers_to", "refers_to_id")
+
+
+def to_warc(spark: SparkSession, path: str, least_revisit: int = LEAST_REVISIT) -> DataFrame:
+    """The ARC records below path with what WARC asks for: kind, record_id, warc_date, payload digest, and refers_to for revisits.
+
+    Files are read twice. The first time only digests leave the task, and rows
+    without payloads decide what revisits what, so that a page with very many copies
+    moves none of them. The verdicts come back as one list for each file, joined to
+    the file by its path.
+    """
+    short = pa.schema([("path", pa.string()), *[f for f in _ARC_SCHEMA if f.name in ("position", "url", "date", "key")], ("digest", pa.string()), ("size", pa.int64()), ("http", pa.bool_())])
+
+    def digests(batches):
+        def rows():
+            for batch in batches:
+                for where, data in zip(batch.column("path"), batch.column("content"), strict=True):
+                    for _, at, url, _, date, _, _, head, payload, key in _arc_rows(data.as_py()):
+                        yield where.as_py(), at, url, date, key, hashlib.sha256(payload).hexdigest(), len(payload), bool(head)
+
+        yield from _batched(rows(), short, lambda r: 300)
+
+    files = _files(spark, path)
+    records = files.mapInArrow(digests, "path string, position long, url string, date string, key long, digest string, size long, http boolean")
+    records = records.select("path", "position", "key", "digest", "size", _kind(F.col("url"), F.col("http")).alias("kind"), _record_id().alias("record_id"))
+    found = revisits(saved(records, "digests"), least_revisit)
+    verdicts = found.groupBy(F.col("path").alias("of")).agg(F.map_from_entries(F.collect_list(F.struct("position", F.struct("refers_to", "refers_to_id")))).alias("verdicts"))  # of one file's records
+    verdicts = saved(verdicts, "verdicts")
+    out = pa.schema([*_ARC_SCHEMA, ("refers_to", pa.int64()), ("refers_to_id", pa.string())])
+
+    def convert(batches):
+        def rows():
+            for batch in batches:
+                for data, known in zip(batch.column("content"), batch.column("verdicts"), strict=True):
+                    known = dict(known.as_py() or ())
+                    for r in _arc_rows(data.as_py()):
+                        other = known.get(r[1]) or {"refers_to": None, "refers_to_id": None}
+                        yield *r, other["refers_to"], other["refers_to_id"]
+
+        yield from _batched(rows(), out, lambda r: len(r[8]))
+
+    met = files.join(verdicts, F.col("path") == F.col("of"), "left").select("content", "verdicts")
+    rows = met.mapInArrow(convert, f"{_ARC_DDL}, refers_to long, refers_to_id string").withColumn("digest", F.sha2("payload", 256))
+    kind = F.when(F.col("refers_to_id").isNotNull(), "revisit").otherwise(_kind(F.col("url"), F.octet_length("head") > 0))
+    return rows.withColumns({"kind": kind, "record_id": _record_id(), "warc_date": _iso(F.col("date"))})
 
 
 def write_warc(records: DataFrame, path: str) -> None:
@@ -211,15 +275,31 @@ def write_warc(records: DataFrame, path: str) -> None:
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields, block) of each record, by Content-Length."""
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
+    """(header fields, block) of each record, by Content-Length.
+
+    A header without an end, or without a length in digits, is skipped: reading goes
+    on at the next line that looks like the first one of a record.
+    """
+    at = 0 if data.startswith(b"WARC/") else _next_warc(data, 0)
+    while at >= 0:
+        end = data.find(b"\r\n\r\n", at)
+        if end < 0:
+            return
         lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
         fields = {k.strip(): v.strip() for k, v in (x.split(":", 1) for x in lines if ":" in x)}
-        size = int(fields["Content-Length"])
+        size = next((_number(v) for k, v in fields.items() if k.lower() == "content-length"), None)
+        if size is None:
+            at = _next_warc(data, at + 5)
+            continue
         yield fields, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+        at = _next_warc(data, end + 4 + size)
+
+
+def _next_warc(data: bytes, at: int) -> int:
+    """The next place from `at` on where a line begins with WARC/, or -1."""
+    while (at := data.find(b"WARC/", at)) > 0 and data[at - 1 : at] != b"\n":
+        at += 5
+    return at
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -234,20 +314,23 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
         yield from _batched(rows(), _WARC_SCHEMA, lambda r: len(r[2]))
 
-    return _files(spark, path).mapInArrow(run, "fields map<string,string>, head binary, payload binary")
+    return _files(spark, path).select("content").mapInArrow(run, "fields map<string,string>, head binary, payload binary")
 
 
 def converted(pages: DataFrame, key_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """pages through both formats: ARC files, WARC files, and what they say of each page.
 
     Returns (key_col, payload_bytes, payload_digest, record_type, refers_to), one row
-    per page, the first two of the full payload also for revisits. An empty table
-    gives no rows; columns besides the three named are ignored.
+    per page, the first two of the full payload also for revisits. Null html is an
+    empty payload, a null url `unknown:`; pages without a key come back without one.
+    Rows that repeat a key are records of their own, all responses where that key is
+    the least of their payload. A very long page is one record. An empty table gives
+    no rows; columns besides the three named are ignored.
     """
     spark = pages.sparkSession
     arc, warc = new_path(spark, "arc"), new_path(spark, "warc")
     write_arc(pages, arc, key_col, url_col, html_col)
-    write_warc(to_warc(read_arc(spark, arc)), warc)
+    write_warc(to_warc(spark, arc), warc)
     found = read_warc(spark, warc).where(F.col("fields")["WARC-Type"] != "warcinfo")
     head = F.decode("head", "UTF-8")
 

@@ -35,10 +35,41 @@ def test_both_versions_and_damage():
         assert [f[2][0] for f in found][1:] == ["http://x/", "dns:x", "http://cut/"]
 
 
-def test_synthesised_fields(spark):
-    rows = [(1, 0, "dns:x", "1.1.1.1", "1996", "text/dns", 7, b"", b"1.2.3.4", None), (1, 9, "http://x/", "1.1.1.1", "199610221530", "text/html", 9, b"HTTP/1.0 200 OK\r\n\r\n", b"body", 4)]
-    arc = spark.createDataFrame(rows, "version int, position long, url string, ip string, date string, mime string, declared long, head binary, payload binary, key long")
-    got = {r["url"]: r for r in archive.to_warc(arc).collect()}
+def test_damaged_archives_are_read_as_far_as_they_go():
+    good = archive._arc_record(1, "http://x/", b"body", 1) + b"\n"
+    for bad in ("http://x/ 1.1.1.1 19961022 text/html ²\n".encode(), b"http://x/ 1.1.1.1 19961022 text/html " + b"9" * 5000 + b"\n", "http://x/ 1.1.1.1 ²³ text/html 4\n".encode(), b"filedesc: x\n", b"\xff\xfe\n"):
+        found = list(archive.parse_arc(archive._version_block(1) + b"\n" + bad + good))
+        assert [f[3] for f in found][1:] == [b"body"]
+    record = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 4\r\n\r\nbody\r\n\r\n"
+    assert [b for _, b in archive.parse_warc(record + record)] == [b"body"] * 2
+    for bad in (b"WARC/1.1\r\nWARC-Type: response\r\n\r\n", b"WARC/1.1\r\nContent-Length: x\r\n\r\n", "WARC/1.1\r\nContent-Length: ²\r\n\r\n".encode(), b"junk WARC/ junk\r\n\r\n"):
+        assert [b for _, b in archive.parse_warc(record + bad + record)] == [b"body"] * 2
+    assert [b for _, b in archive.parse_warc(record + b"WARC/1.1\r\nContent-Le")] == [b"body"]
+    assert list(archive.parse_warc(b"")) == [] and list(archive.parse_arc(b"")) == []
+    packed = gzip.compress(good * 50)
+    for cut in (packed[:-20], packed[:40] + b"\x00\xff" + packed[42:], packed[:12], packed + b"\x1f\x8b\x00"):
+        assert (good * 50).startswith(archive._unzipped(cut)[: len(good)])
+
+
+def test_synthesised_fields(spark, tmp_path):
+    http = b"HTTP/1.0 200 OK\r\nX-Page-Id: %d\r\n\r\n"
+    lines = [(b"dns:x 1.1.1.1 1996 text/dns", b"1.2.3.4"), (b"http://x/ 1.1.1.1 199610221530 text/html", http % 4 + b"body")]
+    lines += [(b"http://y/ 1.1.1.1 19961022153000 text/html", http % k + b"z" * 150) for k in (9, 7, 8)]
+    (tmp_path / "a.arc").write_bytes(archive._version_block(1) + b"\n" + b"".join(b"%s %d\n%s\n" % (a, len(b), b) for a, b in lines))
+    rows = [r for r in archive.to_warc(spark, f"file://{tmp_path}").collect() if r["kind"] != "warcinfo"]
+    got = {r["url"]: r for r in rows}
     assert (got["dns:x"]["kind"], got["dns:x"]["warc_date"]) == ("resource", "1996-01-01T00:00:00Z")
     assert (got["http://x/"]["kind"], got["http://x/"]["warc_date"]) == ("response", "1996-10-22T15:30:00Z")
-    assert len({r["record_id"] for r in got.values()}) == 2 and all(len(r["record_id"]) == 45 for r in got.values())
+    assert len({r["record_id"] for r in rows}) == 5 and all(len(r["record_id"]) == 45 for r in rows)
+    ids = {r["key"]: r["record_id"] for r in rows}
+    assert {(r["key"], r["kind"], r["refers_to"], r["refers_to_id"]) for r in rows if r["url"] == "http://y/"} == {(7, "response", None, None), (8, "revisit", 7, ids[7]), (9, "revisit", 7, ids[7])}
+
+
+def test_a_hot_page_moves_no_payload(spark):
+    # a third of the pages are copies of one: the tasks that decide on revisits see digests alone
+    rows = [(i, "http://hot/" if i % 3 == 0 else f"http://h{i}/", "hot" * 100 if i % 3 == 0 else f"own {i} " * 30) for i in range(3000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in archive.converted(df).collect()}
+    assert got == {i: ("revisit", 0) if i % 3 == 0 and i else ("response", None) for i in range(3000)}
+    columns = archive.revisits(spark.createDataFrame([], "path string, position long, key long, digest string, size long, kind string, record_id string")).columns
+    assert columns == ["path", "position", "refers_to", "refers_to_id"]

@@ -23,6 +23,10 @@ SLOTS = 241
 BANDS, ROWS = 40, 6
 #: 64-bit words of a set's parity bitmap.
 PARITY = 32
+#: Sets of up to so many shingles also share keys made of all of them, or of all but one.
+TINY = 9
+#: Bits of the table of shingle frequencies, rows of a shingle that one task compares.
+SKETCH_BITS, TOKEN_ROWS = 20, 20_000
 _STEP, _START, _RANK = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -88,7 +92,28 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return acc
 
 
-def _signed(size: int):
+def tiny_keys(h: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, key) of small sets given as element hashes, one set after the other, n of each: the set, and the set without any one element.
+
+    Small sets that meet the similarity differ by one element on either side at
+    most, so they share a key; signatures of few elements are less independent than
+    their bands assume.
+    """
+    least, first = -(-percent // (100 - percent)), np.cumsum(n) - n
+    at = np.flatnonzero((n >= least) & (n <= TINY))
+    if not len(at):
+        return at, np.zeros(0, np.uint64)
+    v = mix64(h ^ _STEP)
+    total = np.array([v[i : i + k].sum() for i, k in zip(first[at], n[at], strict=True)], np.uint64)
+    owners, keys = [at], [total]
+    for j in range(TINY):
+        some = (n[at] > j) & (n[at] > least)
+        owners.append(at[some])
+        keys.append(total[some] - v[first[at[some]] + j])
+    return np.concatenate(owners), mix64(np.concatenate(keys) ^ _RANK)
+
+
+def _signed(size: int, percent: int):
     schema = pa.schema([("id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
@@ -103,9 +128,11 @@ def _signed(size: int):
                     if len(with_any):
                         total[with_any] = np.add.reduceat(mix64(h ^ salt), (np.cumsum(n) - n)[with_any])
                     keys.append(pa.array(total.view(np.int64), mask=n == 0))
-                bands = band_keys(super_minhash(h, o, m)).view(np.int64)
-                bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)), pa.array(bands[n > 0].ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("id"), *keys, pa.array(n), bands], schema=schema)
+                whose, more = tiny_keys(h, n, percent)
+                whose = np.concatenate([np.repeat(np.flatnonzero(n), BANDS), whose])
+                bands = np.concatenate([band_keys(super_minhash(h, o, m))[n > 0].ravel(), more])[np.argsort(whose, kind="stable")]
+                ends = np.concatenate([[0], np.cumsum(np.bincount(whose, minlength=m))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("id"), *keys, pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.view(np.int64)))], schema=schema)
 
     return run
 
@@ -157,6 +184,78 @@ def _may_meet(percent: int):
     return (total - differ) * (100 + percent) >= total * (2 * percent)
 
 
+def _sketched(sets: DataFrame) -> np.ndarray:
+    """For each of 2^SKETCH_BITS ranges of shingle hashes the logarithm of how many of all sets' shingles lie in it: one byte each, whatever the corpus."""
+
+    def run(batches):
+        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        for batch in batches:
+            h = batch.column("hashes").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            total += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+        at = np.flatnonzero(total)
+        for i in range(0, len(at), 1 << 16):
+            some = at[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["at", "n"])
+
+    counts = sets.select("hashes").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << SKETCH_BITS, np.uint8)
+    out[counts.column("at").to_numpy()] = 4 * np.log2(1.0 + counts.column("n").to_numpy())
+    return out
+
+
+def prefixes(h: np.ndarray, n: np.ndarray, often: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, element, place, indexed): of each set the first elements in the order of rarity that a similar set must share one of.
+
+    A set that meets the similarity with one of at least its size shares an element
+    of its `indexed` prefix that lies in the other's whole prefix.
+    """
+    owner = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((h, often[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], owner))
+    place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+    probe, index = n - -(-n * percent // 100) + 1, n - -(-n * 2 * percent // (100 + percent)) + 1
+    keep = place < probe[owner]
+    return owner[keep], h[order][keep], place[keep], (place < index[owner])[keep]
+
+
+def _rare_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v): pairs of sets in different components of apart (rep, comp) that may meet the similarity; none that does is missing.
+
+    Sets meet on their rarest shingles alone. What many documents share, such as a
+    template around their own words, comes last in the order of rarity, so documents
+    that share no more than that never meet. The largest component of a shingle is
+    not compared with itself, and a shingle with many rows is dealt to many tasks.
+    """
+    often = _sketched(sets)
+    schema = pa.schema([("token", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("comp", pa.int64()), ("place", pa.int64()), ("indexed", pa.bool_())])
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                part = batch.slice(i, 4096)
+                n = part.column("n").to_numpy()
+                h = part.column("hashes").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                owner, token, place, indexed = prefixes(h, n, often, percent)
+                ids, comps = part.column("id").to_numpy(), part.column("comp").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token.view(np.int64), ids[owner], n[owner], comps[owner], place, indexed)], schema=schema)
+
+    mine = sets.join(apart.select(F.col("rep").alias("id"), "comp"), "id").select("id", "n", "comp", "hashes")
+    rows = saved(mine.mapInArrow(run, "token long, id long, n long, comp long, place long, indexed boolean"), "prefixes")
+    groups = rows.groupBy("token", "comp").agg(F.count("*").alias("c"), F.bool_or("indexed").alias("i")).groupBy("token")
+    groups = groups.agg(F.max_by("comp", "c").alias("most"), F.sum("c").alias("rows"), F.count("*").alias("comps"), F.bool_or("i").alias("i")).where("comps > 1 AND i")
+    met = rows.join(groups.select("token", "most", F.ceil(F.col("rows") / TOKEN_ROWS).alias("parts")), "token")
+    one = F.struct("id", "n", "comp", "place", "indexed")
+    left = met.where("comp <> most").select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), one.alias("a"))
+    right = met.select("token", F.pmod(F.xxhash64("id"), "parts").alias("part"), one.alias("b"))
+
+    def ahead(a: str, b: str):
+        return ((F.col(f"{a}.n") < F.col(f"{b}.n")) | ((F.col(f"{a}.n") == F.col(f"{b}.n")) & (F.col(f"{a}.id") < F.col(f"{b}.id")))) & F.col(f"{a}.indexed") & (F.col(f"{a}.n") * 100 >= F.col(f"{b}.n") * percent)
+
+    # of the first element that two sets share, what follows it bounds the intersection
+    room = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent
+    pairs = left.join(right, ["token", "part"]).where((F.col("a.comp") != F.col("b.comp")) & room & (ahead("a", "b") | ahead("b", "a")))
+    return pairs.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, star_rounds: int = 3) -> DataFrame:
     """One row (id_col, n_shingles, component_id, kept) for each row of docs.
 
@@ -167,20 +266,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Equal sets collapse to one representative first. Within a bucket (equal band)
     the members are verified against a leader, for `star_rounds` rounds with another
     leader each, so that a large group of near copies joins up in a number of
-    comparisons linear in its size; what is then still apart within a bucket is
-    compared pair by pair, by bitmaps that bound the similarity and then by the full
-    sets, so no link that a shared band shows is lost.
+    comparisons linear in its size. What is then still apart within a bucket meets on
+    its rarest shingles and is verified by bitmaps and by the full sets, so no link
+    that a shared band shows is lost, and documents that share a template but are no
+    near copies cost nothing more.
 
     Texts that are null or have no words have an empty set and are linked with
-    nothing. Rows with a null id are linked with nothing, keep a null component_id
-    and are kept. Rows that repeat an id are one document. An empty table gives no
-    rows; columns besides the two named are ignored.
+    nothing; a very long text has the set of all its shingles. Rows with a null id
+    are linked with nothing, keep a null component_id and are kept. Rows that repeat
+    an id are one document. Of a group whose texts tie the least id stays. An empty
+    table gives no rows; columns besides the two named are ignored.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = saved(source.mapInArrow(_signed(shingle), "id long, k1 long, k2 long, n long, bands array<long>"), "signatures")
+    signed = saved(source.mapInArrow(_signed(shingle, percent), "id long, k1 long, k2 long, n long, bands array<long>"), "signatures")
     classes = signed.where("n > 0 AND id IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = saved(classes, "classes")  # written, so that the join of all copies with their class is one that Spark can split
-    slots = classes.select("rep", "n", F.explode("bands").alias("band"))
+    slots = classes.select("rep", "n", F.explode(F.array_distinct("bands")).alias("band"))
     shared = slots.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band")
     members = saved(slots.join(shared, "band").select("band", "rep", "n"), "buckets")
     involved = members.select(F.col("rep").alias("id")).distinct()
@@ -191,8 +292,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
     near = F.least("n", "lead.n") * 100 >= F.greatest("n", "lead.n") * percent
-    placed = members.withColumn("comp", F.col("rep"))
-    labels, tested = None, None
+    a, b = sets.select(F.col("id").alias("u"), "n", "bits"), sets.select(F.col("id").alias("v"), F.struct("n", "bits").alias("lead"))
+    placed, labels = members.withColumn("comp", F.col("rep")), None
     for turn in range(star_rounds + 1):
         lead = F.struct((F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))).alias("o"), "rep", "n", "comp")
         apart = placed.groupBy("band").agg(F.min(lead).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
@@ -200,23 +301,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             met = placed.join(apart.select("band", "lead"), "band").where(F.col("comp") != F.col("lead.comp")).where(near)
             pairs = met.select(F.least("rep", "lead.rep").alias("u"), F.greatest("rep", "lead.rep").alias("v"))
         else:
-            rest = placed.join(apart.select("band"), "band", "left_semi").join(sets.select(F.col("id").alias("rep"), "bits"), "rep")
-            other = rest.select("band", F.struct("rep", "n", "comp", "bits").alias("lead"))
-            # the bound stands in the join's condition: what it rules out never becomes a row
-            met = rest.join(other, "band").where((F.col("comp") < F.col("lead.comp")) & near & _may_meet(percent))
-            pairs = met.select(F.least("rep", "lead.rep").alias("u"), F.greatest("rep", "lead.rep").alias("v"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        if turn < star_rounds:  # the bitmaps are a small part of the full sets
-            a, b = sets.select(F.col("id").alias("u"), "n", "bits"), sets.select(F.col("id").alias("v"), F.struct("n", "bits").alias("lead"))
-            pairs = pairs.join(a, "u").join(b, "v").where(_may_meet(percent)).select("u", "v")
+            rest = saved(placed.join(apart.select("band"), "band", "left_semi").select("rep", "comp").distinct(), "apart")
+            if rest.isEmpty():
+                break
+            pairs = _rare_pairs(rest, sets, percent)
+        # the bitmaps are a small part of the full sets
+        pairs = pairs.distinct().join(a, "u").join(b, "v").where(_may_meet(percent)).select("u", "v")
         pairs = saved(pairs, "pairs")
         if pairs.isEmpty():
             if apart.isEmpty():
                 break
             continue
-        tested = pairs if tested is None else tested.unionByName(pairs)
         links = _links(pairs, sets, percent)
         if labels is not None:
             links = links.unionByName(labels.select(F.col("node").alias("u"), F.col("root").alias("v")))

@@ -29,12 +29,11 @@ def test_small_tables_are_exact(spark):
     assert rpforest.search(df, df.where("false")).count() == 0
 
 
-def test_recall_with_many_leaves(spark):
-    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+def recall(df, **options):
     rows = df.collect()
     x, ids = np.array([r["embedding"] for r in rows], np.float64), np.array([r["vec_id"] for r in rows])
     got = {}
-    for r in rpforest.search(df, df.where("vec_id % 100 = 0"), leaf_rows=64).collect():
+    for r in rpforest.search(df, df.where("vec_id % 100 = 0"), **options).collect():
         got.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
     hits = total = 0
     for q in ids[ids % 100 == 0]:
@@ -43,7 +42,29 @@ def test_recall_with_many_leaves(spark):
         best = ids[np.lexsort((ids, d))[:10]]
         hits, total = hits + len({*best} & {*got[q]}), total + 10
         assert all(abs(s - d[ids == i][0]) < 1e-12 for i, s in got[q].items())
-    assert hits / total >= 0.9
+    return hits / total
+
+
+def test_recall_with_many_leaves(spark):
+    assert recall(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), leaf_rows=64) >= 0.9
+
+
+def test_recall_where_the_sample_ends_before_the_leaves_do(spark, monkeypatch):
+    monkeypatch.setattr(rpforest, "SAMPLE", 128)
+    monkeypatch.setattr(rpforest, "MOST_SLABS", 4)
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    assert recall(df, leaf_rows=8) >= 0.9  # 8 leaves of 4 slabs, in blocks
+
+
+def test_slabs_belong_to_their_rows(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 6))
+    forest = rpforest._with_slabs(rpforest.fit(x[:64], 2, trees=2), spark.createDataFrame([(v.tolist(),) for v in x], "vector array<double>"), 5)
+    own = rpforest.leaves(forest, x)
+    assert own.max() == 19 and all(np.bincount(own[t], minlength=20).min() > 5 for t in (0, 1))
+    for i in range(20):
+        order = rpforest.visits(forest, x[i], 100)
+        assert len(order) == len(set(order)) == 40 and {(0, own[0][i]), (1, own[1][i])} <= {*order[:4]}  # a row on the edge of a slab lies in two
 
 
 def test_one_queue_visits_every_leaf_once():

@@ -5,49 +5,63 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtag.llm.shared import saved
+from loomtag.llm.shared import let, saved
 
-#: A line is boilerplate above this share of its site's pages, on at least so many pages, of sites with at least so many pages.
-RATIO, LEAST_COUNT, LEAST_PAGES = 0.03, 5, 20
+#: A line is boilerplate on more than this share of its site's pages, and on at least so many of them.
+RATIO, LEAST_COUNT = 0.002, 5
 _BLANK = " \t\r\v\f"
 
 
+def host_of(url: Column) -> Column:
+    """The host of a URL in lower case, without user, port and a final dot; null where there is none."""
+    host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:@\\\s]+)", 1)
+    return F.nullif(F.regexp_replace(F.lower(host), r"\.$", ""), F.lit(""))
+
+
 def _line_key(line: Column) -> Column:
     """128 bits of the trimmed line; null for a blank one."""
     bare = F.btrim(line, F.lit(_BLANK))
     return F.when(bare != "", F.unhex(F.md5(bare)))
 
 
-def boilerplate(docs: DataFrame, host_col: str, text_col: str, ratio: float = RATIO, least_count: int = LEAST_COUNT, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(host, keys): for each site the keys of its boilerplate lines.
+def boilerplate(docs: DataFrame, host: Column | str, text_col: str, ratio: float = RATIO, least_count: int = LEAST_COUNT) -> DataFrame:
+    """(host, keys): for each site the keys of its boilerplate lines, as 64-bit hashes of their 128 bits.
 
     A site has at most (mean lines of a page) / ratio of them, so that the list of
     a site does not grow with its pages. Counts are summed before the shuffle, and
     lines that no site could lose are gone before the join with the page totals.
     """
-    pages = docs.where(F.col(host_col).isNotNull()).select(F.col(host_col).alias("host"), F.col(text_col).alias("text"))
+    pages = docs.select((F.col(host) if isinstance(host, str) else host).alias("host"), F.col(text_col).alias("text")).where(F.col("host").isNotNull())
     keys = F.array_compact(F.array_distinct(F.transform(F.split("text", "\n"), _line_key)))
     counts = pages.select("host", F.explode(keys).alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= least_count)
-    totals = pages.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
+    totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
     frequent = counts.join(totals, "host").where(F.col("n") > F.col("pages") * ratio)
-    return frequent.groupBy("host").agg(F.collect_list("key").alias("keys"))
+    return frequent.groupBy("host").agg(F.collect_list(F.xxhash64("key")).alias("keys"))
 
 
-def without_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, least_count: int = LEAST_COUNT, least_pages: int = LEAST_PAGES) -> DataFrame:
+def without_boilerplate(docs: DataFrame, host: Column | str = "source", text_col: str = "text", ratio: float = RATIO, least_count: int = LEAST_COUNT) -> DataFrame:
     """(row, text, n_lines, n_dropped) for each row of docs; row is a struct of all its columns, text what is left.
 
+    host is a column or an expression for the site, such as host_of(F.col("url")). A
+    line goes if more than ratio of the site's pages have it; on fewer than
+    least_count pages a line is no evidence of a template, so a site with fewer
+    pages than that loses nothing. A line exactly at the ratio stays.
+
     A page counts once for a line that it repeats; lines are compared without the
     white space around them, and blank lines are neither counted nor dropped. Rows
-    with a null host belong to no site and lose nothing. A null text stays null with
-    no lines; a text may become empty. An empty table gives no rows. Columns of docs
+    that repeat an id are pages of their own. Rows with a null host belong to no site
+    and lose nothing. A null text stays null with no lines; a text may become empty;
+    a very long text is cleaned whole. An empty table gives no rows. Columns of docs
     may have any name.
     """
-    lists = saved(boilerplate(docs, host_col, text_col, ratio, least_count, least_pages), "boilerplate")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
+    lists = saved(boilerplate(docs, host, text_col, ratio, least_count), "boilerplate")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), (F.col(host) if isinstance(host, str) else host).alias("host"), F.col(text_col).alias("text"))
     # the written lists have a known size: Spark broadcasts them below its threshold and else shuffles, splitting hot sites
     met = rows.join(lists, "host", "left")
     lines = F.split("text", "\n")
-    left = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("keys", _line_key(x)), F.lit(False)))
+    hashes = F.transform(lines, lambda x: F.xxhash64(_line_key(x)))
+    # one pass over the site's list for each page, whatever its number of lines
+    left = let(F.struct(F.array_intersect(hashes, F.col("keys")).alias("gone"), hashes.alias("hashes")), lambda h: F.filter(lines, lambda x, i: ~F.array_contains(h["gone"], F.get(h["hashes"], i))))
     met = met.withColumn("lines", F.when(F.col("keys").isNull(), lines).otherwise(left))
     return met.select(
         "row",
@@ -57,9 +71,9 @@ def without_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str
     )
 
 
-def cleaned(docs: DataFrame, host_col: str = "source", text_col: str = "text", **options) -> DataFrame:
+def cleaned(docs: DataFrame, host: Column | str = "source", text_col: str = "text", **options) -> DataFrame:
     """docs with the boilerplate lines taken out of text_col; its other columns and all rows stay."""
-    found = without_boilerplate(docs, host_col, text_col, **options)
+    found = without_boilerplate(docs, host, text_col, **options)
     return found.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
@@ -71,7 +85,7 @@ l AS (
   FROM (SELECT rid, source, string_split(text, chr(10)) AS parts FROM d WHERE text IS NOT NULL)
 ),
 k AS (SELECT *, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS bare FROM l),
-t AS (SELECT source, count(*) AS pages FROM d WHERE source IS NOT NULL GROUP BY source HAVING count(*) >= {LEAST_PAGES}),
+t AS (SELECT source, count(*) AS pages FROM d WHERE source IS NOT NULL GROUP BY source),
 b AS (
   SELECT k.source, bare FROM k JOIN t ON k.source = t.source WHERE bare <> '' GROUP BY k.source, bare, pages
   HAVING count(DISTINCT rid) >= {LEAST_COUNT} AND count(DISTINCT rid) > pages * {RATIO}::DOUBLE

@@ -2,6 +2,7 @@ from collections import Counter
 
 from compare import assert_same
 from fixtures import SF, TEXTS, edge_docs, empty_docs
+from pyspark.sql import functions as F
 
 from loomtag.llm import lines, queries
 
@@ -10,7 +11,7 @@ def test_query_equals_sql(spark):
     assert_same(queries.op5_site_lines(spark, SF), lines.SQL)
 
 
-def brute(rows, ratio, least_count, least_pages):
+def brute(rows, ratio, least_count):
     pages, seen = Counter(), Counter()
     for _, text, _, host in rows:
         if host is not None:
@@ -19,7 +20,7 @@ def brute(rows, ratio, least_count, least_pages):
                 seen[host, x] += 1
     out = []
     for i, text, _, host in rows:
-        kept = None if text is None else [x for x in text.split("\n") if not (host is not None and pages[host] >= least_pages and seen[host, x.strip(" \t\r\v\f")] >= least_count and seen[host, x.strip(" \t\r\v\f")] > ratio * pages[host])]
+        kept = None if text is None else [x for x in text.split("\n") if not (host is not None and seen[host, x.strip(" \t\r\v\f")] >= least_count and seen[host, x.strip(" \t\r\v\f")] > ratio * pages[host])]
         n = 0 if text is None else len(text.split("\n"))
         out.append((i, None if kept is None else "\n".join(kept), n, n - len(kept or [])))
     return sorted(out, key=str)
@@ -27,9 +28,9 @@ def brute(rows, ratio, least_count, least_pages):
 
 def test_awkward_documents(spark):
     docs = edge_docs(spark)
-    got = lines.without_boilerplate(docs, ratio=0.3, least_count=2, least_pages=2).collect()
-    assert sorted(((r["row"]["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in got), key=str) == brute(TEXTS, 0.3, 2, 2)
-    out = lines.cleaned(docs, ratio=0.3, least_count=2, least_pages=2)
+    got = lines.without_boilerplate(docs, ratio=0.3, least_count=2).collect()
+    assert sorted(((r["row"]["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in got), key=str) == brute(TEXTS, 0.3, 2)
+    out = lines.cleaned(docs, ratio=0.3, least_count=2)
     assert out.columns == docs.columns and out.count() == docs.count()
     assert lines.cleaned(empty_docs(spark)).count() == 0
 
@@ -38,3 +39,24 @@ def test_only_frequent_lines_of_the_own_site_go(spark):
     rows = [(i, f"menu\nbody {i}\n menu", "en", "a" if i < 30 else "b") for i in range(60)] + [(99, "menu\nrare", "en", "c")]
     got = {r["row"]["doc_id"]: r["text"] for r in lines.without_boilerplate(edge_docs(spark, rows)).collect()}
     assert got[0] == "body 0" and got[45] == "body 45" and got[99] == "menu\nrare"
+
+
+def test_hosts_of_urls(spark):
+    urls = {"http://A.example/x": "a.example", "https://user:pw@b.example:8080/?q": "b.example", "HTTP://c.example.": "c.example", "http://[2001:DB8::1]:80/": "[2001:db8::1]", "mailto:x@y": None, "http:///x": None, "": None, None: None, "no url": None}
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    assert {r["u"]: r["h"] for r in df.select("u", lines.host_of(F.col("u")).alias("h")).collect()} == urls
+
+
+def test_thousands_of_hosts_by_their_urls(spark):
+    # each of 2,000 hosts has 6 pages with a menu of its own; one has a third of all pages, in other spellings of its name
+    rows = [(i, f"menu of {i % 2000}\nbody {i}", "en", f"http://h{i % 2000}.example/p{i}") for i in range(12_000)]
+    rows += [(20_000 + i, f"hot menu\nbody {i}" + ("\nrare" if i < 5 else "\noften" if i < 60 else ""), "en", f"https://{'HOT' if i % 2 else 'hot'}.example:{i % 7 + 80}/{i}") for i in range(6_000)]
+    docs = edge_docs(spark, rows)
+    got = {r["row"]["doc_id"]: r["text"] for r in lines.without_boilerplate(docs, host=lines.host_of(F.col("source"))).collect()}
+    by_host = [(i, t, l, lines_host(u)) for i, t, l, u in rows]
+    assert sorted(got.items()) == sorted((i, t) for i, t, _, _ in brute(by_host, lines.RATIO, lines.LEAST_COUNT))
+    assert got[7] == "body 7" and got[20_000] == "body 0\nrare" and got[20_010] == "body 10"
+
+
+def lines_host(url):
+    return url.split("://")[1].split("/")[0].split(":")[0].lower()

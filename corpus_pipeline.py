@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomtag.llm import langid, lines, mixing, packing, superminhash
-from loomtag.llm.shared import saved
-
-#: Lines above this share of their site's pages go, at any number of pages; set from the catches and losses in the README.
-LINE_RATIO = 0.002
+from loomtag.llm.shared import new_path, removed
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +15,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that many documents of their source have."""
-    return lines.cleaned(docs, ratio=LINE_RATIO, least_pages=1)
+    return lines.cleaned(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +40,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES over documents, each written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """STAGES over documents, each written to the shared folder and read again; what a stage has read is deleted when it is done."""
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name)
+        out, path = stage(spark, docs, sf_dir), new_path(spark, name)
+        out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if read:
+            removed(spark, read)
+        read = path
     return STAGES[-1][1](spark, docs, sf_dir)

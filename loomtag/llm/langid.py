@@ -26,7 +26,7 @@ from loomtag.llm.shared import text_slices
 SEGMENT, UNITS = 128, 8
 #: Bound of the training sample: documents a language, excerpts a document, characters an excerpt.
 PER_LANGUAGE, EXCERPTS, EXCERPT_CHARS = 600, 4, 64
-#: Languages are labels of a corpus, not data that grows with it; the most frequent are learned.
+#: Languages that one network is learned for.
 MOST_LANGUAGES = 512
 UNKNOWN = "und"
 
@@ -205,21 +205,26 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model | None:
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> Model | None:
     """The network learned from documents with a language that aren't held out (those with a null id teach nothing).
 
     Of each language about per_language documents with the least hashes are taken,
-    and EXCERPTS excerpts at hashed places of each: the bound of what reaches the driver.
+    and EXCERPTS excerpts at hashed places of each: the bound of what reaches the
+    driver. Raises ValueError if there are more than most_languages languages: none
+    is left out in silence.
     """
     pupils = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     pupils = pupils.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    counts = pupils.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = pupils.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages + 1).collect()
     if not counts:
         return None
+    if len(counts) > most_languages:
+        raise ValueError(f"more than {most_languages} languages: set most_languages")
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.2 * per_language / r["count"]))])
     drawn = pupils.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.try_element_at(share, F.col("lang")) * 1_000_000).where(has_letter(F.col("text")))
     places = [F.substring("text", (F.pmod(F.xxhash64("id", F.lit(k)), F.greatest(F.length("text") - EXCERPT_CHARS, F.lit(1))) + 1).cast("int"), F.lit(EXCERPT_CHARS)) for k in range(EXCERPTS)]
-    rows = drawn.select("lang", F.array_distinct(F.array(*places)).alias("excerpts")).limit(2 * per_language * len(counts)).collect()
+    drawn = drawn.select("lang", F.array_distinct(F.array(*places)).alias("excerpts"), F.xxhash64("id").alias("o")).orderBy("o", "lang", "excerpts")
+    rows = drawn.limit(2 * per_language * len(counts)).collect()
     return train([(r["lang"], x) for r in rows for x in r["excerpts"] if x])
 
 
@@ -228,7 +233,10 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
 
     lang_pred is a learned language, or `und` with score 0 if the text is null or
     has no letter, or if nothing was learned; score is the pooled probability of
-    lang_pred. An empty table gives no rows. Columns of docs may have any name.
+    lang_pred. Of languages that tie the first by name is taken. A very long text is
+    read whole, segment by segment; equal texts get equal results, and rows that
+    repeat an id stay rows of their own. An empty table gives no rows. Columns of
+    docs may have any name.
     """
     keep = docs.columns if keep is None else keep
     source = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(text_col).alias("text"), has_letter(F.col(text_col)).alias("letters"))

@@ -58,3 +58,49 @@ def test_documents_pool_all_their_positions():
     prob = langid.document_probabilities(model, pa.array([text, None, "", "xy" * 600]))
     assert prob[0, 0] == pytest.approx(1000 / 1200, abs=0.08) and prob[3, 1] > 0.9
     assert prob[1].sum() == 0 and prob[2].sum() == 0
+
+
+def plain_pool(model, data):
+    """Position probabilities of one text by the gates as they are written down, one byte at a time."""
+    squash = lambda a: a / (1 + np.abs(a))
+    n, total = langid.UNITS, np.zeros(len(model.languages))
+    for at in range(0, len(data), langid.SEGMENT):
+        part = data[at : at + langid.SEGMENT]
+        states = []
+        for d, order in enumerate((range(len(part)), range(len(part) - 1, -1, -1))):
+            h, found = np.zeros(n), {}
+            for t in order:
+                xg, hg = model.x[d][part[t]].astype(np.float64), h @ model.u[d].astype(np.float64)
+                z, r = ((1 + squash(xg[i : i + n] + hg[i : i + n])) / 2 for i in (0, n))
+                h = z * h + (1 - z) * squash(xg[2 * n :] + r * hg[2 * n :])
+                found[t] = h
+            states.append(found)
+        for t in range(len(part)):
+            logits = np.concatenate([states[0][t], states[1][t]]) @ model.v + model.c
+            e = np.exp(logits - logits.max())
+            total += e / e.sum()
+    return total / max(1, len(data))
+
+
+def test_forward_pass_equals_plain_python_and_the_trained_loss():
+    import pyarrow as pa
+
+    model = langid.train([("a", "abab cd é" * 8), ("b", "xyxy zé" * 8), ("c", "mnop" * 12)] * 20, steps=30)
+    texts = ["abc", "é" * 100, "x" * 128, "y" * 129, "mixed text, mnop xyxy abab " * 20, "q"]
+    prob = langid.document_probabilities(model, pa.array(texts))
+    for text, p in zip(texts, prob, strict=True):
+        assert p == pytest.approx(plain_pool(model, text.encode()), abs=2e-5)
+    # the loss that training lowers is that of the same probabilities
+    p = {"x": model.x, "u": model.u, "v": model.v, "c": model.c}
+    data = np.frombuffer(texts[4].encode()[:100], np.uint8).astype(np.int64)[None, :]
+    sums = langid.position_sums(model, data[0].astype(np.uint8), np.arange(100), np.ones(100, np.int64))
+    alone = [langid._loss_and_gradients(p, data[:, i : i + 1], np.ones((1, 1), np.float32), np.array([2]))[0] for i in range(100)]
+    assert np.exp(-np.array(alone)) == pytest.approx(sums[2], abs=2e-5)
+
+
+def test_learning_does_not_depend_on_the_order_of_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    models = [langid.learn(d, per_language=10) for d in (docs, docs.repartition(5))]
+    assert models[0].languages == models[1].languages and (models[0].x == models[1].x).all() and (models[0].v == models[1].v).all()
+    with pytest.raises(ValueError):
+        langid.learn(docs, most_languages=1)

@@ -70,7 +70,7 @@ def _repeat_words(w: Column) -> Column:
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, BASE statistics, ratios) for each row of docs; a null text has none of anything.
 
-    Rows with null or repeated ids stay rows of their own. An empty table gives no
+    A very long text is counted whole; equal texts have equal statistics. Rows with null or repeated ids stay rows of their own. An empty table gives no
     rows; columns besides the two named are ignored.
     """
     rows = docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
@@ -200,13 +200,15 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Rules learned from at most `sample` labelled documents (least hashes of the id), half of them of quality 0 where there are enough.
 
     Labels or ids that are null teach nothing; texts that the base rules reject
-    anyway are left out.
+    anyway are left out. A document that is labelled twice teaches both; of ids that
+    tie in their hash the smaller comes first, of conditions that tie in their gain
+    the one that is tried first, in the order of STATS and of thresholds.
     """
     known = labels.where(F.col(quality_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias(id_col), (F.col(quality_col) == 0).alias("_bad"))
     parts = [known.where("_bad" if bad else "NOT _bad").orderBy(F.xxhash64(id_col), id_col).limit(sample // 2) for bad in (True, False)]
     drawn = parts[0].unionByName(parts[1])  # at most `sample` rows of two short columns
     met = statistics(docs.join(F.broadcast(drawn.select(id_col)), id_col, "left_semi"), id_col, text_col).withColumn("_failed", base_failed())
-    rows = met.join(F.broadcast(drawn), id_col).limit(2 * sample).collect()
+    rows = met.join(F.broadcast(drawn), id_col).orderBy(F.xxhash64(id_col), id_col, *STATS).limit(2 * sample).collect()
     rows = sorted((r.asDict() for r in rows if not r["_failed"]), key=lambda r: [hash_order(r[id_col]), *(r[s] for s in STATS)])
     return cover([(r, bool(r["_bad"])) for r in rows])
 

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 from fixtures import SF, WORD, edge_docs, empty_docs
@@ -47,3 +48,19 @@ def test_no_rules_keep_all_that_passes(spark):
     got = rules.judged(edge_docs(spark), []).collect()
     assert all(r["kept"] != r["base_failed"] for r in got)
     assert rules.learn(edge_docs(spark), spark.createDataFrame([(None, 1), (1, None)], "doc_id long, quality int")) == []
+
+
+def test_expression_equals_the_list_in_plain_python(spark):
+    rng = random.Random(2)
+    rows = [{s: (float(rng.randrange(6)) if s not in ("n_words", "n_dup_lines") else rng.randrange(6)) for s in rules.STATS} for _ in range(400)]
+    df = spark.createDataFrame([tuple(r[s] for s in rules.STATS) for r in rows], ", ".join(f"{s} {'long' if s in ('n_words', 'n_dup_lines') else 'double'}" for s in rules.STATS))
+    for _ in range(5):
+        found = [tuple(rules.Condition(rng.choice(rules.STATS), rng.choice(["<=", ">"]), rng.choice([1.0, 2.5, 3.0, 4.5])) for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(1, 5))]
+        got = sorted((*(r[s] for s in rules.STATS), r["kept"]) for r in df.withColumn("kept", rules.as_column(found)).collect())
+        assert got == sorted((*(r[s] for s in rules.STATS), not any(rules._covers(x, r) for x in found)) for r in rows)
+
+
+def test_a_binding_bound_learns_the_same_rules(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    assert rules.learn(docs, labels, sample=60) == rules.learn(docs.repartition(5), labels.repartition(3), sample=60)

@@ -23,32 +23,44 @@ def term_statistics(documents: DataFrame, alpha: float | None = None) -> DataFra
     return out if alpha is None else out.where(F.col("idf") > alpha)
 
 
-def postings(documents: DataFrame, k1: float = 1.5, b: float = 0.75, alpha: float = 0.0, floor: float | None = None, length_norm: str = "doc") -> DataFrame:
+def postings(documents: DataFrame, k1: float = 1.5, b: float = 0.75, alpha: float = 0.0, floor: float | None = None, length_norm: str = "doc", terms: DataFrame | None = None) -> DataFrame:
     """(tag, item, score): what a query with the tag adds to the item.
 
+    Given terms (tag), only these are counted and shuffled: they are all that queries
+    of these terms need, lengths still counting every term. With floor, whose mean is
+    over all terms, all are counted and the postings of the others left out.
+
     Lengths and their average count all terms, also those that alpha drops. With
     floor, no term drops out and a negative idf becomes floor x the mean idf.
     length_norm="corpus_size" puts the number of documents in the place of a
     document's length.
     """
-    tf = edges(documents)
-    size = documents.select("item", F.size("tags").alias("len"))
+    long = documents.select("item", F.size("tags").alias("len"), F.explode("tags").alias("tag"))
+    if terms is not None and floor is None:
+        long = long.join(terms.select("tag").distinct(), "tag", "left_semi")
+    tf = long.groupBy("item", "len", "tag").agg(F.count("*").alias("w"))
     totals = documents.agg(F.struct(F.avg(F.size("tags")).alias("avg"), F.count("*").alias("n")).alias("t"))
-    idf = term_statistics(documents, alpha if floor is None else None).select("tag", "idf")
-    if floor is not None:
+    idf = tf.groupBy("tag").agg(F.count("*").alias("df")).withColumn("t", totals.scalar())
+    idf = idf.select("tag", (F.log(F.col("t.n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+    if floor is None:
+        idf = idf.where(F.col("idf") > alpha)
+    else:
         mean = idf.agg(F.avg("idf").alias("m"))
         idf = idf.select("tag", F.when(F.col("idf") < 0, mean.scalar() * floor).otherwise(F.col("idf")).alias("idf"))
-    met = tf.join(size, "item").join(idf, "tag").withColumn("t", totals.scalar())
+    if terms is not None and floor is not None:
+        tf = tf.join(terms.select("tag").distinct(), "tag", "left_semi")
+    met = tf.join(idf, "tag").withColumn("t", totals.scalar())
     length = F.col("len") if length_norm == "doc" else F.col("t.n")
     score = F.col("idf") * F.col("w") * (k1 + 1) / (F.col("w") + k1 * (1 - b + b * length / F.col("t.avg")))
     return met.select("tag", "item", score.alias("score"))
 
 
 def scored(query_tags: DataFrame, index: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
-    """(qid, item, score) of queries (qid, tag, weight); only candidates (qid, item) if given."""
-    met = query_tags.join(index, "tag")
-    if candidates is not None:
-        met = met.join(candidates.select("qid", "item"), ["qid", "item"], "left_semi")
+    """(qid, item, score) of queries (qid, tag, weight); only candidates (qid, item) if given, which then meet their own postings alone."""
+    if candidates is None:
+        met = query_tags.join(index, "tag")
+    else:
+        met = candidates.select("qid", "item").distinct().join(index, "item").join(query_tags, ["qid", "tag"])
     return met.groupBy("qid", "item").agg(F.sum(F.col("weight") * F.col("score")).alias("score"))
 
 

@@ -8,11 +8,37 @@ from pyspark.sql import functions as F
 from loomtag.operators.sequences import seeded_order
 
 
-def negatives(queries: DataFrame, domain: DataFrame, n: int, seed: int = 42, split: str = "test") -> DataFrame:
-    """(qid, item): n items of each query's domain (qid, item) that are not positives (queries: qid, item), drawn by the seed."""
-    rest = domain.select("qid", "item").join(queries.select("qid", "item"), ["qid", "item"], "left_anti")
-    order = Window.partitionBy("qid").orderBy(seeded_order(seed, F.lit(split), F.col("qid"), F.col("item")), "item")
-    return rest.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n).select("qid", "item")
+def negatives(positives: DataFrame, items: DataFrame, n: int, seed: int = 42, split: str = "test", order: bool = False) -> DataFrame:
+    """(qid, item): n items of a catalogue (items: item, dense idx from 0) for each query that are not its positives (qid, item), drawn by the seed.
+
+    A query draws hashed places of the catalogue, and the first n that are new and no
+    positives count: 8 n + 64 draws, whatever the size of the catalogue. Where more
+    than a fourth of the draws could repeat or hit a positive, that is in a catalogue
+    of up to 4 n items and for queries whose positives are a fourth of it, the items
+    of the whole catalogue are put in the seeded order: at most 4 n, or 4 times the
+    positives. Fewer than n come back only where there are fewer. A positive may be
+    null, for a query without any; order keeps the place of a draw, from 1, as _r.
+    """
+    size = items.count()
+    own = positives.select("qid", "item").distinct()
+    asks = own.groupBy("qid").agg(F.count("item").alias("p"))
+    dense = asks.where((F.lit(size) <= 4 * n) | (F.col("p") * 4 >= size))
+    few = asks.join(dense.select("qid"), "qid", "left_anti") if size > 4 * n else asks.where("false")
+    whole = dense.select("qid", F.explode(F.sequence(F.lit(0), F.lit(max(0, size - 1)))).alias("idx")).where(F.lit(size > 0)).join(items.select("idx", "item"), "idx")
+    whole = whole.join(own, ["qid", "item"], "left_anti").withColumn("o", F.struct(seeded_order(seed, F.lit(split), F.col("qid"), F.col("item")).alias("h"), F.lit(0).alias("d")))
+    hashed = F.pmod(F.conv(F.substring(seeded_order(seed, F.lit(split), F.col("qid"), F.col("draw")), 1, 15), 16, 10).cast("long"), F.lit(max(1, size)))
+    drawn = few.select("qid", F.explode(F.sequence(F.lit(0), F.lit(8 * n + 63))).alias("draw")).select("qid", "draw", hashed.alias("idx"))
+    drawn = drawn.groupBy("qid", "idx").agg(F.min("draw").alias("d")).join(items.select("idx", "item"), "idx").join(own, ["qid", "item"], "left_anti")
+    every = whole.select("qid", "item", "o").unionByName(drawn.select("qid", "item", F.struct(F.lit("").alias("h"), "d").alias("o")))
+    place = Window.partitionBy("qid").orderBy("o", "item")
+    return every.withColumn("_r", F.row_number().over(place)).where(F.col("_r") <= n).select("qid", "item", *(["_r"] if order else []))
+
+
+def random_candidates(queries: DataFrame, items: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """(qid, items): n items of a catalogue (items: item, dense idx from 0) for each query (qid), in the order in which the seed draws them."""
+    none = queries.select("qid", F.lit(None).cast(items.schema["item"].dataType).alias("item"))  # no positives
+    drawn = negatives(none, items, n, seed, "candidates", order=True)
+    return drawn.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "item"))), lambda x: x["item"]).alias("items"))
 
 
 def sampled_candidates(positives: DataFrame, drawn: DataFrame) -> DataFrame:
@@ -64,9 +90,9 @@ def recall_ndcg(ranks: DataFrame, k: int) -> DataFrame:
 
 
 def best_rows(results: DataFrame, metric: str, keys: tuple[str, ...] = (), tie: str = "config") -> DataFrame:
-    """Of each group the row with the largest metric; ties by the least tie column."""
-    order = Window.partitionBy(*(keys or (F.lit(0),))).orderBy(F.desc(metric), tie)
-    return results.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+    """Of each group (or of all rows) the row with the largest metric; ties by the least tie column."""
+    place = F.struct((-F.col(metric)).alias("m"), F.col(tie).alias("t"))
+    return results.groupBy(*keys).agg(F.min_by(F.struct(*results.columns), place).alias("_b")).where("_b IS NOT NULL").select("_b.*")
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str = "hash") -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Cut = Callable[[DataFrame], DataFrame]
@@ -26,18 +26,22 @@ def tag_transitions(s: DataFrame) -> DataFrame:
     return s.select("item", F.col("tag").alias("a"), F.col("s").alias("sa")).join(s.select("item", F.col("tag").alias("b"), F.col("s").alias("sb")), "item").groupBy("a", "b").agg(F.sum(F.col("sa") * F.col("sb")).alias("t"))
 
 
-def series(start: DataFrame, moves: DataFrame, factor: float, cut: Cut, rounds: int = 300, tol: float = 1e-12, check_every: int = 5) -> DataFrame:
-    """(qid, tag, v): the sum over m of (factor x A)^m on start (qid, tag, v), A given as moves (a, b, t).
+def series(start: DataFrame, moves: DataFrame, factor: float | Column, cut: Cut, rounds: int = 300, tol: float = 1e-12, check_every: int = 5) -> DataFrame:
+    """(keys…, tag, v): the sum over m of (factor x A)^m on start (keys…, tag, v), A given as moves (a, b, t).
+
+    factor may be a column of the keys, so that one iteration serves several factors.
 
     One join per round for all queries; every check_every rounds the lineage is cut
     and the size of the step decides whether to go on.
     """
-    total = term = cut(start.select("qid", "tag", F.col("v").cast("double").alias("v")))
+    factor = F.lit(factor) if isinstance(factor, float) else factor
+    total = term = cut(start.select(*start.columns[:-1], F.col("v").cast("double").alias("v")))
+    keys = [c for c in term.columns if c not in ("tag", "v")]
     for r in range(1, rounds + 1):
-        term = term.join(moves, term["tag"] == moves["a"]).groupBy("qid", F.col("b").alias("tag")).agg(F.sum(F.col("v") * F.col("t") * factor).alias("v"))
-        total = total.unionByName(term).groupBy("qid", "tag").agg(F.sum("v").alias("v"))
+        term = term.join(moves, term["tag"] == moves["a"]).groupBy(*keys, F.col("b").alias("tag")).agg(F.sum(F.col("v") * F.col("t") * factor).alias("v"))
+        total = total.unionByName(term)
         if r % check_every == 0 or r == rounds:
-            term, total = cut(term), cut(total)
+            term, total = cut(term), cut(total.groupBy(*keys, "tag").agg(F.sum("v").alias("v")))
             if (term.agg(F.max(F.abs("v"))).first()[0] or 0.0) < tol:
                 break
     return total
@@ -65,6 +69,29 @@ def birank_tags(queries: DataFrame, edges: DataFrame, cut: Cut, alpha: float = 0
     return spread.join(s, "tag").groupBy("qid", "item").agg((F.sum(F.col("v") * F.col("s")) * (alpha * (1 - beta))).alias("score"))
 
 
+def kernels(edges: DataFrame, factors: list[float], cut: Cut, tol: float = 1e-12, most_doublings: int = 16) -> DataFrame:
+    """(c, of, tag, v): for each factor c the sum over m of (c A)^m, A being the tags' own transitions.
+
+    It has a row for each pair of tags that a path connects, and serves any number of
+    queries and both of BiRank's factors by one join, which pays for grids. Each
+    round squares the power and so doubles the number of terms, until no entry of the
+    power reaches tol.
+    """
+    moves = cut(tag_transitions(normalised(edges)))
+    c = F.explode(F.array(*[F.lit(float(x)) for x in sorted(set(factors))])).alias("c")
+    power = cut(moves.select(c, "a", "b", "t").select("c", "a", "b", (F.col("c") * F.col("t")).alias("v")))
+    total = moves.select(F.col("a").alias("of")).distinct().select(c, "of", F.col("of").alias("tag"), F.lit(1.0).alias("v"))
+    for _ in range(most_doublings):
+        if (power.agg(F.max(F.abs("v"))).first()[0] or 0.0) < tol:
+            break
+        step = power.select(F.col("c").alias("_c"), F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("v").alias("_v"))
+        more = total.join(step, (F.col("c") == F.col("_c")) & (F.col("tag") == F.col("_a"))).select("c", "of", F.col("_b").alias("tag"), (F.col("v") * F.col("_v")).alias("v"))
+        total = cut(total.unionByName(more).groupBy("c", "of", "tag").agg(F.sum("v").alias("v")))
+        power = power.join(step, (F.col("c") == F.col("_c")) & (F.col("b") == F.col("_a"))).groupBy("c", "a", F.col("_b").alias("b")).agg(F.sum(F.col("v") * F.col("_v")).alias("v"))
+        power = cut(power)
+    return total
+
+
 def birank(edges: DataFrame, normalizer: str, cut: Cut, alpha: float = 0.85, beta: float = 0.85, rounds: int = 200, tol: float = 1e-4, check_every: int = 5) -> DataFrame:
     """(side, node, score) of both sides of the whole graph, node as text.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,34 +14,69 @@ def unit(vector: Column) -> Column:
     return F.when(norm > 0, F.transform(vector, lambda x: x.cast("double") / norm))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+def _stacked(vectors: pd.Series) -> np.ndarray:
+    return np.stack([np.asarray(v, np.float64) for v in vectors])
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, blocks: int = 8, key: str = "id", vector: str = "vector") -> DataFrame:
+def _blocks(n: int, rows: int) -> int:
+    return max(1, -(-n // rows))
+
+
+def similar_pairs(vectors: DataFrame, threshold: float, block_rows: int = 4096, key: str = "id", vector: str = "vector") -> DataFrame:
     """(a, b, cosine) of all pairs a < b above the threshold, exactly.
 
-    Rows are dealt into blocks and each pair of blocks is one join key, so that the
-    work is spread evenly and a task sees two blocks at a time.
+    Rows are dealt into blocks of about block_rows, as many as the rows need, and a
+    task multiplies two blocks as matrices, so its memory is bounded at any number of
+    rows and only pairs above the threshold become rows. Null and zero vectors are
+    similar to nothing.
     """
-    base = vectors.select(F.col(key).alias("k"), unit(F.col(vector)).alias("u")).where("u IS NOT NULL").withColumn("g", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = base.select(F.col("k").alias("a"), F.col("u").alias("ua"), F.col("g").alias("ga"), F.explode(every).alias("gb"))
-    right = base.select(F.col("k").alias("b"), F.col("u").alias("ub"), F.col("g").alias("gb"), F.explode(every).alias("ga"))
-    met = left.join(right, ["ga", "gb"]).where("a < b")
-    return met.select("a", "b", dot(F.col("ua"), F.col("ub")).alias("cosine")).where(F.col("cosine") > threshold)
+    base = vectors.select(F.col(key).alias("k"), unit(F.col(vector)).alias("u")).where("u IS NOT NULL")
+    blocks = _blocks(base.count(), block_rows)
+    base = base.withColumn("g", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
+    # each pair of blocks once: the smaller number left
+    left = base.select("k", "u", F.col("g").alias("ga"), F.explode(F.sequence(F.col("g"), F.lit(blocks - 1))).alias("gb"))
+    right = base.select(F.col("k").alias("kb"), F.col("u").alias("ub"), F.col("g").alias("gb"), F.explode(F.sequence(F.lit(0), F.col("g"))).alias("ga"))
+    kind = base.schema["k"].dataType.simpleString()
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"a": [], "b": [], "cosine": []})
+        own, ua, kb, ub = a["k"].to_numpy(), _stacked(a["u"]), b["kb"].to_numpy(), _stacked(b["ub"])
+        same, found = a["ga"].iloc[0] == a["gb"].iloc[0], []
+        for i in range(0, len(own), 1024):
+            product = ua[i : i + 1024] @ ub.T
+            x, y = np.nonzero(product > threshold)
+            p, q, c = own[i + x], kb[y], product[x, y]
+            keep = p < q if same else p != q
+            found.append(pd.DataFrame({"a": np.where(p < q, p, q)[keep], "b": np.where(p < q, q, p)[keep], "cosine": c[keep]}))
+        return pd.concat(found)
 
+    return left.groupBy("ga", "gb").cogroup(right.groupBy("ga", "gb")).applyInPandas(run, f"a {kind}, b {kind}, cosine double")
 
-def nearest(queries: DataFrame, items: DataFrame, k: int, blocks: int = 8) -> DataFrame:
-    """(qid, item, score, rank): the k items (item, vector) with the largest dot product with a query (qid, vector).
 
-    Items are ranked within blocks first and then across the blocks' best.
+def nearest(queries: DataFrame, items: DataFrame, k: int, query_rows: int = 4096, item_rows: int = 16_384) -> DataFrame:
+    """(qid, item, score, rank): the k items (item, vector) with the largest dot product with a query (qid, vector), ties by item.
+
+    Queries and items are dealt into blocks of bounded rows; a task multiplies a block
+    of either and keeps k of each query, which then meet across the blocks.
     """
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    asks = queries.select("qid", F.transform("vector", lambda x: x.cast("double")).alias("uq"), F.explode(every).alias("g"))
-    rows = items.select("item", F.transform("vector", lambda x: x.cast("double")).alias("ui"), F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int").alias("g"))
-    scores = asks.join(rows, "g").select("qid", "g", "item", dot(F.col("uq"), F.col("ui")).alias("score"))
-    inner = Window.partitionBy("qid", "g").orderBy(F.desc("score"), "item")
-    best = scores.withColumn("r", F.row_number().over(inner)).where(F.col("r") <= k)
+    nq, ni = _blocks(queries.count(), query_rows), _blocks(items.count(), item_rows)
+    asks = queries.select("qid", "vector", F.pmod(F.xxhash64("qid"), F.lit(nq)).alias("gq"), F.explode(F.sequence(F.lit(0), F.lit(ni - 1))).alias("gi")).where("vector IS NOT NULL")
+    rows = items.select("item", F.col("vector").alias("iv"), F.pmod(F.xxhash64("item"), F.lit(ni)).cast("int").alias("gi"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))).alias("gq")).where("iv IS NOT NULL")
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"qid": [], "item": [], "score": []})
+        b = b.sort_values("item", kind="stable")
+        own, names, right, found = a["qid"].to_numpy(), b["item"].to_numpy(), _stacked(b["iv"]), []
+        for i in range(0, len(own), 256):
+            product = _stacked(a["vector"].iloc[i : i + 256]) @ right.T
+            # stable by item: equal scores keep the smaller item
+            best = np.argsort(-product, axis=1, kind="stable")[:, :k]
+            found.append(pd.DataFrame({"qid": np.repeat(own[i : i + 256], best.shape[1]), "item": names[best.ravel()], "score": np.take_along_axis(product, best, 1).ravel()}))
+        return pd.concat(found)
+
+    kinds = queries.schema["qid"].dataType.simpleString(), items.schema["item"].dataType.simpleString()
+    best = asks.groupBy("gq", "gi").cogroup(rows.groupBy("gq", "gi")).applyInPandas(run, f"qid {kinds[0]}, item {kinds[1]}, score double")
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "item")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "item", "score", "rank")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomtag.operators import baselines as P
@@ -23,11 +23,9 @@ def _positives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.leave_one_out(seqs(spark, sf_dir)).select(F.col("user").alias("qid"), F.col("test").alias("item"))
 
 
-def _domain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All items of the events for every user (repeatable sessions)."""
-    e = V.events(spark, sf_dir)
-    items = e.agg(F.collect_set("item").alias("i"))  # the catalogue of the events has a fixed size
-    return e.select(F.col("user").alias("qid")).distinct().select("qid", F.explode(items.scalar()).alias("item"))
+def _catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item, idx): all items of the events, numbered."""
+    return S.dense_ids(V.events(spark, sf_dir), "item", "idx")
 
 
 _POS = """pos AS (SELECT "user" AS qid, seq[len(seq)] AS item FROM seqs)"""
@@ -48,7 +46,7 @@ _POPULAR = "sc AS (SELECT d.qid, d.item, p.score FROM dom d JOIN (SELECT item, c
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     pos = _positives(spark, sf_dir)
-    return E.sampled_candidates(pos, E.negatives(pos, _domain(spark, sf_dir), 50))
+    return E.sampled_candidates(pos, E.negatives(pos, _catalogue(spark, sf_dir), 50))
 
 
 def _popular_scores(spark: SparkSession, sf_dir: str, candidates: DataFrame) -> DataFrame:
@@ -61,7 +59,28 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 @query("neg_samples", f"{_BASE} SELECT qid, item FROM neg")
 def neg_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.negatives(_positives(spark, sf_dir), _domain(spark, sf_dir), 50)
+    return E.negatives(_positives(spark, sf_dir), _catalogue(spark, sf_dir), 50)
+
+
+@query("neg_samples_parts", f"""WITH {V.PURCHASES_SQL}, pos AS (SELECT DISTINCT "user" AS qid, item FROM purchases), it AS (SELECT p_partkey AS item, row_number() OVER (ORDER BY p_partkey) - 1 AS idx, count(*) OVER () AS size FROM part),
+q AS (SELECT qid, count(*) AS p FROM pos GROUP BY qid), sz AS (SELECT max(size) AS size FROM it),
+dn AS (SELECT qid FROM q, sz WHERE size <= 80 OR p * 4 >= size),
+dr AS (SELECT qid, draw, ('0x' || md5('42|test|' || qid || '|' || draw)[1:15])::BIGINT % size AS idx FROM (SELECT qid, size, unnest(range(224)) AS draw FROM q, sz WHERE qid NOT IN (SELECT qid FROM dn))),
+f AS (SELECT qid, item, '' AS h, min(draw) AS d FROM dr JOIN it USING (idx) GROUP BY qid, item UNION ALL SELECT qid, item, md5('42|test|' || qid || '|' || item), 0 FROM dn, it)
+SELECT qid, item FROM f ANTI JOIN pos USING (qid, item) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY h, d, item) <= 20""")
+def neg_samples_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """20 parts that a customer never ordered, for every customer."""
+    own = V.purchases(spark, sf_dir).select(F.col("user").alias("qid"), "item")
+    return E.negatives(own, S.dense_ids(V.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item")), "item", "idx"), 20)
+
+
+@query("random_candidates", f"""WITH {V.SEQS_SQL}, it AS (SELECT item, row_number() OVER (ORDER BY item) - 1 AS idx FROM (SELECT DISTINCT item FROM ev)),
+a AS (SELECT "user" AS qid, item, md5('7|candidates|' || "user" || '|' || item) AS h FROM (SELECT DISTINCT "user" FROM ev), it)
+SELECT qid, string_agg(item::VARCHAR, ',' ORDER BY h, item) AS items FROM (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY qid ORDER BY h, item) <= 30) GROUP BY qid""")
+def random_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """30 items drawn for each user from the whole catalogue."""
+    users = V.events(spark, sf_dir).select(F.col("user").alias("qid")).distinct()
+    return E.random_candidates(users, _catalogue(spark, sf_dir), 30, 7).select("qid", F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("items"))
 
 
 @query("ranking_metrics", f"{_BASE}, {_POPULAR}, {_RANK}, {_METRICS} SELECT k, round(avg(hr), 6) AS hr, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM qm GROUP BY k")
@@ -93,10 +112,10 @@ SELECT n_neg, k, round(avg(CASE WHEN rank <= k THEN 1.0 ELSE 0.0 END), 6) AS hr,
 FROM rn, (SELECT unnest([1, 5, 10, 20]) AS k) WHERE is_pos = 1 GROUP BY n_neg, k""")
 def metrics_by_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One table for several numbers of negatives; the smaller samples begin the larger ones."""
-    pos, dom = _positives(spark, sf_dir), _domain(spark, sf_dir)
-    out = None
+    pos, items = _positives(spark, sf_dir), _catalogue(spark, sf_dir)
+    drawn, out = cut(E.negatives(pos, items, 50, order=True)), None
     for n in (10, 50):
-        c = E.sampled_candidates(pos, E.negatives(pos, dom, n))
+        c = E.sampled_candidates(pos, drawn.where(F.col("_r") <= n))
         m = _rounded(E.mean_metrics(E.query_metrics(E.ranked(c, _popular_scores(spark, sf_dir, c))))).select(F.lit(n).alias("n_neg"), "k", "hr", "mrr", "ndcg")
         out = m if out is None else out.unionByName(m)
     return out
@@ -146,32 +165,96 @@ def ablation_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.pivot(_results(spark, sf_dir), "config", "k", [1, 5, 10, 20], "ndcg")
 
 
-_GRID_K1, _GRID_B = (0.5, 1.0, 1.5, 2.0), (0.0, 0.5, 0.75)
-_GRID_SQL = ", ".join(f"({k1}, {b})" for k1 in _GRID_K1 for b in _GRID_B)
+def _grid_sql(asks: str, grid: str, keys: str) -> str:
+    """NDCG@10 for each row of grid g (config columns keys, k1, b) of query tags asks (config columns that it has, qid, tag, weight)."""
+    return f"""gs AS (SELECT {keys}, qid, ed.item, round(sum(q.weight * idf * w * (k1 + 1) / (w + k1 * (1 - b + b * l / a))), 6) AS score
+  FROM cand c JOIN ed USING (item) JOIN (SELECT * FROM tm WHERE idf > 0) t USING (tag) JOIN sz ON sz.item = ed.item CROSS JOIN av CROSS JOIN {grid} JOIN {asks} GROUP BY {keys}, qid, ed.item),
+rg AS (SELECT {keys}, c.qid, c.is_pos, row_number() OVER (PARTITION BY {keys}, c.qid ORDER BY coalesce(s.score, 0) DESC, md5('42|' || c.qid || '|' || c.item)) AS rank FROM cand c CROSS JOIN g LEFT JOIN gs s USING ({keys}, qid, item))
+SELECT {keys}, round(avg(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1.0::DOUBLE) ELSE 0 END), 6) AS ndcg FROM rg WHERE is_pos = 1 GROUP BY {keys}"""
 
 
-@query("bm25_grid", f"""{_BASE}, {V.EVENT_TAGS_SQL}, {_bm25_sql('event_tags')}, {_weights_sql('log2', 'max', 20)}, qt AS (SELECT qid, tag, sum(weight * w) AS weight FROM wt JOIN ed USING (item) GROUP BY qid, tag),
-g AS (SELECT k1::DOUBLE AS k1, b::DOUBLE AS b FROM (VALUES {_GRID_SQL}) v(k1, b)),
-gs AS (SELECT k1, b, qid, ed.item, round(sum(qt.weight * idf * w * (k1 + 1) / (w + k1 * (1 - b + b * l / a))), 6) AS score FROM qt JOIN ed USING (tag) JOIN (SELECT * FROM tm WHERE idf > 0) t USING (tag) JOIN sz ON sz.item = ed.item, av, g GROUP BY k1, b, qid, ed.item),
-rg AS (SELECT g.k1, g.b, c.qid, c.is_pos, row_number() OVER (PARTITION BY g.k1, g.b, c.qid ORDER BY coalesce(s.score, 0) DESC, md5('42|' || c.qid || '|' || c.item)) AS rank FROM cand c CROSS JOIN g LEFT JOIN gs s ON s.k1 = g.k1 AND s.b = g.b AND s.qid = c.qid AND s.item = c.item)
-SELECT k1, b, round(avg(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1.0::DOUBLE) ELSE 0 END), 6) AS ndcg FROM rg WHERE is_pos = 1 GROUP BY k1, b""")
-def bm25_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """NDCG@10 over a grid of k1 and b: the grid is a column, so the joins run once for all configurations."""
-    c, corpus = _candidates(spark, sf_dir), V.event_tags(spark, sf_dir)
-    asks = B.history_queries(B.history_weights(_histories(spark, sf_dir), "union", "log2", 20), corpus)
+def _grid_metrics(c: DataFrame, scores: DataFrame, grid: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(keys…, ndcg): NDCG@10 of scores (keys…, qid, item, score) on candidates, for each configuration of the small table grid."""
+    every = c.join(F.broadcast(grid)).join(scores, [*keys, "qid", "item"], "left").fillna(0.0, ["score"])  # a row for each configuration of a stated grid
+    order = Window.partitionBy(*keys, "qid").orderBy(F.desc("score"), S.seeded_order(42, F.col("qid"), F.col("item")))
+    ranks = every.withColumn("rank", F.row_number().over(order))
+    return E.mean_metrics(E.query_metrics(ranks, (10,), keys), keys).select(*keys, F.round("ndcg", 6).alias("ndcg"))
+
+
+def _bm25_grid(c: DataFrame, corpus: DataFrame, asks: DataFrame, grid: list[tuple[float, float]], own: tuple[str, ...] = ()) -> DataFrame:
+    """BM25 of the candidates for all k1 and b at once: the grid is a column, so the joins run once; asks may have configuration columns of its own."""
     totals = corpus.agg(F.avg(F.size("tags")).alias("a"))
     terms = C.edges(corpus).join(B.term_statistics(corpus, 0.0), "tag").join(corpus.select("item", F.size("tags").alias("l")), "item").withColumn("a", totals.scalar())
-    grid = F.array(*[F.struct(F.lit(k1).alias("k1"), F.lit(b).alias("b")) for k1 in _GRID_K1 for b in _GRID_B])
-    met = asks.join(terms, "tag").join(c.select("qid", "item"), ["qid", "item"], "left_semi").select("*", F.explode(grid).alias("g"))
+    met = c.select("qid", "item").join(terms, "item").join(asks, ["qid", "tag"])
+    met = met.select("*", F.explode(F.array(*[F.struct(F.lit(float(k1)).alias("k1"), F.lit(float(b)).alias("b")) for k1, b in grid])).alias("g"))
     k1, b = F.col("g.k1"), F.col("g.b")
     score = F.col("weight") * F.col("idf") * F.col("w") * (k1 + 1) / (F.col("w") + k1 * (1 - b + b * F.col("l") / F.col("a")))
-    scores = met.groupBy(k1.alias("k1"), b.alias("b"), "qid", "item").agg(F.round(F.sum(score), 6).alias("score"))
-    every = c.select("*", F.explode(grid).alias("g")).select("qid", "item", "is_pos", "g.k1", "g.b").join(scores, ["k1", "b", "qid", "item"], "left").fillna(0.0, ["score"])
-    from pyspark.sql import Window
+    return met.groupBy(*own, k1.alias("k1"), b.alias("b"), "qid", "item").agg(F.round(F.sum(score), 6).alias("score"))
+
+
+def _table(spark: SparkSession, names: list[str], rows: list[tuple]) -> DataFrame:
+    return spark.range(1).select(F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r, strict=True)]) for r in rows])).alias("r")).select("r.*")
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else f"{v}::DOUBLE" if isinstance(v, float) else str(v) for v in r) + ")" for r in rows)
+
+
+_GRID = [(k1, b) for k1 in (0.5, 1.0, 1.5, 2.0) for b in (0.0, 0.5, 0.75)]
+_ITEM_GRID = [(k1, b) for k1 in (0.0, 0.5, 1.0, 1.5, 2.0) for b in (0.0, 0.25, 0.5, 0.75)]
+#: Longest history (0: all of it), weights.
+_USER_GRID = [(most, kind) for most in (0, 15, 20) for kind in ("none", "linear", "log2", "exp")]
 
-    order = Window.partitionBy("k1", "b", "qid").orderBy(F.desc("score"), S.seeded_order(42, F.col("qid"), F.col("item")))
-    ranks = every.withColumn("rank", F.row_number().over(order))
-    return E.mean_metrics(E.query_metrics(ranks, (10,), ("k1", "b")), ("k1", "b")).select("k1", "b", F.round("ndcg", 6).alias("ndcg"))
+
+@query("bm25_grid", f"""{_BASE}, {V.EVENT_TAGS_SQL}, {_bm25_sql('event_tags')}, {_weights_sql('log2', 'max', 20)}, qt AS (SELECT qid, tag, sum(weight * w) AS weight FROM wt JOIN ed USING (item) GROUP BY qid, tag),
+g AS (SELECT k1, b FROM (VALUES {_values(_GRID)}) v(k1, b)), {_grid_sql('qt q USING (qid, tag)', 'g', 'k1, b')}""")
+def bm25_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NDCG@10 over a grid of k1 and b, of whole histories."""
+    c, corpus = _candidates(spark, sf_dir), V.event_tags(spark, sf_dir)
+    asks = B.history_queries(B.history_weights(_histories(spark, sf_dir), "union", "log2", 20), corpus)
+    return _grid_metrics(c, _bm25_grid(c, corpus, asks, _GRID), _table(spark, ["k1", "b"], _GRID), ("k1", "b"))
+
+
+@query("bm25_grid_items", f"""{_BASE}, {V.EVENT_TAGS_SQL}, {_bm25_sql('event_tags')}, qt AS (SELECT qid, tag, w::DOUBLE AS weight FROM hist JOIN ed ON ed.item = seq[len(seq)]),
+g AS (SELECT k1, b FROM (VALUES {_values(_ITEM_GRID)}) v(k1, b)), {_grid_sql('qt q USING (qid, tag)', 'g', 'k1, b')}""")
+def bm25_grid_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NDCG@10 over 20 configurations where the last item of a history asks with its tags."""
+    c, corpus = _candidates(spark, sf_dir), V.event_tags(spark, sf_dir)
+    asks = B.history_queries(B.history_weights(_histories(spark, sf_dir), "last"), corpus)
+    return _grid_metrics(c, _bm25_grid(c, corpus, asks, _ITEM_GRID), _table(spark, ["k1", "b"], _ITEM_GRID), ("k1", "b"))
+
+
+def _user_asks(spark: SparkSession, sf_dir: str, grid: list[tuple], reducers: tuple[str, ...] = ("sum",)) -> DataFrame:
+    """(reduce, most, kind, qid, item, weight) for each configuration of histories."""
+    h, out = _histories(spark, sf_dir), None
+    for reduce in reducers:
+        for most, kind in grid:
+            w = B.history_weights(h, reduce, None if kind == "none" else kind, most or None)
+            w = w.select(F.lit(reduce).alias("reduce"), F.lit(most).alias("most"), F.lit(kind).alias("kind"), "qid", "item", "weight")
+            out = w if out is None else out.unionByName(w)
+    return out
+
+
+def _user_asks_sql(grid: list[tuple], reducers: tuple[str, ...] = ("sum",)) -> str:
+    """wa: the same in SQL. Weights of exp count the longest history where no longest is set."""
+    w = """CASE kind WHEN 'linear' THEN (pos + 1)::DOUBLE WHEN 'log2' THEN 1 / log2(2 + (n - 1 - pos)::DOUBLE) WHEN 'exp' THEN pow(10::DOUBLE, pos * 10::DOUBLE / ((CASE most WHEN 0 THEN longest ELSE most END) - 1)) ELSE 1.0::DOUBLE END"""
+    return f"""ug AS (SELECT most, kind FROM (VALUES {_values(grid)}) v(most, kind)),
+hu AS (SELECT most, kind, qid, CASE most WHEN 0 THEN seq ELSE seq[greatest(len(seq) - most, 0) + 1 :] END AS s, (SELECT max(len(seq)) FROM hist) AS longest FROM hist, ug),
+lu AS (SELECT most, kind, qid, longest, len(s) AS n, unnest(s) AS item, unnest(range(len(s))) AS pos FROM hu),
+wa AS ({' UNION ALL '.join(f"SELECT '{r}' AS reduce, most, kind, qid, item, {'sum' if r == 'sum' else 'max'}({w}) AS weight FROM lu GROUP BY most, kind, qid, item" for r in reducers)})"""
+
+
+@query("bm25_grid_users", f"""{_BASE}, {V.EVENT_TAGS_SQL}, {_bm25_sql('event_tags')}, {_user_asks_sql(_USER_GRID)}, qt AS (SELECT most, kind, qid, tag, sum(weight * w) AS weight FROM wa JOIN ed USING (item) GROUP BY ALL),
+g AS (SELECT most, kind, 0.5::DOUBLE AS k1, 0.25::DOUBLE AS b FROM ug), gs AS (SELECT most, kind, qid, ed.item, round(sum(q.weight * idf * w * 1.5::DOUBLE / (w + 0.5::DOUBLE * (1 - 0.25::DOUBLE + 0.25::DOUBLE * l / a))), 6) AS score
+  FROM cand c JOIN ed USING (item) JOIN (SELECT * FROM tm WHERE idf > 0) t USING (tag) JOIN sz ON sz.item = ed.item CROSS JOIN av JOIN qt q USING (qid, tag) GROUP BY most, kind, qid, ed.item),
+rg AS (SELECT most, kind, c.qid, c.is_pos, row_number() OVER (PARTITION BY most, kind, c.qid ORDER BY coalesce(s.score, 0) DESC, md5('42|' || c.qid || '|' || c.item)) AS rank FROM cand c CROSS JOIN g LEFT JOIN gs s USING (most, kind, qid, item))
+SELECT most, kind, round(avg(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1.0::DOUBLE) ELSE 0 END), 6) AS ndcg FROM rg WHERE is_pos = 1 GROUP BY most, kind""")
+def bm25_grid_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NDCG@10 over 12 configurations of summed histories: their longest length and their weights."""
+    c, corpus = _candidates(spark, sf_dir), V.event_tags(spark, sf_dir)
+    asks = _user_asks(spark, sf_dir, _USER_GRID).join(C.edges(corpus), "item").groupBy("most", "kind", "qid", "tag").agg(F.sum(F.col("weight") * F.col("w")).alias("weight"))
+    scores = _bm25_grid(c, corpus, asks, [(0.5, 0.25)], ("most", "kind")).drop("k1", "b")
+    return _grid_metrics(c, scores, _table(spark, ["most", "kind"], _USER_GRID), ("most", "kind"))
 
 
 @query("result_upsert", """WITH o AS (SELECT p_brand AS hash, count(*) AS value FROM part GROUP BY 1), n AS (SELECT p_brand AS hash, count(*) * 10 AS value FROM part WHERE p_size > 25 AND p_brand > 'Brand#2' GROUP BY 1 UNION ALL SELECT 'new', 1)
@@ -244,73 +327,137 @@ dg AS (SELECT ed.*, sum(w) OVER (PARTITION BY item) AS di, sum(w) OVER (PARTITIO
 ta AS (SELECT x.tag AS a, y.tag AS b, sum(x.s * y.s) AS t FROM sm x JOIN sm y USING (item) GROUP BY 1, 2)"""
 
 
-def _series_sql(start: str, rounds: int, factor: float) -> str:
-    out = f"v0 AS ({start})"
-    for r in range(1, rounds + 1):
-        out += f", v{r} AS (SELECT qid, b AS tag, sum(v * t) * {factor}::DOUBLE AS v FROM v{r - 1} JOIN ta ON tag = a GROUP BY qid, b)"
-    return out + ", vs AS (SELECT qid, tag, sum(v) AS v FROM (" + " UNION ALL ".join(f"SELECT * FROM v{r}" for r in range(rounds + 1)) + ") GROUP BY qid, tag)"
+def _stop_sql(moved: str) -> str:
+    """stop: the round at which the operator stops, the first fifth one at which the step is small."""
+    return f"stop AS (SELECT min(r) AS r FROM ({moved}) WHERE r % 5 = 0 AND r > 0)"
+
 
+def _series_sql(start: str, factor: str, keys: str, rounds: int, tol: float) -> str:
+    """vs (keys, tag, v): the terms up to the round at which the operator stops."""
+    return f"""v(r, {keys}, tag, v) AS (SELECT 0, * FROM ({start}) UNION ALL SELECT r + 1, {keys}, b, sum(v * t * {factor}) FROM v JOIN ta ON tag = a WHERE r < {rounds} GROUP BY r, {keys}, b),
+{_stop_sql(f'SELECT r FROM v GROUP BY r HAVING max(abs(v)) < {tol}::DOUBLE')}, vs AS (SELECT {keys}, tag, sum(v) AS v FROM v WHERE r <= (SELECT r FROM stop) GROUP BY {keys}, tag)"""
 
-ROUNDS = 6
 
+#: A stated query set: items and users whose id is divisible by this ask; all items answer.
+ASKING = 100
 
-@query("birank_item", f"""{_GRAPH}, q AS (SELECT item AS qid, item, 1.0::DOUBLE AS weight FROM event_tags WHERE item % 5 = 0), {_series_sql('SELECT qid, tag, sum(weight * s) AS v FROM q JOIN sm USING (item) GROUP BY qid, tag', ROUNDS, 0.36)},
+
+@query("birank_item", f"""{_GRAPH}, q AS (SELECT item AS qid, item, 1.0::DOUBLE AS weight FROM event_tags WHERE item % {ASKING} = 0), {_series_sql('SELECT qid, tag, sum(weight * s) AS v FROM q JOIN sm USING (item) GROUP BY qid, tag', '0.36::DOUBLE', 'qid', 60, 1e-12)},
 al AS (SELECT qid, item, sum(v * s) * 0.36::DOUBLE AS v FROM vs JOIN sm USING (tag) GROUP BY qid, item UNION ALL SELECT qid, item, weight FROM q) SELECT qid, item, round(sum(v) * 0.4::DOUBLE, 8) AS score FROM al GROUP BY qid, item""")
 def birank_item(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = V.event_tags(spark, sf_dir)
-    asks = corpus.where("item % 5 = 0").select(F.col("item").alias("qid"), "item", F.lit(1.0).alias("weight"))
-    return G.birank_items(asks, C.edges(corpus), cut, 0.6, 0.6, ROUNDS, 0.0).withColumn("score", F.round("score", 8))
+    asks = corpus.where(f"item % {ASKING} = 0").select(F.col("item").alias("qid"), "item", F.lit(1.0).alias("weight"))
+    return G.birank_items(asks, C.edges(corpus), cut, 0.6, 0.6).withColumn("score", F.round("score", 8))
 
 
-@query("birank_tag", f"""{_GRAPH}, q AS (SELECT item AS qid, tag, w AS weight FROM ed WHERE item % 5 = 0), {_series_sql('SELECT qid, tag, weight AS v FROM q', ROUNDS, 0.36)}
+@query("birank_tag", f"""{_GRAPH}, q AS (SELECT item AS qid, tag, w AS weight FROM ed WHERE item % {ASKING} = 0), {_series_sql('SELECT qid, tag, weight FROM q', '0.36::DOUBLE', 'qid', 60, 1e-12)}
 SELECT qid, item, round(sum(v * s) * (0.6::DOUBLE * 0.4::DOUBLE), 8) AS score FROM vs JOIN sm USING (tag) GROUP BY qid, item""")
 def birank_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = V.event_tags(spark, sf_dir)
-    asks = C.edges(corpus).where("item % 5 = 0").select(F.col("item").alias("qid"), "tag", F.col("w").cast("double").alias("weight"))
-    return G.birank_tags(asks, C.edges(corpus), cut, 0.6, 0.6, ROUNDS, 0.0).withColumn("score", F.round("score", 8))
+    asks = C.edges(corpus).where(f"item % {ASKING} = 0").select(F.col("item").alias("qid"), "tag", F.col("w").cast("double").alias("weight"))
+    return G.birank_tags(asks, C.edges(corpus), cut, 0.6, 0.6).withColumn("score", F.round("score", 8))
+
+
+_ITEM_ALPHA, _USER_ALPHA = (0.5, 0.75, 0.85, 0.9), (0.75, 0.85, 0.9)
+_HISTORY_GRID = [(most, kind) for most in (0, 15, 20) for kind in ("none", "linear", "log2")]
+_REDUCE = ("sum", "union")
+
+
+def _birank_grid(c: DataFrame, corpus: DataFrame, asks: DataFrame, alphas: tuple[float, ...], own: tuple[str, ...] = ()) -> DataFrame:
+    """(own…, alpha, beta, qid, item, score) of candidates c for item weights asks (own…, qid, item, weight), for each alpha and beta."""
+    e = C.edges(corpus)
+    s = cut(G.normalised(e))
+    pairs = F.array(*[F.struct(F.lit(x).alias("alpha"), F.lit(y).alias("beta"), F.lit(x * y).alias("c")) for x in alphas for y in alphas])
+    kernel = G.kernels(e, [x * y for x in alphas for y in alphas], cut, 1e-6)
+    start = asks.join(s, "item").groupBy(*own, "qid", "tag").agg(F.sum(F.col("weight") * F.col("s")).alias("q"))
+    spread = start.withColumnRenamed("tag", "of").join(kernel, "of").groupBy(*own, "c", "qid", "tag").agg(F.sum(F.col("q") * F.col("v")).alias("v"))
+    back = c.select("qid", "item").join(s, "item").join(spread, ["qid", "tag"]).groupBy(*own, "c", "qid", "item").agg((F.sum(F.col("v") * F.col("s")) * F.col("c")).alias("v"))
+    every = back.select(*own, "qid", "item", "v", F.explode(F.filter(pairs, lambda p: p["c"] == F.col("c"))).alias("p"))
+    self = c.select("qid", "item").join(asks, ["qid", "item"]).select(*own, "qid", "item", F.col("weight").alias("v"), F.explode(pairs).alias("p"))
+    both = every.unionByName(self).groupBy(*own, "p.alpha", "p.beta", "qid", "item").agg(F.sum("v").alias("v"))
+    return both.select(*own, "alpha", "beta", "qid", "item", F.round(F.col("v") * (1 - F.col("alpha")), 9).alias("score"))
+
+
+def _birank_grid_sql(asks: str, alphas: tuple[float, ...], own: str = "", grid: str = "") -> str:
+    """asks defines aw (own, qid, item, weight) after the graph; grid names a table of own's configurations."""
+    pairs = _values([(x, y, x * y) for x in alphas for y in alphas])
+    factors = ", ".join(f"{c}::DOUBLE" for c in sorted({x * y for x in alphas for y in alphas}))
+    keys = f"{own}alpha, beta"
+    return f"""{_GRAPH}, {_BASE.removeprefix('WITH ')}, {asks}, pr AS (SELECT alpha, beta, c FROM (VALUES {pairs}) x(alpha, beta, c)),
+v(r, c, o, tag, v) AS (SELECT 0, c, tag, tag, 1.0::DOUBLE FROM (SELECT DISTINCT tag FROM ed), (SELECT unnest([{factors}]) AS c) UNION ALL SELECT r + 1, c, o, b, sum(v * t * c) FROM v JOIN ta ON tag = a WHERE r < 256 GROUP BY r, c, o, b),
+stop AS (SELECT min(r) AS r FROM (SELECT r FROM v GROUP BY r HAVING max(abs(v)) < 1e-6::DOUBLE) WHERE r IN (1, 2, 4, 8, 16, 32, 64, 128, 256)), vs AS (SELECT c, o, tag, sum(v) AS v FROM v WHERE r < (SELECT r FROM stop) GROUP BY c, o, tag),
+qs AS (SELECT {own}qid, tag, sum(weight * s) AS q FROM aw JOIN sm USING (item) GROUP BY {own}qid, tag),
+sp AS (SELECT {own}c, qid, vs.tag, sum(q * v) AS v FROM qs JOIN vs ON qs.tag = vs.o GROUP BY {own}c, qid, vs.tag),
+bk AS (SELECT {own}c, qid, item, sum(v * s) * c AS v FROM cand JOIN sm USING (item) JOIN sp USING (qid, tag) GROUP BY {own}c, qid, item),
+al AS (SELECT {own}alpha, beta, qid, item, v FROM bk JOIN pr USING (c) UNION ALL SELECT {own}alpha, beta, qid, item, weight FROM cand JOIN aw USING (qid, item), pr),
+gs AS (SELECT {own}alpha, beta, qid, item, round(sum(v) * (1 - alpha), 9) AS score FROM al GROUP BY {own}alpha, beta, qid, item),
+g AS (SELECT {own}alpha, beta FROM pr{grid}),
+rg AS (SELECT {keys}, c.qid, c.is_pos, row_number() OVER (PARTITION BY {keys}, c.qid ORDER BY coalesce(s.score, 0) DESC, md5('42|' || c.qid || '|' || c.item)) AS rank FROM cand c CROSS JOIN g LEFT JOIN gs s USING ({keys}, qid, item))
+SELECT {keys}, round(avg(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1.0::DOUBLE) ELSE 0 END), 6) AS ndcg FROM rg WHERE is_pos = 1 GROUP BY {keys}"""
+
+
+@query("birank_grid", _birank_grid_sql("aw AS (SELECT qid, seq[len(seq)] AS item, 1.0::DOUBLE AS weight FROM hist)", _ITEM_ALPHA))
+def birank_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NDCG@10 over 16 pairs of alpha and beta where the last item of a history asks."""
+    c, corpus = _candidates(spark, sf_dir), V.event_tags(spark, sf_dir)
+    scores = _birank_grid(c, corpus, B.history_weights(_histories(spark, sf_dir), "last"), _ITEM_ALPHA)
+    return _grid_metrics(c, scores, _table(spark, ["alpha", "beta"], [(x, y) for x in _ITEM_ALPHA for y in _ITEM_ALPHA]), ("alpha", "beta"))
+
+
+@query("birank_grid_users", _birank_grid_sql(_user_asks_sql(_HISTORY_GRID, _REDUCE).replace("wa AS (", "aw AS ("), _USER_ALPHA, "reduce, most, kind, ", ", ug, (SELECT unnest(['sum', 'union']) AS reduce)"))
+def birank_grid_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NDCG@10 over 162 configurations of whole histories: alpha, beta, longest length, weights, reduction."""
+    c, corpus, own = _candidates(spark, sf_dir), V.event_tags(spark, sf_dir), ("reduce", "most", "kind")
+    scores = _birank_grid(c, corpus, _user_asks(spark, sf_dir, _HISTORY_GRID, _REDUCE), _USER_ALPHA, own)
+    grid = [(r, most, kind, x, y) for r in _REDUCE for most, kind in _HISTORY_GRID for x in _USER_ALPHA for y in _USER_ALPHA]
+    return _grid_metrics(c, scores, _table(spark, [*own, "alpha", "beta"], grid), (*own, "alpha", "beta"))
 
 
 def _whole_sql(up: str, down: str, hits: bool = False) -> str:
-    out = f"""{_GRAPH}, e AS (SELECT item, tag, {up} AS up, {down} AS down FROM dg), n AS (SELECT 1.0::DOUBLE / count(DISTINCT item) AS d0, 1.0::DOUBLE / count(DISTINCT tag) AS p0 FROM e),
-d0 AS (SELECT item, (SELECT d0 FROM n) AS x FROM e GROUP BY item), p0 AS (SELECT tag, (SELECT p0 FROM n) AS x FROM e GROUP BY tag)"""
-    for r in range(1, ROUNDS + 1):
-        out += f""", {'a' if hits else ''}p{r} AS (SELECT tag, sum(up * x) * 0.85::DOUBLE + (1 - 0.85::DOUBLE) * (SELECT p0 FROM n) AS x FROM e JOIN d{r - 1} USING (item) GROUP BY tag),
-{'a' if hits else ''}d{r} AS (SELECT item, sum(down * x) * 0.85::DOUBLE + (1 - 0.85::DOUBLE) * (SELECT d0 FROM n) AS x FROM e JOIN p{r - 1} USING (tag) GROUP BY item)"""
-        if hits:
-            out += f", p{r} AS (SELECT tag, x / sum(x) OVER () AS x FROM ap{r}), d{r} AS (SELECT item, x / sum(x) OVER () AS x FROM ad{r})"
-    return out + f" SELECT 'item' AS side, item::VARCHAR AS node, round(x, 8) AS score FROM d{ROUNDS} UNION ALL SELECT 'tag', tag, round(x, 8) FROM p{ROUNDS}"
+    """Both sides at once: a row of x is a node of a side in a round."""
+    mixed = "sum(e.w * x.v) * 0.85::DOUBLE + (1 - 0.85::DOUBLE) * max(e.base)"
+    step = f"SELECT x.r + 1 AS r, e.side, e.dst AS node, {mixed} AS v FROM x JOIN e ON e.src = x.node AND e.side <> x.side WHERE x.r < 200 GROUP BY x.r, e.side, e.dst"
+    if hits:
+        step = f"SELECT r, side, node, v / sum(v) OVER (PARTITION BY side) FROM ({step})"
+    return f"""{_GRAPH}, n AS (SELECT 1.0::DOUBLE / count(DISTINCT item) AS d0, 1.0::DOUBLE / count(DISTINCT tag) AS p0 FROM dg),
+e AS (SELECT 'tag' AS side, item::VARCHAR AS src, tag AS dst, {up} AS w, p0 AS base FROM dg, n UNION ALL SELECT 'item', tag, item::VARCHAR, {down}, d0 FROM dg, n),
+x(r, side, node, v) AS (SELECT DISTINCT 0, side, dst, base FROM e UNION ALL {step}),
+d AS (SELECT a.r, a.side, sum(abs(a.v - b.v)) AS moved FROM x a JOIN x b ON b.r = a.r - 1 AND b.side = a.side AND b.node = a.node GROUP BY a.r, a.side),
+{_stop_sql('SELECT r FROM d GROUP BY r HAVING max(moved) < 1e-4::DOUBLE')}
+SELECT side, node, round(v, 8) AS score FROM x WHERE r = (SELECT coalesce(min(r), 200) FROM stop)"""
 
 
 for _name, _norm, _up, _down in (("hits", "HITS", "w", "w"), ("cohits", "CoHITS", "w / di", "w / dt"), ("bgrm", "BGRM", "w / (di * dt)", "w / (di * dt)"), ("birank", "BiRank", "w / sqrt(di * dt)", "w / sqrt(di * dt)")):
 
     def _whole(spark: SparkSession, sf_dir: str, norm=_norm) -> DataFrame:
-        return G.birank(C.edges(V.event_tags(spark, sf_dir)), norm, cut, rounds=ROUNDS, tol=0.0).withColumn("score", F.round("score", 8))
+        return G.birank(C.edges(V.event_tags(spark, sf_dir)), norm, cut).withColumn("score", F.round("score", 8))
 
     query(f"bipartite_{_name}", _whole_sql(_up, _down, _name == "hits"))(_whole)
 
 
 def _pagerank_sql(start: str) -> str:
-    out = f"""{_GRAPH}, g AS (SELECT 'i:' || item AS src, 't:' || tag AS dst, w FROM ed UNION ALL SELECT 't:' || tag, 'i:' || item, w FROM ed), mv AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS m FROM g), {start}, x0 AS (SELECT qid, node, x0 AS x FROM st)"""
-    for r in range(1, ROUNDS + 1):
-        out += f", x{r} AS (SELECT qid, node, sum(x) AS x FROM (SELECT qid, dst AS node, x * m * 0.85::DOUBLE AS x FROM x{r - 1} JOIN mv ON node = src UNION ALL SELECT qid, node, x0 * (1 - 0.85::DOUBLE) FROM st) GROUP BY qid, node)"
-    return out + f" SELECT qid, node, round(x, 8) AS score FROM x{ROUNDS}"
+    """Moves of weight 0 from a node to itself keep the nodes that a round would leave."""
+    return f"""{_GRAPH}, g AS (SELECT 'i:' || item AS src, 't:' || tag AS dst, w FROM ed UNION ALL SELECT 't:' || tag, 'i:' || item, w FROM ed), mv AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS m FROM g UNION ALL SELECT DISTINCT src, src, 0.0::DOUBLE FROM g), {start},
+x(r, qid, node, v) AS (SELECT 0, qid, node, x0 FROM st UNION ALL
+  SELECT s.r, s.qid, s.node, s.v + coalesce(st.x0, 0) * (1 - 0.85::DOUBLE) FROM (SELECT x.r + 1 AS r, x.qid, mv.dst AS node, sum(x.v * mv.m * 0.85::DOUBLE) AS v FROM x JOIN mv ON x.node = mv.src WHERE x.r < 120 GROUP BY x.r, x.qid, mv.dst) s LEFT JOIN st ON st.qid = s.qid AND st.node = s.node),
+d AS (SELECT a.r, a.qid, sum(abs(a.v - coalesce(b.v, 0))) AS moved FROM x a LEFT JOIN x b ON b.r = a.r - 1 AND b.qid = a.qid AND b.node = a.node WHERE a.r > 0 GROUP BY a.r, a.qid),
+{_stop_sql('SELECT r FROM d GROUP BY r HAVING max(moved) < 1e-4::DOUBLE')}
+SELECT qid, node, round(v, 8) AS score FROM x WHERE r = (SELECT r FROM stop)"""
 
 
-@query("pagerank_item", _pagerank_sql("st AS (SELECT item AS qid, 'i:' || item AS node, 1.0::DOUBLE AS x0 FROM event_tags WHERE item % 10 = 0)"))
+@query("pagerank_item", _pagerank_sql(f"st AS (SELECT item AS qid, 'i:' || item AS node, 1.0::DOUBLE AS x0 FROM event_tags WHERE item % {ASKING} = 0)"))
 def pagerank_item(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = V.event_tags(spark, sf_dir)
-    start = corpus.where("item % 10 = 0").select(F.col("item").alias("qid"), F.concat(F.lit("i:"), F.col("item").cast("string")).alias("node"), F.lit(1.0).alias("x0"))
-    return G.pagerank(start, G.homogeneous(C.edges(corpus)), cut, rounds=ROUNDS, tol=0.0).withColumn("score", F.round("score", 8))
+    start = corpus.where(f"item % {ASKING} = 0").select(F.col("item").alias("qid"), F.concat(F.lit("i:"), F.col("item").cast("string")).alias("node"), F.lit(1.0).alias("x0"))
+    return G.pagerank(start, G.homogeneous(C.edges(corpus)), cut).withColumn("score", F.round("score", 8))
 
 
-@query("pagerank_user", _pagerank_sql(f"""{V.EVENTS_SQL}, ui AS (SELECT "user" AS qid, item, count(*) AS n FROM ev JOIN event_tags USING (item) GROUP BY 1, 2), st AS (SELECT qid, 'i:' || item AS node, n / sum(n) OVER (PARTITION BY qid) AS x0 FROM ui)"""))
+@query("pagerank_user", _pagerank_sql(f"""{V.EVENTS_SQL}, ui AS (SELECT "user" AS qid, item, count(*) AS n FROM ev JOIN event_tags USING (item) WHERE "user" % {ASKING} = 0 GROUP BY 1, 2), st AS (SELECT qid, 'i:' || item AS node, n / sum(n) OVER (PARTITION BY qid) AS x0 FROM ui)"""))
 def pagerank_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     corpus = V.event_tags(spark, sf_dir)
-    own = V.events(spark, sf_dir).join(corpus.select("item"), "item", "left_semi").groupBy(F.col("user").alias("qid"), "item").agg(F.count("*").alias("n"))
+    own = V.events(spark, sf_dir).where(f"user % {ASKING} = 0").join(corpus.select("item"), "item", "left_semi").groupBy(F.col("user").alias("qid"), "item").agg(F.count("*").alias("n"))
     start = own.select("qid", F.concat(F.lit("i:"), F.col("item").cast("string")).alias("node"), (F.col("n") / F.sum("n").over(Window.partitionBy("qid"))).alias("x0"))
-    return G.pagerank(start, G.homogeneous(C.edges(corpus)), cut, rounds=ROUNDS, tol=0.0).withColumn("score", F.round("score", 8))
+    return G.pagerank(start, G.homogeneous(C.edges(corpus)), cut).withColumn("score", F.round("score", 8))
 
 
 @query("homogeneous_edges", f"WITH {V.TAGS_SQL}, ed AS (SELECT item, tag, count(*) AS w FROM (SELECT item, unnest(tags) AS tag FROM base_tags) GROUP BY item, tag) SELECT 'i:' || item AS src, 't:' || tag AS dst, w FROM ed UNION ALL SELECT 't:' || tag, 'i:' || item, w FROM ed")

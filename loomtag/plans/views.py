@@ -35,8 +35,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(item, tags) of the items of the events."""
-    return base_tags(spark, sf_dir).where(F.col("item").between(0, 99)).select(F.col("item").cast("int").alias("item"), "tags")
+    """(item, tags) of all parts, with ids as the events write them."""
+    return base_tags(spark, sf_dir).select(F.col("item").cast("int").alias("item"), "tags")
 
 
 def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,6 @@ LABELS_SQL = """session_labels AS (
 ), session_label AS (SELECT session_id, unnest(labels) AS label FROM session_labels)"""
 TAGS_SQL = "base_tags AS (SELECT p_partkey AS item, list_concat([p_brand, p_type], string_split(p_name, ' ')) AS tags FROM part)"
 EVENTS_SQL = "ev AS (SELECT user_id AS \"user\", CAST(json_extract_string(props, '$.k') AS INT) AS item, ts, event_type AS action FROM events)"
-EVENT_TAGS_SQL = TAGS_SQL + ", event_tags AS (SELECT item::INT AS item, tags FROM base_tags WHERE item BETWEEN 0 AND 99)"
+EVENT_TAGS_SQL = TAGS_SQL + ", event_tags AS (SELECT item::INT AS item, tags FROM base_tags)"
 PURCHASES_SQL = ITEMS_SQL + ', purchases AS (SELECT o_custkey AS "user", item, o_orderdate AS day, session_id FROM orders JOIN session_items ON o_orderkey = session_id)'
 SEQS_SQL = EVENTS_SQL + ', seqs AS (SELECT "user", list(item ORDER BY ts, item) AS seq FROM ev GROUP BY "user")'

@@ -5,6 +5,8 @@ All are column expressions but the longest common subsequence, which is one Arro
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,15 +68,15 @@ def json_array(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"(?s)\[.*\]", 0), F.lit(""))
 
 
-def normalised_labels(prediction: Column, most: int = 5) -> Column:
-    """Labels of a prediction in any of its shapes: {"predicted_classes": […]}, {"predicted_class": "…"}, a list, or text split at ; , or |.
+def normalised_labels(prediction: Column, most: int = 5, separator: str = ";") -> Column:
+    """Labels of a prediction in any of its shapes: {"predicted_classes": […]}, {"predicted_class": "…"} (one label, whole), a list, or text split at the separator.
 
     Trimmed, distinct, at most `most`; `Unknown` if there are none.
     """
     obj = F.from_json(prediction, "predicted_classes array<string>, predicted_class string")
     listed = F.when(F.ltrim(prediction).startswith("["), F.from_json(prediction, "array<string>"))
-    plain = F.when(~F.ltrim(prediction).rlike(r"^[\[{]"), F.split(prediction, r"[;,|]"))
-    got = F.coalesce(obj["predicted_classes"], F.when(obj["predicted_class"].isNotNull(), F.split(obj["predicted_class"], r"[;,|]")), listed, plain, _none())
+    plain = F.when(~F.ltrim(prediction).rlike(r"^[\[{]"), F.split(prediction, re.escape(separator)))
+    got = F.coalesce(obj["predicted_classes"], F.when(obj["predicted_class"].isNotNull(), F.array(obj["predicted_class"])), listed, plain, _none())
     clean = F.slice(F.array_distinct(F.filter(F.transform(got, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))), 1, most)
     return F.when(F.size(clean) == 0, F.array(F.lit("Unknown"))).otherwise(clean)
 
@@ -162,6 +164,19 @@ def ranked_indexes(answer: Column, budget: int) -> Column:
     return F.array_distinct(F.filter(numbers, lambda x: x < budget))
 
 
+def ranked_by_index(answers: DataFrame, candidates: DataFrame, budget: int) -> DataFrame:
+    """(qid, item, score) of answers (qid, answer) whose lines are indexes of candidates (qid, pos, item, text), pos from 0.
+
+    Lines that are no number below the budget are passed over; of candidates with one
+    text the first named counts, and the k-th found scores budget - k + 1.
+    """
+    lines = answers.select("qid", F.posexplode(ranked_indexes(F.col("answer"), budget)).alias("line_no", "pos"))
+    hits = lines.join(candidates, ["qid", "pos"])
+    once = F.row_number().over(Window.partitionBy("qid", "text").orderBy("line_no"))
+    order = F.row_number().over(Window.partitionBy("qid").orderBy("line_no"))
+    return hits.withColumn("_o", once).where("_o = 1").withColumn("k", order).select("qid", "item", (F.lit(budget) - F.col("k") + 1).alias("score"))
+
+
 def preference_histogram(tags: DataFrame, suffix: str) -> DataFrame:
     """(key, preferences): `name (count)` of the preference tags in (key, tags), most common first, ties by name."""
     long = tags.select("key", F.explode("tags").alias("t")).where(F.endswith("t", F.lit(suffix)))
@@ -172,17 +187,20 @@ def preference_histogram(tags: DataFrame, suffix: str) -> DataFrame:
 
 @F.pandas_udf(T.IntegerType())
 def common_subsequence(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Length of the longest common subsequence of two texts."""
+    """Length of the longest common subsequence of two texts, a row of the table at a time as the bits of one number."""
 
     def one(x: str | None, y: str | None) -> int:
         if not x or not y:
             return 0
-        row = [0] * (len(y) + 1)
+        places: dict[str, int] = {}
+        for j, ch in enumerate(y):
+            places[ch] = places.get(ch, 0) | 1 << j
+        full = (1 << len(y)) - 1
+        row = full
         for ch in x:
-            before = 0
-            for j, other in enumerate(y, 1):
-                before, row[j] = row[j], before + 1 if ch == other else max(row[j], row[j - 1])
-        return row[-1]
+            hit = row & places.get(ch, 0)
+            row = (row + hit | row - hit) & full
+        return len(y) - row.bit_count()
 
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
 
@@ -190,15 +208,16 @@ def common_subsequence(a: pd.Series, b: pd.Series) -> pd.Series:
 def ranked_by_text(answers: DataFrame, candidates: DataFrame, budget: int, share: float = 0.9) -> DataFrame:
     """(qid, item, score) of answers (qid, answer) against candidates (qid, pos, item, text).
 
-    A numbered line names the first candidate that contains it, lies in it, or
-    shares more than `share` of its letters in order; each candidate counts once, and
-    the k-th found scores budget - k + 1. The letters are compared only where neither
-    text holds the other.
+    A line, without its number, names the first candidate that contains it, lies in
+    it, or shares more than `share` of its letters in order; each candidate counts
+    once, and the k-th found scores budget - k + 1. Lines that repeat the request
+    (`candidate movies:`) are passed over. The letters are compared only where neither
+    text holds the other and the line is long enough.
     """
-    line = F.trim(F.regexp_extract("raw", r"^\s*\d+\.?\s*(.*)$", 1))
-    lines = answers.select("qid", F.posexplode(F.split("answer", "\n")).alias("line_no", "raw")).where(F.col("raw").rlike(r"^\s*\d+")).select("qid", "line_no", line.alias("line")).where("line <> ''")
+    line = F.trim(F.regexp_replace("raw", r"^\d+\. ", ""))
+    lines = answers.select("qid", F.posexplode(F.split("answer", "\n")).alias("line_no", "raw")).where(~F.endswith("raw", F.lit("candidate movies:"))).select("qid", "line_no", line.alias("line")).where("line <> ''")
     pairs = lines.join(candidates, "qid").withColumn("inside", F.contains("line", F.col("text")) | F.contains("text", F.col("line")))
-    near = pairs.where("NOT inside").withColumn("lcs", common_subsequence("text", "line")).where(F.col("lcs") > F.length("text") * share).drop("lcs")
+    near = pairs.where(~F.col("inside") & (F.length("line") > F.length("text") * share)).withColumn("lcs", common_subsequence("text", "line")).where(F.col("lcs") > F.length("text") * share).drop("lcs")
     found = pairs.where("inside").unionByName(near)
     first = F.row_number().over(Window.partitionBy("qid", "line_no").orderBy("pos"))
     once = F.row_number().over(Window.partitionBy("qid", "item").orderBy("line_no"))

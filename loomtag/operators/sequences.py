@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtag.scratch import saved
+
 
 def collect_sequences(events: DataFrame, user: str = "user", item: str = "item", order: str = "ts") -> DataFrame:
     """(user, seq): the items of each user by (order, item)."""
@@ -110,14 +112,19 @@ def dense_ids(df: DataFrame, key: str, name: str) -> DataFrame:
     per partition, so no window sees all keys.
     """
     keys = df.select(key).where(F.col(key).isNotNull()).distinct().repartitionByRange(F.col(key)).withColumn("_p", F.spark_partition_id())
-    ranked = keys.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(key)))
-    # ranges are found by sampling: keep one dealing of the keys for the counts and for the rows
-    ranked = ranked.persist()
+    # ranges are found by sampling: write one dealing of the keys for the counts and for the rows
+    ranked = saved(keys.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(key))), "dense")
     sizes = ranked.groupBy("_p").agg(F.count("*").alias("_n"), F.min(key).alias("_least"))
     before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_least").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     return ranked.join(F.broadcast(before), "_p").select(key, (F.col("_before") + F.col("_r") - 1).alias(name))  # one row per partition
 
 
+def first_appearance_ids(df: DataFrame, key: str, order: str, name: str) -> DataFrame:
+    """(key, name): 0, 1, … over the distinct non-null keys by their least value of order, ties by key."""
+    first = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("_o")).select(F.struct("_o", F.col(key).alias("_k")).alias("_s"))
+    return dense_ids(first, "_s", name).select(F.col("_s._k").alias(key), name)
+
+
 def positional_split(ids: DataFrame, index: str, train: float = 0.7, valid: float = 0.9) -> DataFrame:
     """Adds split by the place of a dense index: the first 70 %, the next 20 %, the rest."""
     n = ids.agg(F.count("*").alias("n"))
@@ -159,6 +166,16 @@ def indexed(df: DataFrame, ids: DataFrame, key: str = "item", index: str = "idx"
     return long.groupBy("user").agg(F.transform(pairs, lambda x: x[index]).alias("seq"))
 
 
+def skipped_items(df: DataFrame, ids: DataFrame, key: str = "item") -> DataFrame:
+    """(key, n): how often sequences hold an item that indexed() drops."""
+    return df.select(F.explode("seq").alias(key)).join(ids.select(key), key, "left_anti").groupBy(key).agg(F.count("*").alias("n"))
+
+
+def with_metadata(interactions: DataFrame, metadata: DataFrame, key: str = "item") -> DataFrame:
+    """Interactions with items that metadata knows."""
+    return interactions.join(metadata.select(key), key, "left_semi")
+
+
 def only_known_sessions(df: DataFrame, known: DataFrame, key: str = "item") -> DataFrame:
     """Sessions (user, seq) all of whose items are known."""
     long = df.select("user", F.explode("seq").alias(key)).join(known.select(key).distinct().withColumn("_known", F.lit(True)), key, "left")

@@ -114,11 +114,25 @@ def zscore_tags(counts: DataFrame, config: TagConfig = TagConfig()) -> DataFrame
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= config.most_labels).select("item", "label", "z", "adjusted", "level", "rank")
 
 
-def coverage(counts: DataFrame, tags: DataFrame) -> DataFrame:
-    """One row that sums a tagging run up: items and labels counted, items tagged, tags, labels used."""
+def coverage(counts: DataFrame, kept: DataFrame, tags: DataFrame, strong: float = 0.6) -> DataFrame:
+    """One row that sums a tagging run up: items and labels kept, labels removed as rare, strong labels, items tagged, tags, labels used.
+
+    counts are all (item, label, cnt), kept those of reliable labels; a label is
+    strong from the given percentile of incidences on.
+    """
+    own = label_incidences(counts)
+    bound = own.agg(F.percentile("incidences", F.lit(strong)).alias("p"))
+    all_labels = own.agg(F.count("*").alias("all_labels"), F.count_if(F.col("incidences") >= bound.scalar()).alias("strong_labels"))
     seen = tags.agg(F.countDistinct("item").alias("tagged_items"), F.count("*").alias("tags"), F.countDistinct("label").alias("used_labels"), F.avg("z").alias("mean_z"))
-    whole = counts.agg(F.countDistinct("item").alias("items"), F.countDistinct("label").alias("labels"))
-    return seen.join(F.broadcast(whole))  # one row each
+    whole = kept.agg(F.countDistinct("item").alias("items"), F.countDistinct("label").alias("labels"))
+    met = seen.join(F.broadcast(whole)).join(F.broadcast(all_labels))  # one row each
+    return met.withColumn("removed_labels", F.col("all_labels") - F.col("labels")).drop("all_labels")
+
+
+def level_counts(tags: DataFrame) -> DataFrame:
+    """(level, tags, share): how many of all tags each level has."""
+    counts = tags.where(F.col("level").isNotNull()).groupBy("level").agg(F.count("*").alias("tags"))
+    return counts.withColumn("share", F.col("tags") / counts.agg(F.sum("tags").alias("n")).scalar())
 
 
 def frequent_patterns(labels: DataFrame, least_support: int, most: int | None = None, sizes: tuple[int, ...] = (2, 3)) -> DataFrame:
@@ -181,7 +195,9 @@ def threshold_grid(scored: DataFrame, thresholds: list[float]) -> DataFrame:
 def bisect_threshold(evaluate, low: float = -2.0, high: float = 2.0, tolerance: float = 0.1, most_rounds: int = 8) -> tuple[float, dict[float, float]]:
     """The threshold with the best value of evaluate(threshold), by halving towards the better end (ties: the lower).
 
-    evaluate runs one Spark job on a cached table; each threshold is evaluated once.
+    Each round evaluates both ends and the middle, then stops if the range is within
+    the tolerance. evaluate runs one Spark job on a saved table; each threshold is
+    evaluated once.
     """
     seen: dict[float, float] = {}
 
@@ -191,11 +207,11 @@ def bisect_threshold(evaluate, low: float = -2.0, high: float = 2.0, tolerance:
         return seen[t]
 
     for _ in range(most_rounds):
+        middle = (low + high) / 2
+        at_low, _, at_high = value(low), value(middle), value(high)
         if high - low <= tolerance:
             break
-        middle = (low + high) / 2
-        value(middle)
-        if value(low) >= value(high):
+        if at_low >= at_high:
             high = middle
         else:
             low = middle

@@ -165,13 +165,45 @@ def joined_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.joined_splits(*parts).select("user", text("seq").alias("seq"))
 
 
+@query("skipped_items", f"""WITH {V.SEQS_SQL}, {V.TAGS_SQL} SELECT item, count(*) AS n FROM (SELECT unnest(seq) AS item FROM seqs) WHERE item NOT IN (SELECT item FROM base_tags WHERE item % 7 <> 3) GROUP BY item""")
+def skipped_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.skipped_items(seqs(spark, sf_dir), V.event_tags(spark, sf_dir).where("item % 7 <> 3"))
+
+
+@query("first_appearance_ids", f"""WITH {V.EVENTS_SQL} SELECT item, row_number() OVER (ORDER BY t, item) - 1 AS idx FROM (SELECT item, min(ts) AS t FROM ev GROUP BY item)""")
+def first_appearance_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.first_appearance_ids(V.events(spark, sf_dir), "item", "ts", "idx")
+
+
+@query("interactions_with_metadata", f"""WITH {V.PURCHASES_SQL} SELECT "user", item, day FROM purchases WHERE item IN (SELECT p_partkey FROM part WHERE p_size > 20)""")
+def interactions_with_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    meta = V.table(spark, sf_dir, "part").where("p_size > 20").select(F.col("p_partkey").alias("item"))
+    return S.with_metadata(V.purchases(spark, sf_dir), meta).select("user", "item", "day")
+
+
+@query("long_ids", """SELECT o_orderkey AS session_id, array_to_string(list_filter(string_split(o_orderpriority || ' ' || o_orderstatus || ' ' || o_orderkey, ' '), lambda x: length(x) >= 3), '|') AS ids FROM orders""")
+def long_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.split(F.concat_ws(" ", "o_orderpriority", "o_orderstatus", F.col("o_orderkey").cast("string")), " ")
+    return V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session_id"), F.array_join(S.long_ids(words, 3), "|").alias("ids"))
+
+
+@query("session_window", f"""WITH {V.ITEMS_SQL}, s AS (SELECT session_id, count(*) AS n, row_number() OVER (ORDER BY session_id) - 1 AS idx FROM session_items GROUP BY session_id HAVING count(*) <= 4) SELECT session_id, idx, n FROM s WHERE idx >= 10 AND idx < 110""")
+def session_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the sessions of at most four items the hundred from the eleventh on."""
+    s = V.session_items(spark, sf_dir).groupBy("session_id").agg(F.collect_list("item").alias("seq"))
+    short = S.at_most(s, 4)
+    ids = S.dense_ids(short, "session_id", "idx")
+    return S.window_of_sessions(ids, 10, 100, "idx").join(short, "session_id").select("session_id", "idx", F.size("seq").cast("long").alias("n"))
+
+
 @query("prediction_domain", f"""WITH {V.EVENTS_SQL}, c AS (SELECT DISTINCT "user", i.item FROM ev, (SELECT DISTINCT item FROM ev) i), s AS (SELECT DISTINCT "user", item FROM ev WHERE action <> 'purchase'),
 p AS (SELECT DISTINCT "user", item FROM ev WHERE action = 'purchase')
 SELECT "user", item FROM (SELECT * FROM c EXCEPT SELECT * FROM s) UNION SELECT "user", item FROM p""")
 def prediction_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = V.events(spark, sf_dir)
-    items = e.agg(F.collect_set("item").alias("items"))  # the catalogue of the events has a fixed size
-    candidates = e.select("user").distinct().select("user", F.explode(items.scalar()).alias("item"))
+    items = S.dense_ids(e, "item", "idx")
+    places = F.sequence(F.lit(0), F.lit(items.count() - 1))  # the domain itself is the result: a row for each user and item
+    candidates = e.select("user").distinct().select("user", F.explode(places).alias("idx")).join(items, "idx").select("user", "item")
     return S.prediction_domain(candidates, e.where("action <> 'purchase'"), e.where("action = 'purchase'"))
 
 

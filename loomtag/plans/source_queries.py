@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtag.operators import bm25 as B
 from loomtag.operators import corpus as C
 from loomtag.operators import evaluation as E
 from loomtag.operators import sequences as S
@@ -16,7 +17,7 @@ from loomtag.operators import tagging as T
 from loomtag.plans import views as V
 from loomtag.plans.registry import query
 from loomtag.plans.sequence_queries import _HELD, seqs, text
-from loomtag.plans.tagging_queries import _reliable
+from loomtag.plans.tagging_queries import _COUNTS, _RELIABLE, _Z, _reliable
 from loomtag.scratch import cut
 from loomtag.scratch import new_path as scratch
 from loomtag.sources import readers as R
@@ -169,22 +170,94 @@ def write_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@query("threshold_search")
+@query("read_items", """SELECT p_partkey::VARCHAR AS item_id, p_name AS title, p_size::DOUBLE AS size, p_brand || '|' || p_type AS tags FROM part""")
+def read_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Item features in a file whose header gives the types of its fields."""
+    path = scratch(spark, "items")
+    p = V.table(spark, sf_dir, "part")
+    p.select(F.col("p_partkey").alias("item_id:token"), F.col("p_name").alias("title:token"), F.col("p_size").alias("size:float"), F.concat_ws(" ", "p_brand", "p_type").alias("tags:token_seq")).write.csv(path, sep="\t", header=True)
+    return R.atomic_items(spark, path).withColumn("tags", F.array_join("tags", "|"))
+
+
+@query("read_event_frame", f"WITH {V.EVENTS_SQL} SELECT \"user\", count(*) AS n, max(item) AS item FROM ev GROUP BY \"user\"")
+def read_event_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "frame")
+    V.events(spark, sf_dir).write.parquet(path)
+    return R.event_frame(spark, path).groupBy("user").agg(F.count("*").alias("n"), F.max("item").alias("item"))
+
+
+@query("read_results", """SELECT config, split, value FROM (SELECT p_brand AS config, p_type AS split, round(avg(p_retailprice), 4) AS value FROM part GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY split ORDER BY value DESC, config) = 1""")
+def read_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best row of each split, from result tables of two runs."""
+    path = scratch(spark, "results")
+    r = V.table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("config"), F.col("p_type").alias("split")).agg(F.round(F.avg("p_retailprice"), 4).alias("value"))
+    for run in (0, 1):
+        r.where(F.pmod(F.length("config"), F.lit(2)) == run).write.mode("append").csv(path, header=True)
+    return E.best_rows(R.results(spark, path, "config string, split string, value double"), "value", ("split",))
+
+
+@query("write_id_map", """SELECT p_partkey::VARCHAR AS item, (row_number() OVER (ORDER BY p_partkey) - 1)::VARCHAR AS idx FROM part""")
+def write_id_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "ids")
+    W.id_map(S.dense_ids(V.base_tags(spark, sf_dir), "item", "idx"), path)
+    return spark.read.csv(path, sep="\t", schema="item string, idx string")
+
+
+@query("named_items", f"""WITH {V.ITEMS_SQL} SELECT DISTINCT session_id, item FROM session_items JOIN part ON item = p_partkey WHERE p_size % 5 <> 0""")
+def named_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of sessions read as lists of padded names with repeats and blanks, looked up by name."""
+    names = V.table(spark, sf_dir, "part").where("p_size % 5 <> 0").select(F.concat(F.lit("part "), F.col("p_partkey").cast("string")).alias("name"), F.col("p_partkey").alias("item"))
+    name = F.concat(F.lit(" part "), F.col("item").cast("string"), F.lit(" "))
+    cells = V.session_lines(spark, sf_dir).groupBy("session_id").agg(F.collect_list(name).alias("c"))
+    cells = cells.select("session_id", F.concat("c", F.array(F.lit(" "), F.lit("nan"), F.lit(None)), "c").alias("c"))
+    return T.known_items(cells.select("session_id", F.explode(T.distinct_items(F.col("c"))).alias("name")), names).select("session_id", "item")
+
+
+#: Negatives of a query of the search.
+SEARCH_NEGATIVES = 20
+
+
+@query("threshold_search", f"""WITH RECURSIVE {_COUNTS}, {V.TAGS_SQL}, {V.ONLY_PURCHASES_SQL}, {_RELIABLE.format(divisor=20.0)}, {_Z},
+sq AS (SELECT "user" AS qid, list(item ORDER BY day, item) AS seq FROM purchases GROUP BY "user" HAVING count(*) >= 3), pos AS (SELECT qid, seq[len(seq) - 1] AS item FROM sq), ask AS (SELECT qid, seq[len(seq) - 2] AS item FROM sq),
+it AS (SELECT p_partkey AS item, row_number() OVER (ORDER BY p_partkey) - 1 AS idx, count(*) OVER () AS size FROM part), size AS (SELECT max(size) AS size FROM it),
+dr AS (SELECT qid, draw, ('0x' || md5('42|valid|' || qid || '|' || draw)[1:15])::BIGINT % size AS idx FROM (SELECT qid, size, unnest(range({8 * SEARCH_NEGATIVES + 64})) AS draw FROM pos, size WHERE size > {4 * SEARCH_NEGATIVES})),
+fr2 AS (SELECT qid, item, '' AS h, min(draw) AS d FROM dr JOIN it USING (idx) GROUP BY qid, item UNION ALL SELECT qid, it.item, md5('42|valid|' || qid || '|' || it.item), 0 FROM pos, it WHERE it.size <= {4 * SEARCH_NEGATIVES}),
+cand AS (SELECT qid, item, 1 AS is_pos FROM pos UNION ALL SELECT qid, item, 0 FROM (SELECT * FROM fr2 ANTI JOIN pos USING (qid, item) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY h, d, item) <= {SEARCH_NEGATIVES})),
+th AS (SELECT -2 + i / 32.0::DOUBLE AS t FROM (SELECT unnest(range(129)) AS i)),
+nt AS (SELECT t, item, label || ' Preference' AS tag FROM z JOIN adj USING (item) JOIN th ON z >= t QUALIFY row_number() OVER (PARTITION BY t, item ORDER BY z + adjustment DESC, label) <= 6),
+cp AS (SELECT t, item, tag, count(*) AS w FROM (SELECT t, item, unnest(tags) AS tag FROM base_tags, th UNION ALL SELECT nt.t, nt.item, nt.tag FROM nt SEMI JOIN base_tags USING (item)) GROUP BY ALL),
+sz AS (SELECT t, item, sum(w) AS l FROM cp GROUP BY t, item), av AS (SELECT t, avg(l) AS a, count(*) AS n FROM sz GROUP BY t),
+tm AS (SELECT t, tag, ln(any_value(n) - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS idf FROM cp JOIN av USING (t) GROUP BY t, tag),
+sc AS (SELECT cp.t, c.qid, c.item, round(sum(q.w * idf * cp.w * 2.5::DOUBLE / (cp.w + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / a))), 6) AS score
+  FROM cand c JOIN cp USING (item) JOIN (SELECT * FROM tm WHERE idf > 0) m ON m.t = cp.t AND m.tag = cp.tag JOIN sz ON sz.t = cp.t AND sz.item = cp.item JOIN av ON av.t = cp.t JOIN ask ON ask.qid = c.qid JOIN cp q ON q.t = cp.t AND q.item = ask.item AND q.tag = cp.tag GROUP BY cp.t, c.qid, c.item),
+rk AS (SELECT t, c.qid, c.is_pos, row_number() OVER (PARTITION BY t, c.qid ORDER BY coalesce(s.score, 0) DESC, md5('42|' || c.qid || '|' || c.item)) AS rank FROM cand c CROSS JOIN th LEFT JOIN sc s USING (t, qid, item)),
+nd AS (SELECT t, round(avg(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1.0::DOUBLE) ELSE 0 END), 6) AS ndcg FROM rk WHERE is_pos = 1 GROUP BY t),
+bi AS (SELECT 1 AS i, -2.0::DOUBLE AS l, 2.0::DOUBLE AS r UNION ALL SELECT i + 1, CASE WHEN x.ndcg >= y.ndcg THEN l ELSE (l + r) / 2 END, CASE WHEN x.ndcg >= y.ndcg THEN (l + r) / 2 ELSE r END FROM bi JOIN nd x ON x.t = l JOIN nd y ON y.t = r WHERE r - l > 0.1 AND i < 8),
+ev2 AS (SELECT DISTINCT unnest([l, (l + r) / 2, r]) AS t FROM bi)
+SELECT t AS threshold, ndcg, t = (SELECT t FROM ev2 JOIN nd USING (t) ORDER BY ndcg DESC, t LIMIT 1) AS best FROM ev2 JOIN nd USING (t)""")
 def threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bisection for the threshold whose tags have most evidence per tag less a price per item left without any.
+    """Bisection for the threshold whose tags retrieve best: NDCG@10 of each customer's last part but one, among 20 others, asked for by the part before it.
 
-    The z-scores are made once; each round is one aggregation over them. Returns the
-    tag counts at all evaluated thresholds and marks the best.
+    Counts, candidates and base tags are made once; a threshold costs tags, an index
+    and the scores of the candidates. Returns all evaluated thresholds and marks the best.
     """
-    z = cut(T.with_zscores(_reliable(spark, sf_dir)))
-    n = z.select("item").distinct().count()
-
-    def value(t: float) -> float:
-        row = z.where(F.col("z") >= t).agg(F.coalesce(F.avg("z"), F.lit(0.0)).alias("z"), F.countDistinct("item").alias("items")).first()
-        return row["z"] - 2.0 * (1 - row["items"] / max(1, n))
-
-    best, seen = T.bisect_threshold(value)
-    return T.threshold_grid(z, list(seen)).withColumn("best", F.col("threshold") == best)
+    z, base = _reliable(spark, sf_dir), V.base_tags(spark, sf_dir)
+    s = S.leave_one_out(S.collect_sequences(V.purchases(spark, sf_dir), order="day")).where(F.size("seq") >= 3)
+    pos = cut(s.select(F.col("user").alias("qid"), F.col("valid").alias("item")))
+    asks = cut(s.select(F.col("user").alias("qid"), F.slice("train", -1, 1).alias("seq")))
+    items = S.dense_ids(base, "item", "idx")
+    c = cut(E.sampled_candidates(pos, E.negatives(pos, items, SEARCH_NEGATIVES, split="valid")))
+    none = z.where("false").select("item", F.lit("").alias("pattern"), F.lit("").alias("level"))
+
+    def ndcg(t: float) -> float:
+        tags = T.zscore_tags(z, T.TagConfig(levels=((t, " Preference"),)))
+        corpus = cut(T.enhanced(base, tags, none))
+        scores = B.scored(B.history_queries(B.history_weights(asks, "last"), corpus), B.postings(corpus), c).withColumn("score", F.round("score", 6))
+        return E.mean_metrics(E.query_metrics(E.ranked(c, scores), (10,))).select(F.round("ndcg", 6)).first()[0] or 0.0
+
+    best, seen = T.bisect_threshold(ndcg)
+    rows = F.array(*[F.struct(F.lit(t).alias("threshold"), F.lit(v).alias("ndcg"), F.lit(t == best).alias("best")) for t, v in seen.items()])
+    return spark.range(1).select(F.explode(rows).alias("r")).select("r.*")
 
 
 @query("best_per_group", f"WITH {V.TAGS_SQL}, e AS (SELECT item % 10 AS g, tag, count(*) AS n FROM (SELECT item, unnest(tags) AS tag FROM base_tags) GROUP BY 1, 2) SELECT g, tag, n FROM e QUALIFY row_number() OVER (PARTITION BY g ORDER BY n DESC, tag) = 1")

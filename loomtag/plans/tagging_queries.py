@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomtag.operators import tagging as T
 from loomtag.plans import views as V
 from loomtag.plans.registry import query
+from loomtag.scratch import saved
 
 CONFIG = T.TagConfig(levels=((0.5, " Preference"), (1.5, " Strong Preference")), least_support=100)
 STRICT = 1.0
@@ -35,12 +36,13 @@ tags AS (
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.item_label_counts(V.session_items(spark, sf_dir), V.session_labels(spark, sf_dir))
+    return T.item_label_counts(V.session_lines(spark, sf_dir), V.session_labels(spark, sf_dir))
 
 
 def _reliable(spark: SparkSession, sf_dir: str, divisor: float = 20.0) -> DataFrame:
+    """Counts of reliable labels, written: incidences, statistics, frequencies and scores all start from them."""
     n = V.table(spark, sf_dir, "orders").agg(F.count("*").alias("n"))
-    return T.reliable(_counts(spark, sf_dir), n, divisor)
+    return saved(T.reliable(saved(_counts(spark, sf_dir), "counts"), n, divisor), "reliable")
 
 
 @query("item_label_counts", f"WITH {_COUNTS} SELECT item, label, cnt FROM counts")
@@ -89,12 +91,20 @@ def zscore_tags_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tags(spark, sf_dir, STRICT)
 
 
-@query("tag_coverage", f"""WITH {_COUNTS}, {_RELIABLE.format(divisor=20.0)}, {_Z}
+@query("tag_coverage", f"""WITH {_COUNTS}, {_RELIABLE.format(divisor=20.0)}, {_Z}, inc AS (SELECT label, sum(cnt) AS n FROM counts GROUP BY label)
 SELECT count(DISTINCT item) AS tagged_items, count(*) AS tags, count(DISTINCT label) AS used_labels, round(avg(z), 6) AS mean_z,
-       (SELECT count(DISTINCT item) FROM reliable) AS items, (SELECT count(DISTINCT label) FROM reliable) AS labels FROM tags""")
+       (SELECT count(DISTINCT item) FROM reliable) AS items, (SELECT count(DISTINCT label) FROM reliable) AS labels,
+       (SELECT count(*) FROM inc) - (SELECT count(DISTINCT label) FROM reliable) AS removed_labels,
+       (SELECT count(*) FROM inc WHERE n >= (SELECT quantile_cont(n, 0.6) FROM inc)) AS strong_labels FROM tags""")
 def tag_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _reliable(spark, sf_dir)
-    return T.coverage(counts, T.zscore_tags(counts, CONFIG)).withColumn("mean_z", F.round("mean_z", 6))
+    counts = _counts(spark, sf_dir)
+    kept = _reliable(spark, sf_dir)
+    return T.coverage(counts, kept, T.zscore_tags(kept, CONFIG)).withColumn("mean_z", F.round("mean_z", 6))
+
+
+@query("tag_levels", f"WITH {_COUNTS}, {_RELIABLE.format(divisor=20.0)}, {_Z} SELECT level, count(*) AS tags, round(count(*) / (SELECT count(*) FROM tags), 6) AS share FROM tags GROUP BY level")
+def tag_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.level_counts(T.zscore_tags(_reliable(spark, sf_dir), CONFIG)).withColumn("share", F.round("share", 6))
 
 
 _PATTERNS = """pat AS (
@@ -126,7 +136,7 @@ pz AS (SELECT item, pattern, cnt, CASE WHEN std = 0 THEN 0.0 ELSE (cnt - mean) /
 def _pattern_z(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = V.session_labels(spark, sf_dir)
     top = T.frequent_patterns(labels, CONFIG.least_support, CONFIG.most_patterns)
-    return T.pattern_zscores(T.item_pattern_counts(V.session_items(spark, sf_dir), labels, top))
+    return T.pattern_zscores(T.item_pattern_counts(V.session_lines(spark, sf_dir), labels, top))
 
 
 @query("pattern_zscores", f"WITH {V.ITEMS_SQL}, {V.LABELS_SQL}, {_PATTERNS}, {_CELLS} SELECT item, pattern, cnt, round(z, 5) AS z FROM pz")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomtag.functions import prompts as M
 from loomtag.functions import text as X
 from loomtag.operators import corpus as C
 from loomtag.operators import evaluation as E
@@ -30,15 +31,16 @@ def parse_beams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _completions(spark, sf_dir).select("item", F.array_join(X.beam_tags(beams, 3), "|").alias("tags"))
 
 
-@query("label_normalise", """SELECT o_orderkey AS session_id, CASE o_orderkey % 6 WHEN 0 THEN o_orderpriority || '|' || o_orderstatus WHEN 1 THEN o_orderpriority WHEN 2 THEN o_orderstatus || '|x' WHEN 3 THEN o_orderpriority || '|' || o_orderstatus ELSE 'Unknown' END AS labels FROM orders""")
+@query("label_normalise", """SELECT o_orderkey AS session_id, CASE o_orderkey % 7 WHEN 6 THEN o_orderpriority || ', or ' || o_orderstatus WHEN 0 THEN o_orderpriority || '|' || o_orderstatus WHEN 1 THEN o_orderpriority WHEN 2 THEN o_orderstatus || '|x' WHEN 3 THEN o_orderpriority || '|' || o_orderstatus ELSE 'Unknown' END AS labels FROM orders""")
 def label_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o, k = V.table(spark, sf_dir, "orders"), F.col("o_orderkey") % 6
+    o, k = V.table(spark, sf_dir, "orders"), F.col("o_orderkey") % 7
     text = (
         F.when(k == 0, F.to_json(F.struct(F.array("o_orderpriority", F.concat(F.lit(" "), "o_orderstatus")).alias("predicted_classes"))))
         .when(k == 1, F.to_json(F.struct(F.col("o_orderpriority").alias("predicted_class"))))
         .when(k == 2, F.to_json(F.array(F.col("o_orderstatus"), F.lit("x"), F.col("o_orderstatus"))))
         .when(k == 3, F.concat("o_orderpriority", F.lit("; "), "o_orderstatus"))
         .when(k == 4, F.lit("{}"))
+        .when(k == 6, F.to_json(F.struct(F.concat("o_orderpriority", F.lit(", or "), "o_orderstatus").alias("predicted_class"))))
     )
     return o.select(F.col("o_orderkey").alias("session_id"), F.array_join(X.normalised_labels(text), "|").alias("labels"))
 
@@ -208,3 +210,85 @@ def selected_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = s.select("user", S.seeded_order(7, F.col("user")).alias("o")).orderBy("o", "user").limit(20)
     numbered = drawn.withColumn("order_no", F.row_number().over(Window.orderBy("o", "user")))
     return E.selected_in_order(s.select("user", F.col("test").alias("target")), numbered.select("user", "order_no"))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _cases(column: str, values: dict[str, str]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {_quoted(v)}" for k, v in values.items()) + " END"
+
+
+_CLUSTER = {k: M.cluster_template(d, 12, 2) for k, d in M.DOMAINS.items()}
+_LABEL = {k: M.label_template(d) for k, d in M.DOMAINS.items()}
+_NAMES = list(M.DOMAINS)
+_BODIES = f"""WITH {V.EVENTS_SQL}, b AS (SELECT "user" AS key, {_NAMES}[1 + "user" % 4] AS domain, 'user ' || "user" || ': ' || count(*) AS body, list_sort(list(DISTINCT action)) AS acts FROM ev GROUP BY "user"),
+r AS (SELECT *, CASE WHEN key % 3 = 0 THEN acts[1:2] END AS high, CASE WHEN key % 2 = 0 THEN acts[2:3] END AS low, CASE WHEN key % 5 <> 0 THEN acts[1:1] END AS previous FROM b)"""
+
+
+def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, domain, body, acts) and the labels of an earlier round, where there are any."""
+    u = F.col("key")
+    b = V.events(spark, sf_dir).groupBy(F.col("user").alias("key")).agg(F.count("*").alias("c"), F.array_sort(F.collect_set("action")).alias("acts"))
+    b = b.select("key", F.element_at(F.array(*map(F.lit, _NAMES)), (1 + u % 4).cast("int")).alias("domain"), F.concat(F.lit("user "), u.cast("string"), F.lit(": "), F.col("c").cast("string")).alias("body"), "acts")
+    return b.select("*", F.when(u % 3 == 0, F.slice("acts", 1, 2)).alias("high"), F.when(u % 2 == 0, F.slice("acts", 2, 2)).alias("low"), F.when(u % 5 != 0, F.slice("acts", 1, 1)).alias("previous"))
+
+
+def _json_sql(column: str) -> str:
+    return f"""'["' || array_to_string({column}, '","') || '"]'"""
+
+
+@query("cluster_prompts", f"""{_BODIES}, x AS (SELECT key, {_cases('domain', _CLUSTER)} AS t, body,
+  CASE WHEN high IS NOT NULL THEN chr(10) || chr(10) || '4. Labels to keep where the sessions allow it' || chr(10) || {_json_sql('high')} ELSE '' END ||
+  CASE WHEN len(low) > 0 THEN chr(10) || chr(10) || CASE WHEN high IS NULL THEN '4' ELSE '5' END || '. Labels that must not be used again' || chr(10) || {_json_sql('low')}
+       WHEN len(previous) > 0 THEN chr(10) || chr(10) || CASE WHEN high IS NULL THEN '4' ELSE '5' END || '. Labels of the last round, as a hint' || chr(10) || {_json_sql('previous')} ELSE '' END AS refs FROM r)
+SELECT key, replace(replace(t, '{{references}}', refs), '{{body}}', body) AS prompt FROM x""")
+def cluster_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.cluster_prompts(_bodies(spark, sf_dir), M.templates(spark, lambda d: M.cluster_template(d, 12, 2)))
+
+
+@query("label_prompts", f"""{_BODIES} SELECT key, replace(replace(replace({_cases('domain', _LABEL)}, '{{categories}}', array_to_string(acts, ', ')), '{{n}}', '1'), '{{body}}', body) AS prompt FROM b""")
+def label_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _bodies(spark, sf_dir).select("key", "domain", "body", F.lit(1).alias("n"), F.col("acts").alias("categories"))
+    return M.label_prompts(b, M.templates(spark, M.label_template))
+
+
+@query("augment_prompts", f"""{_BODIES} SELECT key, replace({_quoted(M.AUGMENT_TEMPLATE)}, '{{body}}', body) AS prompt FROM b""")
+def augment_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.augment_prompts(_bodies(spark, sf_dir).select("key", F.col("body").alias("prompt")))
+
+
+_RANKING, _UNITS = {k: M.ranking_template(r) for k, r in M.RANKINGS.items()}, {k: r.unit for k, r in M.RANKINGS.items()}
+
+
+@query("ranking_prompts", f"""WITH {V.SEQS_SQL}, {V.TAGS_SQL}, s AS (SELECT "user" AS key, {_NAMES}[1 + "user" % 4] AS domain, seq[greatest(len(seq) - 5, 0) + 1 :] AS h, seq[1:4] AS c FROM seqs),
+hl AS (SELECT key, unnest(h) AS item, unnest(range(len(h))) AS pos FROM s), cl AS (SELECT key, unnest(c) AS item, unnest(range(len(c))) AS pos FROM s),
+hp AS (SELECT key, tag, count(*) AS n FROM hl JOIN (SELECT item, unnest(tags[3:4]) AS tag FROM base_tags WHERE item % 3 <> 0) t USING (item) GROUP BY key, tag),
+hs AS (SELECT key, string_agg('  - ' || tag || ': ' || n || ' ' || {_cases('domain', _UNITS)}, chr(10) ORDER BY n DESC, tag) AS t FROM hp JOIN s USING (key) GROUP BY key),
+ht AS (SELECT key, string_agg(pos || '. item ' || item, chr(10) ORDER BY pos) AS t FROM hl GROUP BY key),
+ct AS (SELECT key, string_agg(pos || '. item ' || item || CASE WHEN m IS NULL THEN '' ELSE chr(10) || '   [Matches: ' || m || ']' END, chr(10) ORDER BY pos) AS t FROM (
+  SELECT cl.key, cl.pos, cl.item, (SELECT string_agg(x.tag, ', ' ORDER BY x.i) FROM (SELECT tag, min(i) AS i FROM (SELECT unnest(tags[3:4]) AS tag, unnest([1, 2]) AS i FROM base_tags WHERE item = cl.item AND item % 3 <> 0) GROUP BY tag) x JOIN hp ON hp.key = cl.key AND hp.tag = x.tag) AS m FROM cl) GROUP BY key)
+SELECT s.key, replace(replace(replace(replace({_cases('domain', _RANKING)}, '{{summary}}', CASE WHEN hs.t IS NULL THEN '' ELSE 'My history shows these patterns:' || chr(10) || hs.t || chr(10) || chr(10) END), '{{history}}', ht.t), '{{candidates}}', ct.t), '{{n}}', len(c)::VARCHAR) AS prompt
+FROM s JOIN ht USING (key) JOIN ct USING (key) LEFT JOIN hs USING (key)""")
+def ranking_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histories and candidates of the events; the words of a part's name are the preferences of some items."""
+    own = V.base_tags(spark, sf_dir).select("item", F.struct(F.concat(F.lit("item "), F.col("item").cast("string")).alias("text"), F.when(F.col("item") % 3 != 0, F.slice("tags", 3, 2)).alias("preferences")).alias("x"))
+    s = seqs(spark, sf_dir).select(F.col("user").alias("key"), S.last_n(F.col("seq"), 5).alias("history"), F.slice("seq", 1, 4).alias("candidates"))
+    out = s.select("key", F.element_at(F.array(*map(F.lit, _NAMES)), (1 + F.col("key") % 4).cast("int")).alias("domain"))
+    for part in ("history", "candidates"):
+        long = s.select("key", F.posexplode(part).alias("pos", "item")).join(own, "item").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("l"))
+        out = out.join(long.select("key", F.transform("l", lambda y: y["x"]).alias(part)), "key")
+    return M.ranking_prompts(out, spark)
+
+
+@query("rank_scores_index", f"""WITH {V.SEQS_SQL}, c AS (SELECT "user" AS qid, list_distinct(seq) AS u, seq FROM seqs), l AS (SELECT qid, unnest(seq) AS pos, unnest(range(len(seq))) AS o FROM c), f AS (SELECT qid, pos, min(o) AS o FROM l WHERE pos < 20 GROUP BY 1, 2),
+k AS (SELECT qid, pos, pos // 2 AS text, o FROM f QUALIFY row_number() OVER (PARTITION BY qid, pos // 2 ORDER BY o) = 1)
+SELECT qid, 1000 + pos AS item, (20 - row_number() OVER (PARTITION BY qid ORDER BY o) + 1)::INT AS score FROM k""")
+def rank_scores_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers that are the items of a history, one a line, read as indexes of 20 candidates of which two each have one text."""
+    s = seqs(spark, sf_dir)
+    answers = s.select(F.col("user").alias("qid"), F.array_join(F.transform("seq", lambda x: x.cast("string")), "\n").alias("answer"))
+    pos = F.explode(F.sequence(F.lit(0), F.lit(19)))
+    candidates = s.select(F.col("user").alias("qid"), pos.alias("pos")).select("qid", "pos", (1000 + F.col("pos")).alias("item"), F.floor(F.col("pos") / 2).cast("string").alias("text"))
+    return X.ranked_by_index(answers, candidates, 20)

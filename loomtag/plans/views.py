@@ -10,9 +10,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def session_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(session_id, item): the parts of an order, for operators that take each once themselves."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("session_id"), F.col("l_partkey").alias("item"))
+
+
 def session_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(session_id, item): the distinct parts of an order."""
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("session_id"), F.col("l_partkey").alias("item")).distinct()
+    return session_lines(spark, sf_dir).distinct()
 
 
 def session_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,5 +58,6 @@ LABELS_SQL = """session_labels AS (
 TAGS_SQL = "base_tags AS (SELECT p_partkey AS item, list_concat([p_brand, p_type], string_split(p_name, ' ')) AS tags FROM part)"
 EVENTS_SQL = "ev AS (SELECT user_id AS \"user\", CAST(json_extract_string(props, '$.k') AS INT) AS item, ts, event_type AS action FROM events)"
 EVENT_TAGS_SQL = TAGS_SQL + ", event_tags AS (SELECT item::INT AS item, tags FROM base_tags)"
-PURCHASES_SQL = ITEMS_SQL + ', purchases AS (SELECT o_custkey AS "user", item, o_orderdate AS day, session_id FROM orders JOIN session_items ON o_orderkey = session_id)'
+ONLY_PURCHASES_SQL = 'purchases AS (SELECT o_custkey AS "user", item, o_orderdate AS day, session_id FROM orders JOIN session_items ON o_orderkey = session_id)'
+PURCHASES_SQL = f"{ITEMS_SQL}, {ONLY_PURCHASES_SQL}"
 SEQS_SQL = EVENTS_SQL + ', seqs AS (SELECT "user", list(item ORDER BY ts, item) AS seq FROM ev GROUP BY "user")'

@@ -59,6 +59,23 @@ def atomic_interactions(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("user", F.filter(F.split("items", " "), lambda x: x != "").alias("history"), F.col("item").alias("target"))
 
 
+def atomic_items(spark: SparkSession, path: str) -> DataFrame:
+    """Item features of a tab-separated file whose header names `field:type`: token and other texts stay, float becomes double, *_seq an array at blanks."""
+    raw = spark.read.csv(path, header=True, sep="\t", quote="")
+
+    def typed(column: str):
+        name, _, kind = column.partition(":")
+        value = F.col(f"`{column}`")
+        if kind.endswith("_seq"):
+            parts = F.filter(F.split(value, " "), lambda x: x != "")
+            value = F.transform(parts, lambda x: x.try_cast("double")) if kind == "float_seq" else parts
+        elif kind == "float":
+            value = value.try_cast("double")
+        return value.alias(name)
+
+    return raw.select(*[typed(c) for c in raw.columns])
+
+
 def candidate_lists(spark: SparkSession, path: str) -> DataFrame:
     """(user, items) of lines `user <tab> item item …`."""
     raw = spark.read.csv(path, sep="\t", schema="user string, items string")

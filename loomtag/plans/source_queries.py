@@ -217,7 +217,8 @@ def named_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 SEARCH_NEGATIVES = 20
 
 
-@query("threshold_search", f"""WITH RECURSIVE {_COUNTS}, {V.TAGS_SQL}, {V.ONLY_PURCHASES_SQL}, {_RELIABLE.format(divisor=20.0)}, {_Z},
+#: threshold_search in SQL. It scores all 129 thresholds that a search could reach, which only small tables allow; the tests compare with it.
+THRESHOLD_SEARCH_SQL = f"""WITH RECURSIVE {_COUNTS}, {V.TAGS_SQL}, {V.ONLY_PURCHASES_SQL}, {_RELIABLE.format(divisor=20.0)}, {_Z},
 sq AS (SELECT "user" AS qid, list(item ORDER BY day, item) AS seq FROM purchases GROUP BY "user" HAVING count(*) >= 3), pos AS (SELECT qid, seq[len(seq) - 1] AS item FROM sq), ask AS (SELECT qid, seq[len(seq) - 2] AS item FROM sq),
 it AS (SELECT p_partkey AS item, row_number() OVER (ORDER BY p_partkey) - 1 AS idx, count(*) OVER () AS size FROM part), size AS (SELECT max(size) AS size FROM it),
 dr AS (SELECT qid, draw, ('0x' || md5('42|valid|' || qid || '|' || draw)[1:15])::BIGINT % size AS idx FROM (SELECT qid, size, unnest(range({8 * SEARCH_NEGATIVES + 64})) AS draw FROM pos, size WHERE size > {4 * SEARCH_NEGATIVES})),
@@ -234,7 +235,10 @@ rk AS (SELECT t, c.qid, c.is_pos, row_number() OVER (PARTITION BY t, c.qid ORDER
 nd AS (SELECT t, round(avg(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1.0::DOUBLE) ELSE 0 END), 6) AS ndcg FROM rk WHERE is_pos = 1 GROUP BY t),
 bi AS (SELECT 1 AS i, -2.0::DOUBLE AS l, 2.0::DOUBLE AS r UNION ALL SELECT i + 1, CASE WHEN x.ndcg >= y.ndcg THEN l ELSE (l + r) / 2 END, CASE WHEN x.ndcg >= y.ndcg THEN (l + r) / 2 ELSE r END FROM bi JOIN nd x ON x.t = l JOIN nd y ON y.t = r WHERE r - l > 0.1 AND i < 8),
 ev2 AS (SELECT DISTINCT unnest([l, (l + r) / 2, r]) AS t FROM bi)
-SELECT t AS threshold, ndcg, t = (SELECT t FROM ev2 JOIN nd USING (t) ORDER BY ndcg DESC, t LIMIT 1) AS best FROM ev2 JOIN nd USING (t)""")
+SELECT t AS threshold, ndcg, t = (SELECT t FROM ev2 JOIN nd USING (t) ORDER BY ndcg DESC, t LIMIT 1) AS best FROM ev2 JOIN nd USING (t)"""
+
+
+@query("threshold_search")
 def threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bisection for the threshold whose tags retrieve best: NDCG@10 of each customer's last part but one, among 20 others, asked for by the part before it.
 

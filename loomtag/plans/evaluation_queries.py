@@ -45,8 +45,9 @@ _POPULAR = "sc AS (SELECT d.qid, d.item, p.score FROM dom d JOIN (SELECT item, c
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of all users, written once for the scorers and grids that rank them."""
     pos = _positives(spark, sf_dir)
-    return E.sampled_candidates(pos, E.negatives(pos, _catalogue(spark, sf_dir), 50))
+    return cut(E.sampled_candidates(pos, E.negatives(pos, _catalogue(spark, sf_dir), 50)))
 
 
 def _popular_scores(spark: SparkSession, sf_dir: str, candidates: DataFrame) -> DataFrame:
@@ -365,7 +366,7 @@ _REDUCE = ("sum", "union")
 
 def _birank_grid(c: DataFrame, corpus: DataFrame, asks: DataFrame, alphas: tuple[float, ...], own: tuple[str, ...] = ()) -> DataFrame:
     """(own…, alpha, beta, qid, item, score) of candidates c for item weights asks (own…, qid, item, weight), for each alpha and beta."""
-    e = C.edges(corpus)
+    e, asks = cut(C.edges(corpus)), cut(asks)
     s = cut(G.normalised(e))
     pairs = F.array(*[F.struct(F.lit(x).alias("alpha"), F.lit(y).alias("beta"), F.lit(x * y).alias("c")) for x in alphas for y in alphas])
     kernel = G.kernels(e, [x * y for x in alphas for y in alphas], cut, 1e-6)

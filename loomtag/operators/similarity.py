@@ -18,6 +18,11 @@ def _stacked(vectors: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in vectors])
 
 
+def _framed(parts: list[tuple[np.ndarray, ...]], columns: list[str]) -> pd.DataFrame:
+    whole = [np.concatenate(x) for x in zip(*parts, strict=True)]
+    return pd.DataFrame({c: pd.Series(x, dtype=x.dtype) for c, x in zip(columns, whole, strict=True)})  # keys stay Python objects
+
+
 def _blocks(n: int, rows: int) -> int:
     return max(1, -(-n // rows))
 
@@ -40,16 +45,16 @@ def similar_pairs(vectors: DataFrame, threshold: float, block_rows: int = 4096,
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"a": [], "b": [], "cosine": []})
-        own, ua, kb, ub = a["k"].to_numpy(), _stacked(a["u"]), b["kb"].to_numpy(), _stacked(b["ub"])
+            return pd.DataFrame({"a": [], "b": [], "cosine": []}, dtype=object)
+        own, ua, kb, ub = a["k"].to_numpy(dtype=object), _stacked(a["u"]), b["kb"].to_numpy(dtype=object), _stacked(b["ub"])
         same, found = a["ga"].iloc[0] == a["gb"].iloc[0], []
         for i in range(0, len(own), 1024):
             product = ua[i : i + 1024] @ ub.T
             x, y = np.nonzero(product > threshold)
             p, q, c = own[i + x], kb[y], product[x, y]
             keep = p < q if same else p != q
-            found.append(pd.DataFrame({"a": np.where(p < q, p, q)[keep], "b": np.where(p < q, q, p)[keep], "cosine": c[keep]}))
-        return pd.concat(found)
+            found.append((np.where(p < q, p, q)[keep], np.where(p < q, q, p)[keep], c[keep]))
+        return _framed(found, ["a", "b", "cosine"])
 
     return left.groupBy("ga", "gb").cogroup(right.groupBy("ga", "gb")).applyInPandas(run, f"a {kind}, b {kind}, cosine double")
 
@@ -66,15 +71,15 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, query_rows: int = 4096
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"qid": [], "item": [], "score": []})
+            return pd.DataFrame({"qid": [], "item": [], "score": []}, dtype=object)
         b = b.sort_values("item", kind="stable")
-        own, names, right, found = a["qid"].to_numpy(), b["item"].to_numpy(), _stacked(b["iv"]), []
+        own, names, right, found = a["qid"].to_numpy(dtype=object), b["item"].to_numpy(dtype=object), _stacked(b["iv"]), []
         for i in range(0, len(own), 256):
             product = _stacked(a["vector"].iloc[i : i + 256]) @ right.T
             # stable by item: equal scores keep the smaller item
             best = np.argsort(-product, axis=1, kind="stable")[:, :k]
-            found.append(pd.DataFrame({"qid": np.repeat(own[i : i + 256], best.shape[1]), "item": names[best.ravel()], "score": np.take_along_axis(product, best, 1).ravel()}))
-        return pd.concat(found)
+            found.append((np.repeat(own[i : i + 256], best.shape[1]), names[best.ravel()], np.take_along_axis(product, best, 1).ravel()))
+        return _framed(found, ["qid", "item", "score"])
 
     kinds = queries.schema["qid"].dataType.simpleString(), items.schema["item"].dataType.simpleString()
     best = asks.groupBy("gq", "gi").cogroup(rows.groupBy("gq", "gi")).applyInPandas(run, f"qid {kinds[0]}, item {kinds[1]}, score double")

@@ -1,16 +1,21 @@
 """Edge rules on small tables."""
 
 import math
+import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from loomtag import scratch
 from loomtag.functions import text as X
 from loomtag.operators import bm25 as B
 from loomtag.operators import corpus as C
 from loomtag.operators import evaluation as E
 from loomtag.operators import graph as G
 from loomtag.operators import sequences as S
+from loomtag.operators import similarity as N
 from loomtag.operators import tagging as T
 from loomtag.plans.sequence_queries import cut
 
@@ -178,8 +183,9 @@ def test_answers_by_text_and_subsequence(spark):
 
 
 def test_label_shapes(spark):
-    df = spark.createDataFrame([("a;b ,a",), (None,), ('["x", " x", "y"]',), ("[]",)], "c string")
-    assert [r[0] for r in df.select(X.normalised_labels(F.col("c"))).collect()] == [["a", "b"], ["Unknown"], ["x", "y"], ["Unknown"]]
+    df = spark.createDataFrame([("a;b ,a",), (None,), ('["x", " x", "y"]',), ("[]",), ('{"predicted_class": "a, b; c"}',)], "c string")
+    assert [r[0] for r in df.select(X.normalised_labels(F.col("c"))).collect()] == [["a", "b ,a"], ["Unknown"], ["x", "y"], ["Unknown"], ["a, b; c"]]
+    assert df.select(X.normalised_labels(F.col("c"), separator=",")).first()[0] == ["a;b", "a"]
 
 
 def test_truth_is_placed(spark):
@@ -202,3 +208,101 @@ def test_stream_and_batch_agree(spark, tmp_path):
         q.stop()
     assert rows(spark.table("counts")) == rows(L.window_label_counts(df))
     assert L.session_counts(df).count() == 3
+
+
+def test_negatives_of_a_large_catalogue_are_new_and_no_positives(spark):
+    items = spark.range(500).select((F.col("id") + 1000).alias("item"), F.col("id").alias("idx"))
+    # query 3 has most of the catalogue as positives, 4 all of it but five
+    rows = [(1, 1000), (1, 1001), (2, 1499)] + [(3, 1000 + i) for i in range(400)] + [(4, 1000 + i) for i in range(495)]
+    pos = spark.createDataFrame(rows, "qid long, item long")
+    got = {}
+    for r in E.negatives(pos, items, 40).collect():
+        got.setdefault(r["qid"], []).append(r["item"])
+    assert {q: len(v) for q, v in got.items()} == {1: 40, 2: 40, 3: 40, 4: 5}
+    assert all(len(set(v)) == len(v) and not {(q, i) for i in v} & set(rows) and all(1000 <= i < 1500 for i in v) for q, v in got.items())
+    assert sorted(map(tuple, E.negatives(pos, items, 40).collect())) == sorted((q, i) for q, v in got.items() for i in v)
+    assert E.negatives(pos, items.where("false"), 40).count() == 0
+
+
+def test_similar_pairs_and_nearest_do_not_depend_on_blocks(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"v{i}", rng.normal(size=6).tolist()) for i in range(120)] + [("zero", [0.0] * 6), ("none", None)]
+    df = spark.createDataFrame(rows, "id string, vector array<double>")
+    real = {i: np.array(v) / np.linalg.norm(v) for i, v in rows if v and any(v)}
+    expected = {(a, b) for a in real for b in real if a < b and real[a] @ real[b] > 0.5}
+    for size in (17, 1000):
+        got = N.similar_pairs(df, 0.5, block_rows=size).collect()
+        assert {(r["a"], r["b"]) for r in got} == expected and len(got) == len(expected)
+        assert all(abs(r["cosine"] - real[r["a"]] @ real[r["b"]]) < 1e-12 for r in got)
+    asks = spark.createDataFrame([(i, v) for i, v in enumerate([rows[0][1], rows[7][1]])], "qid int, vector array<double>")
+    items = df.where("vector IS NOT NULL").withColumnRenamed("id", "item")
+    for sizes in ((1, 13), (100, 1000)):
+        got = {(r["qid"], r["rank"]): r["item"] for r in N.nearest(asks, items, 5, *sizes).collect()}
+        for q, v in enumerate([rows[0][1], rows[7][1]]):
+            best = sorted((-float(np.dot(v, w)), i) for i, w in rows if w)[:5]
+            assert [got[q, r] for r in range(1, 6)] == [i for _, i in best]
+
+
+def test_common_subsequence_equals_the_table():
+    rng = random.Random(4)
+    words = ["", "a", "same", "same"] + ["".join(rng.choice("abcé ") for _ in range(rng.randrange(40))) for _ in range(60)]
+    pairs = [(x, y) for x in words[:20] for y in words]
+
+    def table(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    got = X.common_subsequence.func(pd.Series([x for x, _ in pairs]), pd.Series([y for _, y in pairs]))
+    assert got.tolist() == [table(x, y) for x, y in pairs]
+
+
+def test_lines_without_numbers_name_candidates_too(spark):
+    answers = spark.createDataFrame([(1, "Here are the candidate movies:\n1. Red Widget\nblue ring of old\n2. red widget\n\nGrean Bolt"), (2, "")], "qid int, answer string")
+    candidates = spark.createDataFrame([(1, 0, 10, "blue ring"), (1, 1, 11, "Green Bolt"), (1, 2, 12, "Red Widget"), (2, 0, 10, "x")], "qid int, pos int, item int, text string")
+    got = {(r["qid"], r["item"]): r["score"] for r in X.ranked_by_text(answers, candidates, 5, share=0.8).collect()}
+    assert got == {(1, 12): 5, (1, 10): 4, (1, 11): 3}
+
+
+def test_bisection_evaluates_both_ends_and_the_middle_before_it_stops():
+    seen = []
+    best, values = T.bisect_threshold(lambda t: seen.append(t) or -abs(t - 0.3))
+    assert seen[:3] == [-2.0, 0.0, 2.0] and len(seen) == len(set(seen)) and best == max(values, key=values.get)
+    assert T.bisect_threshold(lambda t: 0.0)[0] == -2.0
+    assert len(T.bisect_threshold(lambda t: t, most_rounds=1)[1]) == 3
+
+
+def test_best_row_of_all(spark):
+    df = spark.createDataFrame([("b", 1.0), ("a", 1.0), ("c", 0.5)], "config string, m double")
+    assert [tuple(r) for r in E.best_rows(df, "m").collect()] == [("a", 1.0)]
+    assert E.best_rows(df.where("false"), "m").count() == 0
+
+
+def test_a_cluster_must_name_the_shared_folder():
+    class Conf:
+        def get(self, _):
+            return None
+
+    class Context:
+        master, applicationId = "spark://host:7077", "none"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.shared_dir(Session())
+
+
+def test_kernel_equals_the_series(spark):
+    edges = spark.createDataFrame([(i, f"t{(i * k) % 5}", 1) for i in range(12) for k in (1, 2, 3)], "item int, tag string, w int").groupBy("item", "tag").agg(F.sum("w").alias("w"))
+    s = G.normalised(edges)
+    start = s.select(F.col("tag").alias("qid"), "tag", F.lit(1.0).alias("v")).distinct()
+    one = {(r["qid"], r["tag"]): r["v"] for r in G.series(start, G.tag_transitions(s), 0.6, scratch.cut).collect()}
+    got = {(r["of"], r["tag"]): r["v"] for r in G.kernels(edges, [0.6, 0.3], scratch.cut).where("c = 0.6").collect()}
+    assert got.keys() == one.keys() and all(got[k] == pytest.approx(one[k], abs=1e-9) for k in one)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtag.llm import archive, langid, lines, mixing, ordinal, packing, rpforest, rules, secrets, superminhash
+from loomtag.llm import archive, langid, lines, manifest, mixing, ordinal, packing, rpforest, rules, secrets, superminhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(_table(spark, sf_dir, "documents"), manifest.tampered())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_arc_to_warc": op2_arc_to_warc,
@@ -71,10 +75,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_superminhash": op8_superminhash,
     "op9_decision_list": op9_decision_list,
     "op10_best_fit": op10_best_fit,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_arc_to_warc": archive.SQL,
     "op3_curriculum": mixing.SQL,
     "op5_site_lines": lines.SQL,
+    "op12_merkle_manifest": manifest.SQL,
 }

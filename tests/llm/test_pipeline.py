@@ -67,4 +67,4 @@ def test_registered():
     import __spark_entry__ as e
 
     assert e.queries()["pipeline"] is P.run and [n for n, _ in P.STAGES] == ["language_id", "line_dedup", "near_dedup", "mixing", "packing"]
-    assert {int(n[2:].split("_")[0]) for n in e.queries() if n.startswith("op")} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in e.queries() if n.startswith("op")} == set(range(1, 14))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtag.llm import archive, langid, lines, manifest, mixing, ordinal, packing, rpforest, rules, secrets, superminhash
+from loomtag.llm import alignment, archive, langid, lines, manifest, mixing, ordinal, packing, rpforest, rules, secrets, superminhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +65,14 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(_table(spark, sf_dir, "documents"), manifest.tampered())
 
 
+#: Where the vocabularies lie on every machine; LOOMTAG_TOKENIZERS names another folder.
+TOKENIZERS = os.environ.get("LOOMTAG_TOKENIZERS", "/opt/tokenizers")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.links(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_arc_to_warc": op2_arc_to_warc,
@@ -76,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decision_list": op9_decision_list,
     "op10_best_fit": op10_best_fit,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {

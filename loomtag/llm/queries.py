@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtag.llm import alignment, archive, langid, lines, manifest, mixing, ordinal, packing, rpforest, rules, secrets, superminhash
+from loomtag.llm import alignment, archive, langid, licenses, lines, manifest, mixing, ordinal, packing, rpforest, rules, secrets, superminhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"))
 
 
+def op11_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(_table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(_table(spark, sf_dir, "documents"), manifest.tampered())
 
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_superminhash": op8_superminhash,
     "op9_decision_list": op9_decision_list,
     "op10_best_fit": op10_best_fit,
+    "op11_license_join": op11_license_join,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_token_alignment": op13_token_alignment,
 }
@@ -92,5 +97,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_arc_to_warc": archive.SQL,
     "op3_curriculum": mixing.SQL,
     "op5_site_lines": lines.SQL,
+    "op11_license_join": licenses.SQL,
     "op12_merkle_manifest": manifest.SQL,
 }

@@ -124,17 +124,21 @@ def _battery(tokens: Column) -> Column:
         )
 
     def sums(x: Column) -> Column:
+        # every array and the mean are bound once: inside a lambda they would be computed again for each character
         v, k, n = x["v"], x["k"], x["n"]
         mean = F.aggregate(v, F.lit(0.0), lambda a, y: a + y) / F.greatest(n, F.lit(1.0))
-        high = lambda y: y >= k / 2
-        follow = F.zip_with(F.slice(v, 1, F.greatest(F.size(v) - 1, F.lit(0))), F.slice(v, 2, F.greatest(F.size(v) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        return let(F.struct(v.alias("v"), mean.alias("mean"), F.slice(v, 2, F.greatest(F.size(v) - 1, F.lit(0))).alias("next")), lambda y: _moments(x, y, k, n))
+
+    def _moments(x: Column, y: Column, k: Column, n: Column) -> Column:
+        high = lambda c: c >= k / 2
+        # of each character and the next one: whether a run ends between them, and the product of their distances from the mean
+        follow = F.zip_with(F.slice(y["v"], 1, F.greatest(F.size(y["v"]) - 1, F.lit(0))), y["next"], lambda a, b: F.struct((high(a) != high(b)).alias("turn"), ((a - y["mean"]) * (b - y["mean"])).alias("product")))
         return F.struct(
             x["start"].alias("start"), x["end"].alias("end"), k.alias("k"), n.alias("n"), x["excess"].alias("excess"),
             F.coalesce(F.try_divide(k * x["squares"], n) - n, F.lit(1e9)).alias("chi"),
-            F.size(F.filter(v, high)).cast("double").alias("above"),
-            (F.size(F.filter(follow, lambda y: high(y["a"]) != high(y["b"]))) + 1).cast("double").alias("runs"),
-            F.aggregate(v, F.lit(0.0), lambda a, y: a + F.pow(y - mean, F.lit(2.0))).alias("spread"),
-            F.aggregate(follow, F.lit(0.0), lambda a, y: a + (y["a"] - mean) * (y["b"] - mean)).alias("serial"),
+            F.size(F.filter(y["v"], high)).cast("double").alias("above"),
+            F.aggregate(y["v"], F.lit(0.0), lambda a, c: a + F.pow(c - y["mean"], F.lit(2.0))).alias("spread"),
+            let(follow, lambda f: F.struct((F.size(F.filter(f, lambda c: c["turn"])) + 1).cast("double").alias("runs"), F.aggregate(f, F.lit(0.0), lambda a, c: a + c["product"]).alias("serial"))).alias("follow"),
         )
 
     def judge(x: Column) -> Column:
@@ -145,8 +149,8 @@ def _battery(tokens: Column) -> Column:
         p_chi = F.when(z_chi > 0, _upper_tail(F.abs(z_chi))).otherwise(1.0)
         both = 2 * up * (n - up)
         expected, variance = F.try_divide(both, n) + 1, F.try_divide(both * (both - n), n * n * (n - 1))
-        p_runs = F.coalesce(_two_sided(F.try_divide(x["runs"] - expected, F.sqrt(F.when(variance > 0, variance)))), F.lit(0.0))
-        p_serial = F.coalesce(_two_sided((F.try_divide(x["serial"], x["spread"]) + F.try_divide(F.lit(1.0), n)) * F.sqrt(n)), F.lit(0.0))
+        p_runs = F.coalesce(_two_sided(F.try_divide(x["follow"]["runs"] - expected, F.sqrt(F.when(variance > 0, variance)))), F.lit(0.0))
+        p_serial = F.coalesce(_two_sided((F.try_divide(x["follow"]["serial"], x["spread"]) + F.try_divide(F.lit(1.0), n)) * F.sqrt(n)), F.lit(0.0))
         looks_random = 3 * F.least(p_chi, p_runs, p_serial) >= ALPHA
         word_mean, word_sd = df + n * x["excess"], F.sqrt(2 * df + 4 * n * x["excess"])
         p_word = _lower((x["chi"] - word_mean) / word_sd)

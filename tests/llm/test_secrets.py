@@ -171,3 +171,15 @@ def test_long_text_full_of_tokens(spark):
         assert (got["n_hex"], got["n_assign"]) == (n, n)
         assert got["base_sha256"] == hashlib.sha256(joined(base(text(n))).encode()).hexdigest()
     assert took[2] < 3.5 * took[1] + 2
+
+
+def test_one_token_of_a_million_characters(spark):
+    rng = random.Random(11)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    token = "".join(rng.choices(letters, k=1_000_000))
+    took, docs = [], [edge_docs(spark, [(1, f"x {token[:n]} y", "en", "a")]) for n in (100_000, 1_000_000)]
+    for d, n in zip(docs, (100_000, 1_000_000), strict=True):
+        start = time.perf_counter()
+        assert secrets.digest(secrets.secrets(d)).first()["spans"] == f"random:2:{n + 2}"
+        took.append(time.perf_counter() - start)
+    assert took[1] < 60, took  # in proportion: it was over 100 s for 30,000 characters when it was quadratic

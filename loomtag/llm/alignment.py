@@ -34,7 +34,9 @@ from loomtag.llm.shared import saved, text_slices
 #: Bytes of a range of a long text; fragments that one group composes; pairs of ids that are broadcast at most (about 40 bytes each).
 CHUNK, FAN_IN, MOST_PAIRS = 1 << 18, 16, 4_000_000
 #: Units, and characters of them, that a worker remembers from batch to batch.
-MOST_UNITS, MOST_CHARS = 300_000, 8_000_000
+MOST_UNITS, MOST_CHARS = 250_000, 6_000_000
+#: Units that are encoded at once (a library's object for each is much larger than its ids), bytes of texts that are aligned at once.
+BATCH, SLICE = 10_000, 1 << 20
 _GAP = re.compile(r"(?<=\S) (?=\S)")  # Python's white space holds that of either tokenizer
 _NONE = np.zeros(0, np.int64)
 
@@ -102,7 +104,8 @@ class Units:
         if fresh:
             self.known.update(zip(fresh, range(len(self.texts), len(self.texts) + len(fresh)), strict=True))
             self.chars += sum(map(len, fresh))
-            self._add(fresh)
+            for i in range(0, len(fresh), BATCH):
+                self._add(fresh[i : i + BATCH])
         return np.fromiter((self.known[u] for u in units), np.int64, len(units))
 
     def _add(self, fresh: list[str]) -> None:
@@ -318,7 +321,7 @@ def aligned(docs: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", t
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = units_of(a_file, b_file)
         for batch in batches:
-            for part in text_slices(batch, "text"):
+            for part in text_slices(batch, "text", SLICE):
                 yield pa.RecordBatch.from_pydict({"id": part.column("id")} | _short(units, part))
                 units.forget()
 

@@ -6,9 +6,10 @@ items enter with the query and come back in one last join.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Cut = Callable[[DataFrame], DataFrame]
@@ -26,102 +27,116 @@ def tag_transitions(s: DataFrame) -> DataFrame:
     return s.select("item", F.col("tag").alias("a"), F.col("s").alias("sa")).join(s.select("item", F.col("tag").alias("b"), F.col("s").alias("sb")), "item").groupBy("a", "b").agg(F.sum(F.col("sa") * F.col("sb")).alias("t"))
 
 
-def series(start: DataFrame, moves: DataFrame, factor: float | Column, cut: Cut, rounds: int = 300, tol: float = 1e-12, check_every: int = 5) -> DataFrame:
-    """(keys…, tag, v): the sum over m of (factor x A)^m on start (keys…, tag, v), A given as moves (a, b, t).
+def push(start: DataFrame, moves: DataFrame, factor: float, cut: Cut, bound: float = 1e-9, rounds: int = 300, check_every: int = 4) -> DataFrame:
+    """(keys…, tag, v, left): the sum over m of (factor x A)^m on start (keys…, tag, v) by forward push.
 
-    factor may be a column of the keys, so that one iteration serves several factors.
-
-    One join per round for all queries; every check_every rounds the lineage is cut
-    and the size of the step decides whether to go on.
+    Every (keys, tag) has an estimate and a residual that is not yet spread. A round
+    spreads the residuals above bound alone, so that a query holds the tags that it
+    reaches with so much, not all tags of the graph, and late rounds touch few. At the end no
+    residual is above bound (left, which v includes): v is within factor / (1 - factor)
+    times the length of the vector of what is left.
     """
-    factor = F.lit(factor) if isinstance(factor, float) else factor
-    total = term = cut(start.select(*start.columns[:-1], F.col("v").cast("double").alias("v")))
-    keys = [c for c in term.columns if c not in ("tag", "v")]
-    for r in range(1, rounds + 1):
-        term = term.join(moves, term["tag"] == moves["a"]).groupBy(*keys, F.col("b").alias("tag")).agg(F.sum(F.col("v") * F.col("t") * factor).alias("v"))
-        total = total.unionByName(term)
-        if r % check_every == 0 or r == rounds:
-            term, total = cut(term), cut(total.groupBy(*keys, "tag").agg(F.sum("v").alias("v")))
-            if (term.agg(F.max(F.abs("v"))).first()[0] or 0.0) < tol:
+    keys = [c for c in start.columns if c not in ("tag", "v")]
+    state = cut(start.groupBy(*keys, "tag").agg(F.lit(0.0).alias("p"), F.sum(F.col("v").cast("double")).alias("r")))
+    big = F.abs("r") > bound
+    for n in range(1, rounds + 1):
+        sent = state.where(big).join(moves, F.col("tag") == F.col("a")).groupBy(*keys, F.col("b").alias("tag")).agg(F.lit(0.0).alias("p"), F.sum(F.col("r") * F.col("t") * factor).alias("r"))
+        kept = state.select(*keys, "tag", (F.col("p") + F.when(big, F.col("r")).otherwise(0.0)).alias("p"), F.when(big, 0.0).otherwise(F.col("r")).alias("r"))
+        state = kept.unionByName(sent).groupBy(*keys, "tag").agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
+        if n % check_every == 0 or n == rounds:
+            state = cut(state)
+            if state.where(big).isEmpty():
                 break
-    return total
+    return state.select(*keys, "tag", (F.col("p") + F.col("r")).alias("v"), F.abs("r").alias("left"))
 
 
-def birank_items(queries: DataFrame, edges: DataFrame, cut: Cut, alpha: float = 0.85, beta: float = 0.85, rounds: int = 300, tol: float = 1e-12) -> DataFrame:
+def resolvents(start: DataFrame, moves: DataFrame, factors: list[float], cut: Cut, tol: float = 1e-13, cut_every: int = 4) -> DataFrame:
+    """(keys…, tag, c, v): for each factor c below 1 the sum over m of (c A)^m on start (keys…, tag, v), from one sequence of vectors.
+
+    A is symmetric with eigenvalues from 0 to 1. The sequence is that of the Chebyshev
+    polynomials of 2A - 1 on start, which does not depend on c; a factor only has weights
+    of its own for its terms, 2 rho^m / sqrt(1 - c) with rho from c alone. The weights fall
+    much faster than c^m (0.39^m for c = 0.81), and the terms are no longer than start,
+    so the number of rounds follows from tol before the first. A round is one join
+    and has a row for each (keys, tag), whatever the number of factors.
+    """
+    factors, keys = sorted(set(factors)), [c for c in start.columns if c not in ("tag", "v")]
+    roots = {c: math.sqrt(1 - c) for c in factors}
+    rho = {c: (1 - c / 2 - roots[c]) / (c / 2) if c else 0.0 for c in factors}
+    weight = lambda c, m: (2 if m else 1) * rho[c] ** m / roots[c]
+    rounds = max((next(m for m in range(1, 10_000) if 2 * rho[c] ** m / ((1 - rho[c]) * roots[c]) < tol) for c in factors), default=0)
+    sums = [f"_v{i}" for i in range(len(factors))]
+    # x: the last polynomial, y: the one before
+    state = start.groupBy(*keys, "tag").agg(F.sum(F.col("v").cast("double")).alias("x")).withColumn("y", F.lit(0.0))
+    state = cut(state.select("*", *[(F.col("x") * weight(c, 0)).alias(n) for c, n in zip(factors, sums, strict=True)]))
+    for m in range(1, rounds + 1):
+        twice = 1.0 if m == 1 else 2.0
+        none = [F.lit(0.0).alias(n) for n in sums]
+        moved = state.where("x <> 0").join(moves, F.col("tag") == F.col("a")).groupBy(*keys, F.col("b").alias("tag")).agg((F.sum(F.col("x") * F.col("t")) * 2 * twice).alias("x"))
+        moved = moved.select(*keys, "tag", "x", F.lit(0.0).alias("y"), *none)
+        kept = state.select(*keys, "tag", (-twice * F.col("x") - F.col("y")).alias("x"), F.col("x").alias("y"), *sums)
+        state = kept.unionByName(moved).groupBy(*keys, "tag").agg(*[F.sum(n).alias(n) for n in ("x", "y", *sums)])
+        state = state.select(*keys, "tag", "x", "y", *[(F.col(n) + F.col("x") * weight(c, m)).alias(n) for c, n in zip(factors, sums, strict=True)])
+        if m % cut_every == 0:
+            state = cut(state)
+    each = F.explode(F.array(*[F.struct(F.lit(float(c)).alias("c"), F.col(n).alias("v")) for c, n in zip(factors, sums, strict=True)]))
+    return state.select(*keys, "tag", each.alias("_f")).select(*keys, "tag", "_f.c", "_f.v")
+
+
+def birank_items(queries: DataFrame, edges: DataFrame, cut: Cut, alpha: float = 0.85, beta: float = 0.85, bound: float = 1e-9) -> DataFrame:
     """(qid, item, score) of item weights (qid, item, weight): (1 - alpha) x sum of (alpha beta S transpose(S))^n on the weights.
 
-    That sum is the weights plus alpha beta S times the series of the tags' own
-    transitions on transpose(S) x weights.
+    That sum is the weights plus alpha beta S times the sum over the tags' own
+    transitions on transpose(S) x weights, pushed to bound.
     """
     s = cut(normalised(edges))
     c = alpha * beta
     start = queries.join(s, "item").groupBy("qid", "tag").agg(F.sum(F.col("weight") * F.col("s")).alias("v"))
-    spread = series(start, cut(tag_transitions(s)), c, cut, rounds, tol)
+    spread = push(start, cut(tag_transitions(s)), c, cut, bound)
     back = spread.join(s, "tag").groupBy("qid", "item").agg(F.sum(F.col("v") * F.col("s") * c).alias("v"))
     both = back.unionByName(queries.select("qid", "item", F.col("weight").cast("double").alias("v")))
     return both.groupBy("qid", "item").agg((F.sum("v") * (1 - alpha)).alias("score"))
 
 
-def birank_tags(queries: DataFrame, edges: DataFrame, cut: Cut, alpha: float = 0.85, beta: float = 0.85, rounds: int = 300, tol: float = 1e-12) -> DataFrame:
-    """(qid, item, score) of tag weights (qid, tag, weight): alpha (1 - beta) x sum of (alpha beta S transpose(S))^n S on the weights."""
+def birank_tags(queries: DataFrame, edges: DataFrame, cut: Cut, alpha: float = 0.85, beta: float = 0.85, bound: float = 1e-9) -> DataFrame:
+    """(qid, item, score) of tag weights (qid, tag, weight): alpha (1 - beta) x sum of (alpha beta S transpose(S))^n S on the weights, pushed to bound."""
     s = cut(normalised(edges))
-    spread = series(queries.select("qid", "tag", F.col("weight").alias("v")), cut(tag_transitions(s)), alpha * beta, cut, rounds, tol)
+    spread = push(queries.select("qid", "tag", F.col("weight").alias("v")), cut(tag_transitions(s)), alpha * beta, cut, bound)
     return spread.join(s, "tag").groupBy("qid", "item").agg((F.sum(F.col("v") * F.col("s")) * (alpha * (1 - beta))).alias("score"))
 
 
-def kernels(edges: DataFrame, factors: list[float], cut: Cut, tol: float = 1e-12, most_doublings: int = 16) -> DataFrame:
-    """(c, of, tag, v): for each factor c the sum over m of (c A)^m, A being the tags' own transitions.
-
-    It has a row for each pair of tags that a path connects, and serves any number of
-    queries and both of BiRank's factors by one join, which pays for grids. Each
-    round squares the power and so doubles the number of terms, until no entry of the
-    power reaches tol.
-    """
-    moves = cut(tag_transitions(normalised(edges)))
-    c = F.explode(F.array(*[F.lit(float(x)) for x in sorted(set(factors))])).alias("c")
-    power = cut(moves.select(c, "a", "b", "t").select("c", "a", "b", (F.col("c") * F.col("t")).alias("v")))
-    total = moves.select(F.col("a").alias("of")).distinct().select(c, "of", F.col("of").alias("tag"), F.lit(1.0).alias("v"))
-    for _ in range(most_doublings):
-        if (power.agg(F.max(F.abs("v"))).first()[0] or 0.0) < tol:
-            break
-        step = power.select(F.col("c").alias("_c"), F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("v").alias("_v"))
-        more = total.join(step, (F.col("c") == F.col("_c")) & (F.col("tag") == F.col("_a"))).select("c", "of", F.col("_b").alias("tag"), (F.col("v") * F.col("_v")).alias("v"))
-        total = cut(total.unionByName(more).groupBy("c", "of", "tag").agg(F.sum("v").alias("v")))
-        power = power.join(step, (F.col("c") == F.col("_c")) & (F.col("b") == F.col("_a"))).groupBy("c", "a", F.col("_b").alias("b")).agg(F.sum(F.col("v") * F.col("_v")).alias("v"))
-        power = cut(power)
-    return total
-
-
 def birank(edges: DataFrame, normalizer: str, cut: Cut, alpha: float = 0.85, beta: float = 0.85, rounds: int = 200, tol: float = 1e-4, check_every: int = 5) -> DataFrame:
     """(side, node, score) of both sides of the whole graph, node as text.
 
     normalizer is HITS, CoHITS, BGRM or BiRank. Both sides move at once from uniform
-    starts; HITS also divides each side by its sum. It stops when both sides move
-    less than tol in sum of absolute values.
+    starts, as one frame that meets the edges of both directions in one join; HITS also divides each
+    side by its sum. It stops when both sides move less than tol in sum of absolute values.
     """
     di, dt = edges.groupBy("item").agg(F.sum("w").alias("di")), edges.groupBy("tag").agg(F.sum("w").alias("dt"))
     e = edges.join(di, "item").join(dt, "tag")
     w, i, t = F.col("w").cast("double"), F.col("di"), F.col("dt")
     up, down = {"HITS": (w, w), "CoHITS": (w / i, w / t), "BGRM": (w / (i * t), w / (i * t)), "BiRank": (w / F.sqrt(i * t), w / F.sqrt(i * t))}[normalizer]
-    e = cut(e.select("item", "tag", up.alias("up"), down.alias("down")))
+    item, tag = F.col("item").cast("string"), F.col("tag")
+    both = F.array(F.struct(F.lit("item").alias("at"), item.alias("src"), tag.alias("dst"), (up * alpha).alias("m")), F.struct(F.lit("tag").alias("at"), tag.alias("src"), item.alias("dst"), (down * beta).alias("m")))
+    moves = cut(e.select(F.inline(both)))
     n = e.agg(F.countDistinct("item").alias("i"), F.countDistinct("tag").alias("t")).first()
-    d0, p0 = 1.0 / max(1, n["i"]), 1.0 / max(1, n["t"])
-    d = e.select("item").distinct().withColumn("x", F.lit(d0))
-    p = e.select("tag").distinct().withColumn("x", F.lit(p0))
+    base = F.when(F.col("side") == "item", 1.0 / max(1, n["i"])).otherwise(1.0 / max(1, n["t"]))
+    fresh = F.when(F.col("side") == "item", 1 - beta).otherwise(1 - alpha) * base
+    state = cut(moves.select(F.col("at").alias("side"), F.col("src").alias("node")).distinct().withColumn("x", base).withColumn("was", F.lit(0.0)))
+    other = F.when(F.col("side") == "item", "tag").otherwise("item")
     for r in range(1, rounds + 1):
-        p_new = e.join(d, "item").groupBy("tag").agg((F.sum(F.col("up") * F.col("x")) * alpha + (1 - alpha) * p0).alias("x"))
-        d_new = e.join(p, "tag").groupBy("item").agg((F.sum(F.col("down") * F.col("x")) * beta + (1 - beta) * d0).alias("x"))
+        sent = state.join(moves, (F.col("side") == F.col("at")) & (F.col("node") == F.col("src"))).groupBy(other.alias("side"), F.col("dst").alias("node")).agg(F.sum(F.col("x") * F.col("m")).alias("x"), F.lit(0.0).alias("was"))
+        kept = state.select("side", "node", fresh.alias("x"), F.col("x").alias("was"))
+        state = kept.unionByName(sent).groupBy("side", "node").agg(F.sum("x").alias("x"), F.sum("was").alias("was"))
         if normalizer == "HITS":
-            p_new = p_new.withColumn("x", F.col("x") / p_new.agg(F.sum("x").alias("s")).scalar())
-            d_new = d_new.withColumn("x", F.col("x") / d_new.agg(F.sum("x").alias("s")).scalar())
+            state = cut(state)
+            state = state.join(F.broadcast(state.groupBy("side").agg(F.sum("x").alias("s"))), "side").select("side", "node", (F.col("x") / F.col("s")).alias("x"), "was")  # two rows
         if r % check_every == 0 or r == rounds:
-            p_new, d_new = cut(p_new), cut(d_new)
-            moved = [a.join(b.withColumnRenamed("x", "y"), key).agg(F.sum(F.abs(F.col("x") - F.col("y")))).first()[0] or 0.0 for a, b, key in ((p_new, p, "tag"), (d_new, d, "item"))]
-            if max(moved) < tol:
-                p, d = p_new, d_new
+            state = cut(state)
+            moved = state.groupBy("side").agg(F.sum(F.abs(F.col("x") - F.col("was"))).alias("m")).agg(F.max("m")).first()[0] or 0.0
+            if moved < tol:
                 break
-        p, d = p_new, d_new
-    return d.select(F.lit("item").alias("side"), F.col("item").cast("string").alias("node"), F.col("x").alias("score")).unionByName(p.select(F.lit("tag").alias("side"), F.col("tag").alias("node"), F.col("x").alias("score")))
+    return state.select("side", "node", F.col("x").alias("score"))
 
 
 def homogeneous(edges: DataFrame) -> DataFrame:

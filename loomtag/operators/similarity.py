@@ -1,12 +1,28 @@
-"""Cosine similarity over vector tables: joins above a threshold, nearest neighbours of given queries."""
+"""Cosine similarity over vector tables: joins above a threshold, nearest neighbours of given queries, both exact.
+
+Rows are dealt into blocks around directions that a bounded sample gives. What is
+known of a block (its direction, the widest angle of a row to it, the largest norm)
+bounds every product with its rows, by the triangle inequality of angles and by
+Cauchy and Schwarz. A row is sent to a block only where that bound reaches the threshold.
+"""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtag.scratch import saved
+
+#: Rows and bytes of the sample that gives the directions, and directions at most (they go to every executor).
+SAMPLE_ROWS, SAMPLE_BYTES, MOST_BLOCKS = 16_384, 32 << 20, 2048
+#: Angles are compared with so much to spare for rounding.
+SLACK = 1e-7
+
 
 def unit(vector: Column) -> Column:
     """The vector as doubles over its length; null for a zero vector."""
@@ -23,57 +39,133 @@ def _framed(parts: list[tuple[np.ndarray, ...]], columns: list[str]) -> pd.DataF
     return pd.DataFrame({c: pd.Series(x, dtype=x.dtype) for c, x in zip(columns, whole, strict=True)})  # keys stay Python objects
 
 
-def _blocks(n: int, rows: int) -> int:
-    return max(1, -(-n // rows))
+def directions(rows: DataFrame, n: int, rounds: int = 5) -> np.ndarray:
+    """n unit vectors around which the rows (k, u) lie: means of a sample by their nearest one, a few rounds over.
+
+    The sample is the first by hash of the key, of bounded rows and bytes.
+    """
+    first = rows.select("u").head()
+    if first is None:
+        return np.zeros((0, 0))
+    most = max(n, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * len(first["u"]))))
+    sample = np.array([r["u"] for r in rows.orderBy(F.xxhash64("k"), "k").select("u").limit(most).collect()], np.float64)
+    found = sample[: min(n, len(sample))]
+    for _ in range(rounds if len(found) > 1 else 0):
+        nearest = np.argmax(sample @ found.T, axis=1)
+        sums = np.zeros_like(found)
+        np.add.at(sums, nearest, sample)
+        norms = np.linalg.norm(sums, axis=1, keepdims=True)
+        found = np.where(norms > 1e-12, sums / np.maximum(norms, 1e-12), found)
+    return found
+
+
+def _angle(cosine: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cosine, -1.0, 1.0))
+
+
+def _mapped(rows: DataFrame, columns: dict[str, str], compute: Callable[[np.ndarray, pd.DataFrame], tuple]) -> DataFrame:
+    """rows with more columns (name: type) that compute gives for batches of stacked vectors u."""
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), *(f"{n} {t}" for n, t in columns.items())])
+
+    def run(frames):
+        for frame in frames:
+            for i in range(0, len(frame), 4096):
+                part = frame.iloc[i : i + 4096]
+                yield part.assign(**dict(zip(columns, compute(_stacked(part["u"]), part), strict=True)))
+
+    return rows.mapInPandas(run, schema)
+
+
+def blocked(rows: DataFrame, n: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """rows (k, u, …) written with their block, the directions of the blocks, and the widest angle of a row to its own (-1: no row)."""
+    centres = directions(rows, max(1, min(n, MOST_BLOCKS)))
+
+    def nearest(u: np.ndarray, _: pd.DataFrame) -> tuple:
+        cosines = u @ centres.T
+        best = np.argmax(cosines, axis=1)
+        return best.astype(np.int32), _angle(cosines[np.arange(len(u)), best])
+
+    found = saved(_mapped(rows, {"block": "int", "off": "double"}, nearest), "blocked")
+    radii = np.full(len(centres), -1.0)
+    for r in found.groupBy("block").agg(F.max("off").alias("r")).collect():  # at most MOST_BLOCKS
+        radii[r["block"]] = r["r"]
+    return found, centres, radii
+
+
+def dealt(left: DataFrame, right: DataFrame, left_rows: int, right_rows: int) -> tuple[DataFrame, DataFrame]:
+    """left and right (both with k and block) with the columns block, b, c of the task in which they meet.
+
+    A block of many rows is cut into parts of about left_rows by hash, what visits it into
+    parts of right_rows, and every part meets every other in a task of bounded size.
+    """
+    sizes = left.groupBy("block").agg(F.ceil(F.count("*") / left_rows).alias("parts"))
+    visits = right.groupBy("block").agg(F.ceil(F.count("*") / right_rows).alias("times"))
+    both = F.broadcast(saved(sizes.join(visits, "block"), "sizes"))  # at most MOST_BLOCKS rows
+    place = lambda n: F.pmod(F.xxhash64("k"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    l = left.join(both, "block").withColumn("b", place("parts")).withColumn("c", every("times")).drop("parts", "times")  # noqa: E741
+    r = right.join(both, "block").withColumn("c", place("times")).withColumn("b", every("parts")).drop("parts", "times")
+    return l, r
+
+
+def meetings(vectors: DataFrame, threshold: float, block_rows: int, key: str = "id", vector: str = "vector") -> tuple[DataFrame, DataFrame]:
+    """Both sides of similar_pairs as they are shipped: rows at home (k, u, block, b, c) and visiting (k, u, own, block, b, c).
+
+    A row visits the blocks from its own on that have a row within reach of the threshold's angle.
+    """
+    base = vectors.select(F.col(key).alias("k"), unit(F.col(vector)).alias("u")).where("u IS NOT NULL")
+    base = saved(base, "units")
+    rows, centres, radii = blocked(base, -(-base.count() * 8 // block_rows))
+    reach = radii + _angle(np.float64(threshold)) + SLACK
+
+    def visits(u: np.ndarray, part: pd.DataFrame) -> tuple:
+        near = (_angle(u @ centres.T) <= reach) & (radii >= 0)
+        near &= np.arange(len(radii)) >= part["block"].to_numpy()[:, None]
+        return ([np.flatnonzero(x).astype(np.int32) for x in near],)
+
+    visiting = _mapped(rows.select("k", "u", F.col("block").alias("block")), {"to": "array<int>"}, visits)
+    visiting = visiting.select("k", "u", F.col("block").alias("own"), F.explode("to").alias("block"))
+    return dealt(rows.select("k", "u", "block"), saved(visiting, "visiting"), block_rows, 2 * block_rows)
 
 
 def similar_pairs(vectors: DataFrame, threshold: float, block_rows: int = 4096, key: str = "id", vector: str = "vector") -> DataFrame:
     """(a, b, cosine) of all pairs a < b above the threshold, exactly.
 
-    Rows are dealt into blocks of about block_rows, as many as the rows need, and a
-    task multiplies two blocks as matrices, so its memory is bounded at any number of
+    Only pairs of blocks that can hold such a pair meet (see the module); a task
+    multiplies parts of two blocks as matrices, so its memory is bounded at any number of
     rows and only pairs above the threshold become rows. Null and zero vectors are
     similar to nothing.
     """
-    base = vectors.select(F.col(key).alias("k"), unit(F.col(vector)).alias("u")).where("u IS NOT NULL")
-    blocks = _blocks(base.count(), block_rows)
-    base = base.withColumn("g", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
-    # each pair of blocks once: the smaller number left
-    left = base.select("k", "u", F.col("g").alias("ga"), F.explode(F.sequence(F.col("g"), F.lit(blocks - 1))).alias("gb"))
-    right = base.select(F.col("k").alias("kb"), F.col("u").alias("ub"), F.col("g").alias("gb"), F.explode(F.sequence(F.lit(0), F.col("g"))).alias("ga"))
-    kind = base.schema["k"].dataType.simpleString()
+    home, visiting = meetings(vectors, threshold, block_rows, key, vector)
+    kind = home.schema["k"].dataType.simpleString()
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"a": [], "b": [], "cosine": []}, dtype=object)
-        own, ua, kb, ub = a["k"].to_numpy(dtype=object), _stacked(a["u"]), b["kb"].to_numpy(dtype=object), _stacked(b["ub"])
-        same, found = a["ga"].iloc[0] == a["gb"].iloc[0], []
+        own, ua, kb, ub = a["k"].to_numpy(dtype=object), _stacked(a["u"]), b["k"].to_numpy(dtype=object), _stacked(b["u"])
+        same, found = (b["own"] == b["block"]).to_numpy(), []
         for i in range(0, len(own), 1024):
             product = ua[i : i + 1024] @ ub.T
             x, y = np.nonzero(product > threshold)
             p, q, c = own[i + x], kb[y], product[x, y]
-            keep = p < q if same else p != q
+            # within a block each pair comes twice
+            keep = np.where(same[y], p < q, p != q).astype(bool)
             found.append((np.where(p < q, p, q)[keep], np.where(p < q, q, p)[keep], c[keep]))
         return _framed(found, ["a", "b", "cosine"])
 
-    return left.groupBy("ga", "gb").cogroup(right.groupBy("ga", "gb")).applyInPandas(run, f"a {kind}, b {kind}, cosine double")
+    return home.groupBy("block", "b", "c").cogroup(visiting.groupBy("block", "b", "c")).applyInPandas(run, f"a {kind}, b {kind}, cosine double")
 
 
-def nearest(queries: DataFrame, items: DataFrame, k: int, query_rows: int = 4096, item_rows: int = 16_384) -> DataFrame:
-    """(qid, item, score, rank): the k items (item, vector) with the largest dot product with a query (qid, vector), ties by item.
-
-    Queries and items are dealt into blocks of bounded rows; a task multiplies a block
-    of either and keeps k of each query, which then meet across the blocks.
-    """
-    nq, ni = _blocks(queries.count(), query_rows), _blocks(items.count(), item_rows)
-    asks = queries.select("qid", "vector", F.pmod(F.xxhash64("qid"), F.lit(nq)).alias("gq"), F.explode(F.sequence(F.lit(0), F.lit(ni - 1))).alias("gi")).where("vector IS NOT NULL")
-    rows = items.select("item", F.col("vector").alias("iv"), F.pmod(F.xxhash64("item"), F.lit(ni)).cast("int").alias("gi"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))).alias("gq")).where("iv IS NOT NULL")
+def _best(items: DataFrame, asks: DataFrame, k: int, item_rows: int, query_rows: int) -> DataFrame:
+    """(qid, item, score): of the items in the blocks that a query visits, the k best of each task."""
+    home, visiting = dealt(items, asks, item_rows, query_rows)
+    kinds = visiting.schema["k"].dataType.simpleString(), home.schema["k"].dataType.simpleString()
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"qid": [], "item": [], "score": []}, dtype=object)
-        b = b.sort_values("item", kind="stable")
-        own, names, right, found = a["qid"].to_numpy(dtype=object), b["item"].to_numpy(dtype=object), _stacked(b["iv"]), []
+        b = b.sort_values("k", kind="stable")
+        own, names, right, found = a["k"].to_numpy(dtype=object), b["k"].to_numpy(dtype=object), _stacked(b["vector"]), []
         for i in range(0, len(own), 256):
             product = _stacked(a["vector"].iloc[i : i + 256]) @ right.T
             # stable by item: equal scores keep the smaller item
@@ -81,7 +173,64 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, query_rows: int = 4096
             found.append((np.repeat(own[i : i + 256], best.shape[1]), names[best.ravel()], np.take_along_axis(product, best, 1).ravel()))
         return _framed(found, ["qid", "item", "score"])
 
-    kinds = queries.schema["qid"].dataType.simpleString(), items.schema["item"].dataType.simpleString()
-    best = asks.groupBy("gq", "gi").cogroup(rows.groupBy("gq", "gi")).applyInPandas(run, f"qid {kinds[0]}, item {kinds[1]}, score double")
+    return visiting.groupBy("block", "b", "c").cogroup(home.groupBy("block", "b", "c")).applyInPandas(run, f"qid {kinds[0]}, item {kinds[1]}, score double")
+
+
+def _top(scores: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "item")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "item", "score", "rank")
+    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def visits(queries: DataFrame, items: DataFrame, k: int, query_rows: int = 4096, item_rows: int = 16_384) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(scores, late, items): what nearest() does, for its figures.
+
+    Items are ordered by norm into bands and within a band by direction. The first round
+    takes a query to the blocks with the largest bounds that have k items together; the
+    second to the others whose bound reaches its k-th score: late (k, …, block).
+    """
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    shaped = lambda v: F.coalesce(unit(v), F.transform(v, lambda _: F.lit(0.0)))
+    rows = items.where("vector IS NOT NULL").select(F.col("item").alias("k"), "vector", norm(F.col("vector")).alias("norm"), shaped(F.col("vector")).alias("u"))
+    rows = saved(rows, "items")
+    n = -(-rows.count() * 4 // item_rows)
+    bands = max(1, math.isqrt(n))
+    rows, centres, _ = blocked(rows, -(-n // bands))
+    edges = sorted(set(rows.approxQuantile("norm", [i / bands for i in range(1, bands)], 0.02))) if bands > 1 else []
+    band = sum((F.when(F.col("norm") >= e, 1).otherwise(0) for e in edges), F.lit(0))
+    rows = rows.withColumn("block", (band * len(centres) + F.col("block")).cast("int"))
+    known = rows.groupBy("block").agg(F.max("norm").alias("norm"), F.max("off").alias("off"), F.count("*").alias("n")).collect()  # blocks
+    block, largest, radius, size = (np.array([r[c] for r in known]) for c in ("block", "norm", "off", "n"))
+    asks = queries.where("vector IS NOT NULL").select(F.col("qid").alias("k"), "vector", norm(F.col("vector")).alias("norm"), shaped(F.col("vector")).alias("u"))
+
+    def bounds(u: np.ndarray, part: pd.DataFrame) -> np.ndarray:
+        narrow = np.maximum(0.0, _angle(u @ centres[block % len(centres)].T) - radius - SLACK)
+        # behind a right angle the largest norm is no bound, 0 is
+        return part["norm"].to_numpy()[:, None] * largest * np.maximum(np.cos(narrow), 0.0) * (1 + 1e-9)
+
+    def first(u: np.ndarray, part: pd.DataFrame) -> tuple:
+        order = np.argsort(-bounds(u, part), axis=1, kind="stable")
+        return ([block[o[: 1 + np.searchsorted(np.cumsum(size[o]), k)]].astype(np.int32) for o in order],)
+
+    def rest(u: np.ndarray, part: pd.DataFrame) -> tuple:
+        open_ = bounds(u, part) >= part["least"].to_numpy()[:, None]
+        return ([np.setdiff1d(block[o], seen).astype(np.int32) for o, seen in zip(open_, part["seen"], strict=True)],)
+
+    if not len(known):
+        none = asks.select(F.col("k").alias("qid")).join(items.select("item"), F.lit(False)).withColumn("score", F.lit(0.0))
+        return none, asks.withColumn("block", F.lit(0)).limit(0), rows
+    started = saved(_mapped(asks, {"seen": "array<int>"}, first), "asks")
+    scores = saved(_best(rows, started.withColumn("block", F.explode("seen")), k, item_rows, query_rows), "scores")
+    least = _top(scores, k).groupBy("qid").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(-math.inf).alias("least"))
+    met = started.join(least.withColumnRenamed("qid", "k"), "k")
+    late = saved(_mapped(met, {"to": "array<int>"}, rest).withColumn("block", F.explode("to")).drop("to"), "late")
+    return scores.unionByName(_best(rows, late, k, item_rows, query_rows)), late, rows
+
+
+def nearest(queries: DataFrame, items: DataFrame, k: int, query_rows: int = 4096, item_rows: int = 16_384) -> DataFrame:
+    """(qid, item, score, rank): the k items (item, vector) with the largest dot product with a query (qid, vector), ties by item.
+
+    Exact in two rounds: blocks that cannot beat the k-th score of the first round are
+    not visited (see visits). A task multiplies parts of bounded rows and keeps k of each
+    query. Rows without a vector take no part; a zero vector has the product 0 with all. Ids of queries are distinct.
+    """
+    return _top(visits(queries, items, k, query_rows, item_rows)[0], k).select("qid", "item", "score", "rank")

@@ -333,30 +333,50 @@ def _stop_sql(moved: str) -> str:
     return f"stop AS (SELECT min(r) AS r FROM ({moved}) WHERE r % 5 = 0 AND r > 0)"
 
 
-def _series_sql(start: str, factor: str, keys: str, rounds: int, tol: float) -> str:
-    """vs (keys, tag, v): the terms up to the round at which the operator stops."""
-    return f"""v(r, {keys}, tag, v) AS (SELECT 0, * FROM ({start}) UNION ALL SELECT r + 1, {keys}, b, sum(v * t * {factor}) FROM v JOIN ta ON tag = a WHERE r < {rounds} GROUP BY r, {keys}, b),
-{_stop_sql(f'SELECT r FROM v GROUP BY r HAVING max(abs(v)) < {tol}::DOUBLE')}, vs AS (SELECT {keys}, tag, sum(v) AS v FROM v WHERE r <= (SELECT r FROM stop) GROUP BY {keys}, tag)"""
-
-
 #: A stated query set: items and users whose id is divisible by this ask; all items answer.
 ASKING = 100
 
 
-@query("birank_item", f"""{_GRAPH}, q AS (SELECT item AS qid, item, 1.0::DOUBLE AS weight FROM event_tags WHERE item % {ASKING} = 0), {_series_sql('SELECT qid, tag, sum(weight * s) AS v FROM q JOIN sm USING (item) GROUP BY qid, tag', '0.36::DOUBLE', 'qid', 60, 1e-12)},
+def _push_sql(start: str, bound: str, rounds: int = 40) -> str:
+    """vs (qid, tag, v): forward push at alpha x beta = 0.36; a round without a residual above bound changes nothing."""
+    return f"""u(n, qid, tag, p, r) AS (SELECT 0, qid, tag, 0.0::DOUBLE, v FROM ({start}) UNION ALL
+SELECT n, qid, tag, sum(p), sum(r) FROM (
+  SELECT u.n + 1 AS n, qid, unnest(CASE WHEN abs(r) > {bound}::DOUBLE THEN list_prepend(struct_pack(tag := tag, p := p + r, r := 0.0::DOUBLE), list_transform(m.m, lambda x: struct_pack(tag := x.b, p := 0.0::DOUBLE, r := r * x.t * 0.36::DOUBLE))) ELSE [struct_pack(tag := tag, p := p, r := r)] END, recursive := true)
+  FROM u JOIN tl m ON m.a = u.tag WHERE u.n < {rounds}
+) GROUP BY n, qid, tag),
+vs AS (SELECT qid, tag, p + r AS v FROM u WHERE n = {rounds})"""
+
+
+_ITEM_START = "SELECT qid, tag, sum(weight * s) AS v FROM q JOIN sm USING (item) GROUP BY qid, tag"
+_ITEM_Q = f"q AS (SELECT item AS qid, item, 1.0::DOUBLE AS weight FROM event_tags WHERE item % {ASKING} = 0), tl AS (SELECT a, list(struct_pack(b := b, t := t)) AS m FROM ta GROUP BY a)"
+#: Residuals that BiRank leaves where they are.
+_BOUND = "1e-8"
+
+
+@query("birank_item", f"""{_GRAPH}, {_ITEM_Q}, {_push_sql(_ITEM_START, _BOUND)},
 al AS (SELECT qid, item, sum(v * s) * 0.36::DOUBLE AS v FROM vs JOIN sm USING (tag) GROUP BY qid, item UNION ALL SELECT qid, item, weight FROM q) SELECT qid, item, round(sum(v) * 0.4::DOUBLE, 8) AS score FROM al GROUP BY qid, item""")
 def birank_item(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = V.event_tags(spark, sf_dir)
     asks = corpus.where(f"item % {ASKING} = 0").select(F.col("item").alias("qid"), "item", F.lit(1.0).alias("weight"))
-    return G.birank_items(asks, C.edges(corpus), cut, 0.6, 0.6).withColumn("score", F.round("score", 8))
+    return G.birank_items(asks, C.edges(corpus), cut, 0.6, 0.6, float(_BOUND)).withColumn("score", F.round("score", 8))
+
+
+@query("birank_reach", f"""{_GRAPH}, {_ITEM_Q}, {_push_sql(_ITEM_START, '1e-3')} SELECT qid, count(*) AS touched, round(sum(v), 8) AS mass FROM vs GROUP BY qid""")
+def birank_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many tags each query touches at a coarse bound, and what it leaves on them."""
+    corpus = V.event_tags(spark, sf_dir)
+    s = cut(G.normalised(C.edges(corpus)))
+    start = corpus.where(f"item % {ASKING} = 0").select(F.col("item").alias("qid"), "item").join(s, "item").select("qid", "tag", F.col("s").alias("v"))
+    found = G.push(start, cut(G.tag_transitions(s)), 0.36, cut, 1e-3)
+    return found.groupBy("qid").agg(F.count("*").alias("touched"), F.round(F.sum("v"), 8).alias("mass"))
 
 
-@query("birank_tag", f"""{_GRAPH}, q AS (SELECT item AS qid, tag, w AS weight FROM ed WHERE item % {ASKING} = 0), {_series_sql('SELECT qid, tag, weight FROM q', '0.36::DOUBLE', 'qid', 60, 1e-12)}
+@query("birank_tag", f"""{_GRAPH}, q AS (SELECT item AS qid, tag, w AS v FROM ed WHERE item % {ASKING} = 0), tl AS (SELECT a, list(struct_pack(b := b, t := t)) AS m FROM ta GROUP BY a), {_push_sql('SELECT * FROM q', _BOUND)}
 SELECT qid, item, round(sum(v * s) * (0.6::DOUBLE * 0.4::DOUBLE), 8) AS score FROM vs JOIN sm USING (tag) GROUP BY qid, item""")
 def birank_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = V.event_tags(spark, sf_dir)
     asks = C.edges(corpus).where(f"item % {ASKING} = 0").select(F.col("item").alias("qid"), "tag", F.col("w").cast("double").alias("weight"))
-    return G.birank_tags(asks, C.edges(corpus), cut, 0.6, 0.6).withColumn("score", F.round("score", 8))
+    return G.birank_tags(asks, C.edges(corpus), cut, 0.6, 0.6, float(_BOUND)).withColumn("score", F.round("score", 8))
 
 
 _ITEM_ALPHA, _USER_ALPHA = (0.5, 0.75, 0.85, 0.9), (0.75, 0.85, 0.9)
@@ -369,7 +389,9 @@ def _birank_grid(c: DataFrame, corpus: DataFrame, asks: DataFrame, alphas: tuple
     e, asks = cut(C.edges(corpus)), cut(asks)
     s = cut(G.normalised(e))
     pairs = F.array(*[F.struct(F.lit(x).alias("alpha"), F.lit(y).alias("beta"), F.lit(x * y).alias("c")) for x in alphas for y in alphas])
-    kernel = G.kernels(e, [x * y for x in alphas for y in alphas], cut, 1e-6)
+    # a basis of the asked tags serves all queries and configurations
+    basis = asks.join(s, "item").select(F.col("tag").alias("of"), "tag", F.lit(1.0).alias("v")).distinct()
+    kernel = cut(G.resolvents(basis, cut(G.tag_transitions(s)), [x * y for x in alphas for y in alphas], cut))
     start = asks.join(s, "item").groupBy(*own, "qid", "tag").agg(F.sum(F.col("weight") * F.col("s")).alias("q"))
     spread = start.withColumnRenamed("tag", "of").join(kernel, "of").groupBy(*own, "c", "qid", "tag").agg(F.sum(F.col("q") * F.col("v")).alias("v"))
     back = c.select("qid", "item").join(s, "item").join(spread, ["qid", "tag"]).groupBy(*own, "c", "qid", "item").agg((F.sum(F.col("v") * F.col("s")) * F.col("c")).alias("v"))
@@ -385,8 +407,8 @@ def _birank_grid_sql(asks: str, alphas: tuple[float, ...], own: str = "", grid:
     factors = ", ".join(f"{c}::DOUBLE" for c in sorted({x * y for x in alphas for y in alphas}))
     keys = f"{own}alpha, beta"
     return f"""{_GRAPH}, {_BASE.removeprefix('WITH ')}, {asks}, pr AS (SELECT alpha, beta, c FROM (VALUES {pairs}) x(alpha, beta, c)),
-v(r, c, o, tag, v) AS (SELECT 0, c, tag, tag, 1.0::DOUBLE FROM (SELECT DISTINCT tag FROM ed), (SELECT unnest([{factors}]) AS c) UNION ALL SELECT r + 1, c, o, b, sum(v * t * c) FROM v JOIN ta ON tag = a WHERE r < 256 GROUP BY r, c, o, b),
-stop AS (SELECT min(r) AS r FROM (SELECT r FROM v GROUP BY r HAVING max(abs(v)) < 1e-6::DOUBLE) WHERE r IN (1, 2, 4, 8, 16, 32, 64, 128, 256)), vs AS (SELECT c, o, tag, sum(v) AS v FROM v WHERE r < (SELECT r FROM stop) GROUP BY c, o, tag),
+v(r, c, o, tag, v) AS (SELECT 0, c, tag, tag, 1.0::DOUBLE FROM (SELECT DISTINCT tag FROM ed), (SELECT unnest([{factors}]) AS c) UNION ALL SELECT r + 1, c, o, b, sum(v * t * c) FROM v JOIN ta ON tag = a WHERE r < 160 GROUP BY r, c, o, b),
+vs AS (SELECT c, o, tag, sum(v) AS v FROM v GROUP BY c, o, tag),
 qs AS (SELECT {own}qid, tag, sum(weight * s) AS q FROM aw JOIN sm USING (item) GROUP BY {own}qid, tag),
 sp AS (SELECT {own}c, qid, vs.tag, sum(q * v) AS v FROM qs JOIN vs ON qs.tag = vs.o GROUP BY {own}c, qid, vs.tag),
 bk AS (SELECT {own}c, qid, item, sum(v * s) * c AS v FROM cand JOIN sm USING (item) JOIN sp USING (qid, tag) GROUP BY {own}c, qid, item),

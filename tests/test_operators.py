@@ -157,6 +157,53 @@ def test_pagerank_keeps_its_mass_and_converges(spark):
     assert got == pytest.approx(1.0)
 
 
+def _clustered(spark, n, dims=16, size=50, spread=0.05):
+    """n vectors around n / size directions, with norms over three orders of magnitude."""
+    rng = np.random.default_rng(n)
+    centres = rng.normal(size=(n // size, dims))
+    v = (centres / np.linalg.norm(centres, axis=1, keepdims=True))[np.arange(n) % len(centres)] + rng.normal(size=(n, dims)) * spread
+    v *= 10 ** rng.uniform(-1.5, 1.5, size=(n, 1))
+    return v, spark.createDataFrame(pd.DataFrame({"id": np.arange(n), "vector": v.tolist()}), "id long, vector array<double>")
+
+
+def test_clustered_pairs_ship_no_more_rows_each_as_they_grow(spark):
+    shipped = []
+    for n in (2_000, 20_000):
+        v, df = _clustered(spark, n)
+        home, visiting = N.meetings(df, 0.95, block_rows=800)
+        shipped.append((home.count() + visiting.count()) / n)
+        if n == 2_000:
+            u = v / np.linalg.norm(v, axis=1, keepdims=True)
+            x, y = np.nonzero(np.triu(u @ u.T > 0.95, 1))
+            got = N.similar_pairs(df, 0.95, block_rows=800).collect()
+            assert sorted((r["a"], r["b"]) for r in got) == sorted(zip(x.tolist(), y.tolist())) and len(got) > 10_000
+    assert shipped[0] < 3 and shipped[1] < 5, shipped  # every pair of blocks: 3 and 26
+
+
+def test_search_by_norms_leaves_most_pairs_out(spark):
+    shares = []
+    for n in (1_000, 8_000):
+        v, df = _clustered(spark, n)
+        items, asks = df.withColumnRenamed("id", "item"), df.where("id % 100 = 0").withColumnRenamed("id", "qid")
+        got = {(r["qid"], r["rank"]): r["item"] for r in N.nearest(asks, items, 10, item_rows=400).collect()}
+        for q in range(0, n, 100):
+            score = v @ v[q]
+            assert [got[q, r] for r in range(1, 11)] == sorted(range(n), key=lambda i: (-score[i], i))[:10]
+        _, late, rows = N.visits(asks, items, 10, item_rows=400)
+        sizes = rows.groupBy("block").agg(F.count("*").alias("n"))
+        scored = sum(late.select("k", b).withColumnRenamed(b, "block").join(sizes, "block").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for b in ("block",))
+        first = late.select("k", "seen").distinct().select(F.explode("seen").alias("block")).join(sizes, "block").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        shares.append((scored + first) / (n * n / 100))
+    assert shares[0] < 0.8 and shares[1] < 0.5 and shares[1] < shares[0], shares
+
+
+def test_search_with_few_zero_and_missing_vectors(spark):
+    items = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [-1.0, 0.0]), (5, [1.0, 0.0])], "item long, vector array<double>")
+    asks = spark.createDataFrame([(7, [2.0, 0.0]), (8, [0.0, 0.0]), (9, None)], "qid long, vector array<double>")
+    assert rows(N.nearest(asks, items, 10)) == [(7, 1, 2.0, 1), (7, 2, 0.0, 3), (7, 4, -2.0, 4), (7, 5, 2.0, 2), (8, 1, 0.0, 1), (8, 2, 0.0, 2), (8, 4, 0.0, 3), (8, 5, 0.0, 4)]
+    assert rows(N.nearest(asks, items.where("false"), 10)) == [] and rows(N.similar_pairs(items.where("false"), 0.5, key="item")) == []
+
+
 @pytest.mark.parametrize("normalizer", ["HITS", "CoHITS", "BGRM", "BiRank"])
 def test_birank_converges(spark, normalizer):
     got = G.birank(C.edges(_corpus(spark)), normalizer, cut, rounds=60)
@@ -299,10 +346,31 @@ def test_a_cluster_must_name_the_shared_folder():
         scratch.shared_dir(Session())
 
 
-def test_kernel_equals_the_series(spark):
+def test_resolvents_and_push_equal_the_series(spark):
     edges = spark.createDataFrame([(i, f"t{(i * k) % 5}", 1) for i in range(12) for k in (1, 2, 3)], "item int, tag string, w int").groupBy("item", "tag").agg(F.sum("w").alias("w"))
     s = G.normalised(edges)
+    moves = scratch.saved(G.tag_transitions(s), "moves")
     start = s.select(F.col("tag").alias("qid"), "tag", F.lit(1.0).alias("v")).distinct()
-    one = {(r["qid"], r["tag"]): r["v"] for r in G.series(start, G.tag_transitions(s), 0.6, scratch.cut).collect()}
-    got = {(r["of"], r["tag"]): r["v"] for r in G.kernels(edges, [0.6, 0.3], scratch.cut).where("c = 0.6").collect()}
-    assert got.keys() == one.keys() and all(got[k] == pytest.approx(one[k], abs=1e-9) for k in one)
+    factors = [0.36, 0.81, 0.0]
+    got = {(r["c"], r["qid"], r["tag"]): r["v"] for r in G.resolvents(start, moves, factors, scratch.cut).collect()}
+    assert len(got) == len(factors) * (1 + 4 * 4)  # t0 is alone
+    tags = sorted({r["a"] for r in moves.collect()})
+    a = np.zeros((len(tags), len(tags)))
+    for r in moves.collect():
+        a[tags.index(r["a"]), tags.index(r["b"])] = r["t"]
+    for c in factors[:2]:
+        full = np.linalg.inv(np.eye(len(tags)) - c * a)
+        one = {(q, t): full[i, j] for i, q in enumerate(tags) for j, t in enumerate(tags) if (c, q, t) in got}
+        assert all(got[c, *k] == pytest.approx(v, abs=1e-11) for k, v in one.items())
+        near = G.push(start, moves, c, scratch.cut, 1e-7).collect()
+        assert all(abs(r["v"] - one[r["qid"], r["tag"]]) < 1e-6 and r["left"] <= 1e-7 for r in near)
+    assert all(got[0.0, q, t] == pytest.approx(float(q == t), abs=1e-12) for c, q, t in got if c == 0.0)
+
+
+def test_push_touches_what_it_reaches_alone(spark):
+    # a path of 200 items and tags: a query at its end leaves all but a few tags alone
+    edges = spark.createDataFrame([(i, f"t{j:03}", 1) for i in range(200) for j in (i, i + 1)], "item int, tag string, w int")
+    s = scratch.saved(G.normalised(edges), "s")
+    start = spark.createDataFrame([(1, "t000", 1.0)], "qid int, tag string, v double")
+    found = G.push(start, scratch.saved(G.tag_transitions(s), "moves"), 0.36, scratch.cut, 1e-4)
+    assert 3 < found.count() < 15
\ No newline at end of file

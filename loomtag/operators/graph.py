@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtag.scratch import saved
+
 Cut = Callable[[DataFrame], DataFrame]
 
 
@@ -27,7 +29,13 @@ def tag_transitions(s: DataFrame) -> DataFrame:
     return s.select("item", F.col("tag").alias("a"), F.col("s").alias("sa")).join(s.select("item", F.col("tag").alias("b"), F.col("s").alias("sb")), "item").groupBy("a", "b").agg(F.sum(F.col("sa") * F.col("sb")).alias("t"))
 
 
-def push(start: DataFrame, moves: DataFrame, factor: float, cut: Cut, bound: float = 1e-9, rounds: int = 300, check_every: int = 4) -> DataFrame:
+def with_own(moves: DataFrame) -> DataFrame:
+    """moves (a, b, t) written with `own`, and a row (a, a, 0, true) for each node: what it keeps comes by the same join as what it sends."""
+    own = moves.select("a").union(moves.select("b")).distinct().select("a", F.col("a").alias("b"), F.lit(0.0).alias("t"), F.lit(True).alias("own"))
+    return saved(moves.select("a", "b", "t", F.lit(False).alias("own")).unionByName(own), "moves")
+
+
+def push(start: DataFrame, moves: DataFrame, factor: float, cut: Cut, bound: float = 1e-9, rounds: int = 300, check_every: int = 5) -> DataFrame:
     """(keys…, tag, v, left): the sum over m of (factor x A)^m on start (keys…, tag, v) by forward push.
 
     Every (keys, tag) has an estimate and a residual that is not yet spread. A round
@@ -36,13 +44,14 @@ def push(start: DataFrame, moves: DataFrame, factor: float, cut: Cut, bound: flo
     residual is above bound (left, which v includes): v is within factor / (1 - factor)
     times the length of the vector of what is left.
     """
-    keys = [c for c in start.columns if c not in ("tag", "v")]
+    keys, big, stays = [c for c in start.columns if c not in ("tag", "v")], F.abs("r") > bound, F.col("own")
     state = cut(start.groupBy(*keys, "tag").agg(F.lit(0.0).alias("p"), F.sum(F.col("v").cast("double")).alias("r")))
-    big = F.abs("r") > bound
+    ways = with_own(moves)
     for n in range(1, rounds + 1):
-        sent = state.where(big).join(moves, F.col("tag") == F.col("a")).groupBy(*keys, F.col("b").alias("tag")).agg(F.lit(0.0).alias("p"), F.sum(F.col("r") * F.col("t") * factor).alias("r"))
-        kept = state.select(*keys, "tag", (F.col("p") + F.when(big, F.col("r")).otherwise(0.0)).alias("p"), F.when(big, 0.0).otherwise(F.col("r")).alias("r"))
-        state = kept.unionByName(sent).groupBy(*keys, "tag").agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
+        met = state.join(ways, (F.col("tag") == F.col("a")) & (stays | big))
+        p = F.sum(F.when(stays, F.col("p") + F.when(big, F.col("r")).otherwise(0.0)).otherwise(0.0))
+        r = F.sum(F.when(stays, F.when(big, 0.0).otherwise(F.col("r"))).otherwise(F.col("r") * F.col("t") * factor))
+        state = met.groupBy(*keys, F.col("b").alias("tag")).agg(p.alias("p"), r.alias("r"))
         if n % check_every == 0 or n == rounds:
             state = cut(state)
             if state.where(big).isEmpty():
@@ -50,7 +59,7 @@ def push(start: DataFrame, moves: DataFrame, factor: float, cut: Cut, bound: flo
     return state.select(*keys, "tag", (F.col("p") + F.col("r")).alias("v"), F.abs("r").alias("left"))
 
 
-def resolvents(start: DataFrame, moves: DataFrame, factors: list[float], cut: Cut, tol: float = 1e-13, cut_every: int = 4) -> DataFrame:
+def resolvents(start: DataFrame, moves: DataFrame, factors: list[float], cut: Cut, tol: float = 1e-13, cut_every: int = 8) -> DataFrame:
     """(keys…, tag, c, v): for each factor c below 1 the sum over m of (c A)^m on start (keys…, tag, v), from one sequence of vectors.
 
     A is symmetric with eigenvalues from 0 to 1. The sequence is that of the Chebyshev
@@ -69,13 +78,13 @@ def resolvents(start: DataFrame, moves: DataFrame, factors: list[float], cut: Cu
     # x: the last polynomial, y: the one before
     state = start.groupBy(*keys, "tag").agg(F.sum(F.col("v").cast("double")).alias("x")).withColumn("y", F.lit(0.0))
     state = cut(state.select("*", *[(F.col("x") * weight(c, 0)).alias(n) for c, n in zip(factors, sums, strict=True)]))
+    ways, stays = with_own(moves), F.col("own")
     for m in range(1, rounds + 1):
         twice = 1.0 if m == 1 else 2.0
-        none = [F.lit(0.0).alias(n) for n in sums]
-        moved = state.where("x <> 0").join(moves, F.col("tag") == F.col("a")).groupBy(*keys, F.col("b").alias("tag")).agg((F.sum(F.col("x") * F.col("t")) * 2 * twice).alias("x"))
-        moved = moved.select(*keys, "tag", "x", F.lit(0.0).alias("y"), *none)
-        kept = state.select(*keys, "tag", (-twice * F.col("x") - F.col("y")).alias("x"), F.col("x").alias("y"), *sums)
-        state = kept.unionByName(moved).groupBy(*keys, "tag").agg(*[F.sum(n).alias(n) for n in ("x", "y", *sums)])
+        met = state.join(ways, (F.col("tag") == F.col("a")) & (stays | (F.col("x") != 0.0)))
+        kept = lambda c: F.sum(F.when(stays, c).otherwise(0.0))
+        x = F.sum(F.when(stays, -twice * F.col("x") - F.col("y")).otherwise(F.col("x") * F.col("t") * (2 * twice)))
+        state = met.groupBy(*keys, F.col("b").alias("tag")).agg(x.alias("x"), kept(F.col("x")).alias("y"), *[kept(F.col(n)).alias(n) for n in sums])
         state = state.select(*keys, "tag", "x", "y", *[(F.col(n) + F.col("x") * weight(c, m)).alias(n) for c, n in zip(factors, sums, strict=True)])
         if m % cut_every == 0:
             state = cut(state)
@@ -92,7 +101,7 @@ def birank_items(queries: DataFrame, edges: DataFrame, cut: Cut, alpha: float =
     s = cut(normalised(edges))
     c = alpha * beta
     start = queries.join(s, "item").groupBy("qid", "tag").agg(F.sum(F.col("weight") * F.col("s")).alias("v"))
-    spread = push(start, cut(tag_transitions(s)), c, cut, bound)
+    spread = push(start, tag_transitions(s), c, cut, bound)
     back = spread.join(s, "tag").groupBy("qid", "item").agg(F.sum(F.col("v") * F.col("s") * c).alias("v"))
     both = back.unionByName(queries.select("qid", "item", F.col("weight").cast("double").alias("v")))
     return both.groupBy("qid", "item").agg((F.sum("v") * (1 - alpha)).alias("score"))
@@ -101,7 +110,7 @@ def birank_items(queries: DataFrame, edges: DataFrame, cut: Cut, alpha: float =
 def birank_tags(queries: DataFrame, edges: DataFrame, cut: Cut, alpha: float = 0.85, beta: float = 0.85, bound: float = 1e-9) -> DataFrame:
     """(qid, item, score) of tag weights (qid, tag, weight): alpha (1 - beta) x sum of (alpha beta S transpose(S))^n S on the weights, pushed to bound."""
     s = cut(normalised(edges))
-    spread = push(queries.select("qid", "tag", F.col("weight").alias("v")), cut(tag_transitions(s)), alpha * beta, cut, bound)
+    spread = push(queries.select("qid", "tag", F.col("weight").alias("v")), tag_transitions(s), alpha * beta, cut, bound)
     return spread.join(s, "tag").groupBy("qid", "item").agg((F.sum(F.col("v") * F.col("s")) * (alpha * (1 - beta))).alias("score"))
 
 
@@ -119,15 +128,17 @@ def birank(edges: DataFrame, normalizer: str, cut: Cut, alpha: float = 0.85, bet
     item, tag = F.col("item").cast("string"), F.col("tag")
     both = F.array(F.struct(F.lit("item").alias("at"), item.alias("src"), tag.alias("dst"), (up * alpha).alias("m")), F.struct(F.lit("tag").alias("at"), tag.alias("src"), item.alias("dst"), (down * beta).alias("m")))
     moves = cut(e.select(F.inline(both)))
+    own = moves.select("at", "src", F.col("src").alias("dst"), F.lit(0.0).alias("m")).distinct()
+    ways = saved(moves.withColumn("own", F.lit(False)).unionByName(own.withColumn("own", F.lit(True))), "ways")
     n = e.agg(F.countDistinct("item").alias("i"), F.countDistinct("tag").alias("t")).first()
     base = F.when(F.col("side") == "item", 1.0 / max(1, n["i"])).otherwise(1.0 / max(1, n["t"]))
     fresh = F.when(F.col("side") == "item", 1 - beta).otherwise(1 - alpha) * base
-    state = cut(moves.select(F.col("at").alias("side"), F.col("src").alias("node")).distinct().withColumn("x", base).withColumn("was", F.lit(0.0)))
-    other = F.when(F.col("side") == "item", "tag").otherwise("item")
+    state = cut(own.select(F.col("at").alias("side"), F.col("src").alias("node")).withColumn("x", base).withColumn("was", F.lit(0.0)))
+    to = F.when(F.col("own"), F.col("side")).when(F.col("side") == "item", "tag").otherwise("item")
     for r in range(1, rounds + 1):
-        sent = state.join(moves, (F.col("side") == F.col("at")) & (F.col("node") == F.col("src"))).groupBy(other.alias("side"), F.col("dst").alias("node")).agg(F.sum(F.col("x") * F.col("m")).alias("x"), F.lit(0.0).alias("was"))
-        kept = state.select("side", "node", fresh.alias("x"), F.col("x").alias("was"))
-        state = kept.unionByName(sent).groupBy("side", "node").agg(F.sum("x").alias("x"), F.sum("was").alias("was"))
+        met = state.join(ways, (F.col("side") == F.col("at")) & (F.col("node") == F.col("src")))
+        x, was = F.sum(F.when(F.col("own"), fresh).otherwise(F.col("x") * F.col("m"))), F.sum(F.when(F.col("own"), F.col("x")).otherwise(0.0))
+        state = met.groupBy(to.alias("side"), F.col("dst").alias("node")).agg(x.alias("x"), was.alias("was"))
         if normalizer == "HITS":
             state = cut(state)
             state = state.join(F.broadcast(state.groupBy("side").agg(F.sum("x").alias("s"))), "side").select("side", "node", (F.col("x") / F.col("s")).alias("x"), "was")  # two rows

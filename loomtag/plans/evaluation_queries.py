@@ -367,7 +367,7 @@ def birank_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = V.event_tags(spark, sf_dir)
     s = cut(G.normalised(C.edges(corpus)))
     start = corpus.where(f"item % {ASKING} = 0").select(F.col("item").alias("qid"), "item").join(s, "item").select("qid", "tag", F.col("s").alias("v"))
-    found = G.push(start, cut(G.tag_transitions(s)), 0.36, cut, 1e-3)
+    found = G.push(start, G.tag_transitions(s), 0.36, cut, 1e-3)
     return found.groupBy("qid").agg(F.count("*").alias("touched"), F.round(F.sum("v"), 8).alias("mass"))
 
 
@@ -391,7 +391,7 @@ def _birank_grid(c: DataFrame, corpus: DataFrame, asks: DataFrame, alphas: tuple
     pairs = F.array(*[F.struct(F.lit(x).alias("alpha"), F.lit(y).alias("beta"), F.lit(x * y).alias("c")) for x in alphas for y in alphas])
     # a basis of the asked tags serves all queries and configurations
     basis = asks.join(s, "item").select(F.col("tag").alias("of"), "tag", F.lit(1.0).alias("v")).distinct()
-    kernel = cut(G.resolvents(basis, cut(G.tag_transitions(s)), [x * y for x in alphas for y in alphas], cut))
+    kernel = cut(G.resolvents(basis, G.tag_transitions(s), [x * y for x in alphas for y in alphas], cut))
     start = asks.join(s, "item").groupBy(*own, "qid", "tag").agg(F.sum(F.col("weight") * F.col("s")).alias("q"))
     spread = start.withColumnRenamed("tag", "of").join(kernel, "of").groupBy(*own, "c", "qid", "tag").agg(F.sum(F.col("q") * F.col("v")).alias("v"))
     back = c.select("qid", "item").join(s, "item").join(spread, ["qid", "tag"]).groupBy(*own, "c", "qid", "item").agg((F.sum(F.col("v") * F.col("s")) * F.col("c")).alias("v"))

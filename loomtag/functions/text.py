@@ -44,23 +44,42 @@ def movie_cell(cell: Column) -> Column:
     return F.struct(F.regexp_extract(cell, r"\),\s*(-?\d+(?:\.\d+)?)", 1).try_cast("double").alias("rating"), F.try_element_at(cell_strings(cell), F.lit(-1)).alias("title"))
 
 
+# The characters of a tag in completions of one text and of several, and marked spans.
+WORD_TAG = r"(?U)\b[a-zA-Z\- \u4E00-\u9FFF]+\b"
+BEAM_TAG = r"(?U)\b[a-zA-Z\- \u4E00-\u9FFF.']+\b"
+MARKED_TAG = r"\*+([a-zA-Z\- \u4E00-\u9FFF'.]+)\*+"
+
+
+def _tags(line: Column, pattern: str, group: int = 0) -> Column:
+    found = F.transform(F.regexp_extract_all(F.lower(line), F.lit(pattern), F.lit(group)), lambda t: F.btrim(t))
+    return F.filter(found, lambda t: t != "")
+
+
 def numbered_tags(completion: Column, first: int = 0, last: int | None = None) -> Column:
-    """Tags of a numbered list: the text before `1.` is dropped, lines [first, last) are split at commas, lowered and trimmed."""
-    body = F.regexp_replace(completion, r"(?s)^.*?1\.", "")
-    lines = F.split(body, r"\n\s*\d+\.")
-    part = F.slice(lines, first + 1, 1 << 20 if last is None else last - first)
-    tags = F.flatten(F.transform(part, lambda x: F.transform(F.split(x, r"[,\n]"), lambda t: F.lower(F.trim(t)))))
-    return F.filter(tags, lambda t: t != "")
+    """Tags of a numbered list: runs of letters, blanks and hyphens in lines [first, last), lowered; digits and other characters end a tag.
 
+    What precedes the first `1.` is dropped; without one there are no tags. A negative last counts from the end.
+    """
+    body = F.nullif(F.regexp_extract(completion, r"(?s)1\..*", 0), F.lit(""))
+    lines = F.split(F.substring(body, F.lit(3), F.length(body)), r"\n\d+\.")
+    end = F.size(lines) if last is None else F.lit(last) if last >= 0 else F.size(lines) + last
+    part = F.slice(lines, first + 1, F.greatest(end - first, F.lit(0)))
+    return F.coalesce(F.flatten(F.transform(part, lambda x: _tags(x, WORD_TAG))), _none())
 
-def beam_tags(beams: Column, line: int) -> Column:
-    """Line `line` (from 1) of each of several completions; **marked** spans win where there are any."""
-    def one(text: Column) -> Column:
-        body = F.trim(F.regexp_extract(text, rf"(?m)^\s*{line}\.\s*(.*)$", 1))
-        marked = F.regexp_extract_all(body, F.lit(r"\*\*([^*]+)\*\*"), F.lit(1))
-        return F.when(F.size(marked) > 0, F.transform(marked, lambda m: F.lower(F.trim(m)))).otherwise(F.array(F.lower(body)))
 
-    return F.array_distinct(F.filter(F.flatten(F.transform(beams, one)), lambda t: t != ""))
+def beam_tags(beams: Column, first: int, last: int, n_beams: int | None = None, include_input: bool = False) -> Column:
+    """Tags of the lines numbered first + 1 to last of the first n_beams of several completions, in their order, repeats kept.
+
+    include_input puts what follows `1.` in the first completion before them. In a line spans
+    between stars win where there are any; else runs of letters, blanks, hyphens, dots and apostrophes are tags.
+    """
+    used = beams if n_beams is None else F.slice(beams, 1, n_beams)
+    numbered = lambda text: F.array(*[F.regexp_extract(text, rf"\n{i}\. ([^\n]+)", 1) for i in range(first + 1, last + 1)])
+    lines = F.flatten(F.transform(used, numbered))
+    if include_input:
+        lines = F.concat(F.array(F.regexp_extract(F.get(beams, F.lit(0)), r"1\. ([^\n]+)", 1)), lines)
+    tags = lambda line: F.when(F.lower(line).rlike(MARKED_TAG), _tags(line, MARKED_TAG, 1)).otherwise(_tags(line, BEAM_TAG))
+    return F.coalesce(F.flatten(F.transform(lines, tags)), _none())
 
 
 def json_array(text: Column) -> Column:
@@ -68,28 +87,43 @@ def json_array(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"(?s)\[.*\]", 0), F.lit(""))
 
 
+def _texts(values: Column) -> Column:
+    """The strings among variants."""
+    return F.transform(F.filter(values, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: v.cast("string"))
+
+
 def normalised_labels(prediction: Column, most: int = 5, separator: str = ";") -> Column:
     """Labels of a prediction in any of its shapes: {"predicted_classes": […]}, {"predicted_class": "…"} (one label, whole), a list, or text split at the separator.
 
-    Trimmed, distinct, at most `most`; `Unknown` if there are none.
+    Text that is no JSON is split, also where it begins with a bracket; in a list only
+    strings count. Trimmed, distinct, at most `most`; `Unknown` if there are none.
     """
-    obj = F.from_json(prediction, "predicted_classes array<string>, predicted_class string")
-    listed = F.when(F.ltrim(prediction).startswith("["), F.from_json(prediction, "array<string>"))
-    plain = F.when(~F.ltrim(prediction).rlike(r"^[\[{]"), F.split(prediction, re.escape(separator)))
-    got = F.coalesce(obj["predicted_classes"], F.when(obj["predicted_class"].isNotNull(), F.array(obj["predicted_class"])), listed, plain, _none())
-    clean = F.slice(F.array_distinct(F.filter(F.transform(got, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))), 1, most)
+    start, is_json = F.substring(F.ltrim(prediction), 1, 1), F.try_parse_json(prediction).isNotNull()
+    obj = F.from_json(prediction, "predicted_classes array<variant>, predicted_class variant")
+    one = _texts(F.array(obj["predicted_class"]))
+    of_object = F.coalesce(_texts(obj["predicted_classes"]), one, _none())
+    got = F.when(is_json & (start == "{"), of_object).when(is_json & (start == "["), F.coalesce(_texts(F.from_json(prediction, "array<variant>")), _none()))
+    got = F.coalesce(got, F.split(prediction, re.escape(separator)), _none())
+    clean = F.slice(F.array_distinct(F.filter(F.transform(got, lambda x: F.btrim(x)), lambda x: x.isNotNull() & (x != ""))), 1, most)
     return F.when(F.size(clean) == 0, F.array(F.lit("Unknown"))).otherwise(clean)
 
 
+# Names behind `Category n`, quoted and loose.
+QUOTED_CATEGORY = r'\bCategory\s*\d+\b\s*:\s*"([^"]+)"'
+LOOSE_CATEGORY = r"\bCategory\s*\d+\b\s*[:\-]\s*([\w\-\s/&]+)"
+
+
 def category_names(completion: Column) -> Column:
-    """Names in {"Categories": {"Category 1": "…"}}, a flat object or a list; else what follows `Category n:`."""
-    body = F.regexp_extract(completion, r"(?s)\{.*\}", 0)
-    nested = F.map_values(F.from_json(F.get_json_object(body, "$.Categories"), "map<string,string>"))
-    flat = F.when(F.get_json_object(body, "$.Categories").isNull(), F.map_values(F.from_json(F.nullif(body, F.lit("")), "map<string,string>")))
-    listed = F.from_json(json_array(completion), "array<string>")
-    loose = F.regexp_extract_all(completion, F.lit(r"Category \d+\s*[:\-]\s*([^\n]+)"), F.lit(1))
-    got = F.coalesce(nested, flat, listed, loose)
-    return F.filter(F.transform(got, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
+    """Names in {"Categories": {"Category 1": "…"}}, a flat object or a list, as they stand; else what is quoted behind `Category n:`, else what follows it loosely, trimmed."""
+    inner = F.regexp_extract(completion, r"(?s)\{.*\}", 0)
+    body = F.when(inner != "", inner).otherwise(completion)
+    filled = lambda names: F.filter(names, lambda x: F.btrim(x) != "")
+    some = lambda names: F.when(F.size(names) > 0, names)
+    nested = filled(_texts(F.map_values(F.from_json(body, "Categories map<string,variant>")["Categories"])))
+    flat = F.when(F.ltrim(body).startswith("{"), some(filled(_texts(F.map_values(F.from_json(body, "map<string,variant>"))))))
+    listed = F.when(F.ltrim(body).startswith("[") & F.try_parse_json(body).isNotNull(), filled(_texts(F.from_json(body, "array<variant>"))))
+    loose = lambda pattern: some(filled(F.transform(F.regexp_extract_all(completion, F.lit(pattern), F.lit(1)), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))))
+    return F.coalesce(nested, flat, listed, loose(QUOTED_CATEGORY), loose(LOOSE_CATEGORY), _none())
 
 
 def checked_batches(batches: DataFrame) -> DataFrame:

@@ -144,12 +144,18 @@ def next_item_examples(past: DataFrame, held: DataFrame) -> DataFrame:
 def unseen_last_items(df: DataFrame, n: int = 1, least_history: int = 1) -> DataFrame:
     """(user, history, targets): the shortest end of a sequence with n items that don't occur before it.
 
-    Users without such an end, or with less than least_history items before it, drop out.
+    An item is unseen before an end if its first occurrence lies in it, so the end
+    begins at the n-th largest of the first occurrences: one aggregate over the
+    positions of a user and one pass over the sequence, linear in its length. Null items count as one
+    item. Users without such an end, or with less than least_history items before
+    it, drop out; rows that repeat a user stay rows of their own.
     """
-    long_enough = df.where(F.size("seq") >= least_history + n)
-    ends = F.transform(F.sequence(F.lit(n), F.size("seq")), lambda k: F.struct(F.slice("seq", F.lit(1), F.size("seq") - k).alias("history"), F.array_distinct(F.slice("seq", F.size("seq") - k + 1, k)).alias("tail")))
-    fresh = F.filter(F.transform(ends, lambda e: F.struct(e["history"].alias("history"), F.array_except(e["tail"], e["history"]).alias("targets"))), lambda e: F.size(e["targets"]) >= n)
-    return long_enough.select("user", F.get(fresh, F.lit(0)).alias("e")).where("e IS NOT NULL").select("user", "e.history", "e.targets").where(F.size("history") >= least_history)
+    long_enough = saved(df.where(F.size("seq") >= least_history + n).withColumn("_row", F.monotonically_increasing_id()), "sequences")
+    first = long_enough.select("_row", F.posexplode("seq").alias("pos", "item")).groupBy("_row", "item").agg(F.min("pos").alias("pos"))
+    begins = first.groupBy("_row").agg(F.sort_array(F.collect_list("pos"), asc=False).alias("firsts")).where(F.size("firsts") >= n)
+    begins = begins.select("_row", F.get("firsts", F.lit(n - 1)).alias("start"), F.reverse(F.slice("firsts", 1, n)).alias("at"))
+    met = long_enough.join(begins, "_row").where(F.col("start") >= least_history)
+    return met.select("user", F.slice("seq", F.lit(1), F.col("start")).alias("history"), F.transform("at", lambda i: F.get("seq", i)).alias("targets"))
 
 
 def first_item_retrieval(df: DataFrame, least_others: int = 1) -> DataFrame:
@@ -205,23 +211,75 @@ def interaction_counts(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n"))
 
 
-def k_core(df: DataFrame, user_min: int, item_min: int, cut: Callable[[DataFrame], DataFrame], user: str = "user", item: str = "item", most_rounds: int = 200) -> DataFrame:
+def _without_trees(df: DataFrame, cut: Callable[[DataFrame], DataFrame], user: str, item: str) -> DataFrame:
+    """The interactions left when nodes with a single one are taken off again and again: what has two at every node.
+
+    A chain of nodes with two interactions each would go one node a round. So every
+    interaction, in either direction, points to the one behind the node that it leads to;
+    pointers double until they reach a loose end or a fork, and all that leads to a loose end goes at
+    once. A turn takes off every chain that ends loosely, which at least halves the loose ends.
+    """
+    while True:
+        rows = cut(df.withColumn("_e", F.monotonically_increasing_id()))
+        arcs = []
+        for side, key in ((0, user), (1, item)):
+            at = rows.groupBy(key).agg(F.count("*").alias("n"), F.min("_e").alias("lo"), F.max("_e").alias("hi"))
+            to = F.when(F.col("n") == 2, F.col("lo") + F.col("hi") - F.col("_e"))
+            arcs.append(rows.join(at, key).select("_e", F.lit(side).alias("s"), to.alias("to"), F.lit(1 - side).alias("to_s"), (F.col("n") == 1).alias("loose")))
+        state, before = cut(arcs[0].unionByName(arcs[1])), -1
+        if not state.where("loose").head(1):
+            return rows.drop("_e")
+        while True:
+            running = state.where("to IS NOT NULL").count()
+            if running in (0, before):  # what still runs goes round in a circle
+                break
+            before = running
+            ahead = state.select(F.col("_e").alias("to"), F.col("s").alias("to_s"), F.struct("to", "to_s", "loose").alias("then"))
+            met = state.where("to IS NOT NULL").join(ahead, ["to", "to_s"]).select("_e", "s", "then.*")
+            state = cut(state.where("to IS NULL").unionByName(met))
+        df = rows.join(state.where("loose").select("_e").distinct(), "_e", "left_anti").drop("_e")
+
+
+def k_core(df: DataFrame, user_min: int, item_min: int, cut: Callable[[DataFrame], DataFrame], user: str = "user", item: str = "item", compact: float = 0.5) -> DataFrame:
     """The interactions in which every user has user_min and every item item_min of them; 0 disables a side.
 
-    Rounds of two semi-joins until the count stays; cut ends the lineage of a round
-    (a checkpoint in the shared folder).
+    Delta peeling: degrees are counted once, and a round looks at the interactions
+    of the nodes that went in the last one and lowers the degrees of their neighbours
+    alone. Interactions are written anew, and degrees counted again, when no more than
+    `compact` of them is left. Rounds have no bound, each removes a node at least; where both sides ask for two, chains
+    are contracted first. Interactions without a user or an item that is asked for go; cut
+    ends a lineage (a checkpoint in the shared folder).
     """
-    df, before = cut(df), -1
-    for _ in range(most_rounds):
-        n = df.count()
-        if n == before:
+    least, columns = {k: n for k, n in ((user, user_min), (item, item_min)) if n}, df.columns
+    for key in least:
+        df = df.where(F.col(key).isNotNull())
+    df = cut(df)
+    if list(least.values()) == [2, 2]:
+        df = _without_trees(df, cut, user, item)
+    while True:
+        degree = {k: cut(interaction_counts(df, k)) for k in least}
+        dead = {k: cut(degree[k].where(F.col("n") < least[k]).select(k)) for k in least}
+        gone, lost, total = {k: dead[k].limit(0) for k in least}, {}, df.count()
+        left = total
+        while any(dead[k].head(1) for k in least) and left > compact * total:
+            live = df.select(user, item)
+            for k in least:
+                live = live.join(gone[k], k, "left_anti").join(dead[k].withColumn(f"_{k}", F.lit(True)), k, "left")
+            hit = cut(live.where(F.coalesce(*[F.col(f"_{k}") for k in least])).select(user, item))
+            left -= hit.count()
+            for k in least:
+                gone[k] = cut(gone[k].union(dead[k]))
+                now = hit.groupBy(k).agg(F.count("*").alias("lost"))
+                both = now if k not in lost else lost[k].unionByName(now).groupBy(k).agg(F.sum("lost").alias("lost"))
+                lost[k] = cut(both)
+            for k in least:
+                touched = hit.select(k).distinct().join(gone[k], k, "left_anti").join(degree[k], k).join(lost[k], k)
+                dead[k] = cut(touched.where(F.col("n") - F.col("lost") < least[k]).select(k))
+        if left == total:
             return df
-        before = n
-        for key, least in ((user, user_min), (item, item_min)):
-            if least:
-                df = df.join(interaction_counts(df, key).where(F.col("n") >= least), key, "left_semi")
-        df = cut(df)
-    raise RuntimeError(f"no fixed point in {most_rounds} rounds")
+        for k in least:
+            df = df.join(gone[k].union(dead[k]), k, "left_anti")
+        df = cut(df.select(*columns))
 
 
 def length_histogram(df: DataFrame) -> DataFrame:

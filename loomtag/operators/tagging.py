@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtag.operators.quantiles import percentiles
+
 
 @dataclass(frozen=True)
 class TagConfig:
@@ -70,11 +72,11 @@ def item_frequencies(counts: DataFrame) -> DataFrame:
 
 def quartiles(frequencies: DataFrame) -> DataFrame:
     """One row of exact quartiles (linear interpolation) of item frequencies."""
-    return frequencies.agg(*[F.percentile("freq", F.lit(q)).alias(f"q{round(q * 100)}") for q in (0.25, 0.5, 0.75)])
+    return percentiles(frequencies, "freq", {f"q{round(q * 100)}": q for q in (0.25, 0.5, 0.75)})
 
 
 def label_frequency_percentile(counts: DataFrame, share: float = 0.6) -> DataFrame:
-    return label_incidences(counts).agg(F.percentile("incidences", F.lit(share)).alias("percentile"))
+    return percentiles(label_incidences(counts), "incidences", {"percentile": share})
 
 
 def with_zscores(counts: DataFrame) -> DataFrame:

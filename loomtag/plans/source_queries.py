@@ -143,12 +143,15 @@ def write_item_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", header=True)
 
 
-@query("write_labelled", f"WITH {V.LABELS_SQL} SELECT array_to_string(labels, '|') AS labels, count(*) AS n FROM session_labels GROUP BY 1")
+@query("write_labelled", f"""WITH {V.LABELS_SQL}, {V.ITEMS_SQL}, x AS (SELECT session_id, array_to_string(list(item ORDER BY item), '|') AS items FROM session_items GROUP BY session_id)
+SELECT array_to_string(labels, '|') AS labels, items, count(*) AS n FROM session_labels JOIN x USING (session_id) GROUP BY 1, 2""")
 def write_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of 1 to many items, written with one cell for each and read back."""
     path = scratch(spark, "labelled")
-    W.labelled_sessions(V.session_labels(spark, sf_dir).select("labels", F.array(F.col("session_id")).alias("items")), path)
-    got = R.list_literals(spark, path, "items").select(T.parsed_labels(F.col("Class")).alias("labels"))
-    return got.groupBy(F.array_join("labels", "|").alias("labels")).agg(F.count("*").alias("n"))
+    items = V.session_items(spark, sf_dir).groupBy("session_id").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    width = W.labelled_sessions(V.session_labels(spark, sf_dir).join(items, "session_id").select("labels", "items"), path)
+    got = R.classified_sessions(spark, path, width).select(F.array_join(T.parsed_labels(F.col("class")), "|").alias("labels"), F.array_join("items", "|").alias("items"))
+    return got.groupBy("labels", "items").agg(F.count("*").alias("n"))
 
 
 @query("write_tags", f"WITH {V.TAGS_SQL} SELECT item, array_to_string(tags, '|') AS tags FROM base_tags")

@@ -20,37 +20,56 @@ def _completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("item"), F.concat(F.lit("Sure: 1. "), "p_brand", F.lit(", "), "p_type", F.lit("\n2. "), "p_name", F.lit("\n3. **"), "p_brand", F.lit("** or so")).alias("completion"), "p_brand", "p_type", "p_name")
 
 
-@query("parse_numbered", "SELECT p_partkey AS item, lower(p_brand) || '|' || lower(p_type) || '|' || lower(p_name) AS tags FROM part")
+@query("parse_numbered", "SELECT p_partkey AS item, 'brand|' || lower(regexp_replace(p_type, '[0-9]', '', 'g')) || '|' || lower(p_name) AS tags FROM part")
 def parse_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _completions(spark, sf_dir).select("item", F.array_join(X.numbered_tags(F.col("completion"), 0, 2), "|").alias("tags"))
 
 
-@query("parse_beams", "SELECT p_partkey AS item, lower(p_brand) || CASE WHEN lower(p_type) = lower(p_brand) THEN '' ELSE '|' || lower(p_type) END AS tags FROM part")
+_WORDS = "lower(p_name), '[A-Za-z]+'"
+
+
+@query("parse_numbered_marks", f"""SELECT p_partkey AS item, array_to_string(list_concat([regexp_extract({_WORDS}) || ' first', 'second'], list_concat(regexp_extract_all({_WORDS}), ['x-y', 'end'])), '|') AS tags FROM part""")
+def parse_numbered_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several tags in a line, apart by digits, brackets, semicolons and other marks; the last line is dropped."""
+    word = F.regexp_extract("p_name", "[A-Za-z]+", 0)
+    text = F.concat(F.lit("Tags 2.\n0.\n1. "), word, F.lit(" First; Second (12)\n2. "), F.regexp_replace("p_name", " ", "; "), F.lit(" [X-Y]: 3 end\n3. dropped"))
+    return V.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), F.array_join(X.numbered_tags(text, 0, -1), "|").alias("tags"))
+
+
+@query("parse_beams", f"""SELECT p_partkey AS item, array_to_string(list_concat(['in put', 'dr. o''neil'], regexp_extract_all({_WORDS}), ['bold one', 'bold'], regexp_extract_all({_WORDS})), '|') AS tags FROM part""")
 def parse_beams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    beams = F.array("completion", F.concat(F.lit("1. x\n3. "), "p_type"))
-    return _completions(spark, sf_dir).select("item", F.array_join(X.beam_tags(beams, 3), "|").alias("tags"))
+    """The input line and lines 2 and 3 of two beams: several tags in a line, spans between any number of stars, repeats; a third beam and line are left out."""
+    listed = F.regexp_replace("p_name", " ", ", ")
+    first = F.concat(F.lit("so 1. In put; Dr. O'Neil\n2. "), listed, F.lit("\n3. a *Bold one* or ***bold*** 5\n4. no"))
+    second = F.concat(F.lit("1. other\n3. "), listed)
+    return V.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), F.array_join(X.beam_tags(F.array(first, second, first), 1, 3, 2, include_input=True), "|").alias("tags"))
 
 
-@query("label_normalise", """SELECT o_orderkey AS session_id, CASE o_orderkey % 7 WHEN 6 THEN o_orderpriority || ', or ' || o_orderstatus WHEN 0 THEN o_orderpriority || '|' || o_orderstatus WHEN 1 THEN o_orderpriority WHEN 2 THEN o_orderstatus || '|x' WHEN 3 THEN o_orderpriority || '|' || o_orderstatus ELSE 'Unknown' END AS labels FROM orders""")
+@query("label_normalise", """SELECT o_orderkey AS session_id, CASE o_orderkey % 7 WHEN 6 THEN o_orderpriority || ', or ' || o_orderstatus WHEN 0 THEN o_orderpriority || '|' || o_orderstatus WHEN 1 THEN o_orderpriority WHEN 2 THEN o_orderstatus || '|x' WHEN 3 THEN o_orderpriority || '|' || o_orderstatus WHEN 5 THEN '[' || o_orderpriority || '|' || o_orderstatus || ']' ELSE 'Unknown' END AS labels FROM orders""")
 def label_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, k = V.table(spark, sf_dir, "orders"), F.col("o_orderkey") % 7
     text = (
         F.when(k == 0, F.to_json(F.struct(F.array("o_orderpriority", F.concat(F.lit(" "), "o_orderstatus")).alias("predicted_classes"))))
         .when(k == 1, F.to_json(F.struct(F.col("o_orderpriority").alias("predicted_class"))))
-        .when(k == 2, F.to_json(F.array(F.col("o_orderstatus"), F.lit("x"), F.col("o_orderstatus"))))
+        .when(k == 2, F.concat(F.lit('[7, "'), "o_orderstatus", F.lit('", " x", null, "'), "o_orderstatus", F.lit('"]')))
         .when(k == 3, F.concat("o_orderpriority", F.lit("; "), "o_orderstatus"))
         .when(k == 4, F.lit("{}"))
+        .when(k == 5, F.concat(F.lit("["), "o_orderpriority", F.lit(" ; "), "o_orderstatus", F.lit("]")))
         .when(k == 6, F.to_json(F.struct(F.concat("o_orderpriority", F.lit(", or "), "o_orderstatus").alias("predicted_class"))))
     )
     return o.select(F.col("o_orderkey").alias("session_id"), F.array_join(X.normalised_labels(text), "|").alias("labels"))
 
 
-@query("category_names", """SELECT n_nationkey, n_name || '|' || CASE WHEN n_nationkey % 3 = 2 THEN 'b' ELSE n_name || ' b' END AS names FROM nation""")
+@query("category_names", """SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 3 THEN n_name || '|b & c/d' ELSE n_name || '|' || n_name || ' b' END AS names FROM nation""")
 def category_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, k = V.table(spark, sf_dir, "nation"), F.col("n_nationkey") % 3
-    b = F.concat("n_name", F.lit(" b"))
-    text = F.when(k == 0, F.concat(F.lit("Here: "), F.to_json(F.struct(F.struct(F.col("n_name").alias("Category 1"), b.alias("Category 2")).alias("Categories"))))).when(k == 1, F.to_json(F.array("n_name", b))).otherwise(
-        F.concat(F.lit("Category 1: "), "n_name", F.lit("\nCategory 2 - b"))
+    """Names in a nested object, a list, a flat object, a loose list on one line and a quoted list on one line."""
+    n, k, b = V.table(spark, sf_dir, "nation"), F.col("n_nationkey") % 5, F.concat("n_name", F.lit(" b"))
+    text = (
+        F.when(k == 0, F.concat(F.lit("Here: "), F.to_json(F.struct(F.struct(F.col("n_name").alias("Category 1"), b.alias("Category 2"), F.lit(3).alias("Category 3")).alias("Categories")))))
+        .when(k == 1, F.to_json(F.array("n_name", b, F.lit(" "))))
+        .when(k == 2, F.concat(F.to_json(F.struct(F.col("n_name").alias("Category 1"), b.alias("Category 2"))), F.lit(" as asked")))
+        .when(k == 3, F.concat(F.lit("Category 1: "), "n_name", F.lit(" , Category 2 - b & c/d.")))
+        .otherwise(F.concat(F.lit('{Category 1: "'), "n_name", F.lit('", Category 2 : " '), b, F.lit('"')))
     )
     return n.select("n_nationkey", F.array_join(X.category_names(text), "|").alias("names"))
 

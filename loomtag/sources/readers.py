@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomtag.scratch import saved
+
 #: A comma outside of quotes.
 _CELL = r",(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"
 
@@ -28,10 +30,46 @@ def classified_sessions(spark: SparkSession, path: str, width: int) -> DataFrame
     return raw.select(F.col("Class").alias("class"), F.filter(F.array(*[f"e{i}" for i in range(width)]), lambda x: x.isNotNull()).alias("items"))
 
 
+def _running(pieces: DataFrame, value: Column, name: str) -> DataFrame:
+    """pieces (file, block, i, …) with name: the sum of value over all pieces before in the file.
+
+    Within a block by a window, across blocks by one row for each.
+    """
+    inner = Window.partitionBy("file", "block").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = pieces.groupBy("file", "block").agg(F.sum(value).alias("_sum"))
+    ahead = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("file", "block", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead"))
+    within = pieces.withColumn(name, F.coalesce(F.sum(value).over(inner), F.lit(0)))
+    return within.join(F.broadcast(blocks), ["file", "block"]).withColumn(name, F.col(name) + F.col("_ahead")).drop("_ahead")  # one row for each block that Spark reads
+
+
 def json_dictionary(spark: SparkSession, path: str, value: str = "string") -> DataFrame:
-    """(key, value) of one JSON object per file; value is a Spark type."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.explode(F.from_json("value", f"map<string,{value}>")).alias("key", "value"))
+    """(key, value) of one JSON object per file; value is a Spark type.
+
+    An object may be far larger than a task's memory, on one line or many: Spark reads byte ranges
+    of a file as pieces between commas. Running counts of quotes and of brackets
+    outside of strings tell which commas separate entries of the object, and the pieces
+    between two of those are put together and parsed. An entry is held whole by a task.
+    """
+    raw = spark.read.option("lineSep", ",").text(path)
+    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"), "value")
+    bare = F.regexp_replace("value", r"(?s)\\.", "")  # without escapes, which stand in strings alone
+    pieces = saved(raw.select("*", F.split(bare, '"').alias("parts")), "pieces")
+    pieces = _running(pieces, F.size("parts") - 1, "quotes")
+    inside = F.col("quotes") % 2
+    outer = F.array_join(F.filter("parts", lambda _, k: k % 2 == inside), "")
+    bracket = lambda chars: F.length(outer) - F.length(F.translate(outer, chars, ""))
+    pieces = pieces.withColumn("delta", bracket("{[") - bracket("}]")).drop("parts")
+    pieces = _running(saved(pieces, "depths"), F.col("delta"), "depth")
+    pieces = _running(saved(pieces, "entries"), F.when((inside == 0) & (F.col("depth") == 1), 1).otherwise(0), "before")
+    entry = F.col("before") + F.when((inside == 0) & (F.col("depth") == 1), 1).otherwise(0)
+    ordered = F.sort_array(F.collect_list(F.struct("block", "i", "value")))
+    entries = pieces.groupBy("file", entry.alias("entry")).agg(F.array_join(F.transform(ordered, lambda p: p["value"]), ",").alias("text"), F.sum("delta").alias("delta"))
+    text = F.when(F.col("entry") == 0, F.regexp_replace("text", r"^\s*\{", "")).otherwise(F.col("text"))
+    # the last entry closes the object, which the first has opened
+    closes = F.when(F.col("entry") == 0, F.col("delta") == 0).otherwise(F.col("delta") < 0)
+    text = F.when(closes, F.regexp_replace(text, r"\}\s*$", "")).otherwise(text)
+    return entries.select(F.explode(F.from_json(F.concat(F.lit("{"), text, F.lit("}")), f"map<string,{value}>")).alias("key", "value"))
 
 
 def tag_dictionary(spark: SparkSession, path: str) -> DataFrame:

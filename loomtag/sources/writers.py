@@ -28,9 +28,15 @@ def id_map(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, sep="\t")
 
 
-def labelled_sessions(df: DataFrame, path: str) -> None:
-    """(labels, items) with labels as a JSON list and items as one cell each is a ragged file; here items are a JSON list too."""
-    df.select(F.to_json("labels").alias("Class"), F.to_json("items").alias("items")).write.mode("overwrite").csv(path, header=True, escape='"')
+def labelled_sessions(df: DataFrame, path: str) -> int:
+    """(labels, items) as a file with a header: labels as a JSON list in `Class`, then one cell for each item, null behind the last.
+
+    Returns the number of item columns, with which readers.classified_sessions reads it back. Null items go.
+    """
+    rows = df.select(F.to_json("labels").alias("Class"), F.array_compact(F.transform("items", lambda x: x.cast("string"))).alias("items"))
+    width = rows.agg(F.max(F.size("items"))).first()[0] or 0
+    rows.select("Class", *[F.get("items", F.lit(i)).alias(f"Event_{i + 1}") for i in range(width)]).write.mode("overwrite").csv(path, header=True, escape='"')
+    return width
 
 
 def upsert_results(spark: SparkSession, old_path: str | None, new: DataFrame, path: str, key: str = "hash") -> DataFrame:

@@ -1,7 +1,9 @@
 """Edge rules on small tables."""
 
+import json
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -14,10 +16,12 @@ from loomtag.operators import bm25 as B
 from loomtag.operators import corpus as C
 from loomtag.operators import evaluation as E
 from loomtag.operators import graph as G
+from loomtag.operators import quantiles as Q
 from loomtag.operators import sequences as S
 from loomtag.operators import similarity as N
 from loomtag.operators import tagging as T
 from loomtag.plans.sequence_queries import cut
+from loomtag.sources import readers as R
 
 
 def rows(df):
@@ -92,6 +96,88 @@ def test_k_core_meets_both_bounds_and_can_be_empty(spark):
     assert S.k_core(df, 50, 0, cut).isEmpty()
 
 
+def plain_core(edges, user_min, item_min):
+    while True:
+        users, items = Counter(u for u, _ in edges), Counter(i for _, i in edges)
+        kept = [(u, i) for u, i in edges if users[u] >= user_min and items[i] >= item_min]
+        if len(kept) == len(edges):
+            return sorted(kept)
+        edges = kept
+
+
+def test_k_core_of_a_path_is_empty_and_circles_stay(spark):
+    # 2,000 nodes in a path: user k has items k and k + 1
+    path = [(k, k + d) for k in range(1000) for d in (0, 1)]
+    path.pop()
+    circle = [(5000 + k, 5000 + (k + d) % 6) for k in range(6) for d in (0, 1)]
+    tail = [(6000 + k, 6000 + k + d) for k in range(50) for d in (0, 1)] + [(5000, 6000)]
+    twice = [(7000, 7000)] * 2 + [(7000, 7001), (7002, 7001)]
+    df = spark.createDataFrame(path, "user long, item long")
+    assert S.k_core(df, 2, 2, cut).isEmpty()
+    df = spark.createDataFrame(circle + tail + twice + [(None, 1), (9, None)], "user long, item long")
+    assert rows(S.k_core(df, 2, 2, cut)) == sorted(circle + [(7000, 7000)] * 2)
+
+
+@pytest.mark.parametrize("least", [(2, 2), (3, 2), (0, 3)])
+def test_k_core_equals_peeling_in_rounds(spark, least):
+    rng = random.Random(sum(least))
+    edges = [(rng.randrange(150), rng.randrange(120)) for _ in range(330)]
+    df = spark.createDataFrame([(u, i, f"x{k}") for k, (u, i) in enumerate(edges)], "user long, item long, more string")
+    got = S.k_core(df, *least, cut)
+    assert got.columns == df.columns and rows(got.select("user", "item")) == plain_core(edges, *least)
+
+
+def test_unseen_suffix_of_a_long_sequence(spark):
+    # 20,000 items, the last fresh one 3 from the end; quadratic forms do not end here
+    long = [i % 5000 for i in range(19_996)] + [7001, 7000, 3, 3]
+    df = spark.createDataFrame([(1, long), (2, [1, 1, 1]), (3, [4, 5]), (4, []), (5, [None, 1, None])], "user long, seq array<int>")
+    got = {r["user"]: r for r in S.unseen_last_items(df, 2).collect()}
+    assert set(got) == {1} and got[1]["targets"] == [7001, 7000] and len(got[1]["history"]) == 19_996
+    assert {r["user"]: (r["history"], r["targets"]) for r in S.unseen_last_items(df, 1).where("user > 1").collect()} == {3: ([4], [5]), 5: ([None], [1])}
+
+
+def test_completions_as_models_write_them(spark):
+    df = spark.createDataFrame([("a: 1. tag one; tag two (x)\n2. *Bold*, y_z 3d-print\n3. end",)], "c string")
+    one = lambda c: df.select(c.alias("t")).first()["t"]
+    # a digit or an underscore beside a run of letters is no end of a word
+    assert one(X.numbered_tags(F.col("c"))) == ["tag one", "tag two", "x", "bold", "-print", "end"]
+    assert one(X.numbered_tags(F.lit("no list"))) == [] and one(X.numbered_tags(F.lit(None).cast("string"))) == []
+    assert one(X.numbered_tags(F.col("c"), 0, -2)) == ["tag one", "tag two", "x"] and one(X.numbered_tags(F.col("c"), 2, 3)) == ["end"]
+    beams = F.array(F.col("c"), F.lit("1. q\n2. a, b's, c.d"), F.lit("1. q\n2. r"))
+    assert one(X.beam_tags(beams, 1, 3, 2)) == ["bold", "end", "a", "b's", "c.d"]
+    assert one(X.beam_tags(beams, 1, 2, include_input=True)) == ["tag one", "tag two", "x", "bold", "a", "b's", "c.d", "r"]
+    assert one(X.normalised_labels(F.lit("[a;b"))) == ["[a", "b"] and one(X.normalised_labels(F.lit('["a", 1, {"b": 2}]'))) == ["a"] and one(X.normalised_labels(F.lit('{"predicted_classes": "x", "predicted_class": " y;z "}'))) == ["y;z"]
+    assert one(X.category_names(F.lit('Category 1: "A", Category 2: "B"'))) == ["A", "B"] and one(X.category_names(F.lit('{"a": 1} Category 3 - b/c'))) == ["b/c"]
+
+
+def test_one_large_object_is_read_by_many_tasks(spark, tmp_path):
+    rng = random.Random(3)
+    odd = ['a,b', '{"x": [1, 2]}', 'quote " and \\ end\\', '}],{[', '', ' é中\u2028,"', "\\\\,", 'line\nend,']
+    data = {f"k{i} {rng.choice(odd)}": [rng.choice(odd) + str(i) for _ in range(rng.randrange(4))] for i in range(6000)}
+    (tmp_path / "one.json").write_text(json.dumps(data))
+    (tmp_path / "two.json").write_text(json.dumps({"z,": ["}"], "y": []}, indent=1, ensure_ascii=False))
+    (tmp_path / "empty.json").write_text(" {} \n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = {r["key"]: r["value"] for r in R.json_dictionary(spark, str(tmp_path), "array<string>").collect()}
+        assert spark.read.option("lineSep", ",").text(str(tmp_path / "one.json")).rdd.getNumPartitions() > 10
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == data | {"z,": ["}"], "y": []}
+
+
+def test_percentiles_are_those_of_one_task(spark):
+    rng = random.Random(4)
+    values = [(rng.choice("ab"), rng.choice([None, *map(float, range(-3, 4)), 0.5])) for _ in range(500)] + [("c", 2.0), (None, 1.0), (None, 5.0), ("d", None)]
+    df = spark.createDataFrame(values, "g string, v double")
+    shares = {"q25": 0.25, "mid": 0.5, "p60": 0.6, "least": 0.0, "most": 1.0}
+    plain = [F.percentile("v", F.lit(q)).alias(n) for n, q in shares.items()]
+    assert rows(Q.percentiles(df, "v", shares)) == rows(df.agg(*plain))
+    order = lambda rs: sorted(map(tuple, rs), key=str)
+    assert order(Q.percentiles(df, "v", shares, ("g",)).collect()) == order(df.where("v IS NOT NULL").groupBy("g").agg(*plain).collect())
+    assert rows(Q.percentiles(df.where("false"), "v", shares)) == [(None,) * 5]
+
+
 def test_dense_ids_are_the_ranks(spark):
     df = spark.createDataFrame([(x,) for x in ["b", "a", None, "c", "a"]], "k string")
     assert rows(S.dense_ids(df, "k", "i")) == [("a", 0), ("b", 1), ("c", 2)]

@@ -56,11 +56,11 @@ def _version_block(version: int) -> bytes:
 
 
 def write_arc(pages: DataFrame, path: str, key_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """One ARC record for each page, in files of about FILE_BYTES; files of both versions.
+    """One ARC record for each page, in files of about FILE_BYTES (and one record, where that is longer); files of both versions.
 
-    Null html is empty, a null url `unknown:`; a null key is left out of the HTTP head.
+    Equal pages are dealt over the files like others. Null html is empty, a null url `unknown:`; a null key is left out of the HTTP head.
     """
-    rows = pages.select(F.col(key_col).cast("long").alias("key"), F.col(url_col).alias("url"), F.coalesce(F.encode(html_col, "UTF-8"), F.lit(b"")).alias("payload"))
+    rows = pages.select(F.col(key_col).cast("long").alias("key"), F.col(url_col).alias("url"), F.coalesce(F.encode(html_col, "UTF-8"), F.lit(b"")).alias("payload"), F.monotonically_increasing_id().alias("row"))
     total = rows.agg(F.sum(F.octet_length("payload") + 512)).first()[0] or 0
     files = max(2, -(-int(total) // FILE_BYTES))
 
@@ -75,8 +75,8 @@ def write_arc(pages: DataFrame, path: str, key_col: str = "page_id", url_col: st
                 out.append(_arc_record(version, url, _http(payload, key), position))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    # a partition is a file: its first row is the version block
-    records = rows.repartition(files, "key", "url", F.xxhash64("payload")).mapInArrow(run, "value binary").select(F.col("value").cast("string"))
+    # a partition is a file: its first row is the version block; the number of a row deals out equal rows too
+    records = rows.repartition(files, "key", "url", F.xxhash64("payload"), "row").drop("row").mapInArrow(run, "value binary").select(F.col("value").cast("string"))
     records.write.option("lineSep", "\n").option("compression", "gzip").text(path)
 
 
@@ -303,7 +303,10 @@ def _next_warc(data: bytes, at: int) -> int:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """All WARC records below path: fields (a map), head (of HTTP), payload."""
+    """All WARC records below path: fields (a map), head (of HTTP), payload, digest (of the payload as read), intact.
+
+    intact says whether the payload, or the block of a revisit, has the digest that its header gives; null without one.
+    """
 
     def run(batches):
         def rows():
@@ -314,7 +317,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
         yield from _batched(rows(), _WARC_SCHEMA, lambda r: len(r[2]))
 
-    return _files(spark, path).select("content").mapInArrow(run, "fields map<string,string>, head binary, payload binary")
+    found = _files(spark, path).select("content").mapInArrow(run, "fields map<string,string>, head binary, payload binary")
+    stored = lambda name: F.regexp_replace(F.col("fields")[name], "^sha256:", "")
+    digest = F.sha2("payload", 256)
+    sound = F.when(F.col("fields")["WARC-Type"] == "revisit", F.sha2(F.concat("head", "payload"), 256) == stored("WARC-Block-Digest")).otherwise(digest == stored("WARC-Payload-Digest"))
+    return found.select("*", digest.alias("digest"), sound.alias("intact"))
 
 
 def converted(pages: DataFrame, key_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -332,15 +339,16 @@ def converted(pages: DataFrame, key_col: str = "page_id", url_col: str = "url",
     write_arc(pages, arc, key_col, url_col, html_col)
     write_warc(to_warc(spark, arc), warc)
     found = read_warc(spark, warc).where(F.col("fields")["WARC-Type"] != "warcinfo")
-    head = F.decode("head", "UTF-8")
+    head, again = F.decode("head", "UTF-8"), F.col("fields")["WARC-Type"] == "revisit"
 
     def number(pattern: str) -> Column:
         return F.nullif(F.regexp_extract(head, pattern, 1), F.lit("")).try_cast("long")
 
     return found.select(
         number(r"X-Page-Id: (-?\d+)").alias(key_col),
-        number(r"Content-Length: (\d+)").alias("payload_bytes"),
-        F.regexp_replace(F.col("fields")["WARC-Payload-Digest"], "^sha256:", "").alias("payload_digest"),
+        # of responses from the payload that was read back; revisits have none
+        F.when(again, number(r"Content-Length: (\d+)")).otherwise(F.octet_length("payload")).cast("long").alias("payload_bytes"),
+        F.when(again, F.regexp_replace(F.col("fields")["WARC-Payload-Digest"], "^sha256:", "")).otherwise(F.col("digest")).alias("payload_digest"),
         F.col("fields")["WARC-Type"].alias("record_type"),
         F.col("fields")["X-Refers-To-Page-Id"].cast("long").alias("refers_to"),
     )

@@ -73,3 +73,27 @@ def test_a_hot_page_moves_no_payload(spark):
     assert got == {i: ("revisit", 0) if i % 3 == 0 and i else ("response", None) for i in range(3000)}
     columns = archive.revisits(spark.createDataFrame([], "path string, position long, key long, digest string, size long, kind string, record_id string")).columns
     assert columns == ["path", "position", "refers_to", "refers_to_id"]
+
+
+def test_a_flipped_byte_shows(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", ("same page " if i < 3 else f"page {i} ") * 30) for i in range(6)], "page_id long, url string, html string")
+    arc, warc = f"file://{tmp_path}/arc", f"file://{tmp_path}/warc"
+    archive.write_arc(pages, arc)
+    archive.write_warc(archive.to_warc(spark, arc), warc)
+    assert all(r["intact"] for r in archive.read_warc(spark, warc).where("fields['WARC-Type'] <> 'warcinfo'").collect())
+    bad = 0
+    for f in (tmp_path / "warc").glob("*.gz"):
+        data = gzip.decompress(f.read_bytes())
+        bad += data.count(b"page 4 ") > 0
+        f.write_bytes(gzip.compress(data.replace(b"page 4 ", b"page 5 ", 1).replace(b"X-Page-Id: 2", b"X-Page-Id: 9")))
+        (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
+    found = {r["fields"]["WARC-Target-URI"]: r["intact"] for r in archive.read_warc(spark, warc).where("fields['WARC-Type'] <> 'warcinfo'").collect()}
+    assert bad == 1 and found == {f"http://h/{i}": i not in (2, 4) for i in range(6)}  # a payload, and the block of a revisit
+
+
+def test_equal_rows_lie_in_several_files(spark, tmp_path):
+    rows = spark.range(50_000).selectExpr("CAST(NULL AS LONG) AS page_id", "CAST(NULL AS STRING) AS url", "'' AS html")
+    rows = rows.unionByName(spark.range(100).selectExpr("id AS page_id", "'u' AS url", "repeat('x', 400000) AS html"))
+    archive.write_arc(rows, f"file://{tmp_path}/arc")
+    counts = [gzip.decompress(f.read_bytes()).count(b"unknown:") for f in (tmp_path / "arc").glob("*.gz")]
+    assert len(counts) == 4 and sum(counts) == 50_000 and max(counts) < 1.1 * 50_000 / 4

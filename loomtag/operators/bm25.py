@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtag.operators.corpus import edges
+from loomtag.scratch import saved
 
 
 def term_statistics(documents: DataFrame, alpha: float | None = None) -> DataFrame:
@@ -64,6 +65,47 @@ def scored(query_tags: DataFrame, index: DataFrame, candidates: DataFrame | None
     return met.groupBy("qid", "item").agg(F.sum(F.col("weight") * F.col("score")).alias("score"))
 
 
+def blocked_postings(index: DataFrame, block_items: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """postings (tag, item, score) written with a block, and (tag, block, most): the largest score of a tag in a block.
+
+    Items whose strongest tag is the same lie in one block, about block_items in each, so that
+    most tags are strong in few blocks. Serves any number of query sets; scores must not be negative.
+    """
+    index = saved(index.select("tag", "item", "score"), "postings")
+    strongest = index.groupBy("item").agg(F.max_by("tag", F.struct("score", F.xxhash64("tag"))).alias("top"))
+    strongest = saved(strongest, "strongest")
+    tops = strongest.groupBy("top").agg(F.ceil(F.count("*") / block_items).alias("parts"))
+    total = strongest.count()
+    # small groups of a tag share a block, large ones have several
+    group = F.pmod(F.xxhash64("top"), F.lit(max(1, -(-total // block_items) * 8)))
+    block = F.xxhash64(group, F.when(F.col("parts") > 1, F.pmod(F.xxhash64("item"), F.col("parts"))).otherwise(F.lit(0).cast("long")))
+    blocks = saved(strongest.join(tops, "top").select("item", block.alias("block")), "blocks")
+    postings = saved(index.join(blocks, "item"), "blocked")
+    return postings, saved(postings.groupBy("tag", "block").agg(F.max("score").alias("most")), "bounds")
+
+
+def bounded_scores(query_tags: DataFrame, postings: DataFrame, bounds: DataFrame, n: int, first: int = 2, slack: float = 1e-9) -> DataFrame:
+    """(qid, item, score, read) of queries (qid, tag, weight), for every item that may be among a query's n best; read is the number of its postings that were summed.
+
+    The largest scores of a query's tags in a block bound what its items can get. The
+    first round sums the `first` blocks of each query with the largest bounds, the second
+    the blocks that reach its n-th score less slack; the other blocks' postings are not read.
+    """
+    asked = saved(query_tags.where("weight > 0").select("qid", "tag", F.col("weight").cast("double").alias("weight")), "asked")
+    reach = asked.join(bounds, "tag").groupBy("qid", "block").agg(F.sum(F.col("weight") * F.col("most")).alias("bound"))
+    order = Window.partitionBy("qid").orderBy(F.desc("bound"), "block")  # blocks of a query
+    reach = saved(reach.withColumn("place", F.row_number().over(order)), "reach")
+
+    def summed(blocks: DataFrame) -> DataFrame:
+        met = asked.join(blocks.select("qid", "block"), "qid").join(postings, ["tag", "block"])
+        return met.groupBy("qid", "item").agg(F.sum(F.col("weight") * F.col("score")).alias("score"), F.count("*").alias("read"))
+
+    some = saved(summed(reach.where(F.col("place") <= first)), "scores")
+    least = top_n(some, n).groupBy("qid").agg(F.when(F.count("*") >= n, F.min("score")).alias("least"))
+    rest = reach.where(F.col("place") > first).join(least, "qid", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - slack))
+    return some.unionByName(summed(rest))
+
+
 def item_queries(corpus: DataFrame) -> DataFrame:
     """(qid, tag, weight): each item asks with the counts of its own tags."""
     return edges(corpus).select(F.col("item").alias("qid"), "tag", F.col("w").cast("double").alias("weight"))

@@ -236,6 +236,21 @@ def test_tag_side_iteration_equals_the_item_side_sum(spark):
         assert got.get(item, 0.0) == pytest.approx(full[i, items.index(1)], abs=1e-9)
 
 
+def test_bounded_blocks_give_the_same_top(spark):
+    # 4,000 items of 8 tags: two of 20 common ones, six of the 300 of the item's own group
+    rng = random.Random(9)
+    corpus = [(i, [f"c{rng.randrange(20)}", f"c{rng.randrange(20)}"] + [f"g{i % 40}-{rng.randrange(30)}" for _ in range(6)]) for i in range(4000)]
+    df = spark.createDataFrame(corpus, "item long, tags array<string>")
+    index = scratch.saved(B.postings(df), "index")
+    asks = scratch.saved(B.item_queries(df.where("item % 100 = 0")), "asks")
+    every = B.scored(asks, index)
+    found = scratch.saved(B.bounded_scores(asks, *B.blocked_postings(index, 100), 10), "found")
+    plain = lambda d: [(r["qid"], r["rank"], r["item"], round(r["score"], 9)) for r in B.top_n(d, 10).orderBy("qid", "rank").collect()]
+    assert plain(found) == plain(every) and len(plain(found)) == 400
+    read, total = found.agg(F.sum("read")).first()[0], asks.join(index, "tag").count()
+    assert found.select("qid", "item").distinct().count() == found.count() and read < 0.5 * total, (read, total)
+
+
 def test_pagerank_keeps_its_mass_and_converges(spark):
     graph = G.homogeneous(C.edges(_corpus(spark)))
     start = spark.createDataFrame([(1, "i:1", 1.0)], "qid long, node string, x0 double")

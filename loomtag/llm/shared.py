@@ -46,17 +46,22 @@ def count_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
-def text_slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20):
-    """Slices of a batch whose texts hold about most_bytes; one long text is a slice of its own."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+def row_slices(batch: pa.RecordBatch, sizes: np.ndarray, most: int):
+    """Slices of a batch whose rows have sizes of about `most` together; one large row is a slice of its own."""
     total, start = np.cumsum(sizes), 0
     while start < len(sizes):
         before = total[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(total, before + most_bytes, side="right")))
+        end = max(start + 1, int(np.searchsorted(total, before + most, side="right")))
         yield batch.slice(start, end - start)
         start = end
 
 
+def text_slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20):
+    """Slices of a batch whose texts hold about most_bytes; one long text is a slice of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    yield from row_slices(batch, sizes, most_bytes)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (shift, xor, multiply) over an array of uint64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

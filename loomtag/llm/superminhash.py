@@ -11,11 +11,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtag.llm.components import components
-from loomtag.llm.shared import hashed_words, mix64, saved, text_slices
+from loomtag.llm.shared import hashed_words, mix64, row_slices, saved, text_slices
 
 #: Slots of a signature: a prime, so that (start + rank * step) mod SLOTS is a permutation of them.
 SLOTS = 241
@@ -25,6 +26,8 @@ BANDS, ROWS = 40, 6
 PARITY = 32
 #: Sets of up to so many shingles also share keys made of all of them, or of all but one.
 TINY = 9
+#: Bytes of texts and elements of sets that a worker holds arrays of at once, sets whose bitmaps it counts at once.
+SLICE_BYTES, SLICE_ELEMENTS, SLICE_SETS = 1 << 20, 1 << 18, 512
 #: Bits of the table of shingle frequencies, rows of a shingle that one task compares.
 SKETCH_BITS, TOKEN_ROWS = 20, 20_000
 _STEP, _START, _RANK = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(0x2545F4914F6CDD1D)
@@ -118,7 +121,7 @@ def _signed(size: int, percent: int):
 
     def run(batches):
         for batch in batches:
-            for part in text_slices(batch, "text"):
+            for part in text_slices(batch, "text", SLICE_BYTES):
                 h, o = shingle_sets(part.column("text"), size)
                 m = part.num_rows
                 n = np.bincount(o, minlength=m).astype(np.int64)
@@ -143,10 +146,13 @@ def parity_bits(h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     Two sets differ in at least as many elements as their bitmaps in bits, which
     bounds the intersection from above.
     """
-    width = PARITY * 64
-    at = owner.astype(np.int64) * width + (mix64(h ^ _RANK) % np.uint64(width)).astype(np.int64)
-    odd = np.bincount(at, minlength=n * width).astype(np.uint8) & 1
-    return np.packbits(odd.reshape(n, width), axis=1).view(np.int64)
+    width, out, ends = PARITY * 64, [np.zeros((0, PARITY), np.int64)], np.searchsorted(owner, np.arange(0, n + SLICE_SETS, SLICE_SETS))
+    for i, (x, y) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+        first, m = i * SLICE_SETS, min(SLICE_SETS, n - i * SLICE_SETS)
+        at = (owner[x:y].astype(np.int64) - first) * width + (mix64(h[x:y] ^ _RANK) % np.uint64(width)).astype(np.int64)
+        odd = np.bincount(at, minlength=m * width).astype(np.uint8) & 1
+        out.append(np.packbits(odd.reshape(m, width), axis=1).view(np.int64))
+    return np.concatenate(out)
 
 
 def _full_sets(size: int):
@@ -154,7 +160,7 @@ def _full_sets(size: int):
 
     def run(batches):
         for batch in batches:
-            for part in text_slices(batch, "text"):
+            for part in text_slices(batch, "text", SLICE_BYTES):
                 h, o = shingle_sets(part.column("text"), size)
                 n = np.bincount(o, minlength=part.num_rows).astype(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(h.view(np.int64)))
@@ -189,8 +195,7 @@ def _sketched(sets: DataFrame) -> np.ndarray:
 
     def run(batches):
         total = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in batches:
-            h = batch.column("hashes").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        for h in (part.column("hashes").flatten().to_numpy(zero_copy_only=False).view(np.uint64) for batch in batches for part in row_slices(batch, pc.list_value_length(batch.column("hashes")).to_numpy(zero_copy_only=False), SLICE_ELEMENTS)):
             total += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
         at = np.flatnonzero(total)
         for i in range(0, len(at), 1 << 16):
@@ -230,8 +235,7 @@ def _rare_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 4096):
-                part = batch.slice(i, 4096)
+            for part in row_slices(batch, batch.column("n").to_numpy(), SLICE_ELEMENTS):
                 n = part.column("n").to_numpy()
                 h = part.column("hashes").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
                 owner, token, place, indexed = prefixes(h, n, often, percent)

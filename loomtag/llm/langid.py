@@ -28,6 +28,8 @@ SEGMENT, UNITS = 128, 8
 PER_LANGUAGE, EXCERPTS, EXCERPT_CHARS = 600, 4, 64
 #: Languages that one network is learned for.
 MOST_LANGUAGES = 512
+#: Segments times languages that are labelled at once: 4,096 segments of up to 16 languages, fewer of more.
+LOT = 65_536
 UNKNOWN = "und"
 
 
@@ -189,7 +191,8 @@ def document_probabilities(model: Model, texts: pa.Array) -> np.ndarray:
     lengths = np.minimum(SEGMENT, offsets[1:][owner] - starts)
     out = np.zeros((len(sizes), len(model.languages)))
     order = np.argsort(-lengths, kind="stable")
-    for lot in (order[i : i + 4096] for i in range(0, len(order), 4096)):
+    most = max(32, min(4096, LOT // max(1, len(model.languages))))
+    for lot in (order[i : i + most] for i in range(0, len(order), most)):
         sums = position_sums(model, data, starts[lot], lengths[lot])
         for k in range(len(model.languages)):
             out[:, k] += np.bincount(owner[lot], weights=sums[k], minlength=len(sizes))

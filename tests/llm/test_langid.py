@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures import edge_docs, empty_docs
 
@@ -104,3 +105,17 @@ def test_learning_does_not_depend_on_the_order_of_rows(spark):
     assert models[0].languages == models[1].languages and (models[0].x == models[1].x).all() and (models[0].v == models[1].v).all()
     with pytest.raises(ValueError):
         langid.learn(docs, most_languages=1)
+
+
+def test_many_languages_are_labelled_in_small_lots(monkeypatch):
+    rng = np.random.default_rng(2)
+    n = 300
+    model = langid.Model(tuple(f"l{i}" for i in range(n)), *(rng.normal(0, 0.3, shape).astype(np.float32) for shape in ((2, 256, 24), (2, 8, 24), (16, n), (n,))))
+    texts = pa.array(["some words " * 3 * k for k in range(60)] + [None, ""])
+    seen, inner = [], langid.position_sums
+    monkeypatch.setattr(langid, "position_sums", lambda m, d, s, l: seen.append(len(s)) or inner(m, d, s, l))
+    small = langid.document_probabilities(model, texts)
+    assert max(seen) * n <= langid.LOT and len(seen) > 1
+    monkeypatch.setattr(langid, "LOT", 1 << 30)
+    assert np.allclose(small, langid.document_probabilities(model, texts), atol=1e-6)
+    assert np.allclose(small.sum(axis=1)[1:60], 1, atol=1e-3)

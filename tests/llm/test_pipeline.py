@@ -1,5 +1,6 @@
 import corpus_pipeline as P
-from fixtures import SF, edge_docs, empty_docs, near_groups, words
+from fixtures import SF, TEXTS, edge_docs, empty_docs, near_groups, words
+from test_lines import brute
 
 from loomtag.llm.shared import saved
 
@@ -28,11 +29,23 @@ def test_stages_on_documents(spark):
 
 def test_stages_on_awkward_and_empty_documents(spark):
     for docs in (edge_docs(spark), empty_docs(spark)):
-        columns = docs.columns
-        for _, stage in P.STAGES[:-1]:
+        columns, kept = docs.columns, {}
+        for name, stage in P.STAGES[:-1]:
             docs = saved(stage(spark, docs, SF), "stage")
             assert docs.columns == columns
-        P.pack(spark, docs, SF).collect()
+            kept[name] = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=str)
+        packed = P.pack(spark, docs, SF).collect()
+        if not kept["language_id"]:
+            assert not packed and not any(kept.values())
+            continue
+        # texts without a letter go, and lines on most pages of a small site; one of each group of copies stays, all rows without an id
+        own = [(i, t) for i, t, *_ in TEXTS]
+        assert kept["language_id"] == sorted(((i, t) for i, t in own if t and any(c.isalpha() for c in t)), key=str)
+        rows = [r for r in TEXTS if r[1] and any(c.isalpha() for c in r[1])]
+        assert kept["line_dedup"] == [(i, t) for i, t, _, _ in brute(rows, P.lines.RATIO)]
+        groups = near_groups([(i, t) for i, t in kept["line_dedup"] if i is not None], 5)
+        assert kept["near_dedup"] == sorted([(i, t) for i, t in dict((r for r in kept["line_dedup"] if r[0] is not None)).items() if groups[i][1] == i] + [r for r in kept["line_dedup"] if r[0] is None], key=str)
+        assert set(kept["mixing"]) <= set(kept["near_dedup"]) and sum(r["length"] for r in packed) == sum(len(words(t)) for _, t in kept["mixing"])
 
 
 def test_lines_go_at_any_size_of_a_site(spark):

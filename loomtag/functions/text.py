@@ -154,6 +154,26 @@ def session_text(events: DataFrame, key: str, order: tuple[str, ...], line: Colu
     return body.select(key, F.when(F.size(lines) == 0, F.lit("Empty session")).otherwise(F.array_join(F.concat(F.array(head), lines, last), "\n")).alias("text"))
 
 
+def action_line(action: Column, name: Column) -> Column:
+    """`- action 'name'`; an action that is missing is a load, without a name there is no line."""
+    clean = F.nullif(normalised_name(name), F.lit(""))
+    return F.when(clean.isNotNull(), F.concat(F.lit("- "), F.coalesce(F.nullif(action, F.lit("")), F.lit("load")), F.lit(" '"), clean, F.lit("'")))
+
+
+def rating_line(ts: Column, rating: Column, title: Column) -> Column:
+    """`- 12:30:05: rated 4/5 'title'`."""
+    return F.concat(F.lit("- "), F.date_format(ts, "HH:mm:ss"), F.lit(": rated "), rating.cast("string"), F.lit("/5 '"), title, F.lit("'"))
+
+
+def visit_line(verb: str, item: Column, title: Column, least: int) -> Column:
+    """`- verb 'title'`, the item itself where no title is known; ids shorter than `least` have no line."""
+    return F.when(F.length(item) >= least, F.concat(F.lit(f"- {verb} '"), F.coalesce(title, item), F.lit("'")))
+
+
+#: Of sessions whose items are ids alone: the verb of a line and the least length of an id.
+VISITS = {"amazon": ("viewed", 8), "yelp": ("visited", 20)}
+
+
 def item_text(tags: Column) -> Column:
     """Tags as a sentence; `unknown item.` without any."""
     return F.when(F.size(F.coalesce(tags, _none())) == 0, F.lit("unknown item.")).otherwise(F.concat(F.array_join(tags, " "), F.lit(".")))

@@ -56,6 +56,13 @@ def session_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.session_tags(V.session_items(spark, sf_dir), V.base_tags(spark, sf_dir)).withColumn("tags", F.array_join("tags", "|"))
 
 
+@query("session_tags_distinct", f"""WITH {V.ITEMS_SQL}, {V.TAGS_SQL}, x AS (SELECT session_id, item, unnest(tags[1:3]) AS tag, unnest(range(3)) AS k FROM session_items JOIN base_tags USING (item)),
+y AS (SELECT session_id, tag, min(item * 10 + k) AS o FROM x GROUP BY session_id, tag) SELECT session_id, string_agg(tag, '|' ORDER BY o) AS tags FROM y GROUP BY session_id""")
+def session_tags_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each tag once, at its first place, as sessions of films have them."""
+    return C.session_tags(V.session_items(spark, sf_dir), V.base_tags(spark, sf_dir), distinct=True).withColumn("tags", F.array_join("tags", "|"))
+
+
 def _bm25_sql(corpus: str, k1: float = 1.5, b: float = 0.75, alpha: float | None = 0.0, floor: float | None = None) -> str:
     idf = "idf" if floor is None else f"CASE WHEN idf < 0 THEN {floor} * (SELECT avg(idf) FROM tm) ELSE idf END"
     keep = f"WHERE idf > {alpha}" if floor is None else ""

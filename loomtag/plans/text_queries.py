@@ -104,6 +104,42 @@ def session_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.session_text(e, "user", ("ts",), F.concat(F.lit("- "), "action", F.lit(" item "), F.col("item").cast("string")), tags)
 
 
+def _domain_sql(line: str) -> str:
+    return f"""WITH {V.EVENTS_SQL}, l AS (SELECT "user", ts, {line} AS line FROM ev LEFT JOIN part ON p_partkey = item),
+b AS (SELECT "user", string_agg(line, chr(10) ORDER BY ts, line) AS body FROM l GROUP BY "user")
+SELECT "user", CASE WHEN body IS NULL THEN 'Empty session' ELSE 'Session ' || "user" || ':' || chr(10) || body END AS text FROM b"""
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with the name of their part, null where there is none."""
+    names = V.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("item"), "p_name")
+    return V.events(spark, sf_dir).join(names, "item", "left")
+
+
+@query("session_text_actions", _domain_sql("'- ' || CASE WHEN item % 5 = 0 THEN 'load' ELSE action END || ' ''' || p_name || ''''"))
+def session_text_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actions on named products; a missing action is a load, events without a name have no line."""
+    e = _named(spark, sf_dir)
+    return X.session_text(e, "user", ("ts",), X.action_line(F.when(F.col("item") % 5 != 0, F.col("action")), F.col("p_name")))
+
+
+@query("session_text_ratings", _domain_sql("'- ' || strftime(ts, '%H:%M:%S') || ': rated ' || (1 + item % 5) || '/5 ''' || coalesce(p_name, 'Unknown') || ''''"))
+def session_text_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratings of films with the time of day."""
+    e = _named(spark, sf_dir)
+    return X.session_text(e, "user", ("ts",), X.rating_line(F.col("ts"), 1 + F.col("item") % 5, F.coalesce("p_name", F.lit("Unknown"))))
+
+
+for _domain, (_verb, _least) in X.VISITS.items():
+
+    def _visits(spark: SparkSession, sf_dir: str, verb=_verb, least=_least) -> DataFrame:
+        """Ids of 24 characters, some of 4 that are too short for either domain, and titles for two thirds of them."""
+        e, width = _named(spark, sf_dir), F.when(F.col("item") % 7 == 0, 4).otherwise(24)
+        return X.session_text(e, "user", ("ts",), X.visit_line(verb, F.lpad(F.col("item").cast("string"), width, F.lit("B")), F.when(F.col("item") % 3 != 0, F.col("p_name")), least))
+
+    query(f"session_text_{_domain}", _domain_sql(f"CASE WHEN item % 7 <> 0 THEN '- {_verb} ''' || coalesce(CASE WHEN item % 3 <> 0 THEN p_name END, lpad(item::VARCHAR, 24, 'B')) || '''' END"))(_visits)
+
+
 @query("prompt_batches", f"""WITH {V.EVENTS_SQL}, t AS (SELECT row_number() OVER (ORDER BY "user") - 1 AS idx, 'user ' || "user" || ': ' || count(*) AS text FROM ev GROUP BY "user")
 SELECT idx // 4 AS batch, count(*) AS n, string_agg(text, chr(10) || chr(10) ORDER BY idx) AS prompt FROM t GROUP BY 1""")
 def prompt_batches(spark: SparkSession, sf_dir: str) -> DataFrame:

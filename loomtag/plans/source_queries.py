@@ -220,28 +220,39 @@ def named_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 SEARCH_NEGATIVES = 20
 
 
-#: threshold_search in SQL. It scores all 129 thresholds that a search could reach, which only small tables allow; the tests compare with it.
-THRESHOLD_SEARCH_SQL = f"""WITH RECURSIVE {_COUNTS}, {V.TAGS_SQL}, {V.ONLY_PURCHASES_SQL}, {_RELIABLE.format(divisor=20.0)}, {_Z},
-sq AS (SELECT "user" AS qid, list(item ORDER BY day, item) AS seq FROM purchases GROUP BY "user" HAVING count(*) >= 3), pos AS (SELECT qid, seq[len(seq) - 1] AS item FROM sq), ask AS (SELECT qid, seq[len(seq) - 2] AS item FROM sq),
+def _search_stage(k: int, thresholds: str) -> str:
+    """nd{k} (t, ndcg): the metric at the given thresholds."""
+    return f"""th{k} AS MATERIALIZED ({thresholds}),
+nt{k} AS (SELECT t, item, label || ' Preference' AS tag FROM z0 JOIN adj0 USING (item) JOIN th{k} ON z >= t QUALIFY row_number() OVER (PARTITION BY t, item ORDER BY z + adjustment DESC, label) <= 6),
+cp{k} AS MATERIALIZED (SELECT t, item, tag, count(*) AS w FROM (SELECT t, item, unnest(tags) AS tag FROM base_tags, th{k} UNION ALL SELECT nt{k}.t, nt{k}.item, nt{k}.tag FROM nt{k} SEMI JOIN base_tags USING (item)) GROUP BY ALL),
+sz{k} AS (SELECT t, item, sum(w) AS l FROM cp{k} GROUP BY t, item), av{k} AS (SELECT t, avg(l) AS a, count(*) AS n FROM sz{k} GROUP BY t),
+tm{k} AS (SELECT t, tag, ln(any_value(n) - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS idf FROM cp{k} JOIN av{k} USING (t) GROUP BY t, tag),
+sc{k} AS (SELECT cp.t, c.qid, c.item, round(sum(q.w * idf * cp.w * 2.5::DOUBLE / (cp.w + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / a))), 6) AS score
+  FROM cand c JOIN cp{k} cp USING (item) JOIN (SELECT * FROM tm{k} WHERE idf > 0) m ON m.t = cp.t AND m.tag = cp.tag JOIN sz{k} sz ON sz.t = cp.t AND sz.item = cp.item JOIN av{k} av ON av.t = cp.t JOIN ask ON ask.qid = c.qid JOIN cp{k} q ON q.t = cp.t AND q.item = ask.item AND q.tag = cp.tag GROUP BY cp.t, c.qid, c.item),
+rk{k} AS (SELECT t, c.qid, c.is_pos, row_number() OVER (PARTITION BY t, c.qid ORDER BY coalesce(s.score, 0) DESC, md5('42|' || c.qid || '|' || c.item)) AS rank FROM cand c CROSS JOIN th{k} LEFT JOIN sc{k} s USING (t, qid, item)),
+nd{k} AS MATERIALIZED (SELECT t, round(avg(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1.0::DOUBLE) ELSE 0 END), 6) AS ndcg FROM rk{k} WHERE is_pos = 1 GROUP BY t)"""
+
+
+def _search_sql(rounds: int = 7) -> str:
+    """Each round halves the range by the metric at its ends, and adds the metric at the new middle: no other threshold is scored. Seven rounds reach the tolerance."""
+    stages = ["bi1 AS (SELECT -2.0::DOUBLE AS l, 2.0::DOUBLE AS r)", _search_stage(1, "SELECT unnest([l, (l + r) / 2, r]) AS t FROM bi1"), "all1 AS MATERIALIZED (SELECT * FROM nd1)"]
+    for k in range(2, rounds + 1):
+        b, known = f"bi{k - 1}", f"all{k - 1}"
+        stages += [
+            f"bi{k} AS MATERIALIZED (SELECT CASE WHEN x.ndcg >= y.ndcg THEN l ELSE (l + r) / 2 END AS l, CASE WHEN x.ndcg >= y.ndcg THEN (l + r) / 2 ELSE r END AS r FROM {b} JOIN {known} x ON x.t = l JOIN {known} y ON y.t = r)",
+            _search_stage(k, f"SELECT (l + r) / 2 AS t FROM bi{k}"), f"all{k} AS MATERIALIZED (SELECT * FROM {known} UNION ALL SELECT * FROM nd{k})",
+        ]
+    return f"""WITH {_COUNTS}, {V.TAGS_SQL}, {V.ONLY_PURCHASES_SQL}, {_RELIABLE.format(divisor=20.0)}, {_Z}, z0 AS MATERIALIZED (SELECT * FROM z), adj0 AS MATERIALIZED (SELECT * FROM adj),
+sq AS (SELECT "user" AS qid, list(item ORDER BY day, item) AS seq FROM purchases GROUP BY "user" HAVING count(*) >= 3), pos AS MATERIALIZED (SELECT qid, seq[len(seq) - 1] AS item FROM sq), ask AS MATERIALIZED (SELECT qid, seq[len(seq) - 2] AS item FROM sq),
 it AS (SELECT p_partkey AS item, row_number() OVER (ORDER BY p_partkey) - 1 AS idx, count(*) OVER () AS size FROM part), size AS (SELECT max(size) AS size FROM it),
 dr AS (SELECT qid, draw, ('0x' || md5('42|valid|' || qid || '|' || draw)[1:15])::BIGINT % size AS idx FROM (SELECT qid, size, unnest(range({8 * SEARCH_NEGATIVES + 64})) AS draw FROM pos, size WHERE size > {4 * SEARCH_NEGATIVES})),
 fr2 AS (SELECT qid, item, '' AS h, min(draw) AS d FROM dr JOIN it USING (idx) GROUP BY qid, item UNION ALL SELECT qid, it.item, md5('42|valid|' || qid || '|' || it.item), 0 FROM pos, it WHERE it.size <= {4 * SEARCH_NEGATIVES}),
-cand AS (SELECT qid, item, 1 AS is_pos FROM pos UNION ALL SELECT qid, item, 0 FROM (SELECT * FROM fr2 ANTI JOIN pos USING (qid, item) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY h, d, item) <= {SEARCH_NEGATIVES})),
-th AS (SELECT -2 + i / 32.0::DOUBLE AS t FROM (SELECT unnest(range(129)) AS i)),
-nt AS (SELECT t, item, label || ' Preference' AS tag FROM z JOIN adj USING (item) JOIN th ON z >= t QUALIFY row_number() OVER (PARTITION BY t, item ORDER BY z + adjustment DESC, label) <= 6),
-cp AS (SELECT t, item, tag, count(*) AS w FROM (SELECT t, item, unnest(tags) AS tag FROM base_tags, th UNION ALL SELECT nt.t, nt.item, nt.tag FROM nt SEMI JOIN base_tags USING (item)) GROUP BY ALL),
-sz AS (SELECT t, item, sum(w) AS l FROM cp GROUP BY t, item), av AS (SELECT t, avg(l) AS a, count(*) AS n FROM sz GROUP BY t),
-tm AS (SELECT t, tag, ln(any_value(n) - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS idf FROM cp JOIN av USING (t) GROUP BY t, tag),
-sc AS (SELECT cp.t, c.qid, c.item, round(sum(q.w * idf * cp.w * 2.5::DOUBLE / (cp.w + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / a))), 6) AS score
-  FROM cand c JOIN cp USING (item) JOIN (SELECT * FROM tm WHERE idf > 0) m ON m.t = cp.t AND m.tag = cp.tag JOIN sz ON sz.t = cp.t AND sz.item = cp.item JOIN av ON av.t = cp.t JOIN ask ON ask.qid = c.qid JOIN cp q ON q.t = cp.t AND q.item = ask.item AND q.tag = cp.tag GROUP BY cp.t, c.qid, c.item),
-rk AS (SELECT t, c.qid, c.is_pos, row_number() OVER (PARTITION BY t, c.qid ORDER BY coalesce(s.score, 0) DESC, md5('42|' || c.qid || '|' || c.item)) AS rank FROM cand c CROSS JOIN th LEFT JOIN sc s USING (t, qid, item)),
-nd AS (SELECT t, round(avg(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1.0::DOUBLE) ELSE 0 END), 6) AS ndcg FROM rk WHERE is_pos = 1 GROUP BY t),
-bi AS (SELECT 1 AS i, -2.0::DOUBLE AS l, 2.0::DOUBLE AS r UNION ALL SELECT i + 1, CASE WHEN x.ndcg >= y.ndcg THEN l ELSE (l + r) / 2 END, CASE WHEN x.ndcg >= y.ndcg THEN (l + r) / 2 ELSE r END FROM bi JOIN nd x ON x.t = l JOIN nd y ON y.t = r WHERE r - l > 0.1 AND i < 8),
-ev2 AS (SELECT DISTINCT unnest([l, (l + r) / 2, r]) AS t FROM bi)
-SELECT t AS threshold, ndcg, t = (SELECT t FROM ev2 JOIN nd USING (t) ORDER BY ndcg DESC, t LIMIT 1) AS best FROM ev2 JOIN nd USING (t)"""
-
-
-@query("threshold_search")
+cand AS MATERIALIZED (SELECT qid, item, 1 AS is_pos FROM pos UNION ALL SELECT qid, item, 0 FROM (SELECT * FROM fr2 ANTI JOIN pos USING (qid, item) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY h, d, item) <= {SEARCH_NEGATIVES})),
+{(',' + chr(10)).join(stages)}
+SELECT t AS threshold, ndcg, t = (SELECT t FROM all{rounds} ORDER BY ndcg DESC, t LIMIT 1) AS best FROM all{rounds}"""
+
+
+@query("threshold_search", _search_sql())
 def threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bisection for the threshold whose tags retrieve best: NDCG@10 of each customer's last part but one, among 20 others, asked for by the part before it.
 

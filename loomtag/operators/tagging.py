@@ -42,10 +42,17 @@ def known_items(names: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def item_label_counts(items: DataFrame, labels: DataFrame, dedup: bool = True) -> DataFrame:
-    """(item, label, cnt): sessions with both. A label that a session repeats counts once unless dedup is off."""
+    """(item, label, cnt): sessions with both. A label that a session repeats counts once unless dedup is off.
+
+    Both sides grow with the sessions, so they meet by sorting, whatever their files
+    look like. Labels stay one array until a rebalance has put the sessions of an item
+    together: then the counts of a task are few, and a frequent item is split.
+    """
     own = F.array_distinct("labels") if dedup else F.col("labels")
-    long = labels.select("session_id", F.explode(own).alias("label")).where(F.col("label").isNotNull())
-    return items.select("session_id", "item").distinct().join(long, "session_id").groupBy("item", "label").agg(F.count("*").alias("cnt"))
+    sessions = labels.select("session_id", own.alias("labels")).hint("merge")
+    met = items.select("session_id", "item").distinct().join(sessions, "session_id").select("item", "labels").hint("rebalance", "item")
+    long = met.select("item", F.explode("labels").alias("label")).where(F.col("label").isNotNull())
+    return long.groupBy("item", "label").agg(F.count("*").alias("cnt"))
 
 
 def label_incidences(counts: DataFrame) -> DataFrame:

@@ -474,4 +474,16 @@ def test_push_touches_what_it_reaches_alone(spark):
     s = scratch.saved(G.normalised(edges), "s")
     start = spark.createDataFrame([(1, "t000", 1.0)], "qid int, tag string, v double")
     found = G.push(start, scratch.saved(G.tag_transitions(s), "moves"), 0.36, scratch.cut, 1e-4)
-    assert 3 < found.count() < 15
\ No newline at end of file
+    assert 3 < found.count() < 15
+
+def physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_label_counts_never_broadcast_sessions_and_gather_items_first(spark):
+    items = spark.createDataFrame([(1, 10), (1, 10), (1, 11), (2, 10), (3, None)], "session_id long, item long")
+    labels = spark.createDataFrame([(1, ["a", "a", "b"]), (2, ["a", None]), (3, ["c"]), (4, ["a"])], "session_id long, labels array<string>")
+    assert {tuple(r) for r in T.item_label_counts(items, labels).collect()} == {(10, "a", 2), (10, "b", 1), (11, "a", 1), (11, "b", 1), (None, "c", 1)}
+    assert {tuple(r) for r in T.item_label_counts(items, labels, dedup=False).where("item = 10 AND label = 'a'").collect()} == {(10, "a", 3)}
+    plan = physical(T.item_label_counts(items, labels))
+    assert "Broadcast" not in plan and "REBALANCE_PARTITIONS_BY_COL" in plan

@@ -1,5 +1,6 @@
 """Edge rules on small tables."""
 
+import hashlib
 import json
 import math
 import random
@@ -487,3 +488,19 @@ def test_label_counts_never_broadcast_sessions_and_gather_items_first(spark):
     assert {tuple(r) for r in T.item_label_counts(items, labels, dedup=False).where("item = 10 AND label = 'a'").collect()} == {(10, "a", 3)}
     plan = physical(T.item_label_counts(items, labels))
     assert "Broadcast" not in plan and "REBALANCE_PARTITIONS_BY_COL" in plan
+
+
+def test_negatives_of_a_large_catalogue_broadcast_nothing_and_keep_the_order_of_draws(spark):
+    items = spark.range(70_000).select((F.col("id") * 2).alias("item"), F.col("id").alias("idx"))
+    own = spark.createDataFrame([(q, q * 2 + k) for q in range(30) for k in (0, 2)] + [(99, None)], "qid long, item long")
+    got = E.negatives(own, items, 5, order=True)
+    assert "Broadcast" not in physical(got)
+    expected = set()
+    for q in [*range(30), 99]:
+        mine, new = {r[1] for r in own.collect() if r[0] == q} if q < 30 else set(), []
+        for d in range(104):
+            item = int(hashlib.md5(f"42|test|{q}|{d}".encode()).hexdigest()[:15], 16) % 70_000 * 2
+            if item not in mine and item not in new:
+                new.append(item)
+        expected |= {(q, item, k) for k, item in enumerate(new[:5], 1)}
+    assert {tuple(r) for r in got.collect()} == expected

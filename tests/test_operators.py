@@ -504,3 +504,12 @@ def test_negatives_of_a_large_catalogue_broadcast_nothing_and_keep_the_order_of_
                 new.append(item)
         expected |= {(q, item, k) for k, item in enumerate(new[:5], 1)}
     assert {tuple(r) for r in got.collect()} == expected
+
+
+def test_prediction_domain_broadcasts_neither_the_domain_nor_the_events(spark):
+    domain = spark.range(3).select(F.col("id").alias("user"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("item"))
+    seen = spark.range(2).select((F.col("id") * 2).alias("user"), (F.col("id") + 1).cast("int").alias("item"))  # (0, 1), (2, 2)
+    bought = spark.range(1).select(F.col("id").alias("user"), F.lit(1).alias("item"))
+    got = S.prediction_domain(domain, seen, bought)
+    assert "Broadcast" not in physical(got)
+    assert rows(got) == [(u, i) for u in range(3) for i in range(4) if (u, i) != (2, 2)]

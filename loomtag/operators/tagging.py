@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from loomtag.operators.quantiles import percentiles
 
+#: Rows of a side that meet in one task; the number of tasks follows from the rows.
+TASK_ROWS = 1 << 19
+
 
 @dataclass(frozen=True)
 class TagConfig:
@@ -41,16 +44,25 @@ def known_items(names: DataFrame, ids: DataFrame) -> DataFrame:
     return names.join(ids, "name")
 
 
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df dealt by keys to a number of tasks in proportion to its rows, at least to as many as the session has for shuffles."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-rows // TASK_ROWS)), *keys)
+
+
 def item_label_counts(items: DataFrame, labels: DataFrame, dedup: bool = True) -> DataFrame:
     """(item, label, cnt): sessions with both. A label that a session repeats counts once unless dedup is off.
 
     Both sides grow with the sessions, so they meet by sorting, whatever their files
-    look like. Labels stay one array until a rebalance has put the sessions of an item
+    look like, in as many tasks as their rows ask for. Repeated items go after that
+    shuffle: before it hardly any rows repeat, and a task would hold those of a whole split.
+    Labels stay one array until a rebalance has put the sessions of an item
     together: then the counts of a task are few, and a frequent item is split.
     """
     own = F.array_distinct("labels") if dedup else F.col("labels")
     sessions = labels.select("session_id", own.alias("labels")).hint("merge")
-    met = items.select("session_id", "item").distinct().join(sessions, "session_id").select("item", "labels").hint("rebalance", "item")
+    lines = items.select("session_id", "item")
+    met = spread(lines, lines.count(), "session_id").distinct().join(sessions, "session_id").select("item", "labels").hint("rebalance", "item")
     long = met.select("item", F.explode("labels").alias("label")).where(F.col("label").isNotNull())
     return long.groupBy("item", "label").agg(F.count("*").alias("cnt"))
 

@@ -513,3 +513,33 @@ def test_prediction_domain_broadcasts_neither_the_domain_nor_the_events(spark):
     got = S.prediction_domain(domain, seen, bought)
     assert "Broadcast" not in physical(got)
     assert rows(got) == [(u, i) for u in range(3) for i in range(4) if (u, i) != (2, 2)]
+
+
+def test_tasks_of_the_counts_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(T, "TASK_ROWS", 10)
+    items = spark.range(100).select((F.col("id") % 50).alias("session_id"), (F.col("id") % 25).alias("item"))
+    labels = spark.range(50).select(F.col("id").alias("session_id"), F.array(F.lit("a")).alias("labels"))
+    counts = T.item_label_counts(items, labels)
+    plan = physical(counts)
+    # one shuffle of the items, before repeated ones go, by sessions alone
+    assert "hashpartitioning(session_id#" in plan and ", 10), REPARTITION_BY_NUM" in plan and "keys=[session_id" in plan
+    assert rows(counts) == [(i, "a", 2) for i in range(25)]
+
+
+def test_coverage_counts_once(spark, monkeypatch):
+    from compare import SF
+    from loomtag.plans import tagging_queries as Q2
+
+    made, real = [], T.item_label_counts
+    monkeypatch.setattr(T, "item_label_counts", lambda *a: made.append(1) or real(*a))
+    Q2.tag_coverage(spark, SF).collect()
+    assert len(made) == 1
+
+
+def test_preference_histogram_query_shuffles_by_rows(spark, monkeypatch):
+    from compare import SF
+    from loomtag.plans import text_queries as Q3
+
+    monkeypatch.setattr(T, "TASK_ROWS", 1000)  # 6,000 lines
+    plan = physical(Q3.preference_hist(spark, SF))
+    assert "Broadcast" not in plan and plan.count(", 6), REPARTITION_BY_NUM") == 3

@@ -39,10 +39,10 @@ def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.item_label_counts(V.session_lines(spark, sf_dir), V.session_labels(spark, sf_dir))
 
 
-def _reliable(spark: SparkSession, sf_dir: str, divisor: float = 20.0) -> DataFrame:
+def _reliable(spark: SparkSession, sf_dir: str, divisor: float = 20.0, counts: DataFrame | None = None) -> DataFrame:
     """Counts of reliable labels, written: incidences, statistics, frequencies and scores all start from them."""
     n = V.table(spark, sf_dir, "orders").agg(F.count("*").alias("n"))
-    return saved(T.reliable(saved(_counts(spark, sf_dir), "counts"), n, divisor), "reliable")
+    return saved(T.reliable(saved(_counts(spark, sf_dir), "counts") if counts is None else counts, n, divisor), "reliable")
 
 
 @query("item_label_counts", f"WITH {_COUNTS} SELECT item, label, cnt FROM counts")
@@ -97,9 +97,9 @@ SELECT count(DISTINCT item) AS tagged_items, count(*) AS tags, count(DISTINCT la
        (SELECT count(*) FROM inc) - (SELECT count(DISTINCT label) FROM reliable) AS removed_labels,
        (SELECT count(*) FROM inc WHERE n >= (SELECT quantile_cont(n, 0.6) FROM inc)) AS strong_labels FROM tags""")
 def tag_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _counts(spark, sf_dir)
-    kept = _reliable(spark, sf_dir)
-    return T.coverage(counts, kept, T.zscore_tags(kept, CONFIG)).withColumn("mean_z", F.round("mean_z", 6))
+    counts = saved(_counts(spark, sf_dir), "counts")
+    kept = _reliable(spark, sf_dir, counts=counts)
+    return T.coverage(counts, kept, saved(T.zscore_tags(kept, CONFIG), "tags")).withColumn("mean_z", F.round("mean_z", 6))
 
 
 @query("tag_levels", f"WITH {_COUNTS}, {_RELIABLE.format(divisor=20.0)}, {_Z} SELECT level, count(*) AS tags, round(count(*) / (SELECT count(*) FROM tags), 6) AS share FROM tags GROUP BY level")

@@ -10,6 +10,7 @@ from loomtag.functions import text as X
 from loomtag.operators import corpus as C
 from loomtag.operators import evaluation as E
 from loomtag.operators import sequences as S
+from loomtag.operators import tagging as T
 from loomtag.plans import views as V
 from loomtag.plans.registry import query
 from loomtag.plans.sequence_queries import seqs
@@ -212,8 +213,10 @@ def preference_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("preference_hist", f"""WITH {V.ITEMS_SQL}, {V.TAGS_SQL}, l AS (SELECT session_id AS key, unnest(tags[1:2]) AS p FROM session_items JOIN base_tags USING (item)), c AS (SELECT key, p, count(*) AS n FROM l GROUP BY 1, 2)
 SELECT key, string_agg(p || ' (' || n || ')', ', ' ORDER BY n DESC, p) AS preferences FROM c GROUP BY key""")
 def preference_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = V.session_items(spark, sf_dir).join(_preferred(spark, sf_dir), "item").select(F.col("session_id").alias("key"), "tags")
-    return X.preference_histogram(t, " Preference").select("key", F.array_join("preferences", ", ").alias("preferences"))
+    n = V.session_lines(spark, sf_dir).count()
+    parts = _preferred(spark, sf_dir).hint("merge")  # they grow, however small their file
+    t = T.spread(V.session_items(spark, sf_dir), n, "item").join(parts, "item").select(F.col("session_id").alias("key"), "tags")
+    return X.preference_histogram(T.spread(t, n, "key"), " Preference").select("key", F.array_join("preferences", ", ").alias("preferences"))
 
 
 @query("event_cells", """SELECT event_id, user_id AS session, event_type AS action, json_extract_string(props, '$.k') AS item FROM events""")

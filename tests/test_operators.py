@@ -543,3 +543,18 @@ def test_preference_histogram_query_shuffles_by_rows(spark, monkeypatch):
     monkeypatch.setattr(T, "TASK_ROWS", 1000)  # 6,000 lines
     plan = physical(Q3.preference_hist(spark, SF))
     assert "Broadcast" not in plan and plan.count(", 6), REPARTITION_BY_NUM") == 3
+
+
+def test_grids_never_broadcast_users_or_items(spark):
+    from loomtag.plans import evaluation_queries as V2
+
+    corpus = spark.createDataFrame([(1, ["a", "b"]), (2, ["b", "c"]), (3, ["c"])], "item int, tags array<string>")
+    asks = spark.createDataFrame([(7, "a", 1.0), (8, "c", 1.0)], "qid long, tag string, weight double")
+    c = spark.createDataFrame([(7, 1, 1), (7, 2, 0), (8, 3, 1)], "qid long, item int, is_pos int")
+    plan = physical(G.normalised(C.edges(corpus)))
+    assert "SortMergeJoin [item#" in plan
+    plan = physical(V2._bm25_grid(c, corpus, asks, [(0.5, 0.5)]))
+    assert plan.count("SortMergeJoin [item#") == 2 and "SortMergeJoin [qid#" in plan
+    scores = V2._bm25_grid(c, corpus, asks, [(0.5, 0.5)])
+    plan = physical(V2._grid_metrics(c, scores, V2._table(spark, ["k1", "b"], [(0.5, 0.5)]), ("k1", "b")))
+    assert any("SortMergeJoin" in x and "LeftOuter" in x for x in plan.splitlines())

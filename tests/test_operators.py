@@ -558,3 +558,16 @@ def test_grids_never_broadcast_users_or_items(spark):
     scores = V2._bm25_grid(c, corpus, asks, [(0.5, 0.5)])
     plan = physical(V2._grid_metrics(c, scores, V2._table(spark, ["k1", "b"], [(0.5, 0.5)]), ("k1", "b")))
     assert any("SortMergeJoin" in x and "LeftOuter" in x for x in plan.splitlines())
+
+
+def test_items_with_equal_tags_are_scored_once(spark, monkeypatch):
+    random_ = random.Random(3)
+    bags = [random_.sample("abcdefgh", 3) for _ in range(12)]
+    corpus = spark.createDataFrame([(i, random_.sample(bags[i % 12], 3)) for i in range(120)], "item int, tags array<string>")
+    asks = spark.createDataFrame([(q, t, 1.0) for q, b in enumerate(bags) for t in b], "qid long, tag string, weight double")
+    plain = B.top_n(B.scored(asks, B.postings(corpus)).withColumn("score", F.round("score", 6)), 7)
+    seen, real = [], B.bounded_scores
+    monkeypatch.setattr(B, "bounded_scores", lambda q, p, *a, **k: seen.append(p.select("item").distinct().count()) or real(q, p, *a, **k))
+    best = B.best_items(asks, corpus, B.tag_classes(corpus), 7)
+    assert rows(best.select("qid", "item", "score", "rank")) == rows(plain.select("qid", "item", "score", "rank"))
+    assert 0 < seen[0] <= 12

@@ -571,3 +571,41 @@ def test_items_with_equal_tags_are_scored_once(spark, monkeypatch):
     best = B.best_items(asks, corpus, B.tag_classes(corpus), 7)
     assert rows(best.select("qid", "item", "score", "rank")) == rows(plain.select("qid", "item", "score", "rank"))
     assert 0 < seen[0] <= 12
+
+
+def _twins(spark):
+    """60 items of 7 sets of tags, one item apart from the rest and one set in another order."""
+    bags = [["a", "b"], ["b", "c", "c"], ["c", "d"], ["d", "a", "e"], ["e", "f"], ["f", "b"], ["g"]]
+    return scratch.saved(C.edges(spark.createDataFrame([(i, bags[i % 7][:: 1 if i % 2 else -1]) for i in range(60)], "item int, tags array<string>")), "edges")
+
+
+def test_birank_computes_equal_items_and_queries_once(spark, monkeypatch):
+    edges = _twins(spark)
+    asks = spark.createDataFrame([(q, i, 1.0) for q, i in ((1, 0), (2, 7), (3, 1), (4, 8), (4, 15), (5, 99), (6, 3), (7, 3), (7, 99))], "qid int, item int, weight double")
+    s = G.normalised(edges)
+    full = scratch.saved(G.tag_transitions(s), "t")
+    seen, real = [], G.push
+    monkeypatch.setattr(G, "push", lambda start, *a, **k: seen.append(start.select("asks").distinct().count()) or real(start, *a, **k))
+    got = {(r["qid"], r["item"]): r["score"] for r in G.birank_items(asks, edges, scratch.cut, 0.6, 0.6, 1e-12).collect()}
+    assert seen == [5]  # 1 and 2 ask alike; 5 asks for nothing known, 6 and 7 differ by such an item
+    start = asks.join(s, "item").groupBy("qid", "tag").agg(F.sum(F.col("weight") * F.col("s")).alias("v"))
+    expected = {(r["qid"], r["item"]): 0.4 * 0.36 * r["v"] for r in real(start, full, 0.36, scratch.cut, 1e-12).join(s, "tag").groupBy("qid", "item").agg(F.sum(F.col("v") * F.col("s")).alias("v")).collect()}
+    for q, i, w in asks.collect():
+        expected[q, i] = expected.get((q, i), 0.0) + 0.4 * w
+    assert got == pytest.approx(expected, abs=1e-10) and len(got) > 200
+    tagged = edges.where("item < 15").select(F.col("item").alias("qid"), "tag", F.col("w").cast("double").alias("weight"))
+    got = {(r["qid"], r["item"]): r["score"] for r in G.birank_tags(tagged, edges, scratch.cut, 0.6, 0.6, 1e-12).collect()}
+    assert seen == [5, 7]
+    start = tagged.select("qid", "tag", F.col("weight").alias("v"))
+    expected = {(r["qid"], r["item"]): 0.24 * r["v"] for r in real(start, full, 0.36, scratch.cut, 1e-12).join(s, "tag").groupBy("qid", "item").agg(F.sum(F.col("v") * F.col("s")).alias("v")).collect()}
+    assert got == pytest.approx(expected, abs=1e-10)
+
+
+def test_pagerank_over_tags_equals_the_walk_over_all_nodes(spark):
+    edges = _twins(spark)
+    start = spark.createDataFrame([(1, 0, 1.0), (2, 7, 1.0), (3, 1, 0.25), (3, 8, 0.5), (3, 4, 0.25), (4, 6, 1.0), (5, 99, 1.0)], "qid int, item int, x0 double")
+    nodes = start.select("qid", F.concat(F.lit("i:"), F.col("item").cast("string")).alias("node"), "x0")
+    for stop in ({"tol": 0.03}, {"rounds": 2, "tol": 0.0}):
+        got = {(r["qid"], r["node"]): r["score"] for r in G.pagerank_items(start, edges, scratch.cut, **stop).collect()}
+        expected = {(r["qid"], r["node"]): r["score"] for r in G.pagerank(nodes, G.homogeneous(edges), scratch.cut, **stop).collect()}
+        assert got == pytest.approx(expected, abs=1e-12), stop

@@ -44,10 +44,14 @@ def known_items(names: DataFrame, ids: DataFrame) -> DataFrame:
     return names.join(ids, "name")
 
 
+def tasks(df: DataFrame, rows: int) -> int:
+    """A number of tasks in proportion to rows, at least as many as the session has for shuffles."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
 def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     """df dealt by keys to a number of tasks in proportion to its rows, at least to as many as the session has for shuffles."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(least, -(-rows // TASK_ROWS)), *keys)
+    return df.repartition(tasks(df, rows), *keys)
 
 
 def item_label_counts(items: DataFrame, labels: DataFrame, dedup: bool = True) -> DataFrame:
@@ -57,12 +61,14 @@ def item_label_counts(items: DataFrame, labels: DataFrame, dedup: bool = True) -
     look like, in as many tasks as their rows ask for. Repeated items go after that
     shuffle: before it hardly any rows repeat, and a task would hold those of a whole split.
     Labels stay one array until a rebalance has put the sessions of an item
-    together: then the counts of a task are few, and a frequent item is split.
+    together: then the counts of a task are few, and a frequent item is split. The
+    rebalance has as many parts as the rows ask for, too, of which small ones are joined.
     """
     own = F.array_distinct("labels") if dedup else F.col("labels")
     sessions = labels.select("session_id", own.alias("labels")).hint("merge")
     lines = items.select("session_id", "item")
-    met = spread(lines, lines.count(), "session_id").distinct().join(sessions, "session_id").select("item", "labels").hint("rebalance", "item")
+    rows = lines.count()
+    met = spread(lines, rows, "session_id").distinct().join(sessions, "session_id").select("item", "labels").hint("rebalance", tasks(lines, rows), "item")
     long = met.select("item", F.explode("labels").alias("label")).where(F.col("label").isNotNull())
     return long.groupBy("item", "label").agg(F.count("*").alias("cnt"))
 

@@ -622,3 +622,12 @@ def test_a_row_without_structure_is_shipped_once_for_a_part(spark):
     expected = int((np.triu(unit @ unit.T, 1) > 0.5).sum())
     got = N.similar_pairs(df, 0.5, 250)
     assert got.count() == expected == got.select("a", "b").distinct().count()
+
+
+def test_parts_in_which_items_are_counted_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(T, "TASK_ROWS", 10)
+    items = spark.range(100).select((F.col("id") % 50).alias("session_id"), (F.col("id") % 25).alias("item"))
+    labels = spark.range(50).select(F.col("id").alias("session_id"), F.array(F.lit("a")).alias("labels"))
+    counts = T.item_label_counts(items, labels)
+    assert ", 10), REBALANCE_PARTITIONS_BY_COL" in physical(counts)
+    assert rows(counts) == [(i, "a", 2) for i in range(25)]

@@ -648,3 +648,28 @@ def test_merging_vectors_needs_no_pairs(spark, monkeypatch):
         assert sorted(map(tuple, got.collect())) == plain and len(plain) == 212
     assert N.merged_vectors(df.where("tag = 'none'"), 0.6).collect() == [("none", "none")] and N.merged_vectors(df.where("false"), 0.6).count() == 0
     assert V2.tag_merge(spark, SF).count() == 500  # all vectors of sf0.001
+
+
+def test_documents_are_scored_where_they_lie(spark, monkeypatch):
+    from compare import SF
+    from loomtag.plans import ranking_queries as R
+
+    random_ = random.Random(8)
+    texts = [" ".join(random_.choices("abcdefghijklmnop", range(1, 17), k=random_.randrange(1, 30))) for _ in range(90)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:9] + ["", None])], "item long, text string")
+    asks = spark.createDataFrame([(q, t, w) for q in range(12) for t, w in ((random_.choice("abcdefg"), 1.0), (random_.choice("hijk"), 0.5), ("absent", 2.0))], "qid long, tag string, weight double")
+    tags = F.filter(F.split("text", " "), lambda t: t != "")
+    index = B.postings(docs.select("item", tags.alias("tags")), terms=asks)
+    plain = B.top_n(B.scored(asks, index).withColumn("score", F.round("score", 6)), 5).select("qid", "item", "score", "rank")
+    monkeypatch.setattr(B, "TASK_SCORES", 100)
+    best = B.best_documents(asks, docs, tags, 5)
+    assert rows(best.select("qid", "item", "score", "rank")) == rows(plain) and len(rows(plain)) > 50
+    assert rows(B.best_documents(asks, docs.where("false"), tags, 5)) == []
+    import pyarrow.parquet as pq
+
+    pairs = pq.read_table(f"{SF}/documents.parquet", columns=["doc_id"]).num_rows * pq.read_table(f"{SF}/benchmark.parquet", columns=["item_id"]).num_rows
+    monkeypatch.setattr(B, "TASK_SCORES", pairs // 9)
+    plan = physical(R.bm25_documents(spark, SF))
+    # documents go to tasks that follow their number, then only asked terms and the best of a task are shuffled
+    assert plan.count("Exchange hashpartitioning") == 3 and plan.count("REPARTITION_BY_NUM") == 1, plan
+    assert any("hashpartitioning(item#" in x and (", 9), REPARTITION_BY_NUM" in x or ", 10), REPARTITION_BY_NUM" in x) for x in plan.splitlines()) and "SortMergeJoin" not in plan, plan

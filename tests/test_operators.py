@@ -673,3 +673,13 @@ def test_documents_are_scored_where_they_lie(spark, monkeypatch):
     # documents go to tasks that follow their number, then only asked terms and the best of a task are shuffled
     assert plan.count("Exchange hashpartitioning") == 3 and plan.count("REPARTITION_BY_NUM") == 1, plan
     assert any("hashpartitioning(item#" in x and (", 9), REPARTITION_BY_NUM" in x or ", 10), REPARTITION_BY_NUM" in x) for x in plan.splitlines()) and "SortMergeJoin" not in plan, plan
+
+
+def test_birank_over_tags_is_asked_by_every_item(spark):
+    from compare import SF
+
+    from loomtag.plans import catalog
+
+    got = catalog.QUERIES["birank_tag"](spark, SF)
+    asked = spark.read.parquet(f"{SF}/part.parquet").select("p_partkey")
+    assert rows(got.select(F.col("qid").cast("long")).distinct()) == rows(asked)

@@ -683,3 +683,13 @@ def test_birank_over_tags_is_asked_by_every_item(spark):
     got = catalog.QUERIES["birank_tag"](spark, SF)
     asked = spark.read.parquet(f"{SF}/part.parquet").select("p_partkey")
     assert rows(got.select(F.col("qid").cast("long")).distinct()) == rows(asked)
+
+
+def test_pagerank_is_asked_by_every_user(spark):
+    from compare import SF
+
+    from loomtag.plans import catalog
+
+    got = catalog.QUERIES["pagerank_user"](spark, SF)
+    asked = spark.read.parquet(f"{SF}/events.parquet").select("user_id").distinct()
+    assert rows(got.select("qid").distinct()) == rows(asked)

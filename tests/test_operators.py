@@ -693,3 +693,24 @@ def test_pagerank_is_asked_by_every_user(spark):
     got = catalog.QUERIES["pagerank_user"](spark, SF)
     asked = spark.read.parquet(f"{SF}/events.parquet").select("user_id").distinct()
     assert rows(got.select("qid").distinct()) == rows(asked)
+
+
+def test_equal_items_and_queries_are_given_back_as_arrays_in_tasks_that_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(G, "TASK_ROWS", 100)
+    monkeypatch.setattr(G, "TOGETHER", 3)
+    twins = spark.createDataFrame([(i, i % 5) for i in range(60)], "item int, rep int")
+    same = spark.createDataFrame([(q, q % 2) for q in range(20)], "qid int, asks int")
+    found = spark.createDataFrame([(a, r, a + r / 10) for a in range(2) for r in range(5)], "asks int, rep int, score double")
+    got = G.given_back(found, twins, same, name=F.concat(F.lit("i:"), F.col("item").cast("string")))
+    plan = physical(got)
+    assert plan.count("Generate explode") == 2 and "Broadcast" not in plan and plan.count(", 12), REPARTITION_BY_NUM") == 2
+    assert rows(got) == sorted((q, f"i:{i}", q % 2 + (i % 5) / 10) for q in range(20) for i in range(60))
+
+
+def test_transitions_never_broadcast_items(spark):
+    edges = scratch.saved(_twins(spark), "edges")
+    for moves in (G.tag_transitions(scratch.cut(G.normalised(edges))), G.class_transitions(G.normalised_classes(G.classes(edges)[1]))):
+        assert "Broadcast" not in physical(moves)
+    full = {(r["a"], r["b"]): r["t"] for r in G.tag_transitions(G.normalised(edges)).collect()}
+    few = {(r["a"], r["b"]): r["t"] for r in G.class_transitions(G.normalised_classes(G.classes(edges)[1])).collect()}
+    assert few == pytest.approx(full, abs=1e-12)

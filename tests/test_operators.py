@@ -714,3 +714,27 @@ def test_transitions_never_broadcast_items(spark):
     full = {(r["a"], r["b"]): r["t"] for r in G.tag_transitions(G.normalised(edges)).collect()}
     few = {(r["a"], r["b"]): r["t"] for r in G.class_transitions(G.normalised_classes(G.classes(edges)[1])).collect()}
     assert few == pytest.approx(full, abs=1e-12)
+
+
+@pytest.mark.parametrize("normalizer", ["HITS", "BiRank"])
+def test_whole_graph_ranking_moves_one_item_for_all_alike(spark, monkeypatch, normalizer):
+    edges = _twins(spark).collect()
+    seen = []
+
+    def watched(df):
+        seen.append(df.count())
+        return scratch.cut(df)
+
+    got = {(r["side"], r["node"]): r["score"] for r in G.birank(_twins(spark), normalizer, watched, rounds=3, tol=0.0).collect()}
+    assert max(seen) == 7 + 7  # classes and tags
+    items, tags = sorted({r["item"] for r in edges}), sorted({r["tag"] for r in edges})
+    w = np.zeros((len(items), len(tags)))
+    for r in edges:
+        w[items.index(r["item"]), tags.index(r["tag"])] = r["w"]
+    s = w if normalizer == "HITS" else w / np.sqrt(w.sum(1)[:, None] * w.sum(0)[None, :])
+    i, t = np.full(len(items), 1 / len(items)), np.full(len(tags), 1 / len(tags))
+    for _ in range(3):
+        i, t = 0.85 * s @ t + 0.15 / len(items), 0.85 * s.T @ i + 0.15 / len(tags)
+        if normalizer == "HITS":
+            i, t = i / i.sum(), t / t.sum()
+    assert got == pytest.approx({("item", str(k)): v for k, v in zip(items, i)} | {("tag", k): v for k, v in zip(tags, t)}, abs=1e-12)

@@ -738,3 +738,29 @@ def test_whole_graph_ranking_moves_one_item_for_all_alike(spark, monkeypatch, no
         if normalizer == "HITS":
             i, t = i / i.sum(), t / t.sum()
     assert got == pytest.approx({("item", str(k)): v for k, v in zip(items, i)} | {("tag", k): v for k, v in zip(tags, t)}, abs=1e-12)
+
+
+def test_history_grid_equals_each_weighting(spark):
+    h = spark.createDataFrame([(1, [5, 6, 5, 7]), (2, [6]), (3, []), (4, [7, 7, 5])], "qid int, seq array<int>")
+    grid = [(r, kind, most) for r in ("sum", "union") for kind in (None, "linear", "log2", "exp") for most in (None, 2, 3)]
+    got = B.history_grid(h, grid).collect()
+    for i, (r, kind, most) in enumerate(grid):
+        one = {(x["qid"], x["item"]): x["weights"][i] for x in got if x["weights"][i] is not None}
+        assert one == pytest.approx({(x["qid"], x["item"]): x["weight"] for x in B.history_weights(h, r, kind, most).collect()}), (r, kind, most)
+
+
+def test_grid_is_ranked_in_groups_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(G, "GROUP_CELLS", 30)
+    random_ = random.Random(5)
+    edges = _twins(spark)
+    h = spark.createDataFrame([(q, [random_.randrange(62) for _ in range(1 + q % 4)]) for q in range(12)], "qid int, seq array<int>")
+    c = spark.createDataFrame([(q, i, int(j < 1 + q % 2)) for q in range(11) for j, i in enumerate(random_.sample(range(63), 15))], "qid int, item int, is_pos int")
+    own, pairs = [("sum", None, None), ("union", "linear", 2)], [(0.5, 0.5), (0.5, 0.9), (0.9, 0.5)]
+    got = G.grid_gains(c, h, lambda x: B.history_grid(x, own), edges, 2, pairs, scratch.cut)
+    assert physical(got).count("FlatMapCoGroupsInPandas") == 1
+    got = {r["at"]: r["ndcg"] for r in got.collect()}
+    for at, o, (a, b) in ((1, own[0], pairs[1]), (5, own[1], pairs[2])):
+        scores = G.birank_items(B.history_weights(h, *o), edges, scratch.cut, a, b, 1e-13, 9)
+        m = E.mean_metrics(E.query_metrics(E.ranked(c, scores), (10,))).first()
+        assert got[at] == pytest.approx(m["ndcg"], abs=1e-9), (o, a, b)
+    assert len(got) == 6

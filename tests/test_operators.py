@@ -764,3 +764,26 @@ def test_grid_is_ranked_in_groups_of_queries(spark, monkeypatch):
         m = E.mean_metrics(E.query_metrics(E.ranked(c, scores), (10,))).first()
         assert got[at] == pytest.approx(m["ndcg"], abs=1e-9), (o, a, b)
     assert len(got) == 6
+
+
+@pytest.mark.parametrize("alike", [False, True])
+def test_lists_are_ranked_for_a_threshold_without_a_shuffle_of_candidates(spark, alike):
+    random_ = random.Random(9)
+    labels = [f"l{j}" for j in range(9)]
+    # alike: most items have the same frequency, so the quartile gaps are empty and adjustments infinite
+    counts = spark.createDataFrame([(i, l, 1 + j if alike and i % 6 else random_.randrange(1, 9)) for i in range(24) for j, l in enumerate(labels)], "item int, label string, cnt long")
+    base = spark.createDataFrame([(i, random_.choices("abcd", k=3)) for i in range(26)], "item int, tags array<string>")
+    c = scratch.saved(spark.createDataFrame([(q, i, int(j == 0)) for q in range(20) for j, i in enumerate(random_.sample(range(28), 14))], "qid int, item int, is_pos int"), "c")
+    asks = spark.createDataFrame([(q, [q % 27]) for q in range(20)], "qid int, seq array<int>")
+    items = scratch.saved(T.threshold_items(base, counts), "items")
+    lists = scratch.saved(E.candidate_lists(c, asks.select("qid", F.get("seq", F.lit(0)).alias("item")), items), "lists")
+    none = counts.where("false").select("item", F.lit("").alias("pattern"), F.lit("").alias("level"))
+    for t in (-2.0, 0.3):
+        corpus = scratch.saved(T.enhanced(base, T.zscore_tags(counts, T.TagConfig(levels=((t, " Preference"),))), none), "corpus")
+        made = items.select("item", T.threshold_tags(F.col("base"), F.col("labels"), t).alias("tags"))
+        assert rows(made) == rows(corpus)
+        scores = B.scored(B.history_queries(B.history_weights(asks, "last"), corpus), B.postings(corpus), c).withColumn("score", F.round("score", 6))
+        expected = E.mean_metrics(E.query_metrics(E.ranked(c, scores), (10,))).first()["ndcg"]
+        found = E.listed_ndcg(lists, items, lambda base, labels: T.threshold_tags(base, labels, t), 10)
+        assert physical(found).split("Subquery")[0].count("Exchange") == 1  # that of the mean
+        assert found.first()["ndcg"] == pytest.approx(expected, abs=1e-12)
